@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact_dedup, sharding
+from quarry.llm import exact_dedup, jaccard_join, mixing, quality, sharding
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}
