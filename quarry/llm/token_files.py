@@ -211,7 +211,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
-        with store.open_output_stream(f"{root}/{name}") as out:
+        with store.open_output_stream(f"{root}/{name}", compression=None) as out:
             n_docs, n_tokens = write_frames(out, documents(first), encoder.kind)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_tokens": [n_tokens]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
