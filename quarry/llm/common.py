@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.shipping import ensure_importable
+
 #: Sub-keys that a hot key's rows are dealt over; a key's rows shrink by this factor in any one task.
 SALTS = 256
 #: Bytes of text that a Python task handles at a time.
@@ -39,17 +42,35 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
+    ensure_importable(spark)
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for what runs inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def salt(key: str | Column, n: int = SALTS) -> Column:
     """A sub-key from 0 to n - 1 that depends on the value alone."""
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -71,6 +92,7 @@ def map_rows(df: DataFrame, f: Callable[..., Iterable[dict]], schema: str, *args
 
     The slices hold about CHUNK_BYTES of the column named text (or html), so memory does not follow the batch.
     """
+    ensure_importable(df.sparkSession)
     target = _arrow_schema(df.sparkSession, schema)
     names = df.columns
     heavy = next((c for c in ("text", "html") if c in names), None)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import textvec
-from quarry.llm.common import map_rows, materialize, salt, table
+from quarry.llm.common import map_rows, materialize, salt, settings, table
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Buckets: a pair of similarity 0.8 shares none of them with probability (1 - 0.8^5)^32 = 3e-6.
@@ -31,6 +31,12 @@ STEP, TOLERANCE = 16, 1e-6
 #: Members of a block; the pairs of two blocks are compared in one group.
 BLOCK = 256
 _CELLS = 4_000_000
+#: A Bloom filter of the candidates' ids, 8 MB at most by Spark's default bound, is applied to the texts before a shuffle.
+PRUNE = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100g",
+}
 _rng = np.random.default_rng(5)
 _XOR, _MUL = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32), _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _BAND = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
@@ -220,10 +226,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = parts.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     copies = texts.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "copies")
     asked = materialize(asked.join(copies, "id"), "asked")
-    full = rows.join(asked, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    full = rows.join(asked.where("blocks > 0"), "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     pairs = full.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "text")
     grouped = pairs.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
-    found = materialize(grouped.mapInArrow(_compare, "id long, links long, weight long, near long"), "links")
+    with settings(docs.sparkSession, PRUNE):  # only candidates' texts are shuffled
+        found = materialize(grouped.mapInArrow(_compare, "id long, links long, weight long, near long"), "links")
     classes = components(found.select(F.col("id").alias("a"), F.col("near").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
     of = counts.join(classes, "id", "full").select(F.col("id").alias("rep"), "links", "weight", "part")
