@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, exact_dedup, jaccard_join, lm_score, mixing, quality, sharding, token_files, warc
+from quarry.llm import decontaminate, exact_dedup, html_text, jaccard_join, lm_score, mixing, quality, sharding, token_files, warc
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_sharding": sharding.op2_sharding,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_html_text": html_text.op5_html_text,
     "op6_token_files": token_files.op6_token_files,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
