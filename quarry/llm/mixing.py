@@ -21,6 +21,8 @@ from quarry.llm.common import map_rows, materialize, table, to_batch
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of the output's expected tokens by domain. The first domain keeps its tokens, the others are set by it.
 TARGETS = (0.97, 0.02, 0.01)
+#: No document is repeated more often, however rare its domain; targets that need more are met as nearly as they can be.
+MOST = 4.0
 #: Most labelled rows that the classifier is fitted on, those with the lowest hash of their id.
 SAMPLE = 8000
 BUCKETS = 1 << 18
@@ -108,10 +110,10 @@ def _posteriors(cols: dict, model: Domains) -> Iterator[dict]:
 
 
 def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps so far, from 1: each subtracts posterior * step and cuts off at 0."""
+    """Rates after the steps so far, from 1: each subtracts posterior * step and cuts off at 0 and MOST."""
     r = np.ones(len(p))
     for s in steps:
-        r = np.maximum(r - p @ s, 0)
+        r = np.clip(r - p @ s, 0, MOST)
     return r
 
 
@@ -135,7 +137,7 @@ def _sums(members: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarr
 
 
 def solve(members: DataFrame, targets: tuple[float, ...] = TARGETS) -> list[np.ndarray]:
-    """Steps after which the expected shares meet the targets, or come as near as nonnegative rates can.
+    """Steps after which the expected shares meet the targets, or come as near as rates from 0 to MOST can.
 
     The squares are weighted by the inverse of the moments, for which a step of length 1 always descends.
     """
