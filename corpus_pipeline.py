@@ -16,6 +16,9 @@ from quarry.llm.mixing import mix
 from quarry.llm.quality import classify
 from quarry.llm.token_files import token_output
 
+#: Token shares of clean, low and toxic documents in the mix. Few low ones are left by then.
+TARGETS = (0.988, 0.002, 0.01)
+
 
 def _only(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of docs whose id is among those of verdict; a null id is among them if verdict has one."""
@@ -41,7 +44,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate, rounded by a hash of its id, says."""
-    copies = mix(docs, table(spark, sf_dir, "labels")).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    copies = mix(docs, table(spark, sf_dir, "labels"), TARGETS).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
     copies = copies.select(F.col("doc_id").alias("_id"), "_copies")
     return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
 
