@@ -9,6 +9,7 @@ of the decompressed bytes), a count and a magic number. A reader takes the tail,
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -34,8 +35,10 @@ FRAME = 1 << 17
 LEVEL = 3
 #: Ends each document.
 END_ID = 0
-#: Entries of the encoder's memory of pieces, after which it is emptied.
-MEMORY = 700_000
+#: Pieces in a generation of the encoder's memory. It holds two: when one is full, it replaces the one before.
+MEMORY = 500_000
+# A word of Latin letters and the marks after it are matches of their own.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*#$%&|]+)")
 
 
 class Encoder:
@@ -53,20 +56,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
-        self.led: dict[str, bytes] = {}  # by the word after the blank
+        # by the lead of a piece, '' or a blank: pieces of this generation and of the one before
+        self.memory: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers of type self.kind."""
-        for memory in (self.words, self.led):
-            if len(memory) > MEMORY:
-                memory.clear()
+        for lead, (new, _) in self.memory.items():
+            if len(new) > MEMORY:
+                self.memory[lead] = {}, new
         lines = [self._lines(t) for t in texts]
         every = [line for x in lines if x is not None for line in x]
-        self._learn(self.words, {line[0] for line in every} | {"\n"}, "")
-        self._learn(self.led, set(chain.from_iterable(line[1:] for line in every)), " ")
+        words = self._learn("", {line[0] for line in every} | {"\n"})
+        led = self._learn(" ", set(chain.from_iterable(line[1:] for line in every)))
         odd = iter(self._ids([t for t, x in zip(texts, lines, strict=True) if x is None]))
-        end, words, led = self.words["\n"], self.words, self.led
+        end = words["\n"]
         return [
             next(odd) if x is None else end.join([words[line[0]] + b"".join([led[w] for w in line[1:]]) for line in x])
             for x in lines
@@ -79,9 +82,24 @@ class Encoder:
             return None
         return [line.split(" ") for line in text.split("\n")]
 
-    def _learn(self, memory: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in memory]
-        memory.update(zip(new, self._ids([lead + p for p in new]), strict=True))
+    def _learn(self, lead: str, pieces: set[str]) -> dict[str, bytes]:
+        """This generation's memory of pieces with that lead, filled up for pieces."""
+        new, old = self.memory[lead]
+        missing = []
+        for p in pieces:
+            if p not in new:
+                if (ids := old.get(p)) is None:
+                    missing.append(p)
+                else:
+                    new[p] = ids
+        marked = {p: m for p in missing if (m := _MARKED.fullmatch(p))}
+        if marked:
+            self._learn(lead, {m[1] for m in marked.values()})
+            tails = self._learn("", {m[2] for m in marked.values()})
+            new.update((p, new[m[1]] + tails[m[2]]) for p, m in marked.items())
+            missing = [p for p in missing if p not in new]
+        new.update(zip(missing, self._ids([lead + p for p in missing]), strict=True))
+        return new
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind.itemsize == 2 else "I"
