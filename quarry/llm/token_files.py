@@ -78,9 +78,8 @@ class Encoder:
     @staticmethod
     def _lines(text: str) -> list[list[str]] | None:
         """Words of each line, if all white space is single blanks and line ends between words."""
-        if text.count(" ") + text.count("\n") + 1 != len(text.split()):
-            return None
-        return [line.split(" ") for line in text.split("\n")]
+        lines = [line.split(" ") for line in text.split("\n")]
+        return lines if list(chain.from_iterable(lines)) == text.split() else None
 
     def _learn(self, lead: str, pieces: set[str]) -> dict[str, bytes]:
         """This generation's memory of pieces with that lead, filled up for pieces."""
