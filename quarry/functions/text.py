@@ -135,14 +135,19 @@ def collapse_blanks(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(_col(c), "[\\s\\u3000\\u00a0]+", " "))
 
 
+def strip(c: str | Column) -> Column:
+    """c without white space of any kind at its ends."""
+    return F.regexp_replace(_col(c), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def normalize_line(line: Column) -> Column:
     """Pipe rows of two cells and bullets become 'key: value'; null drops the line."""
-    cells = F.filter(F.transform(F.split(line, "\\|"), F.trim), lambda x: x != "")
+    cells = F.filter(F.transform(F.split(line, "\\|"), strip), lambda x: x != "")
     bullet = r"^[\-\*•]\s*(.+?):\s*(.+)$"
     pipes = F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
     dashes = F.forall(cells, lambda x: x.startswith("-"))
     row = F.when(F.size(cells) >= 3, line).when((F.size(cells) >= 2) & ~dashes, F.concat(F.get(cells, F.lit(0)), F.lit(": "), F.get(cells, F.lit(1))))
-    item = F.trim(line)
+    item = strip(line)
     return F.when(pipes >= 2, row).when(item.rlike(bullet), F.concat(F.regexp_extract(item, bullet, 1), F.lit(": "), F.regexp_extract(item, bullet, 2))).otherwise(line)
 
 

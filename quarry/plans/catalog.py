@@ -126,9 +126,9 @@ def canonical_text(spark, d):
 
 @query(r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-c AS (SELECT *, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '') AS cells, length(line) - length(replace(line, '|', '')) AS pipes FROM l),
+c AS (SELECT *, list_filter(list_transform(string_split(line, '|'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS cells, length(line) - length(replace(line, '|', '')) AS pipes FROM l),
 o AS (SELECT doc_id, n, CASE WHEN pipes >= 2 THEN CASE WHEN len(cells) >= 3 THEN line WHEN len(cells) >= 2 AND NOT len(list_filter(cells, lambda x: starts_with(x, '-'))) = len(cells) THEN cells[1] || ': ' || cells[2] END
-  WHEN regexp_matches(trim(line), '^[\-\*•]\s*(.+?):\s*(.+)$') THEN regexp_extract(trim(line), '^[\-\*•]\s*(.+?):\s*(.+)$', 1) || ': ' || regexp_extract(trim(line), '^[\-\*•]\s*(.+?):\s*(.+)$', 2) ELSE line END AS line FROM c)
+  WHEN regexp_matches(regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '^[\-\*•]\s*(.+?):\s*(.+)$') THEN regexp_extract(regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '^[\-\*•]\s*(.+?):\s*(.+)$', 1) || ': ' || regexp_extract(regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '^[\-\*•]\s*(.+?):\s*(.+)$', 2) ELSE line END AS line FROM c)
 SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY n)) AS digest, count(line) AS lines FROM o GROUP BY doc_id""")
 def table_normalize(spark, d):
     n = text.normalize_tables("text")
@@ -220,9 +220,9 @@ def trim_recency(spark, d):
     return conversations.trim(t(spark, d, "conversations"), "assistant", recent=1).select("conv_id", "turn", "role", "age", "trimmed")
 
 
-@query("SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS answers FROM conversations")
+@query("SELECT conv_id, turn, role, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS answers FROM conversations")
 def resolve_asked_turn(spark, d):
-    return conversations.last_of_role(t(spark, d, "conversations"), "user").select("conv_id", "turn", "role", "answers")
+    return conversations.last_of_role(t(spark, d, "conversations"), "user").select("conv_id", "turn", "role", F.coalesce("answers", F.lit(-1).cast("long")).alias("answers"))
 
 
 @query("""
