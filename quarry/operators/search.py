@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.functions import text, vectors
+from quarry.plans.reuse import reuse
 from quarry.shipping import ensure_importable
 
 
@@ -168,14 +169,14 @@ def greedy_dedup(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> D
 
     Rounds decide all documents whose earlier neighbours are decided: one without kept earlier neighbours is kept.
     """
-    edges = pairs.select(F.col("a").alias("early"), F.col("b").alias("late"))
+    edges = reuse(pairs.select(F.col("a").alias("early"), F.col("b").alias("late")))
     known = edges.select(F.col("early").alias("id")).union(edges.select("late")).distinct()
     status = known.withColumn("kept", F.lit(None).cast("boolean"))
     while True:
         e = edges.join(status.withColumnsRenamed({"id": "early", "kept": "early_kept"}), "early")
         agg = e.groupBy(F.col("late").alias("id")).agg(F.bool_or(F.coalesce("early_kept", F.lit(False))).alias("hit"), F.count(F.when(F.col("early_kept").isNull(), 1)).alias("open"))
         nxt = status.join(agg, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True).alias("kept"))
-        status = nxt.checkpoint() if docs.sparkSession.sparkContext.getCheckpointDir() else nxt.cache()
+        status = reuse(nxt)
         if status.where("kept IS NULL").isEmpty():
             break
     gone = status.where("NOT kept").select(F.col("id").alias(id_col))

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry import config
-from quarry.functions import boxes, text, vectors
+from quarry.functions import code, text, vectors
 from quarry.operators import answer, context, conversations, evalm, figures, graph, ingest, search, store
-from quarry.plans import samples
+from quarry.plans import knowledge, samples
 from quarry.sources import readers
 from quarry.streaming import ingest as streaming
 
@@ -744,4 +744,59 @@ def star_join_rollup(spark, d):
     return j.rollup("r_name", "n_name", "o_orderpriority").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "Window", "boxes"]
+
+# --- whole plans
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """documents as chunks; the tables share no key, so a document takes the vector whose id is its own modulo their number."""
+    e = t(spark, d, "embeddings")
+    n = e.count()
+    docs = t(spark, d, "documents").withColumn("vec_id", F.col("doc_id") % n)
+    return docs.join(e.select("vec_id", F.col("embedding").alias("v")), "vec_id").select(F.col("doc_id").alias("id"), "source", text.type_by_name("source").alias("type"), F.lit(1).alias("page"), F.col("doc_id").cast("int").alias("chunk_index"), F.lit("").alias("section"), F.col("text").alias("content"), "v")
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question")).join(e, "query")
+
+
+@query()
+def query_knowledge(spark, d):
+    return knowledge.search_knowledge(_chunks(spark, d), _questions(spark, d)).select("query", "ref", "id", "source", "score", "gate")
+
+
+@query()
+def query_decisions(spark, d):
+    q = _questions(spark, d)
+    return knowledge.decide(q, knowledge.search_knowledge(_chunks(spark, d), q))
+
+
+@query()
+def code_search(spark, d):
+    q = spark.createDataFrame([(1, "where is load defined"), (2, "how does Job start"), (3, "renderPage")], "query long, question string")
+    return knowledge.search_symbols(graph.symbols(samples.files(spark)), q)
+
+
+@query()
+def code_context(spark, d):
+    f = samples.files(spark)
+    c = graph.symbols(f).select(F.lit(1).alias("query"), "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.lit(60).alias("priority"))
+    return knowledge.code_evidence(c, f, 400)
+
+
+@query("SELECT page_id, len(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'))::INT - 1 AS depth, regexp_matches(url, '\\?') AS has_query FROM pages")
+def url_depth(spark, d):
+    return t(spark, d, "pages").select("page_id", (F.size(F.split(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/")) - 1).alias("depth"), F.col("url").rlike(r"\?").alias("has_query"))
+
+
+@query("SELECT event_id, least(coalesce(list_max(list_filter(generate_series(1, 3), lambda k: right(a, k) = left(b, k))), 0), 3)::INT AS k FROM (SELECT event_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL")
+def sequence_overlap(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = t(spark, d, "events").withColumn("b", F.lead("event_type").over(w)).where("b IS NOT NULL")
+    return e.select("event_id", code.longest_overlap(F.split("event_type", ""), F.split("b", ""), 3).alias("k"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(s) <= 100 THEN s WHEN length(regexp_extract(left(s, 100), '^(.*[.。!?！？])', 1)) >= 50 THEN regexp_extract(left(s, 100), '^(.*[.。!?！？])', 1) ELSE left(s, 100) END AS clean FROM (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f]', '', 'g'), '\\s+', ' ', 'g')), '^[\"''“”「」]+|[\"''“”「」]+$', '', 'g') AS s FROM conversations)")
+def sanitized_context(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", code.sanitize(F.col("text"), 100).alias("clean"))
