@@ -188,8 +188,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: neighbours above a node are tied to the least of its neighbourhood
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # (a node with very many neighbours is dealt over the sub-keys of these)
+        both = both.withColumn("s", salt("b"))
+        least = both.groupBy("a", "s").agg(F.min("b").alias("m")).groupBy("a").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))
+        least = least.select("a", F.explode("s").alias("s"), F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, ["a", "s"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialize(large, "star")
         # small star: a node and its lesser neighbours are tied to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
