@@ -200,7 +200,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             have = sums.setdefault(span, [0.0, 0])
             have[0] = have[0] + np.frombuffer(v, np.float32).astype(np.float64) * seen
             have[1] += seen
-    yield pa.RecordBatch.from_pydict({"span": list(sums), "v": [(x / n).astype(np.float32).tobytes() for x, n in sums.values()]}, schema=pa.schema([("span", pa.int32()), ("v", pa.binary())]))
+    yield pa.RecordBatch.from_pydict({"span": list(sums), "seen": [n for _, n in sums.values()], "v": [(x / n).astype(np.float32).tobytes() for x, n in sums.values()]}, schema=pa.schema([("span", pa.int32()), ("seen", pa.int64()), ("v", pa.binary())]))
 
 
 def train(docs: DataFrame, top: list[tuple[bytes, int]], class_counts: np.ndarray) -> tuple[Model, dict[bytes, int]]:
@@ -213,11 +213,12 @@ def train(docs: DataFrame, top: list[tuple[bytes, int]], class_counts: np.ndarra
         part = docs.where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == k).select("text")
         held = shared.broadcast((model, known))
         spans = part.mapInArrow(lambda batches, held=held: _train_part(batches, *held.value), "span int, seen long, v binary")
-        # the parameters of a task move in spans, so no task or driver holds all tasks' models
-        means = spans.repartition("span").mapInArrow(_average, "span int, v binary").collect()
+        # the parameters of a task move in spans and are averaged twice, so no task or driver holds all tasks' models
+        kind = "span int, seen long, v binary"
+        means = spans.repartition("span", F.spark_partition_id() % _SPANS).mapInArrow(_average, kind).repartition("span").mapInArrow(_average, kind).collect()
         if means:
             model = Model(model.log_noise)
-            model.unpack(np.concatenate([np.frombuffer(v, np.float32) for _, v in sorted((r["span"], r["v"]) for r in means)]))
+            model.unpack(np.concatenate([np.frombuffer(v, np.float32) for _, v in sorted((r["span"], bytes(r["v"])) for r in means)]))
     model.normalise()
     return model, known
 
