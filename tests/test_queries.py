@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quarry.plans import catalog
+from quarry.plans import catalog, records  # noqa: F401  registers its queries
 
 DATA = "/root/testdata/sf0.001"
 
