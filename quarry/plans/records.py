@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import figures, layout, records, store
+from quarry.operators import figures, layout, records, store, trimming
 from quarry.plans.catalog import query, t
 
 BOXES = "b AS (SELECT p_size AS page, p_partkey AS id, (p_partkey * 37 % 500)::DOUBLE AS x0, (p_partkey * 53 % 700)::DOUBLE AS y0, p_partkey * 37 % 500 + 40.0 + p_partkey % 90 AS x1, p_partkey * 53 % 700 + 30.0 + p_partkey % 70 AS y1 FROM part)"
@@ -129,3 +129,27 @@ def prune_old_runs(spark, d):
 @query("SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(url, '[0-9]+'))), ',') AS numbers, regexp_matches(url, '(?i)^https') AS secure FROM pages WHERE regexp_matches(url, '[0-9]')")
 def critical_tokens(spark, d):
     return t(spark, d, "pages").where(F.col("url").rlike("[0-9]")).select("page_id", F.array_join(F.array_sort(F.array_distinct(text.all_matches("url", "[0-9]+"))), ",").alias("numbers"), F.col("url").rlike("(?i)^https").alias("secure"))
+
+
+@query()
+def segments(spark, d):
+    return trimming.segments(t(spark, d, "documents"), 2000)
+
+
+@query("SELECT doc_id, md5(substr(text, (greatest(least(length(text) // 3 - 250, length(text) - 500), 0) + 1)::BIGINT, 500)) AS digest FROM documents")
+def centered_slice(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(trimming.centered(F.col("text"), F.floor(F.length("text") / 3).cast("int"), 500).cast("binary")).alias("digest"))
+
+
+_CUT = "array_to_string(list_filter(string_split(substr(text, 101, length(text) - 200), chr(10)), lambda x: regexp_matches(x, '(?i)error|exception|traceback|fail|fatal|panic'))[1:8], chr(10))"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 100) || chr(10) || '[...]' || chr(10) || {_CUT} || chr(10) || '[...]' || chr(10) || right(text, 100) END AS command, CASE WHEN length(text) <= 150 THEN text ELSE left(text, 150) || chr(10) || '[... ' || (length(text) - 150) || ' more characters ...]' END AS file FROM conversations")
+def trimmed_outputs(spark, d):
+    c = F.col("text")
+    return t(spark, d, "conversations").select("conv_id", "turn", trimming.command_output(c, 200).alias("command"), trimming.file_output(c, 150).alias("file"))
+
+
+@query()
+def old_output_summary(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", trimming.summary(F.col("text")).alias("summary"))

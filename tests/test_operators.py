@@ -197,3 +197,48 @@ def test_rerank_provider(spark):
     df = spark.createDataFrame([("a", "a b"), ("a", "c")], "question string, text string")
     got = search.rerank(df, lambda q, t: t.str.len().astype(float)).orderBy("text").collect()
     assert [r["rerank_score"] for r in got] == [3.0, 1.0]
+
+
+def test_segments_tile_the_text():
+    from quarry.operators import trimming
+
+    rng = random.Random(6)
+    for _ in range(50):
+        body = "".join(rng.choice("ab\n") for _ in range(rng.randrange(200)))
+        spans = trimming.split_segments(body, 30)
+        assert "".join(body[a:b] for a, b in spans) == body and all(0 < b - a <= 30 for a, b in spans)
+
+
+def test_section_listing_and_disagreement(spark):
+    from quarry.operators import trimming
+
+    listing = "  [ 1] .text PROGBITS 0000000000401000 001000 0001a5 00 AX\n  [ 2] .data PROGBITS 0000000000404000 003000 000010 00 WA\n"
+    got = one(spark, listing, trimming.elf_sections(F.col("x")))
+    assert [(r["name"], r["size"]) for r in got] == [(".text", "0001a5"), (".data", "000010")]
+    schema = "a struct<columns:array<struct<label:string>>,rows:array<struct<cells:array<struct<text:string>>>>>, b struct<columns:array<struct<label:string>>,rows:array<struct<cells:array<struct<text:string>>>>>"
+    table = lambda label, *cells: ([(label,)], [([(c,)],) for c in cells])
+    df = spark.createDataFrame([(table("h", "x"), table("h", "x")), (table("h", "x"), table("h", "y")), (table("h", "x"), table("g", "x")), (table("h"), table("h", "x"))], schema)
+    assert [r[0] for r in df.select(trimming.disagreement(F.col("a"), F.col("b"))).collect()] == ["none", "cell", "header", "shape"]
+
+
+def test_greedy_matching_and_components(spark):
+    from quarry.operators import layout
+
+    pairs = spark.createDataFrame([(1, 1, 2, 0.9), (1, 1, 3, 0.8), (1, 4, 2, 0.7), (1, 4, 3, 0.6), (2, 8, 9, 0.5)], "page int, a long, b long, iou double")
+    assert sorted((r["a"], r["b"]) for r in layout.one_to_one(pairs).collect()) == [(1, 2), (4, 3), (8, 9)]
+    nodes = spark.createDataFrame([(1, k) for k in (1, 2, 3, 4, 5)] + [(2, 8), (2, 9)], "page int, id long")
+    assert {(r["page"], r["id"]): r["part"] for r in layout.components(nodes, pairs).collect()} == {(1, 1): 1, (1, 2): 1, (1, 3): 1, (1, 4): 1, (1, 5): 5, (2, 8): 8, (2, 9): 8}
+
+
+def test_knowledge_search_filters_by_source_and_drops_noise(spark):
+    from quarry.plans import knowledge
+
+    body = "the frobnicator register holds the reset value of the main clock divider in its lower bits"
+    rows = [(k, f"s{k % 2}", "doc", 1, k, "", body + f" number {k}" if k < 4 else "!" * 80, [1.0, 0.1 * k]) for k in range(6)]
+    chunks = spark.createDataFrame(rows, "id long, source string, type string, page int, chunk_index int, section string, content string, v array<double>")
+    q = spark.createDataFrame([(1, "frobnicator reset value", [1.0, 0.0])], "query long, question string, qv array<double>")
+    refs = knowledge.search_knowledge(chunks, q, source="S0")
+    got = refs.collect()
+    assert got and {r["source"] for r in got} == {"s0"} and all(r["id"] < 4 for r in got) and [r["ref"] for r in got] == list(range(1, len(got) + 1))
+    assert "[REF1] s0" in knowledge.assemble(refs).first()["context"]
+    assert knowledge.decide(q, refs.limit(0)).first()["decision"] == "plain"
