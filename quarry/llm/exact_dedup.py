@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from quarry.llm import mphf
 from quarry.llm.common import SALTS, materialize, salt, table
 
-#: Distinct digests in one shard of the index, about 50 bytes each.
+#: Distinct digests of the history, or of the new rows, in one shard; about 50 bytes each.
 SHARD_KEYS = 50_000
 
 
@@ -111,8 +111,8 @@ def exact_dedup(docs: DataFrame, history: Column, id_col: str = "doc_id", text_c
         "digests",
     )
     past, new = _groups(rows.where("old"), True), _groups(rows.where("NOT old"), False)
-    past = materialize(past, "past")
-    shards = -(-past.count() // SHARD_KEYS) or 1
+    past, new = materialize(past, "past"), materialize(new, "new")
+    shards = -(-max(past.count(), new.count()) // SHARD_KEYS) or 1
     index = materialize(build_index(past, shards), "mphf")
     asked = materialize(lookup(new, index, shards), "asked")
     # what the lookups found updates the winners of the history's groups
