@@ -7,6 +7,7 @@ smallest that suffices.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -56,21 +57,31 @@ class SizeTree:
         return None
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """Bin of each item, items taken by falling size (ties: in their order); larger items than capacity get own bins.
+class Packer:
+    """Best-fit-decreasing into bins of one capacity; bins stay open for later items."""
+
+    def __init__(self, capacity: int, most: int | None = None) -> None:
+        self.capacity, self.most, self.bins, self.tree = capacity, most, 0, SizeTree()
+
+    def add(self, sizes: list[int]) -> list[int] | None:
+        """Bin of each item, items taken by falling size (ties: in their order); larger items than the capacity get own bins.
+
+        None if more than most bins would be needed.
+        """
+        out = [0] * len(sizes)
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            found = self.tree.pop_tightest(sizes[i])
+            if found is None:
+                if self.bins == self.most:
+                    return None
+                found, self.bins = (max(self.capacity, sizes[i]), self.bins), self.bins + 1
+            out[i] = found[1]
+            self.tree.add((found[0] - sizes[i], found[1]))
+        return out
 
-    None if more than most bins would be needed.
-    """
-    bins, tree, out = 0, SizeTree(), [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.pop_tightest(sizes[i])
-        if found is None:
-            if bins == most:
-                return None
-            found, bins = (max(capacity, sizes[i]), bins), bins + 1
-        out[i] = found[1]
-        tree.add((found[0] - sizes[i], found[1]))
-    return out
+
+def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
+    return Packer(capacity, most).add(sizes)
 
 
 def pack_evenly(sizes: list[int], bins: int) -> list[int]:
@@ -129,21 +140,18 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     pallet = max(1, total // (shards * PALLETS))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
+        # a task's pallets stay open over its batches, so one of them at most is less than half full
+        packer, tag, rows_in = Packer(pallet), uuid.uuid4().hex, {}
         for batch in batches:
-            sizes = batch.column("bytes").to_pylist()
-            counts = batch.column("n").to_pylist()
-            bins = best_fit_decreasing(sizes, pallet)
-            tag, base, rows_in = uuid.uuid4().hex, [], {}
-            for b, n in zip(bins, counts, strict=True):
+            base, bins = [], packer.add(batch.column("bytes").to_pylist())
+            for b, n in zip(bins, batch.column("n").to_pylist(), strict=True):
                 base.append(rows_in.get(b, 0))
                 rows_in[b] = base[-1] + n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f"{tag}-{b}" for b in bins]), pa.array(base, pa.int64())], names=[*batch.schema.names, "pallet", "base"])
 
     packed = groups.coalesce(PACKERS).mapInArrow(fill, "key binary, size long, n long, subs array<struct<sub:int,n:long>>, bytes long, pallet string, base long")
     packed = materialize(packed, "pallets")
-    # bounded: pallets are half full on average at least, but for one of each batch
+    # bounded: all pallets but one of each task are half full at least
     loads = packed.groupBy("pallet").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).orderBy(F.desc("bytes"), F.desc("n"), "pallet").collect()
     starts, placed = [0] * shards, []
     for load, b in zip(loads, pack_evenly([x["bytes"] for x in loads], shards), strict=True):
