@@ -221,8 +221,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = materialize(subs.groupBy("key").agg(F.min("rep").alias("rep"), F.sum("n").alias("copies"), F.collect_list("sub").alias("subs")), "texts")
     spots = texts.select("key", F.explode("subs").alias("sub"), "rep", "copies")
     named = signed.select("id", "key", "sub").join(spots, ["key", "sub"]).select("id", "rep", "copies")
-    members = signed.join(texts.where("rep IS NOT NULL").select("key", F.col("rep").alias("id")), ["key", "id"]).where("size(bands) > 0")
-    hashed = materialize(members.select("id", F.posexplode("bands").alias("band", "h")).dropDuplicates(["id", "band"]), "hashed")
+    members = signed.join(texts.where("rep IS NOT NULL").select("key", F.col("rep").alias("id")), ["key", "id"]).where("size(bands) > 0").dropDuplicates(["key", "id"])
+    hashed = materialize(members.select("id", F.posexplode("bands").alias("band", "h")), "hashed")
     shared = hashed.groupBy("band", "h").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "h", "b")
     parts = materialize(components(hashed.join(shared, ["band", "h"]).select(F.col("id").alias("a"), "b")), "parts")
     blocks = parts.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
