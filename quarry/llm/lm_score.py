@@ -85,7 +85,7 @@ class Model:
         at = 0
         for name in ("last", "before", "out"):
             x = getattr(self, name)
-            setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
+            setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32, copy=True))
             at += x.size
 
     def normalise(self) -> None:
@@ -161,7 +161,9 @@ def _class(token: bytes, seen: dict[bytes, int]) -> int:
 
 def _train_part(batches: Iterator[pa.RecordBatch], model: Model, known: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """A task's model after its documents, in slices by row of the parameters, and how many tokens it saw."""
-    fit, classes, seen = Trainer(model, 11), {}, 0
+    own = Model(model.log_noise)  # the one given may be shared by the tasks of a worker
+    own.unpack(model.pack())
+    fit, classes, seen = Trainer(own, 11), {}, 0
     held: list[np.ndarray] = []
     size = 0
 
@@ -188,7 +190,7 @@ def _train_part(batches: Iterator[pa.RecordBatch], model: Model, known: dict[byt
     if held:
         train()
     if seen:
-        parts = np.array_split(model.pack(), _SPANS)
+        parts = np.array_split(own.pack(), _SPANS)
         yield pa.RecordBatch.from_pydict({"span": list(range(_SPANS)), "seen": [seen] * _SPANS, "v": [x.tobytes() for x in parts]}, schema=pa.schema([("span", pa.int32()), ("seen", pa.int64()), ("v", pa.binary())]))
 
 
