@@ -53,6 +53,16 @@ def test_rates_meet_targets(spark):
     assert (r >= 0).all() and np.abs(share - [0.6, 0.3, 0.1]).max() < 1e-3
 
 
+def test_a_domain_without_a_target_keeps_its_tokens(spark):
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet([3, 0.05, 0.3], 800)
+    t = rng.integers(1, 400, 800)
+    members = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(800)], "id long, n_tokens long, p array<double>")
+    r = mixing.rates(p, mixing.solve(members, (0.99, None, 0.01)))
+    got, was = (t * r) @ p, t @ p
+    assert abs(got[1] / was[1] - 1) < 0.02 and abs(got[2] / got[0] - 0.01 / 0.99) < 1e-3 and abs(got[0] / was[0] - 1) < 1e-3
+
+
 def test_unreachable_targets_come_as_near_as_rates_can():
     """Against projected gradient descent on all rates at once."""
     p, t = np.array([[1.0, 0, 0], [0.9, 0.1, 0]]), np.array([10.0, 10.0])
