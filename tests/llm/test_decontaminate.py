@@ -77,3 +77,30 @@ def test_driver_rows_with_exact_passages(spark):
     items = [textvec.normal(r["text"]) for r in bench.collect()]
     want = {r["doc_id"] for r in docs.collect() if any(x in textvec.normal(r["text"]) for x in items)}
     assert got == want
+
+
+def test_quoted_runs_of_words_of_longer_items():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 12)))
+    items = [[word() for _ in range(60)] for _ in range(8)]
+    index = D.Index([(k, " ".join(x)) for k, x in enumerate(items)])
+    host = " ".join(word() for _ in range(50))
+    runs = [(k, i) for k in range(8) for i in range(0, 48)]
+    got = index.matches([textvec.normal(f"{host} {' '.join(items[k][i : i + 13])} {host}") for k, i in runs])
+    assert [[x[0] for x in m] for m in got] == [[k] for k, _ in runs] and all(m[0][1] == 0 for m in got)
+    assert not any(index.matches([textvec.normal(f"{host} {' '.join(items[k][i : i + 6])} {host}") for k, i in runs]))
+    spaceless = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(300))
+    index = D.Index([(1, spaceless)])
+    assert all(index.matches([textvec.normal(f"{spaceless[i : i + 48]}")])[0] for i in range(252))
+
+
+def test_edited_copies_of_short_items():
+    """Lengths at which edits within the budget can leave no run of Q characters."""
+    for n in (13, 16, 19, 25, 29, 38, 39):
+        text = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz"[:n]
+        index = D.Index([(5, text)])
+        e = int(n * D.EDITS)
+        b = bytearray(text.encode())
+        for k in range(e):
+            b[(k + 1) * n // (e + 1)] = ord("0")
+        assert [x[:2] for x in index.matches([b"before it " + bytes(b) + b" after it"])[0]] == [(5, e)]
