@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import mixing
 from quarry.llm.common import materialize, table
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.jaccard_join import jaccard_join
@@ -16,9 +17,8 @@ from quarry.llm.mixing import mix
 from quarry.llm.quality import classify
 from quarry.llm.token_files import token_output
 
-#: Tokens of clean, low and toxic documents in the mix, in proportion. What the filters left of low ones stays as it is:
-#: it is too little to weigh by, and a target for it would repeat or drop clean documents.
-TARGETS = (0.99, None, 0.01)
+#: Shares of clean, low and toxic documents in the mix: those of the operator, whatever the filters left of each.
+TARGETS = mixing.TARGETS
 
 
 def _only(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id") -> DataFrame:

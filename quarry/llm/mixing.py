@@ -21,14 +21,14 @@ from quarry.llm.common import map_rows, materialize, table, to_batch
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of the output's expected tokens by domain. The first domain keeps its tokens, the others are set by it.
 TARGETS = (0.97, 0.02, 0.01)
-#: No document is repeated more often, however rare its domain; targets that need more are met as nearly as they can be.
-MOST = 4.0
+#: Rates are nonnegative and have no upper bound: a rare domain's documents are repeated as often as its target needs.
+MOST = np.inf
 #: Most labelled rows that the classifier is fitted on, those with the lowest hash of their id.
 SAMPLE = 8000
 BUCKETS = 1 << 18
 STEPS, RATE, RIDGE = 60, 0.3, 1e-5
 #: Gradient steps of the rates at most, and the largest residual, as a share of the total, at which they end.
-ROUNDS, ENOUGH = 40, 1e-4
+ROUNDS, ENOUGH = 100, 1e-4
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 def _walk(p: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rates after the steps so far, from 1, and the point ahead of them at which the next step is taken.
 
-    A step subtracts posterior * step and cuts off at 0 and MOST; the point ahead goes on in the last step's direction
+    A step subtracts posterior * step and cuts off at 0; the point ahead goes on in the last step's direction
     (accelerated projected gradient).
     """
     r = ahead = np.ones(len(p))
@@ -146,27 +146,43 @@ def _sums(members: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarr
     return v[:k], v[k : 2 * k], v[2 * k :].reshape(k, k)
 
 
+def _goal(totals: np.ndarray, targets: tuple[float | None, ...]) -> np.ndarray:
+    return np.array([total if share is None else share / targets[0] * totals[0] for share, total in zip(targets, totals, strict=True)])
+
+
 def solve(members: DataFrame, targets: tuple[float | None, ...] = TARGETS) -> list[np.ndarray]:
-    """Steps after which the expected shares meet the targets, or come as near as rates from 0 to MOST can.
+    """Steps after which the expected shares meet the targets, or come as near as nonnegative rates can.
 
     The first domain keeps its tokens, and the others get tokens in proportion to it; one without a target keeps its own.
-    The squares are weighted by the inverse of the moments, for which a step of length 1 always descends.
+    The squares are weighted by the inverse of the moments, for which a step of length 1 always descends. The steps end
+    where the targets are met, where a step changes nothing, or after ROUNDS; mix() returns the residual that is left.
     """
+    return _solve(members, targets)[0]
+
+
+def _solve(members: DataFrame, targets: tuple[float | None, ...]) -> tuple[list[np.ndarray], float]:
+    """The steps, and the largest residual after them as a share of the total."""
     k = len(targets)
     totals, ahead, moments = _sums(members, [], k)
-    goal = np.array([total if share is None else share / targets[0] * totals[0] for share, total in zip(targets, totals, strict=True)])
+    goal = _goal(totals, targets)
+    scale = max(goal.sum(), 1)
     inverse = np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
     steps: list[np.ndarray] = []
-    while len(steps) < ROUNDS and np.abs(totals - goal).max() > ENOUGH * max(goal.sum(), 1):
+    while (unmet := np.abs(totals - goal).max() / scale) > ENOUGH and len(steps) < ROUNDS:
         steps.append(inverse @ (ahead - goal))
+        last = totals
         totals, ahead, _ = _sums(members, steps, k)
-    return steps
+        if max(np.abs(totals - last).max(), np.abs(ahead - last).max()) < 1e-9 * scale:
+            break
+    return steps, float(unmet)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float | None, ...] = TARGETS) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens (words), p_clean, p_low, p_toxic, rate, copies.
+    """One row per row of docs: doc_id, n_tokens (words), p_clean, p_low, p_toxic, rate, copies, unmet.
 
-    copies: rate rounded down or up by a hash of the id, so that its expectation is the rate. A null text counts as
+    copies: rate rounded down or up by a hash of the id, so that its expectation is the rate. unmet: the largest residual
+    of a domain, as a share of all tokens of the mix; over ENOUGH where no
+    nonnegative rates meet the targets or ROUNDS were too few. A null text counts as
     empty and has no tokens; its rate follows its posteriors all the same. Labels with nulls or of unknown documents are
     passed over; without labels the posteriors are equal. Null ids and repeated rows count as rows of their own. An empty
     table gives no rows; other columns are ignored.
@@ -175,7 +191,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float | None, ...] =
     model = train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     members = materialize(map_rows(rows, _posteriors, "id long, n_tokens long, p array<double>", model), "members")
-    steps = solve(members, targets)
+    steps, unmet = _solve(members, targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,7 +200,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float | None, ...] =
 
     rated = members.mapInArrow(run, "id long, n_tokens long, p array<double>, rate double")
     chance = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return rated.select(F.col("id").alias("doc_id"), "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"))
+    return rated.select(F.col("id").alias("doc_id"), "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"), F.lit(unmet).alias("unmet"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

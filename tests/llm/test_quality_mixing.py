@@ -79,3 +79,30 @@ def test_mixing_odd_rows(odd_docs, no_docs, labels, no_labels):
     assert {r["n_tokens"] for r in rows if r["doc_id"] in (2, 3, 6)} == {0}
     assert {round(r["p_clean"], 6) for r in mixing.mix(odd_docs, no_labels).collect()} == {round(1 / 3, 6)}
     assert mixing.mix(no_docs, labels).count() == 0
+
+
+def _shares(spark, p, t, targets):
+    members = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(len(t))], "id long, n_tokens long, p array<double>")
+    got = (t * mixing.rates(p, mixing.solve(members, targets))) @ p
+    return got / got.sum()
+
+
+def test_rare_domains_reach_their_targets(spark):
+    """Shares at which rates up to 4 are too few."""
+    rng = np.random.default_rng(6)
+    p = np.full((1200, 3), 0.0005)
+    of = np.where(np.arange(1200) < 1194, 0, np.where(np.arange(1200) < 1198, 1, 2))
+    p[np.arange(1200), of] = 0.999
+    t = rng.integers(50, 150, 1200).astype(float)
+    assert np.abs(_shares(spark, p, t, mixing.TARGETS) - mixing.TARGETS).max() < 5e-4
+
+
+def test_targets_beyond_any_rates_are_least_squares_and_reported(spark, odd_docs, no_labels):
+    unmet = {r["unmet"] for r in mixing.mix(odd_docs, no_labels).collect()}  # equal posteriors: no rates change the shares
+    assert len(unmet) == 1 and unmet.pop() > 0.1
+
+
+def test_the_pipeline_has_a_target_for_every_domain():
+    import corpus_pipeline
+
+    assert None not in corpus_pipeline.TARGETS and len(corpus_pipeline.TARGETS) == len(mixing.DOMAINS)
