@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing
-from quarry.llm.common import materialize, table
+from quarry.llm.common import materialize, numbered, table
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.jaccard_join import jaccard_join
 from quarry.llm.mixing import mix
@@ -39,8 +39,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    verdict = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, verdict.where("NOT contaminated"))
+    rows = numbered(docs, "_row", "rows")  # ids may be null or repeated
+    verdict = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="_row").where("NOT contaminated")
+    return rows.join(verdict.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

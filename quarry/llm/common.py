@@ -48,6 +48,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, label: str) -> DataFrame:
+    """df with a number of its own for each row in the column name; written out, so that the numbers are stable."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), label)
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings that hold for what runs inside."""

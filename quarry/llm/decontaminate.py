@@ -10,14 +10,14 @@ whose bound is not positive at Q are filtered by the shorter q-grams of SHORT_Q,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import textvec
-from quarry.llm.common import map_rows, table
+from quarry.llm.common import map_rows, numbered, table
 
 #: Characters (bytes) of a q-gram, most characters of a window, and the share of its characters that edits may change.
 Q, WINDOW, EDITS = 10, 120, 0.08
@@ -290,16 +290,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = None
-    for block in _blocks(benchmark):
-        part = map_rows(rows, _found, "id long, item_ids array<long>, edits array<int>, starts array<long>, ends array<long>", spark.sparkContext.broadcast(Index(block)))
-        out = part if out is None else out.unionByName(part)
-        several = out is not part
-    if out is None:
-        out, several = map_rows(rows, _found, "id long, item_ids array<long>, edits array<int>, starts array<long>, ends array<long>", spark.sparkContext.broadcast(Index([]))), False
-    if several:  # a row per block: one per document again
-        lists = ("item_ids", "edits", "starts", "ends")
-        out = out.groupBy("id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in lists])
+    schema = "id long, item_ids array<long>, edits array<int>, starts array<long>, ends array<long>"
+    blocks = _blocks(benchmark)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        out = map_rows(rows, _found, schema, spark.sparkContext.broadcast(Index(first)))
+    else:  # a row per block: one per numbered row again, with the best match of each item
+        rows = numbered(rows, "row", "numbered")
+        out = None
+        for block in chain([first, second], blocks):
+            part = map_rows(rows.select(F.col("row").alias("id"), "text"), _found, schema, spark.sparkContext.broadcast(Index(block)))
+            out = part if out is None else out.unionByName(part)
+        out = out.where("size(item_ids) > 0").groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("item_ids", "edits", "starts", "ends")))).alias("h"))
+        out = out.select(F.col("id").alias("row"), F.expr("filter(h, (x, i) -> i = 0 OR h[i - 1].item_ids <> x.item_ids)").alias("h"))
+        out = rows.select("row", "id").join(out, "row", "left")
+        empty = {c: F.array().cast(f"array<{t}>") for c, t in (("item_ids", "long"), ("edits", "int"), ("starts", "long"), ("ends", "long"))}
+        out = out.select("id", *[F.coalesce(F.col("h")[c], x).alias(c) for c, x in empty.items()])
     return out.select(F.col("id").alias(id_col), (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "edits", "starts", "ends")
 
 

@@ -104,3 +104,13 @@ def test_edited_copies_of_short_items():
         for k in range(e):
             b[(k + 1) * n // (e + 1)] = ord("0")
         assert [x[:2] for x in index.matches([b"before it " + bytes(b) + b" after it"])[0]] == [(5, e)]
+
+
+def test_rows_without_ids_and_repeated_ids_in_blocks(spark, monkeypatch):
+    items = [(k, f"passage number {k} of the benchmark with words {k * 7919} and {k * 104729} in it") for k in range(8)]
+    bench = spark.createDataFrame([*items, (0, "another text of " + "the item that is named zero as well " * 3)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, items[3][1]), (None, "clean"), (None, None), (5, items[0][1]), (5, "clean too"), (5, items[0][1])], "doc_id long, text string")
+    rows = lambda: sorted((str(r["doc_id"]), r["contaminated"], tuple(r["item_ids"]), tuple(r["edits"]), tuple(r["starts"]), tuple(r["ends"])) for r in D.decontaminate(docs, bench).collect())
+    whole = rows()
+    monkeypatch.setattr(D, "BLOCK_BYTES", 100)
+    assert len(whole) == 6 and rows() == whole and [x[1] for x in whole] == [False, True, True, False, False, True]

@@ -31,3 +31,10 @@ def test_odd_rows_pass_through(spark, odd_docs, no_docs):
         for _, stage in P.STAGES:
             rows = materialize(stage(spark, rows, d), "stage")
         assert rows.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_leaks_are_dropped_by_row(spark):
+    d = "/root/testdata/sf0.001"
+    leak = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(None, leak), (None, "clean"), (5, leak), (5, "clean too")], "doc_id long, text string")
+    assert sorted(r["text"] for r in P.drop_benchmark_leaks(spark, docs, d).collect()) == ["clean", "clean too"]
