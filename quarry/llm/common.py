@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.shipping import ensure_importable
 
@@ -115,6 +116,54 @@ def map_rows(df: DataFrame, f: Callable[..., Iterable[dict]], schema: str, *args
     return df.mapInArrow(run, schema)
 
 
+def annotate(docs: DataFrame, f: Callable[..., Iterable[dict]], schema: str, *args, text_col: str = "text") -> DataFrame:
+    """docs with the columns of schema, which f({"text": texts}, *args) yields for slices of about CHUNK_BYTES of texts.
+
+    The columns of docs get the names _c0, _c1, ... in their order, so that none of them can clash; plain() gives the names
+    back. Columns other than the text stay Arrow data.
+    """
+    ensure_importable(docs.sparkSession)
+    target, at = _arrow_schema(docs.sparkSession, schema), docs.columns.index(text_col)
+    renamed = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
+    kept = renamed.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, j in text_chunks(texts):
+                for out in f({"text": texts[i:j]}, *args):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *(_array(out[x.name], x.type) for x in target)], names=[*kept, *target.names])
+
+    return renamed.mapInArrow(run, StructType([*renamed.schema.fields, *_parsed(docs.sparkSession, schema).fields]))
+
+
+def plain(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns that rows has from docs by annotate(), under their own names."""
+    return rows.select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+def annotated(docs: DataFrame, column: str) -> Column:
+    """The column of docs among those of annotate()."""
+    return F.col(f"_c{docs.columns.index(column)}")
+
+
+def spread(rows: DataFrame, keys: list[str], sub: str, **aggregates: tuple[Callable, str | Column]) -> DataFrame:
+    """Aggregates (F.min, F.max or F.sum, and a column) by keys, repeated for each sub-key that the key's rows have.
+
+    Rows join it by the keys and sub, so a hot key's rows are dealt over its sub-keys both here and in the join.
+    """
+    subs = rows.groupBy(*keys, sub).agg(*[f(c).alias(name) for name, (f, c) in aggregates.items()])
+    whole = subs.groupBy(*keys).agg(*[f(name).alias(name) for name, (f, _) in aggregates.items()], F.collect_list(sub).alias(sub))
+    return whole.withColumn(sub, F.explode(sub))
+
+
+def lowest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The rows with the lowest hashes of key, most of them; a cut on the hash first keeps what partitions send small."""
+    share = min(1.0, (1.5 * most + 1000) / max(rows.count(), 1))
+    h = F.xxhash64(key)
+    return rows.where(F.shiftrightunsigned(h, 33) <= int(share * 2**31)).orderBy(F.shiftrightunsigned(h, 33), *rows.columns).limit(most)
+
+
 def to_batch(out: dict, target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_array(out[x.name], x.type) for x in target], schema=target)
 
@@ -132,4 +181,8 @@ def _array(values, kind: pa.DataType) -> pa.Array:
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(spark.createDataFrame([], ddl).schema)
+    return to_arrow_schema(_parsed(spark, ddl))
+
+
+def _parsed(spark: SparkSession, ddl: str) -> StructType:
+    return spark.createDataFrame([], ddl).schema

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import textvec
-from quarry.llm.common import map_rows, numbered, table
+from quarry.llm.common import annotate, annotated, numbered, table
 
 #: Characters (bytes) of a q-gram, most characters of a window, and the share of its characters that edits may change.
 Q, WINDOW, EDITS = 10, 120, 0.08
@@ -27,6 +27,8 @@ WORDS = 13
 SHORT_Q = 6
 #: Benchmark text that goes to the executors at a time; a larger benchmark is taken in blocks of this size.
 BLOCK_BYTES = 8 << 20
+#: Places of q-grams in items that are looked at together.
+POSTINGS = 2_000_000
 _BITS = 22
 _P = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F))
 
@@ -95,6 +97,8 @@ class Grams:
         self.gram = flat[order]
         self.of = np.repeat(used, counts)[order].astype(np.int32)
         self.at = textvec._ranges(counts)[order].astype(np.int32)
+        self.place = self.gram.astype(np.uint64) << np.uint64(32) | self.of.astype(np.uint64)  # sorted, as both are
+        self.items, self.longest = len(texts), int(self.at.max(initial=0)) + 1
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[flat >> np.uint32(32 - _BITS)] = True
 
@@ -130,15 +134,30 @@ class Grams:
             hit = hit[np.cumsum(marks[:-1]) > 0]
         return hit, grams[hit]
 
-    def _bands(self, grams: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
-        """(window, lowest diagonal, shared q-grams) of bands with enough of them, widened by the most edits at either side."""
-        lo, hi = np.searchsorted(self.gram, grams, "left"), np.searchsorted(self.gram, grams, "right")
+    def _bands(self, grams: np.ndarray, at: np.ndarray, first: int = 0, end: int | None = None) -> list[tuple[int, int, int]]:
+        """(window, lowest diagonal, shared q-grams) of bands with enough of them, widened by the most edits at either side.
+
+        Where q-grams have more than POSTINGS places, items first to end - 1 are taken in halves, and then the text is, so
+        that halves overlap by the length of a window.
+        """
+        end = self.items if end is None else end
+        wide = grams.astype(np.uint64) << np.uint64(32)
+        lo, hi = np.searchsorted(self.place, wide | np.uint64(first), "left"), np.searchsorted(self.place, wide | np.uint64(end), "left")
         n = hi - lo
         if n.sum() < self.least.min():
             return []
+        if n.sum() > POSTINGS:
+            if end - first > 1:
+                middle = (first + end) // 2
+                return self._bands(grams, at, first, middle) + self._bands(grams, at, middle, end)
+            reach = WINDOW + 2 * self.most
+            if at[-1] - at[0] > 4 * reach:
+                middle = (int(at[0]) + int(at[-1])) // 2
+                left, right = at < middle + reach, at >= middle - reach
+                return self._bands(grams[left], at[left], first, end) + self._bands(grams[right], at[right], first, end)
         place = np.repeat(lo, n) + textvec._ranges(n)
         of, inside = self.of[place].astype(np.int64), self.at[place].astype(np.int64)
-        longest = int(self.at.max()) + 1
+        longest = self.longest
         diagonal = np.repeat(at, n) - inside + longest  # of the item; not negative
         width = self.most + 1
         out: dict[tuple[int, int], int] = {}
@@ -167,7 +186,7 @@ class Grams:
 class Index:
     """Windows of benchmark items and the places of their q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
         texts, self.item, of, start, end = [], [], [], [], []
         for item, text in items:
             if b := textvec.normal(text):
@@ -213,7 +232,7 @@ class Index:
             for (d, w, _), best in zip(part, align([self.window[w] for w in ws], [texts[d] for d, _, _ in part], [low for _, _, low in part], spread, self.edits[ws]), strict=True):
                 if best is not None:
                     keep(d, self.item[w], best)
-        return [[(item, *x) for item, x in sorted(f.items())] for f in found]
+        return [[(item, *x) for item, x in sorted(f.items(), key=lambda y: (y[0] is not None, y[0] or 0))] for f in found]
 
 
 def align(windows: list[bytes], texts: list[bytes], lows: list[int], spread: int, most: np.ndarray) -> list[tuple[int, int, int] | None]:
@@ -257,10 +276,10 @@ def align(windows: list[bytes], texts: list[bytes], lows: list[int], spread: int
     return best
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     """Items in blocks of BLOCK_BYTES; the driver holds one at a time."""
     block, size = [], 0
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text IS NOT NULL").distinct().orderBy("item_id", "text")
     for row in items.toLocalIterator():
         if block and size + len(row[1]) > BLOCK_BYTES:
             yield block
@@ -271,12 +290,34 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+EMPTY = "CAST(array() AS array<struct<item_ids:bigint,edits:int,starts:bigint,ends:bigint>>)"
+_HITS = "item_ids array<long>, edits array<int>, starts array<long>, ends array<long>"
+
+
 def _found(cols: dict, index) -> Iterator[dict]:
     hits = index.value.matches([textvec.normal(t) for t in cols["text"]])
-    yield {
-        "id": cols["id"], "item_ids": [[x[0] for x in h] for h in hits], "edits": [[x[1] for x in h] for h in hits],
-        "starts": [[x[2] for x in h] for h in hits], "ends": [[x[3] for x in h] for h in hits],
-    }
+    yield {"item_ids": [[x[0] for x in h] for h in hits], "edits": [[x[1] for x in h] for h in hits], "starts": [[x[2] for x in h] for h in hits], "ends": [[x[3] for x in h] for h in hits]}
+
+
+def decontaminate_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The columns of docs, as annotate() names them, with contaminated, item_ids, edits, starts and ends of decontaminate()."""
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        out = annotate(docs, _found, _HITS, spark.sparkContext.broadcast(Index(first)), text_col=text_col)
+    else:  # a pass for each block over numbered rows, then the matches of each row together
+        rows = numbered(docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))]), "_row", "numbered")
+        texts, found = rows.select("_row", annotated(docs, text_col).alias("text")), None
+        for block in chain([first, second], blocks):
+            part = annotate(texts, _found, _HITS, spark.sparkContext.broadcast(Index(block)))
+            part = part.where("size(item_ids) > 0").select(F.col("_c0").alias("_row"), F.arrays_zip("item_ids", "edits", "starts", "ends").alias("h"))
+            found = part if found is None else found.unionByName(part)
+        found = found.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("h"))).alias("h"))
+        best = "filter(h, (x, i) -> i = 0 OR NOT h[i - 1].item_ids <=> x.item_ids)"
+        out = rows.join(found, "_row", "left").drop("_row").withColumn("h", F.coalesce(F.expr(best), F.expr(EMPTY)))
+        out = out.select("*", *[F.col("h")[c].alias(c) for c in ("item_ids", "edits", "starts", "ends")]).drop("h")
+    return out.withColumn("contaminated", F.size("item_ids") > 0)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,29 +325,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Texts are compared as lower-cased words with single spaces, and starts and ends are bytes of that form. A document is
     contaminated if a window (WORDS words, WINDOW characters at most; a shorter item is one) of an item lies in it with at
-    most EDITS of its characters edited. Items shorter than a q-gram must occur exactly, as whole words; items without words and null items
-    match nothing. Null and empty texts are clean. Null ids and repeated rows count as rows of their own. An empty table
-    gives no rows, an empty benchmark only clean ones; other columns are ignored.
+    most EDITS of its characters edited. Items shorter than a q-gram must occur exactly, as whole words; items without
+    words match nothing. Items with a null item_id match as the others do, and count as one item. Null and empty texts are
+    clean. Null ids and repeated rows count as rows of their own. An empty table gives no rows, an empty benchmark only
+    clean ones; other columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, item_ids array<long>, edits array<int>, starts array<long>, ends array<long>"
-    blocks = _blocks(benchmark)
-    first, second = next(blocks, []), next(blocks, None)
-    if second is None:
-        out = map_rows(rows, _found, schema, spark.sparkContext.broadcast(Index(first)))
-    else:  # a row per block: one per numbered row again, with the best match of each item
-        rows = numbered(rows, "row", "numbered")
-        out = None
-        for block in chain([first, second], blocks):
-            part = map_rows(rows.select(F.col("row").alias("id"), "text"), _found, schema, spark.sparkContext.broadcast(Index(block)))
-            out = part if out is None else out.unionByName(part)
-        out = out.where("size(item_ids) > 0").groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("item_ids", "edits", "starts", "ends")))).alias("h"))
-        out = out.select(F.col("id").alias("row"), F.expr("filter(h, (x, i) -> i = 0 OR h[i - 1].item_ids <> x.item_ids)").alias("h"))
-        out = rows.select("row", "id").join(out, "row", "left")
-        empty = {c: F.array().cast(f"array<{t}>") for c, t in (("item_ids", "long"), ("edits", "int"), ("starts", "long"), ("ends", "long"))}
-        out = out.select("id", *[F.coalesce(F.col("h")[c], x).alias(c) for c, x in empty.items()])
-    return out.select(F.col("id").alias(id_col), (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "edits", "starts", "ends")
+    return decontaminate_rows(rows, benchmark).select(F.col("_c0").alias(id_col), "contaminated", "item_ids", "edits", "starts", "ends")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

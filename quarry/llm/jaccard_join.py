@@ -1,9 +1,10 @@
 """N-gram Jaccard join: MinHash buckets give candidates, a Bayesian test drops most, exact set sizes decide the rest.
 
-Texts with the same words are one class member. Members that share a bucket are connected, and the pairs of a connected
-set are compared block by block: MinHash values in steps, dropping a pair once the posterior probability that its
-similarity reaches the threshold is below the tolerance; pairs that remain are verified on their whole shingle sets.
-Pairs never leave a task: it returns each member's number of links and a spanning forest of them.
+Texts with the same words are one node. A bucket belongs to the least node that any of its nodes shares a bucket with, and
+a node goes once to each owner of its buckets; there all pairs are compared, block by block for an owner of many nodes:
+MinHash values in steps, dropping a pair once the posterior probability that its similarity reaches the threshold is below
+the tolerance; pairs that remain are verified on their whole shingle sets. A pair with several common owners counts at the
+least of them. Pairs never leave a task: it returns each node's number of links and a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import textvec
-from quarry.llm.common import map_rows, materialize, salt, settings, table
+from quarry.llm.common import annotate, annotated, materialize, salt, settings, spread, table
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Buckets: a pair of similarity 0.8 shares none of them with probability (1 - 0.8^5)^32 = 3e-6.
@@ -28,14 +29,15 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
-#: Members of a block; the pairs of two blocks are compared in one group.
-BLOCK = 256
+#: Nodes and bytes of text of a block, about; the pairs of two blocks are compared in one group.
+BLOCK, BLOCK_BYTES = 128, 16 << 20
 _CELLS = 4_000_000
 #: A Bloom filter of the candidates' ids, 8 MB at most by Spark's default bound, is applied to the texts before a shuffle.
 PRUNE = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100g",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 _rng = np.random.default_rng(5)
 _XOR, _MUL = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32), _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -116,29 +118,36 @@ def _signed(cols: dict) -> Iterator[dict]:
     flat, offsets = textvec.shingles(*textvec.word_hashes(normals), WORDS)
     sig = bands(minhash(flat, offsets))
     some = np.diff(offsets) > 0
-    yield {"id": cols["id"], "key": [hashlib.md5(b).digest() for b in normals], "bands": [x if s else [] for x, s in zip(sig.tolist(), some, strict=True)]}
+    yield {"key": [hashlib.md5(b).digest() for b in normals], "bands": [x if s else [] for x, s in zip(sig.tolist(), some, strict=True)]}
+
+
+def _here(owners: list[list[int]], owner: int) -> np.ndarray:
+    """Which pairs of nodes count at owner: those of which it is the least common owner."""
+    names: dict[tuple, int] = {}
+    of = np.array([names.setdefault(tuple(x), len(names)) for x in owners])
+    sets = [{y for y in x if y < owner} for x in names]
+    free = np.array([[not (a & b) for b in sets] for a in sets])
+    return free[of][:, of]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups (part, i, j) of blocks i and j: the links between members of the two, or within one if i = j."""
-    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("weight", pa.int64()), ("near", pa.int64())])
+    """Groups (owner, i, j) of blocks i and j: the links between nodes of the two, or within one if i = j."""
+    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("weight", pa.int64()), ("near", pa.int64())])
     for rows in _groups(batches):
-        once = np.unique(rows["id"], return_index=True)[1]  # a repeated row counts once
-        rows = {c: [v[k] for k in once] for c, v in rows.items()}
         block = np.array(rows["block"])
         flat, offsets = textvec.shingles(*textvec.word_hashes([textvec.normal(t) for t in rows["text"]]), WORDS)
         sets = [np.unique(flat[x:y]) for x, y in zip(offsets, offsets[1:], strict=False)]
-        sig = minhash(flat, offsets)
+        sig, here = minhash(flat, offsets), _here(rows["owners"], rows["owner"][0])
         one = rows["i"][0] == rows["j"][0]
         left, right = np.flatnonzero(block == rows["i"][0]), np.flatnonzero(block == rows["j"][0])
-        ids, weights = np.array(rows["id"]), np.array(rows["copies"])
-        links, weight, parent = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), list(range(len(ids)))
+        nodes, weights = np.array(rows["node"]), np.array(rows["copies"])
+        links, weight, parent = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), list(range(len(nodes)))
         for x in range(0, len(left), BLOCK):  # a block can hold somewhat more than BLOCK
             for y in range(0, len(right), BLOCK):
                 if one and y < x:
                     continue
                 p, q = left[x : x + BLOCK], right[y : y + BLOCK]
-                wanted = candidates(sig[p], sig[q])
+                wanted = candidates(sig[p], sig[q]) & here[np.ix_(p, q)]
                 if one and x == y:
                     wanted &= np.triu(np.ones_like(wanted), 1)
                 found = linked([sets[k] for k in p], [sets[k] for k in q], wanted)
@@ -152,7 +161,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if u != v:
                             parent[max(u, v)] = min(u, v)
         some = np.flatnonzero(links)
-        yield pa.RecordBatch.from_pydict({"id": ids[some], "links": links[some], "weight": weight[some], "near": [ids[_root(parent, int(k))] for k in some]}, schema=schema)
+        yield pa.RecordBatch.from_pydict({"node": nodes[some], "links": links[some], "weight": weight[some], "near": [nodes[_root(parent, int(k))] for k in some]}, schema=schema)
 
 
 def _root(parent: list[int], k: int) -> int:
@@ -166,7 +175,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     key, held = None, {}
     for batch in batches:
         cols = batch.to_pydict()
-        for k, now in enumerate(zip(cols["part"], cols["i"], cols["j"], strict=True)):
+        for k, now in enumerate(zip(cols["owner"], cols["i"], cols["j"], strict=True)):
             if now != key:
                 if held:
                     yield held
@@ -205,43 +214,64 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.join(edges.select(F.col("a").alias("id"), F.col("b").alias("part")), "id", "left").select("id", F.coalesce("part", "id").alias("part"))
 
 
+def _owned(hashed: DataFrame) -> DataFrame:
+    """(node, sub, owners) of the nodes (node, sub, band, h) that share a bucket (band, h) with others."""
+    bucket = ["band", "h", "sub"]
+    shared = spread(hashed, bucket[:2], "sub", least=(F.min, "node"), n=(F.sum, F.lit(1))).where("n > 1").drop("n")
+    hits = materialize(hashed.join(shared, bucket), "hits")
+    hits = hits.join(hits.groupBy("node").agg(F.min("least").alias("label")), "node")
+    owners = hits.join(spread(hits, bucket[:2], "sub", owner=(F.min, "label")), bucket)
+    return owners.groupBy("node", "sub").agg(F.sort_array(F.collect_set("owner")).alias("owners"))
+
+
+def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of docs, as annotate() names them, with class_id, n_links, n_text_links, n_copies and kept of jaccard_join()."""
+    width = len(docs.columns)
+    rows = docs.toDF(*[f"_c{k}" for k in range(width)]).withColumn("row", F.monotonically_increasing_id())
+    signed = annotate(rows, _signed, "key binary, bands array<long>", text_col=f"_c{docs.columns.index(text_col)}")
+    signed = signed.withColumnRenamed(f"_c{width}", "row").withColumn("id", annotated(docs, id_col).cast("long"))
+    signed = materialize(signed.withColumn("lead", F.expr("struct(id IS NULL AS none, id, row)")), "signed")  # written, so row numbers are stable
+    text = annotated(docs, text_col)
+    dealt = signed.withColumn("sub", salt("row")).withColumn("size", F.octet_length(text))
+    subs = dealt.groupBy("key", "sub").agg(F.min("lead").alias("lead"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.max("size").alias("size"))
+    texts = subs.groupBy("key").agg(F.min("lead").alias("lead"), F.sum("n").alias("copies"), F.collect_list("sub").alias("subs"), F.first("bands").alias("bands"), F.max("size").alias("size"))
+    texts = materialize(texts.withColumn("node", F.col("lead.row")), "texts")
+    hashed = materialize(texts.select("node", salt("node").alias("sub"), F.posexplode("bands").alias("band", "h")), "hashed")
+    owned = _owned(hashed).join(texts.select("node", "size", "copies"), "node")
+    asked = materialize(owned.withColumn("owner", F.explode("owners")), "asked")
+    sizes = spread(asked, ["owner"], "sub", n=(F.sum, F.lit(1)), bytes=(F.sum, "size"))
+    asked = asked.join(sizes, ["owner", "sub"]).withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int"))
+    asked = materialize(asked.select("owner", "owners", "node", "copies", "blocks", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("block")), "blocks")
+    full = signed.select(F.col("row").alias("node"), text.alias("text")).join(asked, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    pairs = full.select("owner", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "owners", "copies", "text")
+    grouped = pairs.repartition("owner", "i", "j").sortWithinPartitions("owner", "i", "j")
+    with settings(docs.sparkSession, PRUNE):  # only candidates' texts are shuffled
+        found = materialize(grouped.mapInArrow(_compare, "node long, links long, weight long, near long"), "links")
+    classes = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
+    of = texts.select("node", "lead", "copies", "subs", "key").join(counts, "node", "left").join(classes.select(F.col("id").alias("node"), "part"), "node", "left")
+    of = of.withColumn("part", F.coalesce("part", "node")).withColumn("deal", salt("node"))
+    of = materialize(of, "counted")
+    of = of.join(spread(of, ["part"], "deal", first=(F.min, "lead")), ["part", "deal"]).withColumn("sub", F.explode("subs"))
+    return dealt.select(*[f"_c{k}" for k in range(width)], "row", "key", "sub").join(of.drop("node", "lead", "subs", "deal", "part"), ["key", "sub"]).select(
+        *[f"_c{k}" for k in range(width)], F.col("first.id").alias("class_id"), (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("links", F.lit(0)).alias("n_text_links"), F.col("copies").alias("n_copies"), (F.col("row") == F.col("first.row")).alias("kept"),
+    )
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id, n_links, n_text_links, n_copies.
+    """One row per row of docs: doc_id, class_id, n_links, n_text_links, n_copies, kept.
 
     Texts are linked if the sets of their runs of WORDS words (of all words, if fewer) have a Jaccard similarity of
     THRESHOLD or more. A class is a set of documents connected by links; class_id is its least id. n_links: other rows
     linked to the row, n_text_links: texts of other words linked to its text, n_copies: rows with its words, itself among
-    them. Texts without words (null, empty, punctuation) are copies of one another and are linked to no others. A null id
-    is in the class of its text, but is never a class_id unless the class has no other. An empty table gives no rows;
-    other columns are ignored; repeated rows are copies.
+    them. kept: whether the row is the one of its class to stay, a row with the least id. Texts without words (null,
+    empty, punctuation) are copies of one another and are linked to no others. Links and classes go by rows: ids may be
+    null or repeated, with different texts too. A null id is never a class_id unless the class has no other. An empty
+    table gives no rows; other columns are ignored; repeated rows are copies.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(map_rows(rows, _signed, "id long, key binary, bands array<long>").withColumn("sub", salt("id")), "bands")
-    subs = signed.groupBy("key", "sub").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    texts = materialize(subs.groupBy("key").agg(F.min("rep").alias("rep"), F.sum("n").alias("copies"), F.collect_list("sub").alias("subs")), "texts")
-    spots = texts.select("key", F.explode("subs").alias("sub"), "rep", "copies")
-    named = signed.select("id", "key", "sub").join(spots, ["key", "sub"]).select("id", "rep", "copies")
-    members = signed.join(texts.where("rep IS NOT NULL").select("key", F.col("rep").alias("id")), ["key", "id"]).where("size(bands) > 0").dropDuplicates(["key", "id"])
-    hashed = materialize(members.select("id", F.posexplode("bands").alias("band", "h")), "hashed")
-    shared = hashed.groupBy("band", "h").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "h", "b")
-    parts = materialize(components(hashed.join(shared, ["band", "h"]).select(F.col("id").alias("a"), "b")), "parts")
-    blocks = parts.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    asked = parts.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    copies = texts.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "copies")
-    asked = materialize(asked.join(copies, "id"), "asked")
-    full = rows.join(asked.where("blocks > 0"), "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = full.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "text")
-    grouped = pairs.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
-    with settings(docs.sparkSession, PRUNE):  # only candidates' texts are shuffled
-        found = materialize(grouped.mapInArrow(_compare, "id long, links long, weight long, near long"), "links")
-    classes = components(found.select(F.col("id").alias("a"), F.col("near").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
-    of = counts.join(classes, "id", "full").select(F.col("id").alias("rep"), "links", "weight", "part")
-    near = texts.select("rep").where("rep IS NOT NULL").join(of, "rep")
-    return named.join(near, "rep", "left").select(
-        F.col("id").alias(id_col), F.coalesce("part", "rep").alias("class_id"), (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("links", F.lit(0)).alias("n_text_links"), F.col("copies").alias("n_copies"),
-    )
+    return jaccard_rows(rows, "id", "text").drop("_c1").withColumnRenamed("_c0", id_col)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

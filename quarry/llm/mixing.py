@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.llm import textvec
-from quarry.llm.common import map_rows, materialize, table, to_batch
+from quarry.llm.common import annotate, annotated, lowest_hashes, map_rows, materialize, table
 
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of the output's expected tokens by domain. The first domain keeps its tokens, the others are set by it.
@@ -26,6 +27,8 @@ MOST = np.inf
 #: Most labelled rows that the classifier is fitted on, those with the lowest hash of their id.
 SAMPLE = 8000
 BUCKETS = 1 << 18
+#: Words that the classifier sees: those in the most documents of the sample, three at least.
+CHOSEN = 1 << 15
 STEPS, RATE, RIDGE = 60, 0.3, 1e-5
 #: Gradient steps of the rates at most, and the largest residual, as a share of the total, at which they end.
 ROUNDS, ENOUGH = 100, 1e-4
@@ -68,10 +71,7 @@ def fit(dense: np.ndarray, words: np.ndarray, offsets: np.ndarray, y: np.ndarray
         return model
     of = np.repeat(np.arange(len(y)), np.diff(offsets))
     hot = np.eye(k, dtype=np.float64)[y]
-    seen = np.flatnonzero(np.bincount(words, minlength=BUCKETS) >= 3)  # rarer words only fit the sample
-    keep = np.isin(words, seen)
-    inner = np.searchsorted(seen, words[keep])
-    of = of[keep]
+    seen, inner = np.unique(words, return_inverse=True)
     sd, ss = np.full((257, k), 1e-8), np.full((len(seen), k), 1e-8)
     for _ in range(STEPS):
         g = (model.posteriors(dense, words, offsets) - hot) / len(y)
@@ -89,24 +89,43 @@ def _featured(cols: dict) -> Iterator[dict]:
     yield {"id": cols["id"], "y": cols["y"], "dense": dense, "words": [words[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)]}
 
 
+def _marked(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A bit for each chosen word in place of a row's words."""
+    for b in batches:
+        words = b.column("words")
+        of = np.repeat(np.arange(b.num_rows), np.array(words.value_lengths()))
+        flat = words.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(chosen, flat), max(len(chosen) - 1, 0))
+        bits = np.zeros((b.num_rows, len(chosen)), bool)
+        if len(chosen):
+            there = chosen[at] == flat
+            bits[of[there], at[there]] = True
+        yield pa.RecordBatch.from_arrays([b.column("y"), b.column("dense"), pa.array([x.tobytes() for x in np.packbits(bits, 1)], pa.binary())], names=["y", "dense", "bits"])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Domains:
-    """Fit on at most SAMPLE labelled documents: toxic ones, else those of low quality, else clean ones."""
-    known = (
-        labels.where("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)")
-        .select(F.col("doc_id").alias("id"), F.expr("CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END").alias("y"))
-        .orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE).dropDuplicates(["id"])
-    )
+    """Fit on at most SAMPLE labelled documents: toxic ones, else those of low quality, else clean ones.
+
+    The driver gets 257 numbers and a bit for each of the CHOSEN words from each of them, however long their texts are.
+    """
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)").select(F.col("doc_id").alias("id"), F.expr("CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END").alias("y"))
+    known = lowest_hashes(known, "id", SAMPLE).dropDuplicates(["id"])
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), "id").select("id", "y", "text")  # broadcast: SAMPLE rows at most
-    got = map_rows(rows, _featured, "id long, y int, dense array<float>, words array<int>").toArrow().sort_by("id")
-    words = got["words"].combine_chunks()
-    flat = words.flatten().to_numpy() if len(words) else np.zeros(0, np.int32)
-    offsets = np.concatenate([[0], np.cumsum(np.array(words.value_lengths()))]).astype(np.int64) if len(words) else np.zeros(1, np.int64)
-    return fit(np.array(got["dense"].to_pylist(), np.float32).reshape(-1, 257), flat, offsets, got["y"].to_numpy(), len(DOMAINS))
+    got = materialize(map_rows(rows, _featured, "id long, y int, dense array<float>, words array<int>"), "sample")
+    most = got.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "w").limit(CHOSEN).collect()
+    chosen = np.array(sorted(r["w"] for r in most), np.int32)
+    x = got.select("y", "dense", "words").mapInArrow(lambda batches: _marked(batches, chosen), "y int, dense array<float>, bits binary").toArrow()
+    y, packed = x["y"].to_numpy(), x["bits"].to_pylist()
+    order = np.array(sorted(range(len(y)), key=lambda k: (packed[k], y[k])), int)  # not the order in which tasks end
+    words = [chosen[np.flatnonzero(np.unpackbits(np.frombuffer(packed[k], np.uint8), count=len(chosen)))] for k in order]
+    offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    dense = np.array(x["dense"].to_pylist(), np.float32).reshape(-1, 257)
+    return fit(dense[order], np.concatenate([np.zeros(0, np.int32), *words]), offsets, y[order], len(DOMAINS))
 
 
 def _posteriors(cols: dict, model: Domains) -> Iterator[dict]:
     dense, words, offsets, counts = features(cols["text"])
-    yield {"id": cols["id"], "n_tokens": counts, "p": model.posteriors(dense, words, offsets)}
+    yield {"n_tokens": counts, "p": model.posteriors(dense, words, offsets)}
 
 
 def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -177,30 +196,35 @@ def _solve(members: DataFrame, targets: tuple[float | None, ...]) -> tuple[list[
     return steps, float(unmet)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float | None, ...] = TARGETS) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens (words), p_clean, p_low, p_toxic, rate, copies, unmet.
-
-    copies: rate rounded down or up by a hash of the id, so that its expectation is the rate. unmet: the largest residual
-    of a domain, as a share of all tokens of the mix; over ENOUGH where no
-    nonnegative rates meet the targets or ROUNDS were too few. A null text counts as
-    empty and has no tokens; its rate follows its posteriors all the same. Labels with nulls or of unknown documents are
-    passed over; without labels the posteriors are equal. Null ids and repeated rows count as rows of their own. An empty
-    table gives no rows; other columns are ignored.
-    """
+def mix_rows(docs: DataFrame, labels: DataFrame, targets: tuple[float | None, ...] = TARGETS) -> DataFrame:
+    """The columns of docs, as annotate() names them, with n_tokens, p, rate, copies and unmet of mix()."""
     k = len(DOMAINS)
     model = train(docs, labels)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    members = materialize(map_rows(rows, _posteriors, "id long, n_tokens long, p array<double>", model), "members")
+    members = materialize(annotate(docs, _posteriors, "n_tokens long, p array<double>", model), "members")
     steps, unmet = _solve(members, targets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b.column("p").flatten().to_numpy().reshape(-1, k)
-            yield to_batch({"id": b.column("id"), "n_tokens": b.column("n_tokens"), "p": p, "rate": rates(p, steps)}, pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("p", pa.list_(pa.float64())), ("rate", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(p, steps))], names=[*b.schema.names, "rate"])
+
+    rated = members.mapInArrow(run, StructType([*members.schema.fields, StructField("rate", DoubleType())]))
+    chance = F.pmod(F.xxhash64(annotated(docs, "doc_id"), annotated(docs, "text"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int")).withColumn("unmet", F.lit(unmet))
 
-    rated = members.mapInArrow(run, "id long, n_tokens long, p array<double>, rate double")
-    chance = F.pmod(F.xxhash64("id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return rated.select(F.col("id").alias("doc_id"), "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"), F.lit(unmet).alias("unmet"))
+
+def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float | None, ...] = TARGETS) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens (words), p_clean, p_low, p_toxic, rate, copies, unmet.
+
+    copies: rate rounded down or up by a hash of id and text, so that its expectation is the rate. unmet: the largest
+    residual of a domain, as a share of all tokens of the mix; over ENOUGH where no nonnegative rates meet the targets or
+    ROUNDS were too few. A null text counts as empty and has no tokens; its rate follows its posteriors all the same.
+    Labels with nulls or of unknown documents are passed over; without labels the posteriors are equal. Null ids and
+    repeated rows count as rows of their own. An empty table gives no rows; other columns are ignored.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = mix_rows(rows, labels, targets)
+    return found.select(F.col("_c0").alias("doc_id"), "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies", "unmet")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
