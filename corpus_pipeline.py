@@ -10,45 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing
-from quarry.llm.common import materialize, numbered, table
-from quarry.llm.decontaminate import decontaminate
-from quarry.llm.jaccard_join import jaccard_join
-from quarry.llm.mixing import mix
-from quarry.llm.quality import classify
+from quarry.llm.common import materialize, plain, table
+from quarry.llm.decontaminate import decontaminate_rows
+from quarry.llm.jaccard_join import jaccard_rows
+from quarry.llm.mixing import mix_rows
+from quarry.llm.quality import classify_rows
 from quarry.llm.token_files import token_output
 
 #: Shares of clean, low and toxic documents in the mix: those of the operator, whatever the filters left of each.
 TARGETS = mixing.TARGETS
 
 
-def _only(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is among those of verdict; a null id is among them if verdict has one."""
-    return docs.join(verdict.select(F.col(id_col).alias("_id")).distinct(), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    verdict = classify(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, verdict.where("predicted = 1"))
+    return plain(classify_rows(docs, table(spark, sf_dir, "labels")).where("predicted = 1"), docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of the Jaccard join: the one with the least id; repeated rows stay together."""
-    return _only(docs, jaccard_join(docs).where("doc_id <=> class_id"))
+    """One row of each class of the Jaccard join: one with the least id."""
+    return plain(jaccard_rows(docs).where("kept"), docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    rows = numbered(docs, "_row", "rows")  # ids may be null or repeated
-    verdict = decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="_row").where("NOT contaminated")
-    return rows.join(verdict.select("_row"), "_row", "left_semi").select(*docs.columns)
+    return plain(decontaminate_rows(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated"), docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate, rounded by a hash of its id, says."""
-    copies = mix(docs, table(spark, sf_dir, "labels"), TARGETS).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    copies = copies.select(F.col("doc_id").alias("_id"), "_copies")
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+    """Each document as often as its rate, rounded by a hash of the document, says."""
+    return plain(mix_rows(docs, table(spark, sf_dir, "labels"), TARGETS).where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))), docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
