@@ -3,7 +3,8 @@
 File format: zstandard frames, one after the other, each of the ids of some whole documents as little-endian unsigned
 integers; then a skippable frame with the documents' index; then the seek table of the public zstandard seekable
 format, a skippable frame with each frame's compressed size, decompressed size and checksum (the low 32 bits of XXH64
-of the decompressed bytes), a count and a magic number. A reader takes the tail, then only the frames it needs.
+of the decompressed bytes), a count and a magic number. The index is the table's last frame, of decompressed size 0. A
+reader takes the tail, then only the frames it needs.
 """
 
 from __future__ import annotations
@@ -33,10 +34,13 @@ SKIPPABLE, SEEK_TABLE, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Bytes of ids in a frame, after which it ends at the next document.
 FRAME = 1 << 17
 LEVEL = 3
+#: Files whose starts are summed up in one task.
+FILES = 1024
 #: Ends each document.
 END_ID = 0
-#: Pieces in a generation of the encoder's memory. It holds two: when one is full, it replaces the one before.
-MEMORY = 500_000
+#: Bytes of a generation of the encoder's memory, for each lead. It holds two: when one is full, it replaces the one before.
+#: A piece counts as its characters and PIECE; one of over LONGEST characters is forgotten after the texts at hand.
+MEMORY, PIECE, LONGEST = 64 << 20, 200, 64
 # A word of Latin letters and the marks after it are matches of their own.
 _MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*#$%&|]+)")
 
@@ -46,7 +50,8 @@ class Encoder:
 
     A byte-level BPE tokenizer encodes each match of its pattern by itself, so a text's ids are those of its matches in
     order. Where no two white-space characters meet, no match crosses a line end or goes on after a blank: the text then
-    falls into words with their blanks, which repeat. Other texts are encoded whole.
+    falls into words with their blanks, which repeat. Other texts are encoded whole, as are those in which the string of
+    an added token occurs.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,16 +59,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((x.content for x in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # by the lead of a piece, '' or a blank: pieces of this generation and of the one before
         self.memory: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
+        self.size, self.long = {"": 0, " ": 0}, {"": set(), " ": set()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers of type self.kind."""
         for lead, (new, _) in self.memory.items():
-            if len(new) > MEMORY:
-                self.memory[lead] = {}, new
+            for p in self.long[lead]:
+                new.pop(p, None)
+            self.long[lead].clear()
+            if self.size[lead] > MEMORY:
+                self.memory[lead], self.size[lead] = ({}, new), 0
         lines = [self._lines(t) for t in texts]
         every = [line for x in lines if x is not None for line in x]
         words = self._learn("", {line[0] for line in every} | {"\n"})
@@ -75,16 +85,17 @@ class Encoder:
             for x in lines
         ]
 
-    @staticmethod
-    def _lines(text: str) -> list[list[str]] | None:
-        """Words of each line, if all white space is single blanks and line ends between words."""
+    def _lines(self, text: str) -> list[list[str]] | None:
+        """Words of each line, if all white space is single blanks and line ends between words, and no added token occurs."""
+        if self.added is not None and self.added.search(text):
+            return None
         lines = [line.split(" ") for line in text.split("\n")]
         return lines if list(chain.from_iterable(lines)) == text.split() else None
 
     def _learn(self, lead: str, pieces: set[str]) -> dict[str, bytes]:
         """This generation's memory of pieces with that lead, filled up for pieces."""
         new, old = self.memory[lead]
-        missing = []
+        before, missing = len(new), []
         for p in pieces:
             if p not in new:
                 if (ids := old.get(p)) is None:
@@ -98,6 +109,10 @@ class Encoder:
             new.update((p, new[m[1]] + tails[m[2]]) for p, m in marked.items())
             missing = [p for p in missing if p not in new]
         new.update(zip(missing, self._ids([lead + p for p in missing]), strict=True))
+        if len(new) > before:
+            fresh = [p for p in pieces if len(p) > LONGEST]
+            self.long[lead].update(fresh)
+            self.size[lead] += (len(new) - before - len(fresh)) * (PIECE + LONGEST)
         return new
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -132,8 +147,9 @@ def write_frames(out, documents: Iterable[tuple[int | None, bytes]], kind: np.dt
     index = struct.pack("<IQ", kind.itemsize, len(ids)) + np.array(ids, "<i8").tobytes() + np.array(lengths, "<u8").tobytes() + np.array(frames, "<u4").tobytes()
     index = press.compress(index)
     out.write(struct.pack("<II", SKIPPABLE, len(index)) + index)
+    table_rows.append(struct.pack("<III", len(index) + 8, 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
     entries = b"".join(table_rows)
-    out.write(struct.pack("<II", SEEK_TABLE, len(entries) + 17) + entries + struct.pack("<QIBI", len(index), len(table_rows), 0x80, SEEK_END))
+    out.write(struct.pack("<II", SEEK_TABLE, len(entries) + 9) + entries + struct.pack("<IBI", len(table_rows), 0x80, SEEK_END))
     return len(ids), int(sum(lengths))
 
 
@@ -143,11 +159,11 @@ class TokenFile:
     def __init__(self, source) -> None:
         self.source = source
         end = source.seek(0, 2)
-        tail = self._at(end - 17, 17)
-        index_size, frames, flags, magic = struct.unpack("<QIBI", tail)
-        if magic != SEEK_END or flags != 0x80:
+        frames, flags, magic = struct.unpack("<IBI", self._at(end - 9, 9))
+        if magic != SEEK_END or flags != 0x80 or not frames:
             raise ValueError("no seek table at the end of the file")
-        entries = np.frombuffer(self._at(end - 17 - 12 * frames, 12 * frames), "<u4").reshape(-1, 3)
+        entries = np.frombuffer(self._at(end - 9 - 12 * frames, 12 * frames), "<u4").reshape(-1, 3)
+        index_size, entries = int(entries[-1, 0]) - 8, entries[:-1]
         self.sizes, self.raw_sizes, self.sums = entries[:, 0].astype(np.int64), entries[:, 1].astype(np.int64), entries[:, 2]
         self.starts = np.cumsum(self.sizes) - self.sizes
         raw = zstandard.ZstdDecompressor().decompress(self._at(int(self.sizes.sum()) + 8, index_size))
@@ -232,10 +248,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             n_docs, n_tokens = write_frames(out, documents(first), encoder.kind)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_tokens": [n_tokens]}, schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", F.crc32(F.col("text").cast("binary")))
+    # the row's place in the table deals out many rows with the same id
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange("id", "row").sortWithinPartitions("id", "row").select("id", "text")
     files = materialize(rows.mapInArrow(run, "part int, path string, n_docs long, n_tokens long"), "manifest")
-    before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row per file
-    return files.withColumn("start", F.coalesce(before, F.lit(0)))
+    files = files.withColumn("block", F.floor(F.col("part") / FILES))
+    sums = files.groupBy("block").agg(F.sum("n_tokens").alias("n"))
+    before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("block", before("n", Window.orderBy("block")).alias("base"))  # a row per FILES files
+    within = files.withColumn("within", before("n_tokens", Window.partitionBy("block").orderBy("part")))
+    return within.join(sums, "block").withColumn("start", F.col("base") + F.col("within")).drop("block", "base", "within")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -264,8 +286,8 @@ def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write docs as token files under the shared folder and read them back: doc_id, start, n_tokens, ids_crc32.
 
     A null text counts as empty; each document ends with id 0. Null ids come first, and rows with the same id follow each
-    other by their text's CRC. Strings of special tokens are ordinary text. An empty table writes no file and gives no
-    rows; other columns are ignored.
+    other as in the table. Where the string of an added token occurs, the tokenizer gives that token's id. An empty table
+    writes no file and gives no rows; other columns are ignored.
     """
     return read_token_files(write_token_files(docs, fresh_path(docs.sparkSession, "tokens"), tokenizer))
 
