@@ -8,7 +8,6 @@ smallest that suffices.
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,39 +21,96 @@ SHARDS = 24
 #: Pallets that a shard is divided into; what the driver packs is at most about twice this times the shards, and one
 #: partly filled pallet for each of PACKERS tasks.
 PALLETS = 1024
-PACKERS = 512
+PACKERS = 8192
 
 
 class SizeTree:
-    """Bins in the order of remaining capacity, in leaves of at most 2 * WIDTH; the tree's top is a sorted list of firsts."""
+    """Bins in the order of (remaining capacity, number): a binary tree balanced by levels.
 
-    WIDTH = 256
+    A left child is one level below its parent, a right child at most as high, a right grandchild lower; so the height is
+    at most twice the logarithm of the number of bins. Node 0 is the empty tree.
+    """
 
     def __init__(self) -> None:
-        self.leaves: list[list[tuple[int, int]]] = [[]]
-        self.firsts: list[tuple[int, int]] = [(-1, -1)]
-
-    def _leaf(self, key: tuple[int, int]) -> int:
-        return max(0, bisect_left(self.firsts, (key[0], key[1] + 1)) - 1)
+        self.key: list[tuple[int, int]] = [(-1, -1)]
+        self.left, self.right, self.level, self.free = [0], [0], [0], []
+        self.root = 0
 
     def add(self, key: tuple[int, int]) -> None:
-        k = self._leaf(key)
-        leaf = self.leaves[k]
-        insort(leaf, key)
-        if len(leaf) > 2 * self.WIDTH:
-            self.leaves[k : k + 1] = [leaf[: self.WIDTH], leaf[self.WIDTH :]]
-            self.firsts.insert(k + 1, leaf[self.WIDTH])
+        self.root = self._add(self.root, key)
 
     def pop_tightest(self, size: int) -> tuple[int, int] | None:
         """Take out the bin with the least remaining capacity that is size at least."""
-        for k in range(self._leaf((size, -1)), len(self.leaves)):
-            leaf = self.leaves[k]
-            if (i := bisect_left(leaf, (size, -1))) < len(leaf):
-                key = leaf.pop(i)
-                if not leaf and len(self.leaves) > 1 and k:
-                    del self.leaves[k], self.firsts[k]
-                return key
-        return None
+        t, found, want = self.root, None, (size, -1)
+        while t:
+            if self.key[t] >= want:
+                found, t = self.key[t], self.left[t]
+            else:
+                t = self.right[t]
+        if found is not None:
+            self.root = self._remove(self.root, found)
+        return found
+
+    def _skew(self, t: int) -> int:
+        """Turn a left child of the same level to the top."""
+        x = self.left[t]
+        if not x or self.level[x] != self.level[t]:
+            return t
+        self.left[t], self.right[x] = self.right[x], t
+        return x
+
+    def _split(self, t: int) -> int:
+        """Raise the middle of three nodes of one level in a row."""
+        x = self.right[t]
+        if not x or self.level[self.right[x]] != self.level[t]:
+            return t
+        self.right[t], self.left[x] = self.left[x], t
+        self.level[x] += 1
+        return x
+
+    def _add(self, t: int, key: tuple[int, int]) -> int:
+        if not t:
+            if self.free:
+                t = self.free.pop()
+                self.key[t], self.left[t], self.right[t], self.level[t] = key, 0, 0, 1
+                return t
+            for column, v in ((self.key, key), (self.left, 0), (self.right, 0), (self.level, 1)):
+                column.append(v)
+            return len(self.key) - 1
+        if key < self.key[t]:
+            self.left[t] = self._add(self.left[t], key)
+        else:
+            self.right[t] = self._add(self.right[t], key)
+        return self._split(self._skew(t))
+
+    def _remove(self, t: int, key: tuple[int, int]) -> int:
+        if key < self.key[t]:
+            self.left[t] = self._remove(self.left[t], key)
+        elif key > self.key[t]:
+            self.right[t] = self._remove(self.right[t], key)
+        elif not self.left[t]:
+            self.free.append(t)
+            return self.right[t]
+        else:  # the greatest of the left takes its place
+            x = self.left[t]
+            while self.right[x]:
+                x = self.right[x]
+            self.key[t] = self.key[x]
+            self.left[t] = self._remove(self.left[t], self.key[x])
+        low = min(self.level[self.left[t]], self.level[self.right[t]]) + 1
+        if low < self.level[t]:
+            self.level[t] = low
+            if self.right[t] and self.level[self.right[t]] > low:
+                self.level[self.right[t]] = low
+        t = self._skew(t)
+        if r := self.right[t]:
+            self.right[t] = r = self._skew(r)
+            if self.right[r]:
+                self.right[r] = self._skew(self.right[r])
+        t = self._split(t)
+        if self.right[t]:
+            self.right[t] = self._split(self.right[t])
+        return t
 
 
 class Packer:
@@ -131,16 +187,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = materialize(
-        docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.unhex(F.md5(text.cast("binary"))).alias("key"), salt(F.col(id_col)).alias("sub")),
+        docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.unhex(F.md5(text.cast("binary"))).alias("key"), F.monotonically_increasing_id().alias("row")),
         "sizes",
-    )
+    ).withColumn("sub", salt("row"))  # by row, as ids may be null or repeated
     subs = rows.groupBy("key", "size", "sub").agg(F.count("*").alias("n"))
     groups = materialize(subs.groupBy("key", "size").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("sub", "n"))).alias("subs")).withColumn("bytes", F.col("size") * F.col("n")), "groups")
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     pallet = max(1, total // (shards * PALLETS))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a task's pallets stay open over its batches, so one of them at most is less than half full
+        # groups come by falling size; pallets stay open over the batches, so one of them at most is less than half full
         packer, tag, rows_in = Packer(pallet), uuid.uuid4().hex, {}
         for batch in batches:
             base, bins = [], packer.add(batch.column("bytes").to_pylist())
@@ -149,7 +205,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
                 rows_in[b] = base[-1] + n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f"{tag}-{b}" for b in bins]), pa.array(base, pa.int64())], names=[*batch.schema.names, "pallet", "base"])
 
-    packed = groups.coalesce(PACKERS).mapInArrow(fill, "key binary, size long, n long, subs array<struct<sub:int,n:long>>, bytes long, pallet string, base long")
+    packed = groups.coalesce(PACKERS).sortWithinPartitions(F.desc("bytes"), "key", "size").mapInArrow(fill, "key binary, size long, n long, subs array<struct<sub:int,n:long>>, bytes long, pallet string, base long")
     packed = materialize(packed, "pallets")
     # bounded: all pallets but one of each task are half full at least
     loads = packed.groupBy("pallet").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).orderBy(F.desc("bytes"), F.desc("n"), "pallet").collect()
@@ -163,7 +219,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         packed.join(where, "pallet").select("key", "size", "shard", (F.col("start") + F.col("base")).alias("start"), F.explode("subs").alias("part"))
         .select("key", "size", F.col("part.sub").alias("sub"), "shard", (F.col("start") + F.coalesce(before, F.lit(0))).alias("start"))
     )
-    nth = F.row_number().over(Window.partitionBy("key", "size", "sub").orderBy("id")) - 1
+    nth = F.row_number().over(Window.partitionBy("key", "size", "sub").orderBy("id", "row")) - 1
     return rows.join(spots, ["key", "size", "sub"]).select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("start") + nth).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

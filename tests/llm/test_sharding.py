@@ -20,6 +20,43 @@ def test_tree_finds_the_tightest_bin():
             tree.add(bins[-1])
 
 
+def test_tree_stays_balanced():
+    tree = sharding.SizeTree()
+    for i in range(4000):
+        tree.add((i, i))
+    for size in range(0, 1500):
+        tree.pop_tightest(size)
+
+    def height(t):
+        return 1 + max(height(tree.left[t]), height(tree.right[t])) if t else 0
+
+    assert height(tree.root) <= 2 * 12 and len(tree.key) == 4001
+    for i in range(1000):
+        tree.add((9, i))
+    assert len(tree.key) == 4001
+
+
+def test_whole_result_against_packing_all_groups_at_once(spark, monkeypatch):
+    """With pallets smaller than any group the driver packs the groups themselves."""
+    monkeypatch.setattr(sharding, "PALLETS", 10**9)
+    rng = random.Random(5)
+    docs = [(i if i % 5 else None, rng.choice("abcdefgh") * rng.choice([0, 3, 40, 200, 500 + i % 50])) for i in range(700)]
+    rows = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), 7).collect()
+    sizes = {}
+    for _, t in docs:
+        sizes[t] = sizes.get(t, 0) + len(t) + 8
+    order = sorted(sizes.values(), reverse=True)
+    want = sharding._loads(order, sharding.pack_evenly(order, 7), 7)
+    got = [0] * 7
+    for r in rows:
+        got[r["shard"]] += r["size"]
+    assert sorted(got) == sorted(want) and len(rows) == 700
+    by = {}
+    for r in rows:
+        by.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert all(len(x) == 1 for x in by.values())
+
+
 def test_best_fit_decreasing_against_brute_force():
     rng = random.Random(2)
     for _ in range(50):
