@@ -5,6 +5,9 @@ import gzip
 import hashlib
 import io
 import os
+import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -20,7 +23,12 @@ from quarry.llm import warc as W
     ("<table><tr><th>Name<th>N<tr><td>ab<td>1</table>", "Name | N\nab   | 1"), ("<table><tr><td rowspan=2>r<td>2<tr><td>3</table>", "r | 2\n  | 3"),
     ("<pre>  a\n   b</pre>", "  a\n   b"), ("1 < 2 > 0", "1 < 2 > 0"), ("<!-- x --><p>y<!-- z", "y"), ("</p>a</div>", "a"),
     ("<blockquote><p>q</blockquote>r", "> q\n\nr"), ("<h1>H<p>t", "H\n\nt"), ("<dl><dt>k<dd>v</dl>", "k\n    v"), ("<td>loose</td>", "loose"),
-    ("<img alt='pic'> <input value=no> <textarea>t\nu</textarea>", "pic t\nu"),
+    ("<img alt='pic'> <input value=yes> <textarea>t\nu</textarea>", "pic yes t\nu"), ("<input type=submit value=Go><input type=hidden value=no><button>Ok</button>", "Go Ok"),
+    ("<pre>\na\n\n\nb</pre>", "a\n\n\nb"), ("a<br><br><br>b", "a\n\n\nb"), ("<p>a</p><div><p>b</p></div>", "a\n\nb"),
+    ("x <svg><title>no</title><g/><text x=1>lab<tspan>el</tspan></text><path d=1>no</path><foreignObject><p>in</p></foreignObject></svg>", "x label\n\nin"),
+    ("<math><mi>a</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math>", "a+1"), ("<map><p>m</p><area alt=x></map>", "m"),
+    ("<object data=x>no</object><object>yes</object>", "yes"), ("<a href=\"x y='\">q</a><b \">r</b>", "qr"), ("a<b", "a"), ("<p title=\"a>b\">c", "c"),
+    ("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>", "ab |   | c\n1  | 2 | 3"), ("<table><tr><td rowspan=0>r<td>2<tr><td>3<tr><td>4</table>", "r | 2\n  | 3\n  | 4"),
 ])
 def test_render(source, want):
     assert H.render(source).strip("\n") == want
@@ -31,15 +39,60 @@ def test_deep_and_broken_markup_is_repaired():
     assert H.render("<table><tr><td><table><tr><td>in</table></table>out").split() == ["in", "out"]
 
 
-def test_all_visible_words_stay(spark, sf):
-    import re
+@pytest.mark.parametrize("tag", ["div", "b", "blockquote", "ul><li", "table><tr><td", "svg><g", "ol><li><p", "dl><dd"])
+def test_nesting_has_no_limit(tag):
+    n = 100_000 if tag.count("<") == 0 else 20_000
+    assert H.render(f"<{tag}>" * n + "<text>deep").split()[-1] == "deep"
 
-    for r in spark.read.parquet(f"{sf}/pages.parquet").limit(20).collect():
-        body = re.sub(r"(?is)<head.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->", "", r["html"])
-        import html
 
-        words = html.unescape(re.sub(r"(?s)<[a-zA-Z/!][^>]*>", " ", body)).replace("\xa0", " ").split()
-        assert [w for w in H.render(r["html"]).split() if w != "-"] == [w for w in words if w != "-"]
+def test_unclosed_and_wrong_tags_take_linear_time():
+    def seconds(n):
+        began = time.perf_counter()
+        assert H.render("<p><b>" * n + "x" + "</i></p>" * n + "<a \"" * n + "<!-" * n + "y").startswith("x")
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)
+
+
+class _Plain(HTMLParser):
+    """Words of visible elements in the order of the source, by the standard library's tokeniser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("head", "script", "style", "title"):
+            self.hidden += 1
+        elif tag in H.BLOCK | {"br", "td", "th"}:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in ("head", "script", "style", "title"):
+            self.hidden -= 1
+        elif tag in H.BLOCK:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(re.sub("[ \t\n\r\f]+", " ", data))
+
+    def lines(self):
+        return [re.sub(" +", " ", x).strip(" ") for x in "".join(self.parts).replace("\xa0", " ").split("\n") if x.strip(" ")]
+
+
+def test_the_query_against_a_plain_extractor(spark, sf):
+    """All pages: the same lines in the same order, but for list marks and empty lines."""
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = H.op5_html_text(spark, sf).collect()
+    assert {r["page_id"] for r in rows} == set(pages) and len(rows) == len(pages)
+    for r in rows:
+        plain = _Plain()
+        plain.feed(pages[r["page_id"]] or "")
+        got = [re.sub("^ *- ", "", x).replace("  ", " ").strip(" ") for x in r["text"].split("\n") if x.strip()]
+        assert got == [re.sub("^ *- ", "", x) for x in plain.lines()]
+        assert r["n_chars"] == len(r["text"]) and r["n_lines"] == len(r["text"].split("\n"))
 
 
 def test_extract_rows(spark):
