@@ -102,11 +102,10 @@ def _headers(raw: bytes) -> dict[str, str] | None:
 def records(source, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, headers, block) of the records of an open archive that start at start to end - 1."""
     source.seek(start)
-    data, base = source.read(end - start + len(MAGIC) - 1), start
+    data, base = bytearray(source.read(end - start + len(MAGIC) - 1)), start
 
     def member(at: int) -> tuple[bytes, int] | None:
         """The record at offset at and where it ends; None if there is none."""
-        nonlocal data
         press, out, k = zlib.decompressobj(31), [], at - base
         try:
             head = press.decompress(data[k : k + _HEAD], _HEAD)
@@ -121,7 +120,7 @@ def records(source, start: int, end: int) -> Iterator[tuple[int, dict[str, str],
                         more = source.read(_HEAD)
                         if not more:
                             return None
-                        data += more
+                        data.extend(more)
                     feed, k = data[k : k + _HEAD], min(k + _HEAD, len(data))
                 out.append(press.decompress(feed))
                 feed = press.unconsumed_tail
