@@ -2,8 +2,8 @@
 
 A classifier fitted on a labelled table gives each document posteriors over domains (soft membership). Nonnegative rates
 r then minimise the weighted squares of (sum of tokens * posterior * r - target) by projected gradient steps. A step of
-one document needs the residuals of the domains only, so a pass sums them up in parallel and rates are never stored:
-they are recomputed from the residuals of the steps so far.
+one document needs the residuals of the domains only, so a pass sums them up in parallel; rates are recomputed from the
+residuals of the last steps, and written out every few of them.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ CHOSEN = 1 << 15
 STEPS, RATE, RIDGE = 60, 0.3, 1e-5
 #: Gradient steps of the rates at most, and the largest residual, as a share of the total, at which they end.
 ROUNDS, ENOUGH = 100, 1e-4
+#: Steps that a pass repeats for each row before the rates so far are written out.
+REPLAYS = 10
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,36 +131,54 @@ def _posteriors(cols: dict, model: Domains) -> Iterator[dict]:
 
 
 def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps so far, from 1."""
-    return _walk(p, steps)[0]
+    """Rates after all steps, from 1."""
+    return _walk(p, steps, np.ones(len(p)), np.ones(len(p)), 0)[0]
 
 
-def _walk(p: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps so far, from 1, and the point ahead of them at which the next step is taken.
+def _walk(p: np.ndarray, steps: list[np.ndarray], r: np.ndarray, ahead: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rates r, and the point ahead of them at which the next step is taken, after steps that follow on done earlier ones.
 
     A step subtracts posterior * step and cuts off at 0; the point ahead goes on in the last step's direction
     (accelerated projected gradient).
     """
-    r = ahead = np.ones(len(p))
-    for k, s in enumerate(steps, 1):
+    for k, s in enumerate(steps, done + 1):
         last, r = r, np.clip(ahead - p @ s, 0, MOST)
         ahead = r + k / (k + 3) * (r - last)
     return r, ahead
 
 
-def _sums(members: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _columns(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """n_tokens, p, r and ahead of a batch."""
+    return b.column("n_tokens").to_numpy().astype(float), b.column("p").flatten().to_numpy().reshape(-1, k), b.column("r").to_numpy(), b.column("ahead").to_numpy()
+
+
+def _advanced(state: DataFrame, steps: list[np.ndarray], done: int, k: int) -> DataFrame:
+    """state after the steps, written out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, p, r, ahead = _columns(b, k)
+            r, ahead = _walk(p, steps, r, ahead, done)
+            yield pa.RecordBatch.from_arrays([b.column("n_tokens"), b.column("p"), pa.array(r), pa.array(ahead)], names=["n_tokens", "p", "r", "ahead"])
+
+    return materialize(state.mapInArrow(run, _STATE), "rates")
+
+
+_STATE = "n_tokens long, p array<double>, r double, ahead double"
+
+
+def _sums(state: DataFrame, steps: list[np.ndarray], done: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected tokens by domain at the present rates and at the point ahead, and second moments of the posteriors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, moments = np.zeros((2, k)), np.zeros((k, k))
         for b in batches:
-            t = b.column("n_tokens").to_numpy().astype(float)
-            p = b.column("p").flatten().to_numpy().reshape(-1, k)
-            totals += [(t * r) @ p for r in _walk(p, steps)]
+            t, p, r, ahead = _columns(b, k)
+            totals += [(t * x) @ p for x in _walk(p, steps, r, ahead, done)]
             moments += (p * t[:, None]).T @ p
         yield pa.RecordBatch.from_pydict({"v": [np.concatenate([totals.ravel(), moments.ravel()]).tolist()]}, schema=pa.schema([("v", pa.list_(pa.float64()))]))
 
-    parts = members.select("n_tokens", "p").mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    parts = state.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     v = np.zeros(2 * k + k * k)
     for row in parts:
         v[row["i"]] = row["x"]
@@ -182,15 +202,19 @@ def solve(members: DataFrame, targets: tuple[float | None, ...] = TARGETS) -> li
 def _solve(members: DataFrame, targets: tuple[float | None, ...]) -> tuple[list[np.ndarray], float]:
     """The steps, and the largest residual after them as a share of the total."""
     k = len(targets)
-    totals, ahead, moments = _sums(members, [], k)
+    state = members.select("n_tokens", "p", F.lit(1.0).alias("r"), F.lit(1.0).alias("ahead"))
+    totals, ahead, moments = _sums(state, [], 0, k)
     goal = _goal(totals, targets)
     scale = max(goal.sum(), 1)
     inverse = np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
     steps: list[np.ndarray] = []
+    done = 0
     while (unmet := np.abs(totals - goal).max() / scale) > ENOUGH and len(steps) < ROUNDS:
+        if len(steps) - done == REPLAYS:
+            state, done = _advanced(state, steps[done:], done, k), len(steps)
         steps.append(inverse @ (ahead - goal))
         last = totals
-        totals, ahead, _ = _sums(members, steps, k)
+        totals, ahead, _ = _sums(state, steps[done:], done, k)
         if max(np.abs(totals - last).max(), np.abs(ahead - last).max()) < 1e-9 * scale:
             break
     return steps, float(unmet)

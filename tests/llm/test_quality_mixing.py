@@ -27,6 +27,30 @@ def test_held_out_accuracy(spark):
     assert np.mean([a == b for a, b in held]) > 0.95
 
 
+def test_the_query_against_brute_force_scores(spark):
+    """op9 on a whole table: scores of a Bradley-Terry model that is fitted apart, by plain gradient descent, rank alike."""
+    d = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in quality.op9_quality(spark, d).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r["doc_id"] in texts and r["quality"] in (0, 1)}
+    assert set(rows) == set(texts)
+    learn = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 5)
+    x, y = quality.features([texts[i] for i in learn]).astype(float), np.array([labels[i] for i in learn])
+    every = quality.features([texts[i] for i in sorted(texts)]).astype(float)
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale < 1e-4] = np.inf
+    z = np.clip((x - mean) / scale, -8, 8)
+    good, bad, w = z[y == 1], z[y == 0], np.zeros(z.shape[1])
+    for _ in range(3000):  # the mean over all pairs, not over a sample of them
+        g = -1 / (1 + np.exp(np.clip((good @ w)[:, None] - (bad @ w)[None], -30, 30)))
+        w -= 0.5 * ((g.sum(1) @ good - g.sum(0) @ bad) / g.size + quality.RIDGE * w)
+    raw = np.clip((every - mean) / scale, -8, 8) @ w
+    cut = np.sort(z @ w)[len(bad) - 1 : len(bad) + 1].mean()
+    got = np.array([rows[i]["score"] for i in sorted(texts)])
+    assert np.corrcoef(np.argsort(np.argsort(raw)), np.argsort(np.argsort(got)))[0, 1] > 0.85  # one is fitted longer
+    assert np.mean((raw >= cut) == (got >= quality.CUT)) > 0.97
+
+
 def test_labels_of_the_held_out_fold_are_never_read(spark):
     docs = spark.createDataFrame([(i, f"{'GOOD' if i % 2 else 'bad'} text {i}") for i in range(200)], "doc_id long, text string")
     make = lambda flip: spark.createDataFrame([(i, (i % 2) ^ (flip and zlib.crc32(str(i).encode()) % 5 == 0)) for i in range(200)], "doc_id long, quality int")
@@ -63,14 +87,41 @@ def test_a_domain_without_a_target_keeps_its_tokens(spark):
     assert abs(got[1] / was[1] - 1) < 0.02 and abs(got[2] / got[0] - 0.01 / 0.99) < 1e-3 and abs(got[0] / was[0] - 1) < 1e-3
 
 
-def test_unreachable_targets_come_as_near_as_rates_can():
-    """Against projected gradient descent on all rates at once."""
-    p, t = np.array([[1.0, 0, 0], [0.9, 0.1, 0]]), np.array([10.0, 10.0])
-    moments = (p * t[:, None]).T @ p
-    inverse, goal, r = np.linalg.pinv(moments, rcond=1e-9, hermitian=True), np.array([19.0, 19.0, 0]), np.ones(2)
-    for _ in range(500):
-        r = np.clip(r - p @ (inverse @ ((t * r) @ p - goal)), 0, mixing.MOST)
-    assert (r <= mixing.MOST).all() and r[1] > r[0]
+def test_unreachable_targets_come_as_near_as_rates_can(spark):
+    """Against plain projected gradient descent with short steps on all rates at once, with the same weights of squares."""
+    p, t = np.array([[1.0, 0, 0], [0.9, 0.1, 0], [0.8, 0.1, 0.1], [0.9, 0.05, 0.05]]), np.array([10.0, 10.0, 30.0, 5.0])
+    goal = mixing._goal(t @ p, mixing.TARGETS)
+    inverse, r = np.linalg.pinv((p * t[:, None]).T @ p, rcond=1e-9, hermitian=True), np.ones(4)
+    for _ in range(20_000):
+        r = np.clip(r - 0.2 * p @ (inverse @ ((t * r) @ p - goal)), 0, None)
+    members = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(4)], "id long, n_tokens long, p array<double>")
+    got = mixing.rates(p, mixing.solve(members))
+    loss = lambda x: ((t * x) @ p - goal) @ inverse @ ((t * x) @ p - goal)
+    assert (got >= 0).all() and loss(got) < loss(r) + 1e-3 * loss(np.ones(4))
+
+
+def test_the_query_against_brute_force(spark):
+    """Posteriors of a softmax model, rates by replayed steps and copies of every row, computed apart; on whole tables."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = {r["doc_id"]: r for r in mixing.op3_mixing(spark, d).collect()}
+    model = mixing.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = sorted(texts)
+    p = np.empty((len(ids), 3))
+    for k, i in enumerate(ids):
+        dense, words, _, n = mixing.features([texts[i]])
+        z = dense[0].astype(float) @ model.dense + model.sparse[words].sum(0, dtype=float)
+        p[k] = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert rows[i]["n_tokens"] == n[0] and np.abs(p[k] - [rows[i][f"p_{x}"] for x in mixing.DOMAINS]).max() < 1e-4
+    t = np.array([rows[i]["n_tokens"] for i in ids], float)
+    r = np.array([rows[i]["rate"] for i in ids])
+    got = (t * r) @ p
+    goal = mixing._goal(t @ p, mixing.TARGETS)
+    assert np.abs(got - goal).max() / goal.sum() < mixing.ENOUGH + 1e-4 and rows[ids[0]]["unmet"] < mixing.ENOUGH
+    assert (r >= 0).all() and all(rows[i]["copies"] in (int(x), int(x) + 1) for i, x in zip(ids, r, strict=True))
+    known = {r["doc_id"]: 2 if r["toxic"] else int(r["quality"] == 0) for r in labels.collect() if r["doc_id"] in texts}
+    assert np.mean([p[ids.index(i)].argmax() == y for i, y in known.items()]) > 0.9
 
 
 def test_mixing_odd_rows(odd_docs, no_docs, labels, no_labels):
