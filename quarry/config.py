@@ -19,6 +19,8 @@ class Settings:
     mmr_lambda: float = 0.7
     margin: float = 0.05
     weak_top: float = 0.40
+    expand_below: float = 0.45
+    skip_rerank: float = 0.55
     pollution_variance: float = 0.02
     merge_chars: int = 2500
     dedup_jaccard: float = 0.85

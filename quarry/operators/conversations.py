@@ -49,6 +49,33 @@ def truncate_keep_errors(c: str | Column, limit: int, errors: int = 5) -> Column
     return F.when(F.length(t) <= limit, t).otherwise(cut)
 
 
+def rate(rows: DataFrame, ratings: DataFrame) -> DataFrame:
+    """rows (index, rating, …) with ratings (index, rating) of 1, 0 or -1 put in; others and unknown places are errors."""
+    wrong = ratings.where(~F.col("rating").isin(1, 0, -1)).select("index").union(ratings.join(rows.select("index"), "index", "left_anti").select("index")).limit(5).collect()
+    if wrong:
+        raise ValueError("cannot rate " + ", ".join(str(r["index"]) for r in wrong))
+    new = ratings.groupBy("index").agg(F.last("rating").alias("_r"))
+    return rows.join(new, "index", "left").withColumn("rating", F.coalesce("_r", "rating")).drop("_r")
+
+
+def formatted_context(refs: Column, snippets: Column, most: int = 5, chars: int = 500) -> Column:
+    """References (source, content) and snippets as one text, the first few of each."""
+    r = F.transform(F.slice(refs, 1, most), lambda x: F.concat(F.lit("["), x["source"], F.lit("] "), F.left(x["content"], F.lit(chars))))
+    return F.array_join(F.concat(r, F.slice(snippets, 1, most)), "\n")
+
+
+def enforce(usage: DataFrame) -> None:
+    """An error if a conversation of budget() is over the hard limit."""
+    over = usage.where("level = 'hard'").limit(5).collect()
+    if over:
+        raise ValueError("over the hard limit: " + ", ".join(str(r[0]) for r in over))
+
+
+def last_metrics(parts: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, metrics) of streamed parts: those of the last part that has any."""
+    return parts.where("metrics IS NOT NULL").groupBy(key).agg(F.max_by("metrics", order).alias("metrics"))
+
+
 def interaction_stats(rows: DataFrame) -> DataFrame:
     """One row: total, rated, unrated, and counts of ratings 1, 0 and -1."""
     n = lambda c: F.count(F.when(c, 1))

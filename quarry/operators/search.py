@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.functions import text, vectors
+from quarry.plans.bounded import blocks
 from quarry.plans.reuse import reuse
 from quarry.shipping import ensure_importable
 
@@ -37,10 +38,11 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tex
     terms = asked.select("term").distinct()
     tokens = docs.select(F.col(id_col).alias("id"), text.lexical_tokens(text_col).alias("tokens"))
     whole = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    postings = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    # what leaves the scan, computed once: postings of the terms asked for
+    postings = reuse(tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf")))
     idf = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avgdl")))
-    raw = postings.join(idf, "term").join(asked, "term").groupBy("query", "id").agg(F.sum(part).alias("raw"))
+    raw = reuse(postings.join(idf, "term").join(asked, "term").groupBy("query", "id").agg(F.sum(part).alias("raw")))
     top = raw.groupBy("query").agg(F.max("raw").alias("top"))
     return raw.join(top, "query").select("query", "id", F.round(F.col("raw") / F.col("top"), 6).alias("score")).where(F.col("score") >= s.bm25_floor)
 
@@ -67,6 +69,44 @@ def dense_scores(vecs: DataFrame, queries: DataFrame, id_col: str = "vec_id", ve
     return vecs.select(F.col(id_col).alias("id"), vectors.normalize(F.col(vec_col)).alias("v")).crossJoin(F.broadcast(q)).select("query", "id", F.round(vectors.dot(F.col("v"), F.col("qv")), 6).alias("score"))
 
 
+def dense_top(vecs: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query", query_vec: str = "qv", skip_self: bool = False) -> DataFrame:
+    """(query, id, score, rank): the k vectors of highest cosine for each query, ties by the smaller id; exact.
+
+    Queries are taken in blocks, each a matrix that goes to every task; a task multiplies its batches with it and sends on
+    its own k best of each query, so what is shuffled does not grow with the vectors but with the tasks.
+    """
+    import numpy as np
+
+    ensure_importable(vecs.sparkSession)
+    out = None
+    for block in blocks(queries.select(F.col(query_id).cast("long").alias("query"), vectors.normalize(F.col(query_vec)).alias("qv"))):
+        names = np.array([r["query"] for r in block])
+        matrix = np.array([r["qv"] for r in block], float)
+
+        def best(batches, names=names, matrix=matrix):
+            held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in names]
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                ids = pdf["id"].to_numpy()
+                v = np.stack([np.asarray(x, float) for x in pdf["v"]])
+                norms = np.sqrt((v * v).sum(1))
+                scores = np.round(matrix @ (v / np.where(norms == 0, 1, norms)[:, None]).T, 6) + 0.0
+                for q, row in enumerate(scores):
+                    s, i = np.concatenate([held[q][0], row]), np.concatenate([held[q][1], ids])
+                    if skip_self:
+                        s, i = s[i != names[q]], i[i != names[q]]
+                    top = np.lexsort((i, -s))[:k]
+                    held[q] = s[top], i[top]
+            yield pd.DataFrame({"query": np.repeat(names, [len(s) for s, _ in held]), "id": np.concatenate([i for _, i in held]), "score": np.concatenate([s for s, _ in held])})
+
+        part = vecs.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInPandas(best, "query long, id long, score double")
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = vecs.sparkSession.createDataFrame([], "query long, id long, score double")
+    return top_k(out, k)
+
+
 def rrf(left: DataFrame, right: DataFrame, first_rank: int = 0, k: int = DEFAULT.rrf_k) -> DataFrame:
     """Reciprocal rank fusion of (query, id, rank from 1); first_rank: the rank that the best row counts as."""
     a = left.select("query", "id", F.col("rank").alias("ra"))
@@ -77,15 +117,111 @@ def rrf(left: DataFrame, right: DataFrame, first_rank: int = 0, k: int = DEFAULT
 
 
 def merge_expansion(base: DataFrame, variant: DataFrame, weight: float = DEFAULT.expansion_weight) -> DataFrame:
-    """Scores of base and an expanded query: rrf adds, retrieval and gate take the larger, the variant's scaled; bm25 unscaled."""
-    v = variant.select("id", *[F.col(c).alias(f"v_{c}") for c in ("rrf", "retrieval", "gate", "bm25")])
+    """Scores (query, id, rrf, retrieval, gate, bm25) of base and of expanded queries (several rows of a query and id add up).
+
+    rrf adds, retrieval and gate take the larger, the variant's scaled; bm25 takes the larger unscaled.
+    """
+    each = variant.groupBy("query", "id").agg(F.sum("rrf").alias("v_rrf"), *[F.max(c).alias(f"v_{c}") for c in ("retrieval", "gate", "bm25")])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return base.join(v, "id", "full_outer").select(
-        "id", F.round(zero("rrf") + weight * zero("v_rrf"), 6).alias("rrf"), F.round(F.greatest(zero("retrieval"), weight * zero("v_retrieval")), 6).alias("retrieval"),
-        F.round(F.greatest(zero("gate"), weight * zero("v_gate")), 6).alias("gate"), F.round(F.greatest(zero("bm25"), zero("v_bm25")), 6).alias("bm25"),
+    return base.join(each, ["query", "id"], "full_outer").select(
+        "query", "id", F.round(zero("rrf") + weight * zero("v_rrf"), 9).alias("rrf"), F.round(F.greatest(zero("retrieval"), weight * zero("v_retrieval")), 9).alias("retrieval"),
+        F.round(F.greatest(zero("gate"), weight * zero("v_gate")), 9).alias("gate"), F.round(F.greatest(zero("bm25"), zero("v_bm25")), 9).alias("bm25"),
     )
 
 
+def matches(source: str | None = None, section: str | None = None, filters: dict[str, str | list[str]] | None = None) -> Column:
+    """Whether a chunk (source, type, section) meets all filters, letters of either case; a source also by its base name."""
+    wanted = dict(filters or {}) | {k: v for k, v in (("source", source), ("section", section)) if v not in (None, "")}
+    out = F.lit(True)
+    for key in ("source", "type", "section"):
+        values = wanted.get(key)
+        if values in (None, "", []):
+            continue
+        lower = [v.lower() for v in ([values] if isinstance(values, str) else values)]
+        column = F.lower(F.coalesce(F.col(key), F.lit("")))
+        hit = column.isin(lower)
+        out = out & (hit | F.element_at(F.split(column, "/"), -1).isin(lower) if key == "source" else hit)
+    return out
+
+
+def numeric_evidence(question: Column, bm25: Column, haystack: Column) -> Column:
+    """A number question's literals occur in the chunk; without literals a leading lexical score has to do."""
+    asked = text.exact_literals(question)
+    found = F.when(F.size(asked) == 0, bm25 >= 0.75).otherwise(F.arrays_overlap(asked, text.exact_literals(F.lower(haystack))))
+    return F.coalesce((bm25 > 0) & text.is_numeric_question(question) & found, F.lit(False))
+
+
+def decision_signals(candidates: DataFrame, gate: str = "gate", order: str = "rrf", by_gate: bool = False) -> DataFrame:
+    """Per query the number of candidates and the gates g1, g2, g3, g5 by decision order.
+
+    That is the order of candidates, or that of the gate itself where generated contexts could move the former.
+    """
+    w = Window.partitionBy("query").orderBy(F.desc(gate if by_gate else order), "id")
+    at = lambda k: F.max(F.when(F.col("_n") == k, F.col(gate))).alias(f"g{k}")
+    return candidates.withColumn("_n", F.row_number().over(w)).groupBy("query").agg(F.count("*").alias("n"), at(1), at(2), at(3), at(5))
+
+
+def should_expand(numeric: Column, n: Column, g1: Column) -> Column:
+    return ~numeric & ((F.coalesce(n, F.lit(0)) < 3) | (F.coalesce(g1, F.lit(0.0)) < DEFAULT.expand_below))
+
+
+def should_rerank(n: Column, g1: Column, g2: Column, g3: Column, g5: Column, strict: Column, always: bool = True) -> Column:
+    """The rules in order: the first that applies decides."""
+    risky = (n >= 2) & ((g1 - g2 < DEFAULT.margin) | (g1 < DEFAULT.weak_top))
+    clear = (g1 > 0.6) & (g1 - F.when(n > 4, g5).otherwise(0.0) > 0.1)
+    rules = F.when(n <= 1, False)
+    if always:
+        return rules.otherwise(True)
+    close = (n >= 3) & (g1 - g3 < 0.05)
+    return rules.when(~strict & (g1 >= DEFAULT.skip_rerank), False).when(strict | risky, True).when(clear, False).when(close, True).otherwise(g1 < 0.5)
+
+
+def control_pollution(chosen: DataFrame, weight: Column) -> DataFrame:
+    """(…, place): of a query at medium or high risk (column pollution) the chunks of enough gate, best weighted ones first, 4 or 3 of them."""
+    value = F.round(weight * F.col("gate"), 9)
+    most = F.when(F.col("pollution") == "high", 3).when(F.col("pollution") == "medium", 4).otherwise(5)
+    safe = chosen.where((F.col("pollution") == "low") | (F.col("gate") >= DEFAULT.threshold_strict))
+    return safe.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(value), "id"))).where(F.col("place") <= most)
+
+
+def best_of_members(members: DataFrame, scores: DataFrame) -> DataFrame:
+    """(query, merged, score): a merged chunk (merged, id) scores as the best of its members, never as their mean."""
+    return scores.join(members, "id").groupBy("query", "merged").agg(F.max("score").alias("score"))
+
+
+def fill_gate(candidates: DataFrame, dense: DataFrame | None, lexical: DataFrame | None) -> DataFrame:
+    """candidates (query, id, retrieval, bm25) with gate and gate_bm25 of content-only scores (query, id, score); their own where there are none."""
+    out = candidates
+    for name, own, scores in (("gate", "retrieval", dense), ("gate_bm25", "bm25", lexical)):
+        if scores is None:
+            out = out.withColumn(name, F.col(own))
+        else:
+            out = out.join(scores.select("query", "id", F.col("score").alias(name)), ["query", "id"], "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return out
+
+
+def variants(questions: DataFrame, rewrite: Callable[[str], list[str]], embed: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """(query, variant, question[, qv]): other wordings of questions from a provider, each once and unlike the question."""
+    ensure_importable(questions.sparkSession)
+    names = ["query", "variant", "question"] + (["qv"] if embed else [])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for q, asked in zip(pdf["query"], pdf["question"], strict=True):
+                fresh = [v for v in dict.fromkeys(x.strip() for x in rewrite(asked)) if v and v != asked]
+                vectors_ = embed(fresh) if embed and fresh else [None] * len(fresh)
+                rows += [(q, k, v, x) if embed else (q, k, v) for k, (v, x) in enumerate(zip(fresh, vectors_, strict=True), 1)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return questions.select("query", "question").mapInPandas(run, "query long, variant int, question string" + (", qv array<double>" if embed else ""))
+
+
+def kept_symbols(c: str | Column) -> Column:
+    """Upper-case symbols of a question, which an expansion has to keep."""
+    return F.array_distinct(text.all_matches(c, "[A-Z][A-Z0-9_]{2,}"))
+
+
 def source_weight(doc_type: Column) -> Column:
     out = None
     for t, w in DEFAULT.source_weights.items():

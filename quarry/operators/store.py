@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,17 +19,140 @@ def remove(store: DataFrame, key: str, values: DataFrame) -> DataFrame:
     return store.join(values.select(key).distinct(), key, "left_anti")
 
 
+#: Generations that a store may consist of before they are written as one.
+COMPACT = 16
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+    return True
+
+
+def _pointer(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """Number and generations of the newest pointer; (0, []) of a store that was never published."""
+    if exists(spark, f"{path}/pointers"):
+        row = spark.read.schema("number long, generations array<string>").json(f"{path}/pointers").orderBy(F.desc("number"), F.desc(F.array_join("generations", " "))).first()
+        if row is not None:
+            return row["number"], list(row["generations"])
+    if exists(spark, f"{path}/generations"):
+        raise ValueError(f"{path} has generations but no pointer to one; it is not taken for an empty store")
+    return 0, []
+
+
+def _switch(spark: SparkSession, path: str, generations: list[str], number: int) -> None:
+    # pointers are only ever added, each as one file that appears whole; a crash leaves the one before
+    spark.createDataFrame([(number, generations)], "number long, generations array<string>").coalesce(1).write.mode("append").json(f"{path}/pointers")
+
+
 def publish(df: DataFrame, path: str) -> str:
-    """Write a generation beside the others, then switch the pointer to it; readers see the old or the new one whole."""
+    """Write a generation beside the others, then add a pointer to it; readers see the old or the new one whole.
+
+    One writer at a time; a generation whose writer died before the pointer is never read.
+    """
+    number, _ = _pointer(df.sparkSession, path)
+    generation = f"{path}/generations/{uuid.uuid4().hex}"
+    df.write.parquet(generation)
+    _switch(df.sparkSession, path, [generation], number + 1)
+    return generation
+
+
+def publish_changes(df: DataFrame, path: str, key: str) -> str:
+    """Add a generation of rows that replace those of their keys; only df is written, until COMPACT generations are made one."""
     spark = df.sparkSession
-    generation = f"{path}/gen-{uuid.uuid4().hex}"
+    number, generations = _pointer(spark, path)
+    if len(generations) >= COMPACT:
+        return publish(upsert(current(spark, path, key), df, key), path)
+    generation = f"{path}/generations/{uuid.uuid4().hex}"
     df.write.parquet(generation)
-    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    _switch(spark, path, [*generations, generation], number + 1)
     return generation
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("generation string").json(f"{path}/current").first()[0])
+def current(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """The store's rows. Of several generations a key's rows are those of the last one that has it."""
+    generations = _pointer(spark, path)[1]
+    if not generations:
+        raise FileNotFoundError(f"nothing was published at {path}")
+    if len(generations) == 1:
+        return spark.read.parquet(generations[0])
+    if key is None:
+        raise ValueError(f"{path} has several generations; name the key")
+    rows = None
+    for k, generation in enumerate(generations):
+        part = spark.read.parquet(generation).withColumn("_g", F.lit(k))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    last = rows.groupBy(key).agg(F.max("_g").alias("_g"))
+    return rows.join(last, [key, "_g"], "left_semi").drop("_g")
+
+
+def load_strict(spark: SparkSession, path: str, key: str, rows: int | None = None) -> DataFrame:
+    """The store, or an error: a pointer, no null or repeated key, and as many rows as told."""
+    df = current(spark, path, key)
+    found = df.agg(F.count("*").alias("n"), F.countDistinct(key).alias("keys"), F.count(F.when(F.col(key).isNull(), 1)).alias("nulls")).first()
+    if found["nulls"] or found["keys"] != found["n"] or rows is not None and found["n"] != rows:
+        raise ValueError(f"{path}: {found['n']} rows, {found['keys']} keys, {found['nulls']} without one, {rows} expected")
+    return df
+
+
+def restore_vectors(chunks: DataFrame, vecs: DataFrame, schemas: list[str]) -> DataFrame:
+    """chunks (row_id, content) with vector of vecs (row_id, vector, content_md5, schema, generation); an error unless they fit.
+
+    Every chunk has one vector, made from this content under an accepted schema and in one generation, of one dimension.
+    """
+    j = chunks.join(vecs.select("row_id", "vector", "content_md5", "schema", "generation"), "row_id", "full_outer")
+    bad = F.col("content").isNull() | F.col("vector").isNull() | (F.md5(F.col("content").cast("binary")) != F.col("content_md5")) | ~F.col("schema").isin(schemas)
+    found = j.agg(F.count(F.when(bad, 1)).alias("bad"), F.countDistinct("generation").alias("generations"), F.countDistinct(F.size("vector")).alias("sizes"), F.count("*").alias("n"), F.countDistinct("row_id").alias("ids")).first()
+    if found["bad"] or found["generations"] > 1 or found["sizes"] > 1 or found["n"] != found["ids"]:
+        raise ValueError(f"chunks and vectors differ: {found.asDict()}")
+    return j.drop("content_md5", "schema", "generation")
+
+
+def aligned(index: DataFrame, symbols: DataFrame, fields: list[str]) -> DataFrame:
+    """One row: whether index and symbols agree in all fields at each place ord, and how many places do not."""
+    a, b = index.select("ord", F.struct(*fields).alias("a")), symbols.select("ord", F.struct(*fields).alias("b"))
+    differ = F.count(F.when(~F.col("a").eqNullSafe(F.col("b")), 1))
+    return a.join(b, "ord", "full_outer").agg(F.count("*").alias("places"), differ.alias("differ"), (differ == 0).alias("aligned"))
+
+
+def guard(store: DataFrame, expected: DataFrame, key: str, revision: str) -> None:
+    """Compare and set: an error if a key's newest revision is not the expected one (key, revision)."""
+    now = store.groupBy(key).agg(F.max(revision).alias("_now"))
+    moved = expected.join(now, key, "left").where(~F.col(revision).eqNullSafe(F.col("_now"))).limit(5).collect()
+    if moved:
+        raise ValueError("changed since: " + ", ".join(str(r[key]) for r in moved))
+
+
+def remember(spark: SparkSession, path: str, rows: DataFrame, model: str) -> None:
+    """Add vectors (md5, vector) of a model to a cache."""
+    rows.withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(path)
+
+
+def recall(spark: SparkSession, path: str, keys: DataFrame, model: str) -> DataFrame:
+    """(md5, vector) of keys (md5) that the cache has for the model; of several entries of a key one."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "md5 string, vector array<double>")
+    return spark.read.parquet(path).where(F.col("model") == model).join(keys.select("md5"), "md5", "left_semi").groupBy("md5").agg(F.first("vector").alias("vector"))
+
+
+def fingerprint(*parts: Column) -> Column:
+    """SHA-256 over named parts as canonical JSON."""
+    return F.sha2(F.to_json(F.struct(*parts)), 256)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add rows to a log of JSON lines: interactions, metrics, raw analyses."""
+    rows.write.mode("append").json(path)
+
+
+def status(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, sources, types, share with vectors in whole per cent."""
+    n = F.count("*")
+    return chunks.agg(n.alias("chunks"), F.countDistinct("source").alias("sources"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), F.floor(F.count("vector") * 100 / n).cast("long").alias("percent"))
 
 
 def content_digest(rows: DataFrame, group: str, order: list[str], text_col: str) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,27 +11,10 @@ from quarry import config
 from quarry.functions import code, text, vectors
 from quarry.operators import answer, context, conversations, evalm, figures, graph, ingest, search, store
 from quarry.plans import knowledge, samples
+from quarry.plans.registry import query, t
 from quarry.sources import readers
 from quarry.streaming import ingest as streaming
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -72,6 +53,12 @@ sc AS (SELECT query, vec_id AS id, label, qlabel, round({COS_SQL.format('embeddi
 den AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sc)"""
 
 
+def _top(spark: SparkSession, d: str, k: int, skip_self: bool = False) -> DataFrame:
+    """The k best of every vector for the query set: vectors whose id is divisible by 100."""
+    e = t(spark, d, "embeddings")
+    return search.dense_top(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")), k, skip_self=skip_self)
+
+
 def _dense(spark: SparkSession, d: str) -> DataFrame:
     """Every vector against the query set: vectors whose id is divisible by 100."""
     e = t(spark, d, "embeddings")
@@ -292,7 +279,7 @@ def keyword_overlap_topk(spark, d):
 
 @query(f"WITH {DENSE_SQL} SELECT query, id, score, rank::INT AS rank FROM den WHERE rank <= 10")
 def dense_topk(spark, d):
-    return search.top_k(_dense(spark, d), 10)
+    return _top(spark, d, 10)
 
 
 @query(f"WITH {DENSE_SQL} SELECT query, id, score FROM sc WHERE score >= 0.3")
@@ -318,25 +305,26 @@ def _rrf_sql(first: int) -> str:
 
 @query(f"WITH {DENSE_SQL}, {_LABELRANK} {_rrf_sql(0)}")
 def rrf_fusion(spark, d):
-    return search.rrf(search.top_k(_dense(spark, d), 20), _label_rank(spark, d))
+    return search.rrf(_top(spark, d, 20), _label_rank(spark, d))
 
 
 @query(f"WITH {DENSE_SQL}, {_LABELRANK} {_rrf_sql(1)}")
 def rrf_rank1_union(spark, d):
-    return search.rrf(search.top_k(_dense(spark, d), 20), _label_rank(spark, d), first_rank=1)
+    return search.rrf(_top(spark, d, 20), _label_rank(spark, d), first_rank=1)
 
 
-_SIG = "round(1 / (60 + rank - 1), 6) AS rrf, score AS retrieval, score AS gate, round(score / 2, 6) AS bm25"
+_SIG = "round(1 / (60 + rank - 1), 9) AS rrf, score AS retrieval, score AS gate, round(score / 2, 9) AS bm25"
 
 
 @query(f"""
-WITH {DENSE_SQL}, b AS (SELECT id, {_SIG} FROM den WHERE query = 0 AND rank <= 20), v AS (SELECT id, {_SIG} FROM den WHERE query = 100 AND rank <= 20)
-SELECT id, round(coalesce(b.rrf, 0) + 0.9 * coalesce(v.rrf, 0), 6) AS rrf, round(greatest(coalesce(b.retrieval, 0), 0.9 * coalesce(v.retrieval, 0)), 6) AS retrieval,
-round(greatest(coalesce(b.gate, 0), 0.9 * coalesce(v.gate, 0)), 6) AS gate, round(greatest(coalesce(b.bm25, 0), coalesce(v.bm25, 0)), 6) AS bm25 FROM b FULL JOIN v USING (id)""")
+WITH {DENSE_SQL}, b AS (SELECT query, id, {_SIG} FROM den WHERE rank <= 20), v AS (SELECT query - 100 AS query, id, {_SIG} FROM den WHERE rank <= 20)
+SELECT query, id, round(coalesce(b.rrf, 0) + 0.9 * coalesce(v.rrf, 0), 9) AS rrf, round(greatest(coalesce(b.retrieval, 0), 0.9 * coalesce(v.retrieval, 0)), 9) AS retrieval,
+round(greatest(coalesce(b.gate, 0), 0.9 * coalesce(v.gate, 0)), 9) AS gate, round(greatest(coalesce(b.bm25, 0), coalesce(v.bm25, 0)), 9) AS bm25 FROM b FULL JOIN v USING (query, id)""")
 def expansion_merge(spark, d):
-    top = search.top_k(_dense(spark, d), 20)
-    sig = lambda q: top.where(f"query = {q}").select("id", F.round(1 / (60 + F.col("rank") - 1), 6).alias("rrf"), F.col("score").alias("retrieval"), F.col("score").alias("gate"), F.round(F.col("score") / 2, 6).alias("bm25"))
-    return search.merge_expansion(sig(0), sig(100))
+    """The next query of the set stands for another wording of each query."""
+    top = _top(spark, d, 20)
+    sig = top.select("query", "id", F.round(1 / (60 + F.col("rank") - 1), 9).alias("rrf"), F.col("score").alias("retrieval"), F.col("score").alias("gate"), F.round(F.col("score") / 2, 9).alias("bm25"))
+    return search.merge_expansion(sig, sig.withColumn("query", F.col("query") - 100))
 
 
 _LABEL_TYPES = ["spec", "api", "manual", "warning", "guide", "faq", "doc", "web", "diagram", "chat"]
@@ -372,7 +360,7 @@ def pollution_risk(spark, d):
 
 @query(f"WITH {DENSE_SQL}, p AS (SELECT * FROM den WHERE rank <= 12) SELECT query, id, CASE WHEN hi = lo THEN 1.0 ELSE round((score - lo) / (hi - lo), 6) END AS relevance FROM (SELECT *, min(score) OVER (PARTITION BY query) AS lo, max(score) OVER (PARTITION BY query) AS hi FROM p)")
 def minmax_relevance(spark, d):
-    return search.min_max(search.top_k(_dense(spark, d), 12)).select("query", "id", "relevance")
+    return search.min_max(_top(spark, d, 12)).select("query", "id", "relevance")
 
 
 @query(f"""
@@ -385,7 +373,7 @@ three AS (SELECT * FROM r3 QUALIFY row_number() OVER (PARTITION BY query ORDER B
 SELECT query, id, 1 AS pick FROM one UNION ALL SELECT query, id, 2 FROM two UNION ALL SELECT query, id, 3 FROM three""")
 def mmr_select(spark, d):
     v = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), vectors.normalize(F.col("embedding")).alias("v"))
-    return search.mmr(search.top_k(_dense(spark, d), 12).join(v, "id"), 3)
+    return search.mmr(_top(spark, d, 12).join(v, "id"), 3)
 
 
 @query("SELECT count(*) AS vectors, count(DISTINCT len(embedding)) AS dimensions, count(*) FILTER (embedding IS NULL) AS missing, count(*) FILTER (len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) AS not_finite, count(*) FILTER (len(list_filter(embedding, lambda x: x <> 0)) = 0) AS zero FROM embeddings")
@@ -688,7 +676,7 @@ WITH {DENSE_SQL}, {_REL}, got AS (SELECT rel.query, count(*) FILTER (rank <= 10)
 ideal AS (SELECT query, sum((2 ** grade - 1) / log2(ir + 1)) AS idcg FROM (SELECT query, grade, row_number() OVER (PARTITION BY query ORDER BY grade DESC, id) AS ir FROM rel) WHERE ir <= 10 GROUP BY query)
 SELECT query, round(recall, 6) AS recall, round(rr, 6) AS rr, round(dcg / idcg, 6) AS ndcg FROM got JOIN ideal USING (query)""")
 def recall_mrr_ndcg(spark, d):
-    return evalm.ranking_metrics(search.top_k(_dense(spark, d), 20), _relevant(spark, d), 10)
+    return evalm.ranking_metrics(_top(spark, d, 20), _relevant(spark, d), 10)
 
 
 def _relevant(spark: SparkSession, d: str) -> DataFrame:

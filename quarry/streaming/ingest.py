@@ -16,14 +16,7 @@ def ingest_documents(spark: SparkSession, source: str, target: str, checkpoint:
     def batch(df: DataFrame, _: int) -> None:
         w = Window.partitionBy("doc_id").orderBy(F.desc("hash"))
         new = df.withColumn("hash", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-        try:
-            old = store.current(spark, target)
-        except Exception as e:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            store.publish(new, target)
-            return
-        store.publish(store.upsert(old, new, "doc_id"), target)
+        store.publish_changes(new, target, "doc_id")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quarry.plans import catalog, records  # noqa: F401  registers its queries
+from quarry.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,16 +35,16 @@ def _rows(df):
     return sorted((tuple(map(_plain, r)) for r in df.itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, duck, name):
-    got, want = catalog.QUERIES[name](spark, DATA).toPandas(), duck.execute(catalog.ORACLE_SQL[name]).fetch_df()
+    got, want = QUERIES[name](spark, DATA).toPandas(), duck.execute(ORACLE_SQL[name]).fetch_df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_without_sql_gives_rows(spark, name):
-    assert catalog.QUERIES[name](spark, DATA).count() > 0
+    assert QUERIES[name](spark, DATA).count() > 0
 
 
 def test_entry(spark):
