@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import textvec
-from quarry.llm.common import annotate, annotated, materialize, salt, settings, spread, table
+from quarry.llm.common import SALTS, annotate, annotated, materialize, salt, settings, spread, table
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: Buckets: a pair of similarity 0.8 shares none of them with probability (1 - 0.8^5)^32 = 3e-6.
@@ -30,7 +30,9 @@ HASHES = BANDS * ROWS
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
 #: Nodes and bytes of text of a block, about; the pairs of two blocks are compared in one group.
-BLOCK, BLOCK_BYTES = 128, 16 << 20
+BLOCK, BLOCK_BYTES = 256, 16 << 20
+#: A bucket is hot if it holds over this share of the texts; as each text is in BANDS buckets, BANDS / HOT are at most.
+HOT = 1e-3
 _CELLS = 4_000_000
 #: A Bloom filter of the candidates' ids, 8 MB at most by Spark's default bound, is applied to the texts before a shuffle.
 PRUNE = {
@@ -214,48 +216,61 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.join(edges.select(F.col("a").alias("id"), F.col("b").alias("part")), "id", "left").select("id", F.coalesce("part", "id").alias("part"))
 
 
-def _owned(hashed: DataFrame) -> DataFrame:
-    """(node, sub, owners) of the nodes (node, sub, band, h) that share a bucket (band, h) with others."""
-    bucket = ["band", "h", "sub"]
-    shared = spread(hashed, bucket[:2], "sub", least=(F.min, "node"), n=(F.sum, F.lit(1))).where("n > 1").drop("n")
-    hits = materialize(hashed.join(shared, bucket), "hits")
-    hits = hits.join(hits.groupBy("node").agg(F.min("least").alias("label")), "node")
-    owners = hits.join(spread(hits, bucket[:2], "sub", owner=(F.min, "label")), bucket)
-    return owners.groupBy("node", "sub").agg(F.sort_array(F.collect_set("owner")).alias("owners"))
+def _owned(hashed: DataFrame, texts: int) -> DataFrame:
+    """(node, owners) of the nodes (node, band, h) that share a bucket (band, h) with others; texts: number of nodes.
+
+    Least nodes of buckets are combined where the rows are; where rows meet their bucket's, hot ones are dealt over sub-keys.
+    """
+    shared = materialize(hashed.groupBy("band", "h").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"), "shared")
+    hot = F.broadcast(shared.where(F.col("n") > max(HOT * texts, 1000)).select("band", "h", F.lit(True).alias("hot")))  # BANDS / HOT rows at most
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(hot, ["band", "h"], "left").withColumn("sub", F.when(F.col("hot"), salt("node")).otherwise(0)).drop("hot")
+
+    def spread_out(buckets: DataFrame) -> DataFrame:
+        subs = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        return buckets.join(hot, ["band", "h"], "left").withColumn("sub", F.explode(subs)).drop("hot")
+
+    with settings(hashed.sparkSession, PRUNE):
+        hits = materialize(dealt(hashed).join(spread_out(shared.where("n > 1")).drop("n"), ["band", "h", "sub"]), "hits")
+    hits = materialize(hits.join(hits.groupBy("node").agg(F.min("least").alias("label")), "node"), "labels")
+    owners = hits.groupBy("band", "h").agg(F.min("label").alias("owner"))
+    owned = hits.join(spread_out(owners), ["band", "h", "sub"])
+    return owned.groupBy("node").agg(F.sort_array(F.collect_set("owner")).alias("owners"))
 
 
 def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs, as annotate() names them, with class_id, n_links, n_text_links, n_copies and kept of jaccard_join()."""
     width = len(docs.columns)
-    rows = docs.toDF(*[f"_c{k}" for k in range(width)]).withColumn("row", F.monotonically_increasing_id())
-    signed = annotate(rows, _signed, "key binary, bands array<long>", text_col=f"_c{docs.columns.index(text_col)}")
-    signed = signed.withColumnRenamed(f"_c{width}", "row").withColumn("id", annotated(docs, id_col).cast("long"))
-    signed = materialize(signed.withColumn("lead", F.expr("struct(id IS NULL AS none, id, row)")), "signed")  # written, so row numbers are stable
+    columns = [f"_c{k}" for k in range(width)]
+    rows = docs.toDF(*columns).withColumn("row", F.monotonically_increasing_id())
     text = annotated(docs, text_col)
-    dealt = signed.withColumn("sub", salt("row")).withColumn("size", F.octet_length(text))
-    subs = dealt.groupBy("key", "sub").agg(F.min("lead").alias("lead"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.max("size").alias("size"))
-    texts = subs.groupBy("key").agg(F.min("lead").alias("lead"), F.sum("n").alias("copies"), F.collect_list("sub").alias("subs"), F.first("bands").alias("bands"), F.max("size").alias("size"))
-    texts = materialize(texts.withColumn("node", F.col("lead.row")), "texts")
-    hashed = materialize(texts.select("node", salt("node").alias("sub"), F.posexplode("bands").alias("band", "h")), "hashed")
-    owned = _owned(hashed).join(texts.select("node", "size", "copies"), "node")
-    asked = materialize(owned.withColumn("owner", F.explode("owners")), "asked")
+    signed = annotate(rows, _signed, "key binary, bands array<long>", text_col=f"_c{docs.columns.index(text_col)}")
+    signed = materialize(signed.withColumnRenamed(f"_c{width}", "row").withColumn("id", annotated(docs, id_col).cast("long")), "signed")  # written, so row numbers are stable
+    dealt = signed.withColumn("sub", salt("row"))
+    subs = dealt.groupBy("key", "sub").agg(F.min("id").alias("id"), F.min("row").alias("node"), F.count("*").alias("n"))
+    texts = materialize(subs.groupBy("key").agg(F.min("id").alias("id"), F.min("node").alias("node"), F.sum("n").alias("copies"), F.collect_list("sub").alias("subs")), "texts")
+    nodes = materialize(signed.where("size(bands) > 0").select(F.col("row").alias("node"), "bands", F.octet_length(text).alias("size")).join(texts.select("node", "copies"), "node"), "nodes")
+    owned = _owned(nodes.select("node", F.posexplode("bands").alias("band", "h")), nodes.count()).join(nodes.select("node", "size", "copies"), "node")
+    asked = materialize(owned.withColumn("owner", F.explode("owners")).withColumn("sub", salt("node")), "asked")
     sizes = spread(asked, ["owner"], "sub", n=(F.sum, F.lit(1)), bytes=(F.sum, "size"))
     asked = asked.join(sizes, ["owner", "sub"]).withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int"))
     asked = materialize(asked.select("owner", "owners", "node", "copies", "blocks", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int").alias("block")), "blocks")
-    full = signed.select(F.col("row").alias("node"), text.alias("text")).join(asked, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = full.select("owner", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "owners", "copies", "text")
-    grouped = pairs.repartition("owner", "i", "j").sortWithinPartitions("owner", "i", "j")
     with settings(docs.sparkSession, PRUNE):  # only candidates' texts are shuffled
+        full = signed.select(F.col("row").alias("node"), text.alias("text")).join(asked.where("blocks > 0"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        pairs = full.select("owner", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "owners", "copies", "text")
+        # by range, as groups of blocks are few and alike in size, and a hash would put several of them in one task
+        grouped = pairs.repartitionByRange("owner", "i", "j").sortWithinPartitions("owner", "i", "j")
         found = materialize(grouped.mapInArrow(_compare, "node long, links long, weight long, near long"), "links")
     classes = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("weight").alias("weight"))
-    of = texts.select("node", "lead", "copies", "subs", "key").join(counts, "node", "left").join(classes.select(F.col("id").alias("node"), "part"), "node", "left")
-    of = of.withColumn("part", F.coalesce("part", "node")).withColumn("deal", salt("node"))
-    of = materialize(of, "counted")
-    of = of.join(spread(of, ["part"], "deal", first=(F.min, "lead")), ["part", "deal"]).withColumn("sub", F.explode("subs"))
-    return dealt.select(*[f"_c{k}" for k in range(width)], "row", "key", "sub").join(of.drop("node", "lead", "subs", "deal", "part"), ["key", "sub"]).select(
-        *[f"_c{k}" for k in range(width)], F.col("first.id").alias("class_id"), (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("links", F.lit(0)).alias("n_text_links"), F.col("copies").alias("n_copies"), (F.col("row") == F.col("first.row")).alias("kept"),
+    of = texts.join(counts, "node", "left").join(classes.select(F.col("id").alias("node"), "part"), "node", "left")
+    of = materialize(of.withColumn("part", F.coalesce("part", "node")).withColumn("deal", salt("node")), "counted")
+    classes = spread(of, ["part"], "deal", class_id=(F.min, "id"), first=(F.min, "node"))
+    of = of.drop("id").join(classes, ["part", "deal"]).withColumn("sub", F.explode("subs")).select("key", "sub", "class_id", "first", "links", "weight", "copies")
+    return dealt.select(*columns, "row", "key", "sub").join(of, ["key", "sub"]).select(
+        *columns, "class_id", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("links", F.lit(0)).alias("n_text_links"), F.col("copies").alias("n_copies"), (F.col("row") == F.col("first")).alias("kept"),
     )
 
 
@@ -265,7 +280,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are linked if the sets of their runs of WORDS words (of all words, if fewer) have a Jaccard similarity of
     THRESHOLD or more. A class is a set of documents connected by links; class_id is its least id. n_links: other rows
     linked to the row, n_text_links: texts of other words linked to its text, n_copies: rows with its words, itself among
-    them. kept: whether the row is the one of its class to stay, a row with the least id. Texts without words (null,
+    them. kept: whether the row is the one of its class to stay, the first in the table. Texts without words (null,
     empty, punctuation) are copies of one another and are linked to no others. Links and classes go by rows: ids may be
     null or repeated, with different texts too. A null id is never a class_id unless the class has no other. An empty
     table gives no rows; other columns are ignored; repeated rows are copies.

@@ -1,8 +1,9 @@
 """Mixing sources to target weights: document rates whose expected domain token totals meet targets.
 
 A classifier fitted on a labelled table gives each document posteriors over domains (soft membership). Nonnegative rates
-r then minimise the weighted squares of (sum of tokens * posterior * r - target) by projected gradient steps. A step of
-one document needs the residuals of the domains only, so a pass sums them up in parallel; rates are recomputed from the
+r then minimise the weighted squares of (sum of tokens * posterior * r - target) by projected gradient steps, which are in
+proportion to a document's tokens, so that few rows have to be repeated. A step of one document needs the residuals of the
+domains only, so a pass sums them up in parallel; rates are recomputed from the
 residuals of the last steps, and written out every few of them.
 """
 
@@ -130,26 +131,30 @@ def _posteriors(cols: dict, model: Domains) -> Iterator[dict]:
     yield {"n_tokens": counts, "p": model.posteriors(dense, words, offsets)}
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    """Rates after all steps, from 1."""
-    return _walk(p, steps, np.ones(len(p)), np.ones(len(p)), 0)[0]
+def rates(q: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """Rates after all steps, from 1; q: tokens times posteriors of each document."""
+    return _walk(q, steps, np.ones(len(q)), np.ones(len(q)), 0)[0]
 
 
-def _walk(p: np.ndarray, steps: list[np.ndarray], r: np.ndarray, ahead: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray]:
+def _walk(q: np.ndarray, steps: list[np.ndarray], r: np.ndarray, ahead: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray]:
     """Rates r, and the point ahead of them at which the next step is taken, after steps that follow on done earlier ones.
 
-    A step subtracts posterior * step and cuts off at 0; the point ahead goes on in the last step's direction
+    A step subtracts tokens * posterior * step, the squares' gradient, and cuts off at 0; the point ahead goes on in the last step's direction
     (accelerated projected gradient).
     """
     for k, s in enumerate(steps, done + 1):
-        last, r = r, np.clip(ahead - p @ s, 0, MOST)
+        last, r = r, np.clip(ahead - q @ s, 0, MOST)
         ahead = r + k / (k + 3) * (r - last)
     return r, ahead
 
 
 def _columns(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
-    """n_tokens, p, r and ahead of a batch."""
-    return b.column("n_tokens").to_numpy().astype(float), b.column("p").flatten().to_numpy().reshape(-1, k), b.column("r").to_numpy(), b.column("ahead").to_numpy()
+    """Tokens times posteriors, r and ahead of a batch."""
+    return _expected(b, k), b.column("r").to_numpy(), b.column("ahead").to_numpy()
+
+
+def _expected(b: pa.RecordBatch, k: int) -> np.ndarray:
+    return b.column("n_tokens").to_numpy().astype(float)[:, None] * b.column("p").flatten().to_numpy().reshape(-1, k)
 
 
 def _advanced(state: DataFrame, steps: list[np.ndarray], done: int, k: int) -> DataFrame:
@@ -157,8 +162,8 @@ def _advanced(state: DataFrame, steps: list[np.ndarray], done: int, k: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, p, r, ahead = _columns(b, k)
-            r, ahead = _walk(p, steps, r, ahead, done)
+            q, r, ahead = _columns(b, k)
+            r, ahead = _walk(q, steps, r, ahead, done)
             yield pa.RecordBatch.from_arrays([b.column("n_tokens"), b.column("p"), pa.array(r), pa.array(ahead)], names=["n_tokens", "p", "r", "ahead"])
 
     return materialize(state.mapInArrow(run, _STATE), "rates")
@@ -168,14 +173,14 @@ _STATE = "n_tokens long, p array<double>, r double, ahead double"
 
 
 def _sums(state: DataFrame, steps: list[np.ndarray], done: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected tokens by domain at the present rates and at the point ahead, and second moments of the posteriors."""
+    """Expected tokens by domain at the present rates and at the point ahead, and second moments of a document's expected tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, moments = np.zeros((2, k)), np.zeros((k, k))
         for b in batches:
-            t, p, r, ahead = _columns(b, k)
-            totals += [(t * x) @ p for x in _walk(p, steps, r, ahead, done)]
-            moments += (p * t[:, None]).T @ p
+            q, r, ahead = _columns(b, k)
+            totals += [x @ q for x in _walk(q, steps, r, ahead, done)]
+            moments += q.T @ q
         yield pa.RecordBatch.from_pydict({"v": [np.concatenate([totals.ravel(), moments.ravel()]).tolist()]}, schema=pa.schema([("v", pa.list_(pa.float64()))]))
 
     parts = state.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
@@ -229,8 +234,7 @@ def mix_rows(docs: DataFrame, labels: DataFrame, targets: tuple[float | None, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = b.column("p").flatten().to_numpy().reshape(-1, k)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(p, steps))], names=[*b.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(_expected(b, k), steps))], names=[*b.schema.names, "rate"])
 
     rated = members.mapInArrow(run, StructType([*members.schema.fields, StructField("rate", DoubleType())]))
     chance = F.pmod(F.xxhash64(annotated(docs, "doc_id"), annotated(docs, "text"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)

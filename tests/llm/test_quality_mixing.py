@@ -72,7 +72,7 @@ def test_rates_meet_targets(spark):
     t = rng.integers(1, 400, 500)
     members = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(500)], "id long, n_tokens long, p array<double>")
     steps = mixing.solve(members, (0.6, 0.3, 0.1))
-    r = mixing.rates(p, steps)
+    r = mixing.rates(t[:, None] * p, steps)
     share = (t * r) @ p / ((t * r) @ p).sum()
     assert (r >= 0).all() and np.abs(share - [0.6, 0.3, 0.1]).max() < 1e-3
 
@@ -82,7 +82,7 @@ def test_a_domain_without_a_target_keeps_its_tokens(spark):
     p = rng.dirichlet([3, 0.05, 0.3], 800)
     t = rng.integers(1, 400, 800)
     members = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(800)], "id long, n_tokens long, p array<double>")
-    r = mixing.rates(p, mixing.solve(members, (0.99, None, 0.01)))
+    r = mixing.rates(t[:, None] * p, mixing.solve(members, (0.99, None, 0.01)))
     got, was = (t * r) @ p, t @ p
     assert abs(got[1] / was[1] - 1) < 0.02 and abs(got[2] / got[0] - 0.01 / 0.99) < 1e-3 and abs(got[0] / was[0] - 1) < 1e-3
 
@@ -91,12 +91,13 @@ def test_unreachable_targets_come_as_near_as_rates_can(spark):
     """Against plain projected gradient descent with short steps on all rates at once, with the same weights of squares."""
     p, t = np.array([[1.0, 0, 0], [0.9, 0.1, 0], [0.8, 0.1, 0.1], [0.9, 0.05, 0.05]]), np.array([10.0, 10.0, 30.0, 5.0])
     goal = mixing._goal(t @ p, mixing.TARGETS)
-    inverse, r = np.linalg.pinv((p * t[:, None]).T @ p, rcond=1e-9, hermitian=True), np.ones(4)
+    q = t[:, None] * p
+    inverse, r = np.linalg.pinv(q.T @ q, rcond=1e-9, hermitian=True), np.ones(4)
     for _ in range(20_000):
-        r = np.clip(r - 0.2 * p @ (inverse @ ((t * r) @ p - goal)), 0, None)
+        r = np.clip(r - 0.2 * q @ (inverse @ (r @ q - goal)), 0, None)
     members = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(4)], "id long, n_tokens long, p array<double>")
-    got = mixing.rates(p, mixing.solve(members))
-    loss = lambda x: ((t * x) @ p - goal) @ inverse @ ((t * x) @ p - goal)
+    got = mixing.rates(q, mixing.solve(members))
+    loss = lambda x: (x @ q - goal) @ inverse @ (x @ q - goal)
     assert (got >= 0).all() and loss(got) < loss(r) + 1e-3 * loss(np.ones(4))
 
 
@@ -134,7 +135,7 @@ def test_mixing_odd_rows(odd_docs, no_docs, labels, no_labels):
 
 def _shares(spark, p, t, targets):
     members = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(len(t))], "id long, n_tokens long, p array<double>")
-    got = (t * mixing.rates(p, mixing.solve(members, targets))) @ p
+    got = (t * mixing.rates(t[:, None] * p, mixing.solve(members, targets))) @ p
     return got / got.sum()
 
 
