@@ -59,8 +59,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = sorted((x.content for x in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         # by the lead of a piece, '' or a blank: pieces of this generation and of the one before
         self.memory: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
@@ -87,8 +86,9 @@ class Encoder:
 
     def _lines(self, text: str) -> list[list[str]] | None:
         """Words of each line, if all white space is single blanks and line ends between words, and no added token occurs."""
-        if self.added is not None and self.added.search(text):
-            return None
+        for token in self.added:
+            if token in text:
+                return None
         lines = [line.split(" ") for line in text.split("\n")]
         return lines if list(chain.from_iterable(lines)) == text.split() else None
 
@@ -110,9 +110,8 @@ class Encoder:
             missing = [p for p in missing if p not in new]
         new.update(zip(missing, self._ids([lead + p for p in missing]), strict=True))
         if len(new) > before:
-            fresh = [p for p in pieces if len(p) > LONGEST]
-            self.long[lead].update(fresh)
-            self.size[lead] += (len(new) - before - len(fresh)) * (PIECE + LONGEST)
+            self.long[lead].update(p for p in chain(marked, missing) if len(p) > LONGEST)  # the generation before has none
+            self.size[lead] += (len(new) - before) * (PIECE + LONGEST)
         return new
 
     def _ids(self, texts: list[str]) -> list[bytes]:
