@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,8 @@ def cosine(a: Column, b: Column) -> Column:
 def normalize(a: Column) -> Column:
     n = norm(a)
     return F.transform(a, lambda x: F.when(n == 0, 0.0).otherwise(x.cast("double") / n))
+
+
+def means(rows: DataFrame, key: str, vec: str) -> DataFrame:
+    """(key, i, mean): the mean vector of each key, a row for each place."""
+    return rows.select(key, F.posexplode(vec).alias("i", "x")).groupBy(key, "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))

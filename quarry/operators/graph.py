@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -168,3 +168,235 @@ def update_graph(nodes: DataFrame, sites: DataFrame, new_files: DataFrame, chang
     n = nodes.join(gone, "path", "left_anti").unionByName(symbols(fresh))
     s = sites.join(gone, "path", "left_anti").unionByName(calls(fresh))
     return n, s, resolve_calls(n, s)
+
+
+# --- lookups over nodes (id, name, qualified_name, path, line) and edges (src, dst, type, target, confidence, ambiguity_group)
+
+
+def is_resolved() -> Column:
+    return F.col("dst").isNotNull() & F.col("ambiguity_group").isNull()
+
+
+def find_nodes(nodes: DataFrame, names: DataFrame, limit: int = 20) -> DataFrame:
+    """(asked, id, path, line): nodes whose name or qualified name is asked (asked), by path and line."""
+    by = nodes.select("id", "path", "line", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("asked"))
+    w = Window.partitionBy("asked").orderBy("path", "line", "id")
+    return by.join(names.select("asked").distinct(), "asked").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
+
+
+def suggest_names(nodes: DataFrame, part: str, limit: int = 5) -> DataFrame:
+    """(name): distinct names that contain part, in order."""
+    return nodes.where(F.contains("name", F.lit(part))).select("name").distinct().orderBy("name").limit(limit)
+
+
+def named_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with src_name, dst_name and resolved."""
+    name = lambda k: nodes.select(F.col("id").alias(k), F.col("name").alias(f"{k}_name"))
+    return edges.join(name("src"), "src", "left").join(name("dst"), "dst", "left").withColumn("resolved", is_resolved())
+
+
+def edges_of(edges: DataFrame, nodes: DataFrame, names: DataFrame, side: str) -> DataFrame:
+    """Call edges with asked, whose side (src: callees, dst: callers) is a node of a name asked for."""
+    hit = find_nodes(nodes, names, 1 << 30).select("asked", F.col("id").alias(side))
+    return edges.where("type = 'calls'").join(hit, side)
+
+
+def relations(edges: DataFrame, nodes: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
+    """(asked, direction, src, dst, line): edges out of a name's nodes, then edges into them, the first of both together."""
+    out = edges_of(edges, nodes, names, "src").select("asked", F.lit(0).alias("_d"), "src", "dst", "line", "target")
+    back = edges_of(edges, nodes, names, "dst").select("asked", F.lit(1).alias("_d"), "src", "dst", "line", "target")
+    w = Window.partitionBy("asked").orderBy("_d", "src", "dst", "line", "target")
+    rows = out.union(back).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
+    return rows.select("asked", F.when(F.col("_d") == 0, "out").otherwise("in").alias("direction"), "src", "dst", "line")
+
+
+def file_targets(edges: DataFrame) -> DataFrame:
+    """(src, targets): resolved includes and imports of each file, each once, in order."""
+    return edges.where(F.col("type").isin("includes", "imports") & is_resolved()).groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
+
+
+def file_neighbors(edges: DataFrame, start: DataFrame, hops: int = 1, limit: int = DEFAULT.node_limit) -> DataFrame:
+    """(seed, node, hop, truncated): files within hops over resolved includes, and whether the limit left some out."""
+    step = edges.where(F.col("type").isin("includes", "imports") & is_resolved()).select("src", "dst")
+    near = neighbors(step, start, hops, "both", 1 << 30)
+    w = Window.partitionBy("seed")
+    n = near.withColumn("_n", F.row_number().over(w.orderBy("hop", "node"))).withColumn("truncated", F.count("*").over(w) > limit)
+    return n.where(F.col("_n") <= limit).drop("_n")
+
+
+def in_scope(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges whose evidence (path) is a file of the scope."""
+    return edges.join(files.select("path").distinct(), "path", "left_semi")
+
+
+def find_file(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, path): files of the exact path, slashes of either kind."""
+    flat = asked.select("asked", F.regexp_replace(F.regexp_replace("asked", r"\\", "/"), r"^(\./)+", "").alias("path"))
+    return flat.join(files.select("path"), "path")
+
+
+def resolve_includes(includes: DataFrame, files: DataFrame) -> DataFrame:
+    """includes (path, raw) with target and candidates: the exact path, else every file of that name; null without any."""
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    raw = includes.withColumn("raw", F.regexp_replace("raw", r"\\", "/"))
+    known = files.select(F.col("path").alias("target"))
+    exact = raw.join(known, raw["raw"] == known["target"]).withColumn("candidates", F.lit(1).cast("long"))
+    rest = raw.join(known, raw["raw"] == known["target"], "left_anti").withColumn("_b", base("raw"))
+    named = known.withColumn("_b", base("target"))
+    counts = named.groupBy("_b").agg(F.count("*").alias("candidates"))
+    loose = rest.join(named, "_b", "left").join(counts, "_b", "left").drop("_b").withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
+    return exact.unionByName(loose)
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports (path, module, level) with target: the longest prefix of the module that is a file or a package.
+
+    A relative import of level n starts n - 1 directories above that of the importing file.
+    """
+    parents = F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/")
+    kept = F.filter(F.slice(parents, F.lit(1), F.greatest(F.size(parents) - F.col("level") + 1, F.lit(0))), lambda x: x != "")
+    parts = F.filter(F.concat(F.when(F.col("level") > 0, kept).otherwise(F.array().cast("array<string>")), F.split("module", r"\.")), lambda x: x != "")
+    asked = imports.withColumn("_p", parts).withColumn("_k", F.explode_outer(F.expr("IF(size(_p) > 0, sequence(1, size(_p)), NULL)")))
+    head = F.array_join(F.slice("_p", F.lit(1), F.col("_k")), "/")
+    tries = asked.withColumn("_t", F.explode_outer(F.array(F.struct(F.lit(0).alias("o"), F.concat(head, F.lit(".py")).alias("f")), F.struct(F.lit(1).alias("o"), F.concat(head, F.lit("/__init__.py")).alias("f")))))
+    hit = tries.join(files.select(F.col("path").alias("_f")), F.col("_t.f") == F.col("_f"), "left")
+    best = hit.groupBy("path", "module", "level").agg(F.max_by("_f", F.when(F.col("_f").isNotNull(), F.col("_k") * 2 - F.col("_t.o"))).alias("target"))
+    return best
+
+
+def assign_ids(symbols: DataFrame) -> DataFrame:
+    """symbols (path, lang, kind, qualified_name, signature, line) with id: overloads told apart by signature, then by place."""
+    from quarry.functions.text import node_id
+
+    group = ["path", "lang", "kind", "qualified_name"]
+    flat = F.regexp_replace(F.trim("signature"), r"\s+", " ")
+    n = F.count("*").over(Window.partitionBy(*group))
+    nth = F.row_number().over(Window.partitionBy(*group, "_s").orderBy("line")) - 1
+    s = symbols.withColumn("_s", flat).withColumn("_n", n).withColumn("_k", nth)
+    extra = F.when(F.col("_n") == 1, "").when(F.col("_k") == 0, F.concat(F.lit("sig:"), "_s")).otherwise(F.concat(F.lit("sig:"), "_s", F.lit("#"), F.col("_k").cast("string")))
+    return s.withColumn("id", node_id(F.col("path"), F.col("lang"), F.col("kind"), F.col("qualified_name"), extra)).drop("_s", "_n", "_k")
+
+
+# --- preprocessor conditions: chains such as '#ifdef A > #else'
+
+
+def condition_literals(chain: Column) -> Column:
+    """The chain as a set of 'directive+' or 'directive-': an #else or #elif turns the branch before it around."""
+    parts = F.split(chain, " > ")
+
+    def step(acc: Column, p: Column) -> Column:
+        branch = p.startswith("#else") | p.startswith("#elif")
+        last = F.element_at(acc, -1)
+        turned = F.concat(F.regexp_replace(last, "[+-]$", ""), F.when(last.endswith("+"), "-").otherwise("+"))
+        base = F.when(branch & (F.size(acc) > 0), F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), turned)).otherwise(acc)
+        return F.when(p.startswith("#else"), base).otherwise(F.array_append(base, F.concat(p, F.lit("+"))))
+
+    return F.array_distinct(F.aggregate(parts, F.array().cast("array<string>"), step))
+
+
+def conditions_exclusive(left: Column, right: Column) -> Column:
+    """Whether two chains are branches of one conditional: where they part, both are branches, or the longer one turns to one."""
+    a, b = F.split(left, " > "), F.split(right, " > ")
+    n = F.least(F.size(a), F.size(b))
+    apart = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.get(a, k) != F.get(b, k))
+    branch = lambda s: F.coalesce(s.startswith("#else") | s.startswith("#elif"), F.lit(False))
+    first = F.get(apart, F.lit(0))
+    longer = F.when(F.size(a) > n, F.get(a, n)).otherwise(F.get(b, n))
+    return F.when(F.size(apart) > 0, branch(F.get(a, first)) & branch(F.get(b, first))).when(F.size(a) == F.size(b), False).otherwise(branch(longer))
+
+
+def condition_relation(condition: Column, call: Column) -> Column:
+    """active, exclusive or possible: whether code under condition is seen by a call under its own one."""
+    outer, inner = condition_literals(condition), condition_literals(call)
+    implied = (F.size(F.array_except(outer, inner)) == 0) & (F.size(F.array_except(inner, outer)) > 0)
+    return F.when(condition.isNull() | condition.eqNullSafe(call), "active").when(call.isNull(), "possible").when(conditions_exclusive(condition, call), "exclusive").when(implied, "active").otherwise("possible")
+
+
+def include_closure(includes: DataFrame, starts: DataFrame) -> DataFrame:
+    """(seed, node, state): files that starts (seed, node, call) reach over includes (src, dst, condition).
+
+    active: by a path of includes that the call's condition surely sees; possible: only by others; branches that exclude
+    the call are not taken. Rounds go on until nothing is new.
+    """
+    from quarry.plans.reuse import reuse
+
+    front = starts.select("seed", "node", "call", F.lit(True).alias("active"))
+    seen = None
+    while True:
+        step = front.join(includes, front["node"] == includes["src"]).withColumn("_r", condition_relation(F.col("condition"), F.col("call"))).where("_r <> 'exclusive'")
+        new = step.groupBy("seed", F.col("dst").alias("node"), "call").agg(F.bool_or(F.col("active") & (F.col("_r") == "active")).alias("active"))
+        if seen is not None:
+            known = seen.select("seed", "node", F.col("active").alias("_a"))
+            new = new.join(known, ["seed", "node"], "left").where(F.col("_a").isNull() | (F.col("active") & ~F.col("_a"))).drop("_a")
+        front = reuse(new)
+        if front.isEmpty():
+            break
+        both = front.select("seed", "node", "active") if seen is None else seen.union(front.select("seed", "node", "active"))
+        seen = reuse(both.groupBy("seed", "node").agg(F.bool_or("active").alias("active")))
+    if seen is None:
+        seen = front.select("seed", "node", "active")
+    return seen.select("seed", "node", F.when(F.col("active"), "active").otherwise("possible").alias("state"))
+
+
+# --- C sources
+
+_INCLUDE = re.compile(r'\s*#\s*include\s*([<"])([^>"]+)[>"]')
+_DIRECTIVE = re.compile(r"\s*#\s*(ifdef|ifndef|if|elif|else|endif)\b\s*(.*)")
+_PROTOTYPE = re.compile(r"^[A-Za-z_][\w\s\*]*?\b([A-Za-z_]\w*)\s*\([^;{}]*\)\s*;\s*$")
+_CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
+# Words before a bracket that are no calls.
+_NO_CALLS = {"if", "for", "while", "switch", "return", "sizeof", "defined", "do", "else", "case", "typeof", "alignof", "_Alignof"}
+
+
+def relations_of_c(path: str, content: str) -> list[tuple]:
+    """(path, kind, target, system, line, condition) of a C file: includes, prototypes and calls with their conditions."""
+    from quarry.functions.code import strip_c_comments
+
+    out, chain = [], []
+    for k, line in enumerate(strip_c_comments(content).split("\n"), 1):
+        if m := _DIRECTIVE.match(line):
+            word, rest = m[1], " ".join(m[2].split())
+            if word == "endif":
+                while chain and chain[-1].startswith(("#else", "#elif")):
+                    chain.pop()
+                if chain:
+                    chain.pop()
+            else:
+                chain.append(f"#{word} {rest}".strip())
+            continue
+        condition = " > ".join(chain) or None
+        if m := _INCLUDE.match(line):
+            out.append((path, "include", m[2], m[1] == "<", k, condition))
+        elif m := _PROTOTYPE.match(line):
+            if not line[:1].isspace() and not line.startswith(("return", "else", "typedef")):
+                out.append((path, "prototype", m[1], False, k, condition))
+        elif line[:1].isspace() or "{" in line and ";" in line:
+            bare = re.sub(r'"(?:\\.|[^"\\])*"', '""', line)
+            out += [(path, "call", c[1], False, k, condition) for c in _CALL.finditer(bare) if c[1] not in _NO_CALLS]
+    return out
+
+
+def c_relations(files: DataFrame) -> DataFrame:
+    return _table(files, relations_of_c, "path string, kind string, target string, system boolean, line int, condition string")
+
+
+def guard_of(path: str, content: str) -> str | None:
+    """The condition of a header's include guard: its macro is named after the file and defined right away."""
+    from quarry.functions.code import strip_c_comments
+
+    if not path.lower().endswith((".h", ".hpp", ".hh", ".hxx")):
+        return None
+    stem = re.sub(r"[^A-Z0-9]", "", path.rsplit("/", 1)[-1].upper())
+    lines = [x.strip() for x in strip_c_comments(content).split("\n")]
+    for k, line in enumerate(lines):
+        if m := re.fullmatch(r"#\s*ifndef\s+([A-Za-z_]\w*)", line):
+            rest = [x for x in lines[k + 1 :] if x]
+            if stem in re.sub(r"[^A-Z0-9]", "", m[1].upper()) and rest and re.fullmatch(rf"#\s*define\s+{m[1]}", rest[0]):
+                return " ".join(line.split())
+        if re.match(r"#\s*if", line):
+            return None
+    return None
+
+
+def include_guards(files: DataFrame) -> DataFrame:
+    return _table(files, lambda p, c: [(p, g)] if (g := guard_of(p, c)) else [], "path string, guard string")

@@ -192,11 +192,135 @@ def greedy_batches(rows: DataFrame, group: str, order: str, size: str, max_items
     return parts.select(group, F.inline(F.aggregate("p", start, step, lambda s: s["done"]))).withColumnRenamed("o", order)
 
 
+# Lines of navigation, of legal notes, links to scripts, and empty table rows.
+NOISE_LINES = [
+    r"^(Skip to|跳到|跳至|導航|Navigation|Menu|選單)",
+    r"^(Copyright|©|版權|All rights reserved)",
+    r"^(Privacy|隱私|Terms|條款)",
+    r"^\[.*\]\(javascript:",
+    r"^(\s*\|\s*)+$",
+]
+
+
 def clean_lines(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, content) without navigation, legal, script-link and very short lines, and with at most two blank lines in a row."""
-    skip = r"(?i)^(Skip to|跳到|跳至|導航|Navigation|Menu|選單)|^(Copyright|©|版權|All rights reserved)|^(Privacy|隱私|Terms|條款)|^\[.*\]\(javascript:|^(\s*\|\s*)+$"
     lines = pages.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("n", "line")).withColumn("s", F.trim("line"))
     w = Window.partitionBy(id_col).orderBy("n")
     blanks = lines.withColumn("run", F.sum(F.when(F.col("s") != "", 1).otherwise(0)).over(w)).withColumn("nth", F.row_number().over(Window.partitionBy(id_col, "run", F.col("s") == "").orderBy("n")))
-    kept = blanks.where(F.when(F.col("s") == "", F.col("nth") <= 2).otherwise(~F.col("s").rlike(skip) & ((F.length("s") >= 3) | F.col("s").startswith("#"))))
+    kept = blanks.where(F.when(F.col("s") == "", F.col("nth") <= 2).otherwise(~F.col("s").rlike("(?i)" + "|".join(NOISE_LINES)) & ((F.length("s") >= 3) | F.col("s").startswith("#"))))
     return kept.groupBy(id_col).agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")).alias("content"))
+
+
+# --- headings, windows and page geometry
+
+
+def heading_paths(headings: DataFrame, key: str, order: str, levels: int = 6) -> DataFrame:
+    """headings (key, order, level, title) with path: the titles that hold each one, from the top level down to its own."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    at = [F.last(F.when(F.col("level") <= k, F.struct("level", "title")), ignorenulls=True).over(w) for k in range(1, levels + 1)]
+    kept = [F.when((x["level"] == k) & (F.col("level") >= k), x["title"]) for k, x in enumerate(at, 1)]
+    return headings.withColumn("path", F.concat_ws(" > ", *kept))
+
+
+def pages_of_spans(spans: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """spans (key, start, end) with first_page and last_page of pages (key, page, page_start, page_end) that they touch; 1 without any."""
+    j = spans.join(pages, key, "left")
+    touched = F.when((F.col("page_start") < F.col("end")) & (F.col("start") < F.col("page_end")), F.col("page"))
+    return j.groupBy(key, "start", "end").agg(F.coalesce(F.min(touched), F.lit(1)).alias("first_page"), F.coalesce(F.max(touched), F.lit(1)).alias("last_page"))
+
+
+def section_window(sections: Column, index: Column, budget: Column) -> Column:
+    """(start, end): the section at index with neighbours on both sides, one at a time, while all fit the budget.
+
+    sections: array of (start, end) in order. A section over the budget stays as it is; cut it with trimming.centered_slice.
+    """
+    at = lambda k: F.get(sections, k)
+    first = F.struct(index.alias("lo"), index.alias("hi"), at(index)["start"].alias("start"), at(index)["end"].alias("end"))
+
+    def step(s: Column, _: Column) -> Column:
+        down = (s["lo"] >= 1) & (s["end"] - at(s["lo"] - 1)["start"] <= budget)
+        lo, start = F.when(down, s["lo"] - 1).otherwise(s["lo"]), F.when(down, at(s["lo"] - 1)["start"]).otherwise(s["start"])
+        up = (s["hi"] + 1 < F.size(sections)) & (at(s["hi"] + 1)["end"] - start <= budget)
+        return F.struct(lo.alias("lo"), F.when(up, s["hi"] + 1).otherwise(s["hi"]).alias("hi"), start.alias("start"), F.when(up, at(s["hi"] + 1)["end"]).otherwise(s["end"]).alias("end"))
+
+    grown = F.aggregate(sections, first, step)
+    return F.when(at(index)["end"] - at(index)["start"] > budget, F.struct(at(index)["start"].alias("start"), at(index)["end"].alias("end"))).otherwise(F.struct(grown["start"].alias("start"), grown["end"].alias("end")))
+
+
+def apply_section_titles(chunks: DataFrame, sections: DataFrame, key: str) -> DataFrame:
+    """chunks (key, section_index, section) with the titles of sections (key, section_index, title), and whether that changed them."""
+    j = chunks.join(sections.select(key, "section_index", "title"), [key, "section_index"], "left")
+    new = F.coalesce("title", "section")
+    return j.withColumn("changed", ~F.col("section").eqNullSafe(new)).withColumn("section", new).drop("title")
+
+
+def build_chunks(docs: DataFrame, kind: str, size: int = 1200, overlap: int = 200, source: Column | None = None, **extra: Column) -> DataFrame:
+    """(id, chunk_index, section, content, source, type, extras) of docs (doc_id, text, source): normalised, split and typed in one place."""
+    from quarry.functions import text as T
+
+    flat = docs.withColumn("text", T.normalize_tables(F.col("text")))
+    parts = semantic_chunks(flat, size, overlap)
+    meta = docs.select("doc_id", (F.col("source") if source is None else source).alias("source"), *[c.alias(k) for k, c in extra.items()])
+    return parts.join(meta, "doc_id").withColumn("type", T.content_type(F.col("content"), F.lit(kind)))
+
+
+def bands(words: DataFrame, key: str, ratio: float = 0.6) -> DataFrame:
+    """(key, band, y0, y1, x0, x1, text, words) of words (key, text, x0, y0, x1, y1): lines of text by their vertical centres.
+
+    A word joins the last band if their centres are near for the height of the taller; a fold over a page's words.
+    """
+    ensure_importable(words.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(c=(pdf["y0"] + pdf["y1"]) / 2).sort_values(["c", "x0"])
+        out: list[dict] = []
+        for r in pdf.itertuples(index=False):
+            h = r.y1 - r.y0
+            if out and abs(r.c - (out[-1]["y0"] + out[-1]["y1"]) / 2) <= ratio * max(h, out[-1]["y1"] - out[-1]["y0"], 1.0):
+                b = out[-1]
+                b.update(y0=min(b["y0"], r.y0), y1=max(b["y1"], r.y1), x0=min(b["x0"], r.x0), x1=max(b["x1"], r.x1))
+                b["w"].append((r.x0, r.text))
+            else:
+                out.append({"y0": r.y0, "y1": r.y1, "x0": r.x0, "x1": r.x1, "w": [(r.x0, r.text)]})
+        return pd.DataFrame([(pdf[key].iloc[0], k, b["y0"], b["y1"], b["x0"], b["x1"], " ".join(t for _, t in sorted(b["w"])), len(b["w"])) for k, b in enumerate(out, 1)], columns=[key, "band", "y0", "y1", "x0", "x1", "text", "words"])
+
+    return words.select(key, "text", "x0", "y0", "x1", "y1").groupBy(key).applyInPandas(run, f"{key} long, band int, y0 double, y1 double, x0 double, x1 double, text string, words int")
+
+
+def overlap_rows(words: DataFrame, key: str, ratio: float = 0.5) -> DataFrame:
+    """words (key, id, x0, y0, x1, y1) with line: the first line, from above, that a word overlaps enough in height."""
+    ensure_importable(words.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["y1"] > pdf["y0"]].assign(c=(pdf["y0"] + pdf["y1"]) / 2).sort_values(["c", "x0"])
+        lines: list[list[float]] = []
+        of = []
+        for r in pdf.itertuples(index=False):
+            for k, (top, bottom) in enumerate(lines):
+                smaller = min(bottom - top, r.y1 - r.y0)
+                if smaller > 0 and (min(bottom, r.y1) - max(top, r.y0)) / smaller >= ratio:
+                    lines[k] = [min(top, r.y0), max(bottom, r.y1)]
+                    of.append(k)
+                    break
+            else:
+                lines.append([r.y0, r.y1])
+                of.append(len(lines) - 1)
+        place = {k: n for n, k in enumerate(sorted(range(len(lines)), key=lambda k: lines[k][0]), 1)}
+        return pd.DataFrame({key: pdf[key], "id": pdf["id"], "line": [place[k] for k in of]})
+
+    return words.select(key, "id", "x0", "y0", "x1", "y1").groupBy(key).applyInPandas(run, f"{key} long, id long, line int")
+
+
+def fill_down(cells: DataFrame, table: str, column: str = "col", row: str = "row", same: str = "spans") -> DataFrame:
+    """cells (table, row, col, text, spans) with filled and from_row: an empty cell takes the text above where spans says it is one cell.
+
+    spans: whether the cell has the box of the one above it. Without that proof empty cells stay empty.
+    """
+    w = Window.partitionBy(table, column).orderBy(row)
+    run = F.sum(F.when(F.col(same), 0).otherwise(1)).over(w)
+    c = cells.withColumn("_run", run)
+    head = Window.partitionBy(table, column, "_run").orderBy(row).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, at = F.first("text").over(head), F.first(row).over(head)
+    empty = F.trim("text") == ""
+    take = empty & (F.trim(first) != "") & (F.col(row) > at)
+    return c.withColumn("filled", F.when(take, first).otherwise(F.col("text"))).withColumn("from_row", F.when(take, at)).withColumn("conflict", ~empty & (F.col(row) > at) & (F.trim(first) != "") & (F.trim("text") != F.trim(first))).drop("_run")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,11 +36,11 @@ def catalog_delta(old: DataFrame, new: DataFrame, name: str, member: str) -> Dat
     return a.exceptAll(b).union(b.exceptAll(a)).select(name).distinct()
 
 
-def closure(edges: DataFrame, start: DataFrame, most: int = 32) -> DataFrame:
-    """(seed, node, depth): all that start (seed, node) reaches over edges (a, b), by least depth."""
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(seed, node, depth): all that start (seed, node) reaches over edges (a, b), by least depth; rounds go on until nothing is new."""
     seen = reuse(start.select("seed", "node", F.lit(0).alias("depth")))
     front = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = front.join(edges, front["node"] == edges["a"]).select("seed", F.col("b").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
         front = reuse(step)
         if front.isEmpty():

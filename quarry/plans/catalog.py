@@ -96,9 +96,7 @@ m AS (SELECT doc_id, max(n) AS top FROM c GROUP BY doc_id)
 SELECT doc_id, top::INT AS top_count, length(text) >= 50 AND NOT (top / length(text) > 0.5 OR length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text) < 0.3) AS keep
 FROM documents JOIN m USING (doc_id)""")
 def noise_filter(spark, d):
-    top = text.most_frequent_char_count("text")
-    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
-    return t(spark, d, "documents").withColumn("top_count", top).select("doc_id", "top_count", ((F.length("text") >= 50) & ~((F.col("top_count") / F.length("text") > 0.5) | (letters / F.length("text") < 0.3))).alias("keep"))
+    return t(spark, d, "documents").withColumn("top_count", text.most_frequent_char_count("text")).select("doc_id", "top_count", (~text.is_noisy("text", F.col("top_count"))).alias("keep"))
 
 
 @query("SELECT doc_id, floor(length(text) / 4.0)::BIGINT AS est_tokens, floor(length(text) / 3.5)::BIGINT AS budget_tokens FROM documents")
@@ -383,7 +381,7 @@ def vector_validation(spark, d):
 
 @query("SELECT label, i::INT AS i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i")
 def centroid_mean(spark, d):
-    return t(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    return vectors.means(t(spark, d, "embeddings"), "label", "embedding")
 
 
 # --- near and exact duplicates
@@ -590,20 +588,27 @@ def graph_neighbors(spark, d):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND l_discount >= 0.09),
-p AS (SELECT 0 AS src, 7 AS dst, [0] AS path UNION ALL SELECT src, dst, list_append(path, b) FROM p JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) <= 3 AND path[-1] <> dst)
-SELECT src, dst, array_to_string(path, ' > ') AS path, len(path)::INT - 1 AS hops FROM p WHERE path[-1] = dst ORDER BY len(path), array_to_string(path, ' ') LIMIT 3""")
+WITH RECURSIVE e AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey),
+q AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey), p AS (SELECT src, dst, [src] AS path FROM q UNION ALL SELECT src, dst, list_append(path, b) FROM p JOIN e ON path[-1] = a WHERE NOT list_contains(path, b) AND len(path) <= 2 AND path[-1] <> dst)
+SELECT src, dst, array_to_string(path, ' > ') AS path, len(path)::INT - 1 AS hops FROM p WHERE path[-1] = dst QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY len(path), array_to_string(path, ' ')) <= 3""")
 def graph_paths(spark, d):
-    li = t(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.09")
-    e = li.join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    e = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     edges = e.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
-    return graph.paths(edges, spark.range(1).select(F.lit(0).alias("src"), F.lit(7).alias("dst")), 3)
+    n = t(spark, d, "nation").select("n_nationkey")
+    pairs = n.select(F.col("n_nationkey").alias("src")).crossJoin(F.broadcast(n.select(F.col("n_nationkey").alias("dst")))).where("src <> dst")
+    return graph.paths(edges, pairs, 2)
 
 
-@query("SELECT o_custkey, round(0.5 * kw + 0.5 * emb + CASE WHEN fn THEN 0.05 ELSE 0 END, 6) AS score FROM (SELECT o_custkey, count(*) FILTER (o_orderpriority LIKE '1%') / count(*) AS kw, avg(o_totalprice) / 500000 AS emb, bool_or(o_orderstatus = 'F') AS fn FROM orders GROUP BY o_custkey)")
+_HYB = "(p_partkey * 31 % 97) / 96.0"
+_LEX = "(p_partkey * 17 % 11) / 10.0"
+
+
+@query(f"""SELECT p_partkey, round(CASE WHEN p_partkey % 13 = 0 THEN 0.95 WHEN {_LEX} >= 0.8 AND p_size >= 2 THEN 0.9 + 0.1 * {_LEX}
+ELSE CASE WHEN p_brand <> 'Brand#5' THEN 0.5 * {_HYB} + 0.5 * {_LEX} ELSE {_HYB} END + CASE WHEN p_type = 'ECONOMY' THEN 0.05 ELSE 0 END END, 6)::DOUBLE AS score FROM part""")
 def hybrid_symbol_score(spark, d):
-    a = t(spark, d, "orders").groupBy("o_custkey").agg((F.count(F.when(F.col("o_orderpriority").startswith("1"), 1)) / F.count("*")).alias("kw"), (F.avg("o_totalprice") / 500000).alias("emb"), F.bool_or(F.col("o_orderstatus") == "F").alias("fn"))
-    return a.select("o_custkey", F.round(0.5 * F.col("kw") + 0.5 * F.col("emb") + F.when(F.col("fn"), 0.05).otherwise(0.0), 6).alias("score"))
+    kind = F.when(F.col("p_type") == "ECONOMY", "function").otherwise("class")
+    score = code.hybrid_score(F.col("p_partkey") * 31 % 97 / 96.0, F.col("p_partkey") * 17 % 11 / 10.0, kind, F.col("p_partkey") % 13 == 0, F.col("p_size"), F.col("p_brand") != "Brand#5")
+    return t(spark, d, "part").select("p_partkey", F.round(score, 6).alias("score"))
 
 
 # --- evidence ranges and figures
@@ -741,12 +746,16 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "embeddings")
     n = e.count()
     docs = t(spark, d, "documents").withColumn("vec_id", F.col("doc_id") % n)
-    return docs.join(e.select("vec_id", F.col("embedding").alias("v")), "vec_id").select(F.col("doc_id").alias("id"), "source", text.type_by_name("source").alias("type"), F.lit(1).alias("page"), F.col("doc_id").cast("int").alias("chunk_index"), F.lit("").alias("section"), F.col("text").alias("content"), "v")
+    cols = [F.col("doc_id").alias("id"), "source", F.when(F.col("doc_id") % 3 == 0, "spec").otherwise("doc").alias("type"), F.lit(1).alias("page"), F.col("doc_id").cast("int").alias("chunk_index"), F.lit("").alias("section"), F.col("text").alias("content"), "v"]
+    return docs.join(e.select("vec_id", F.col("embedding").alias("v")), "vec_id").select(*cols)
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
-    return t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question")).join(e, "query")
+    """Every benchmark item as a question, with the vector of its id modulo their number."""
+    e = t(spark, d, "embeddings")
+    n = e.count()
+    q = t(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question"), (F.col("item_id") % n).alias("vec_id"))
+    return q.join(e.select("vec_id", F.col("embedding").alias("qv")), "vec_id").drop("vec_id")
 
 
 @query()

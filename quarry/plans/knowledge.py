@@ -5,57 +5,128 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.functions import code, text, vectors
-from quarry.operators import answer, context, search
+from quarry.operators import answer, context, ingest, search
+from quarry.operators import chunks as chunks_text
 from quarry.plans.reuse import reuse
 
 
 def search_knowledge(
     chunks: DataFrame, questions: DataFrame, source: str | None = None, top_k: int = 6, strict: bool = False,
-    rerank: Callable[[pd.Series, pd.Series], pd.Series] | None = None,
+    rerank: Callable[[pd.Series, pd.Series], pd.Series] | None = None, filters: dict[str, str | list[str]] | None = None,
+    other_wordings: DataFrame | None = None, always_rerank: bool = True,
 ) -> DataFrame:
-    """REF rows (query, ref, id, source, chunk_index, score, gate, content) for questions (query, question, qv).
+    """REF rows (query, ref, id, source, chunk_index, last_index, type, score, gate, content) for questions (query, question, qv).
 
-    chunks: id, source, type, page, chunk_index, section, content, v. The steps in order: metadata filter, dense and lexical
-    ranks, fusion, weights by type, gates, rerank, diverse selection, pollution control, noise filter, duplicate removal.
-    The lexical statistics stay global under a filter, and the gate alone decides what passes.
+    chunks: id, source, type, page, chunk_index, section, content, v and, where it has generated contexts, ctx. The steps in
+    order: metadata filters, dense and lexical ranks, fusion, other wordings (query, question, qv) of questions that need
+    them, gates of content alone, weights by type, thresholds or exact numbers, rerank, diverse selection, pollution
+    control, merging of neighbours, noise filter, removal of near copies. Lexical statistics stay global under a filter;
+    what passes is decided by the gate, never by a generated context.
     """
     k = DEFAULT.candidate_k
-    allowed = chunks if source is None else chunks.where(F.lower("source") == source.lower())
+    with_ctx = "ctx" in chunks.columns
+    allowed = chunks.where(search.matches(source, filters=filters))
     ids = allowed.select("id")
-    dense = search.dense_scores(allowed, questions.select("query", "qv"), "id", "v")
-    lexical = search.bm25_scores(chunks, questions, "id", "content", "query", "question").join(ids, "id", "left_semi")
-    fused = search.rrf(search.top_k(dense, 2 * k), search.top_k(lexical, 2 * k))
-    fused = search.top_k(fused, k, by="rrf").drop("rank")
-    meta = allowed.select("id", "source", "type", "page", "chunk_index", "content", vectors.normalize(F.col("v")).alias("v"))
+    body = F.concat_ws(" ", "section", "source", "content")
+    plain = chunks.select("id", body.alias("content"))
+    indexed = chunks.select("id", F.concat_ws(" ", "section", "source", F.when(F.trim("ctx") != "", F.col("ctx")), "content").alias("content")) if with_ctx else plain
+
+    def ranked(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        dense = search.dense_top(allowed, asked.select("query", "qv"), 2 * k, "id", "v")
+        lexical = search.bm25_scores(indexed, asked, "id", "content", "query", "question").join(ids, "id", "left_semi")
+        lexical = lexical.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query")), 6)).where(F.col("score") >= DEFAULT.bm25_floor)
+        dense, lexical = reuse(dense), reuse(lexical)
+        fused = search.top_k(search.rrf(dense, search.top_k(lexical, 2 * k)), k, by="rrf").drop("rank")
+        scored = fused.join(dense.select("query", "id", F.col("score").alias("retrieval")), ["query", "id"], "left").join(lexical.select("query", "id", F.col("score").alias("bm25")), ["query", "id"], "left")
+        return scored.fillna(0.0, ["retrieval", "bm25"]), lexical
+
+    def gated(cand: DataFrame, asked: DataFrame) -> DataFrame:
+        # candidates outside the dense list still need their dense score: at most k rows a question
+        v = allowed.select("id", vectors.normalize(F.col("v")).alias("v"))
+        q = asked.select("query", vectors.normalize(F.col("qv")).alias("qv"))
+        out = cand.join(v, "id").join(q, "query").withColumn("retrieval", F.round(vectors.dot(F.col("v"), F.col("qv")), 6)).drop("v", "qv")
+        plain_scores = search.bm25_scores(plain, asked, "id", "content", "query", "question") if with_ctx else None
+        return search.fill_gate(out, None, plain_scores)
+
+    first, _ = ranked(questions)
+    cand = reuse(gated(first, questions))
+    if other_wordings is not None:
+        signals = search.decision_signals(cand)
+        weak = questions.join(signals, "query", "left").where(search.should_expand(text.is_numeric_question("question"), F.col("n"), F.col("g1"))).select("query")
+        more = reuse(other_wordings.join(weak, "query", "left_semi").withColumn("asked", F.col("query")).withColumn("query", F.monotonically_increasing_id()))
+        found, _ = ranked(more)
+        found = gated(found, more).join(more.select("query", "asked"), "query").drop("query").withColumnRenamed("asked", "query")
+        merged = search.merge_expansion(cand.select("query", "id", "rrf", "retrieval", "gate", "bm25"), found.select("query", "id", "rrf", "retrieval", "gate", "bm25"))
+        cand = search.top_k(merged.withColumn("gate_bm25", F.col("bm25")), k, by="rrf").drop("rank")
+    meta = allowed.select("id", "source", "type", "page", "chunk_index", "section", "content", vectors.normalize(F.col("v")).alias("v"))
     weight = search.source_weight(F.col("type"))
-    cand = fused.join(dense.withColumnRenamed("score", "gate"), ["query", "id"]).join(meta, "id").withColumn("rrf", F.col("rrf") * weight).withColumn("gate", F.col("gate") * weight)
-    first = Window.partitionBy("query").orderBy(F.desc("rrf"), "id")
     sizes = questions.select("query", "question", text.estimate_tokens("question").alias("tokens"))
+    cand = cand.join(meta, "id").join(sizes, "query").withColumn("rrf", F.col("rrf") * weight).withColumn("gate", F.col("gate") * weight)
     cand = reuse(cand)  # at most k rows a question, read by every step below
-    top = cand.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("query", F.col("gate").alias("top_gate"))
-    cand = cand.join(top, "query").join(sizes, "query")
-    cand = cand.where(F.col("gate") >= search.min_gate(F.col("tokens"), F.lit(strict), F.col("top_gate")))
-    cand = search.rerank(cand, rerank, "question", "content").withColumn("score", F.col("rerank_score")) if rerank else cand.withColumn("score", F.col("gate"))
+    signals = search.decision_signals(cand, by_gate=with_ctx)
+    cand = cand.join(signals.select("query", F.col("g1").alias("top_gate"), "n", "g1", "g2", "g3", "g5"), "query")
+    number = search.numeric_evidence(F.col("question"), F.col("gate_bm25"), F.concat_ws(" ", "source", "section", "content"))
+    cand = cand.where((F.col("gate") >= search.min_gate(F.col("tokens"), F.lit(strict), F.col("top_gate"))) | number)
+    cand = cand.withColumn("score", F.col("gate"))
+    if rerank:
+        wanted = search.should_rerank(F.col("n"), F.col("g1"), F.col("g2"), F.col("g3"), F.col("g5"), F.lit(strict), always_rerank)
+        passages = cand.withColumn("passage", chunks_text.passage("source", "section", "content"))
+        cand = search.rerank(passages, rerank, "question", "passage").withColumn("score", F.when(wanted, F.col("rerank_score")).otherwise(F.col("gate"))).drop("passage")
+    cand = reuse(cand)
     scaled = search.min_max(cand).withColumn("score", F.coalesce("relevance", "score"))
+    pool = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    effective = search.effective_k(F.col("top_gate"), F.lit(top_k))
+    scaled = reuse(scaled.withColumn("_place", pool).where(F.col("_place") <= F.greatest(effective * 3, F.lit(12))))
     picks = search.mmr(scaled.select("query", "id", "score", "v"), top_k)
-    chosen = scaled.join(picks, ["query", "id"]).where(F.col("pick") <= search.effective_k(F.col("top_gate"), F.lit(top_k)))
-    chosen = reuse(chosen)
+    chosen = reuse(scaled.join(picks, ["query", "id"]).where(F.col("pick") <= effective))
     risk = search.margin_risk(cand.select("query", "id", F.col("gate").alias("score"))).select("query", "high_risk")
     polluted = search.pollution_risk(chosen.select("query", "source", F.col("gate").alias("score")).join(risk, "query")).select("query", "pollution")
-    chosen = chosen.join(polluted, "query").where((F.col("pollution") == "low") | (F.col("gate") >= DEFAULT.threshold_strict))
-    most = F.when(F.col("pollution") == "high", 3).when(F.col("pollution") == "medium", 4).otherwise(5)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("gate"), "id"))
-    kept = chosen.withColumn("ref", place).where(F.col("ref") <= most).where(~text.is_noisy("content"))
-    same = Window.partitionBy("query", F.md5(F.col("content").cast("binary"))).orderBy("ref")
-    kept = kept.withColumn("copy", F.row_number().over(same)).where("copy = 1")
-    renumber = F.row_number().over(Window.partitionBy("query").orderBy("ref"))
-    return kept.select("query", renumber.alias("ref"), "id", "source", "chunk_index", F.round("score", 6).alias("score"), F.round("gate", 6).alias("gate"), "content")
+    kept = search.control_pollution(chosen.join(polluted, "query"), weight)
+    merged = refine(kept)
+    renumber = F.row_number().over(Window.partitionBy("query").orderBy("source", "page", "first"))
+    return merged.select("query", renumber.alias("ref"), "id", "source", F.col("first").alias("chunk_index"), F.col("last").alias("last_index"), "type", F.round("score", 6).alias("score"), F.round("gate", 6).alias("gate"), "content")
+
+
+def refine(chosen: DataFrame) -> DataFrame:
+    """chosen with neighbours of a page and section merged, without noise and near copies of earlier ones; a few rows a question.
+
+    A merged chunk has the best score and gate of its members, the id of the first, and the type of the strongest.
+    """
+    keys = ["query", "source", "page", "section"]
+    runs = ingest.adjacent_runs(chosen, keys)
+    one = Window.partitionBy(*keys, "run").orderBy("chunk_index")
+    # neighbours join while their texts stay short enough: sizes are summed anew after each cut
+    lengths = runs.withColumn("_before", F.collect_list(F.length("content")).over(one.rowsBetween(Window.unboundedPreceding, 0)))
+    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("part"))
+
+    def step(s: Column, n: Column) -> Column:
+        fits = (s["used"] > 0) & (s["used"] + n < DEFAULT.merge_chars)
+        return F.struct(F.when(fits, s["used"] + 1 + n).otherwise(n).alias("used"), F.when(fits, s["part"]).otherwise(s["part"] + 1).alias("part"))
+
+    parts = lengths.withColumn("part", F.aggregate("_before", zero, step, lambda s: s["part"]))
+    whole = parts.groupBy(*keys, "run", "part").agg(
+        F.array_sort(F.collect_list(F.struct("chunk_index", "id", "type", "content"))).alias("m"), F.max("score").alias("score"), F.max("gate").alias("gate"),
+    )
+    whole = whole.select(
+        *keys, F.get("m", F.lit(0))["id"].alias("id"), F.get("m", F.lit(0))["chunk_index"].alias("first"), F.element_at("m", -1)["chunk_index"].alias("last"), chunks_text.upgraded(F.transform("m", lambda x: x["type"])).alias("type"),
+        "score", "gate", F.array_join(F.transform("m", lambda x: x["content"]), "\n").alias("content"),
+    )
+    clean = whole.where(~text.is_noisy("content")).withColumn("words", F.array_distinct(text.all_matches(F.lower("content"), r"\b[a-z0-9_]+\b"))).withColumn("ord", F.row_number().over(Window.partitionBy("query").orderBy("source", "page", "first")))
+    rows = clean.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "words"))).alias("r"))
+
+    def like(a: Column, b: Column) -> Column:
+        common = F.size(F.array_intersect(a, b))
+        return (F.size(a) > 0) & (F.size(b) > 0) & (common / (F.size(a) + F.size(b) - common) >= DEFAULT.dedup_jaccard)
+
+    none = F.expr("CAST(array() AS array<struct<ord:int,words:array<string>>>)")
+    kept = rows.select("query", F.explode(F.aggregate("r", none, lambda acc, x: F.when(F.exists(acc, lambda y: like(y["words"], x["words"])), acc).otherwise(F.array_append(acc, x)))).alias("k"))
+    return clean.join(kept.select("query", F.col("k.ord").alias("ord")), ["query", "ord"], "left_semi").drop("words")
 
 
 def decide(questions: DataFrame, refs: DataFrame, authoritative: list[str] | None = None) -> DataFrame:

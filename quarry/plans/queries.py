@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import catalog, records, retrieval, stores  # noqa: F401
+from quarry.plans import catalog, figures, graphs, records, retrieval, stores  # noqa: F401
 from quarry.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

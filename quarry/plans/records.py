@@ -80,12 +80,11 @@ def catalog_delta(spark, d):
     return records.catalog_delta(li.where("l_discount < 0.09"), li.where("l_tax < 0.08"), "l_suppkey", "l_partkey")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND l_discount >= 0.09), r AS (SELECT 0 AS seed, 0 AS node UNION SELECT r.seed, e.b FROM r JOIN e ON r.node = e.a) SELECT seed, node FROM r")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 40 AS a, (o_custkey * 7 + o_orderkey % 2) % 60 AS b FROM orders), r AS (SELECT DISTINCT c_custkey % 40 AS seed, c_custkey % 40 AS node FROM customer UNION SELECT r.seed, e.b FROM r JOIN e ON r.node = e.a) SELECT seed, node FROM r")
 def include_closure(spark, d):
-    li = t(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.09")
-    e = li.join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = e.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
-    return records.closure(edges, spark.range(1).select(F.lit(0).alias("seed"), F.lit(0).alias("node"))).select("seed", "node")
+    edges = t(spark, d, "orders").select((F.col("o_custkey") % 40).alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 2) % 60).alias("b")).distinct()
+    seeds = t(spark, d, "customer").select((F.col("c_custkey") % 40).alias("seed"), (F.col("c_custkey") % 40).alias("node")).distinct()
+    return records.closure(edges, seeds).select("seed", "node")
 
 
 @query("SELECT conv_id, turn, round(0.25 * regexp_matches(text, 'REF')::INT + 0.25 * (length(text) > 100)::INT + 0.3 * least(length(text) / 1000, 1) + 0.2 * (turn % 3 = 0)::INT, 6) AS quality FROM conversations WHERE role = 'assistant'")
