@@ -10,11 +10,19 @@ from quarry.config import DEFAULT
 
 
 def merge_ranges(ranges: DataFrame, key: list[str]) -> DataFrame:
-    """(key, start, end, n, priority): overlapping or adjacent integer ranges (start, end, priority) of a key joined."""
+    """(key, start, end, n, priority): overlapping or adjacent integer ranges (start, end, priority) of a key joined.
+
+    With columns symbol, anchor and reason the joined range has those of its range of highest priority, and all reasons once,
+    as they come (reasons).
+    """
     w = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = F.when(F.col("start") <= F.max("end").over(w) + 1, 0).otherwise(1)
     marked = ranges.withColumn("_new", new).withColumn("_island", F.sum("_new").over(Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.max("priority").alias("priority")).drop("_island")
+    best = F.struct("priority", -F.col("start"), -F.col("end"))
+    more = [F.max_by(c, best).alias(c) for c in ("symbol", "anchor") if c in ranges.columns]
+    if "reason" in ranges.columns:
+        more.append(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "reason"))), lambda x: x["reason"])).alias("reasons"))
+    return marked.groupBy(*key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.max("priority").alias("priority"), *more).drop("_island")
 
 
 def diversify(candidates: DataFrame, group: str, path: str = "path", penalty: int = DEFAULT.diversity_penalty) -> DataFrame:

@@ -171,3 +171,8 @@ def side_by_side(left: DataFrame, right: DataFrame, keys: list[str], fields: lis
     for c in fields:
         same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
     return a.join(b, keys, "full_outer").withColumn("same", same)
+
+
+def total_order(ranked: DataFrame) -> DataFrame:
+    """ranked (query, score, repo, path, line, doc) with place: by score, ties by place in the corpus, so runs agree."""
+    return ranked.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "repo", "path", "line", "doc")))

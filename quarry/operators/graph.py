@@ -400,3 +400,175 @@ def guard_of(path: str, content: str) -> str | None:
 
 def include_guards(files: DataFrame) -> DataFrame:
     return _table(files, lambda p, c: [(p, g)] if (g := guard_of(p, c)) else [], "path string, guard string")
+
+
+C_SYMBOLS = "path string, name string, kind string, qualified_name string, start_line int, end_line int, signature string, linkage string, comment string, condition string"
+_SCOPE = re.compile(r"^\s*(namespace|class|struct|union|enum(?:\s+class|\s+struct)?)\s+(?:[A-Z_]+\s+)?([A-Za-z_]\w*)?[^;{}()]*\{")
+_FUNCTION = re.compile(r"^(?P<lead>[\w\s\*&:<>,~\[\]]*?)(?P<name>~?[A-Za-z_][\w:~]*)\s*\((?P<args>[^;{}]*)\)\s*(?:const|noexcept|override|final|\s)*(?::[^{;]*)?\{")
+_TYPEDEF = re.compile(r"^\s*typedef\b[^;]*?\b([A-Za-z_]\w*)\s*(?:\[[^\]]*\])?;")
+_GLOBAL = re.compile(r"^(?P<lead>(?:extern|static|const|volatile|unsigned|signed|struct|\w+)[\w\s\*]*?)\b(?P<name>[A-Za-z_]\w*)\s*(?:\[[^\]]*\])*\s*(?:=[^;]*)?;\s*$")
+_ENUMERATOR = re.compile(r"^\s*([A-Za-z_]\w*)\s*(?:=[^,}]*)?\s*(?:,|$|\})")
+_DEFINE = re.compile(r"^\s*#\s*define\s+([A-Za-z_]\w*)(\([^)]*\))?")
+
+
+def linkage(lead: str, path: str, in_class: bool = False) -> str:
+    """internal, external, header_inline or unknown, by the words before a definition."""
+    words = set(lead.split())
+    if in_class:
+        return "external"
+    if "static" in words:
+        return "header_inline" if "inline" in words and path.lower().endswith((".h", ".hpp", ".hh", ".hxx")) else "internal"
+    if "inline" in words and path.lower().endswith((".h", ".hpp", ".hh", ".hxx")):
+        return "header_inline"
+    return "external" if "extern" in words or not words & {"constexpr"} else "unknown"
+
+
+def leading_comment(lines: list[str], k: int, most: int = 400) -> str:
+    """The comment block right above line k."""
+    out: list[str] = []
+    k -= 1
+    block = False
+    while k >= 0:
+        s = lines[k].strip()
+        if block or s.endswith("*/"):
+            out.append(s)
+            block = not s.startswith("/*")
+            if not block and not (k and lines[k - 1].strip().startswith("//")):
+                break
+        elif s.startswith("//"):
+            out.append(s)
+        else:
+            break
+        k -= 1
+    return re.sub(r"\s+", " ", " ".join(re.sub(r"^(/\*+|//+|\*+)\s?|\s*\*+/$", "", x) for x in reversed(out))).strip()[:most]
+
+
+def block_end(lines: list[str], k: int) -> int:
+    """The last line of the indented block that line k opens: before the first later line, blanks aside, indented no deeper."""
+    base = len(lines[k]) - len(lines[k].lstrip())
+    last = k
+    for n in range(k + 1, len(lines)):
+        if lines[n].strip():
+            if len(lines[n]) - len(lines[n].lstrip()) <= base:
+                break
+            last = n
+    return last
+
+
+def symbols_of_c(path: str, content: str) -> list[tuple]:
+    """Rows of C_SYMBOLS: functions, methods, types, enumerators, macros, typedefs and globals of C and C++."""
+    from quarry.functions.code import strip_c_comments
+
+    raw = content.split("\n")
+    lines = [re.sub(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'', '""', x) for x in strip_c_comments(content).split("\n")]
+    out, scopes, chain, depth, k = [], [], [], 0, 0
+
+    def put(name: str, kind: str, start: int, end: int, signature: str, link: str) -> None:
+        inside = [s for s, _, _ in scopes if s]
+        scoped = name if kind in ("macro",) or "::" in name else "::".join([*inside, name])
+        out.append((path, name.split("::")[-1], kind, scoped, start + 1, end + 1, re.sub(r"\s+", " ", signature).strip(), link, leading_comment(raw, start), " > ".join(chain) or None))
+
+    while k < len(lines):
+        line = lines[k]
+        if m := _DIRECTIVE.match(line):
+            if m[1] == "endif":
+                while chain and chain[-1].startswith(("#else", "#elif")):
+                    chain.pop()
+                if chain:
+                    chain.pop()
+            else:
+                chain.append(f"#{m[1]} {' '.join(m[2].split())}".strip())
+            k += 1
+            continue
+        if m := _DEFINE.match(line):
+            end = k
+            while lines[end].rstrip().endswith("\\") and end + 1 < len(lines):
+                end += 1
+            put(m[1], "macro", k, end, m[1] + (m[2] or ""), "unknown")
+            k = end + 1
+            continue
+        inside = scopes[-1] if scopes else None
+        if depth == (inside[1] if inside else 0):  # at the level of definitions, not inside a body
+            text, end = line, k
+            while "{" not in text and ";" not in text and end + 1 < len(lines) and end - k < 6 and text.strip() and not lines[end + 1].lstrip().startswith("#"):
+                end += 1
+                text += " " + lines[end]
+            in_enum = inside is not None and inside[2].startswith("enum")
+            in_class = inside is not None and inside[2] in ("class", "struct", "union")
+            if in_enum:
+                for part in line.split(","):
+                    if (m := _ENUMERATOR.match(part)) and part.strip() not in ("", "}"):
+                        outer = [s for s, _, _ in scopes[:-1] if s]
+                        name = m[1]
+                        own = [inside[0]] if inside[0] and inside[2] != "enum" else []
+                        out.append((path, name, "enumerator", "::".join([*outer, *own, name]), k + 1, k + 1, part.strip(), "unknown", "", " > ".join(chain) or None))
+            elif (m := _SCOPE.match(text)) and "(" not in text[: text.find("{")]:
+                kind = re.sub(r"\s+", " ", m[1])
+                close = _brace_end(lines, k)
+                if kind != "namespace" and m[2]:
+                    put(m[2], kind.split()[0], k, close, text[: text.find("{")], "unknown")
+                depth += text.count("{") - text.count("}")
+                if depth > (inside[1] if inside else 0):
+                    scopes.append((m[2], depth, kind))
+                elif kind.startswith("enum"):
+                    for part in text[text.find("{") + 1 : text.rfind("}")].split(","):
+                        if n := _ENUMERATOR.match(part.strip()):
+                            own = [m[2]] if m[2] and kind != "enum" else []
+                            out.append((path, n[1], "enumerator", "::".join([*[s for s, _, _ in scopes if s], *own, n[1]]), k + 1, k + 1, part.strip(), "unknown", "", " > ".join(chain) or None))
+                k = end + 1
+                continue
+            elif (m := _FUNCTION.match(text.strip())) and m["name"].split("::")[-1] not in _NO_CALLS and (m["lead"].strip() or "::" in m["name"] or in_class):
+                close = _brace_end(lines, k)
+                put(m["name"], "method" if in_class or "::" in m["name"] else "function", k, close, text[: text.find("{")], linkage(m["lead"], path, in_class))
+                k = close + 1
+                continue
+            elif m := _TYPEDEF.match(text):
+                put(m[1], "typedef", k, end, text, "unknown")
+            elif not in_class and "(" not in text and (m := _GLOBAL.match(text.strip())) and m["lead"].split()[0] not in ("return", "using", "typedef", "goto", "break", "case", "else", "namespace"):
+                put(m["name"], "variable", k, end, text.split("=")[0].rstrip(" ;"), linkage(m["lead"], path))
+        depth += line.count("{") - line.count("}")
+        while scopes and depth < scopes[-1][1]:
+            scopes.pop()
+        k += 1
+    return out
+
+
+def c_symbols(files: DataFrame) -> DataFrame:
+    return _table(files, symbols_of_c, C_SYMBOLS)
+
+
+def context_lines(content: Column, start: Column, end: Column, most: int = 15) -> Column:
+    """The first lines of a symbol, most of them, and none past its end."""
+    return F.array_join(F.slice(F.split(content, "\n"), start, F.greatest(F.least(end - start + 1, F.lit(most)), F.lit(0))), "\n")
+
+
+def resolve_c_calls(nodes: DataFrame, relations_: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, line, target, src, dst, confidence) of calls of c_relations() to functions of c_symbols(); dst is null where none is sure.
+
+    In stages, each for what the stages before left: a definition in the same file, one in a header that is surely included,
+    one whose prototype is surely included, the only external one of that name (by name alone). Several of a stage are
+    ambiguous: a row each, without a dst; internal functions of other files are never candidates.
+    """
+    defs = nodes.where(F.col("kind").isin("function", "method")).select(F.concat_ws("::", "path", "qualified_name").alias("dst"), F.col("name").alias("target"), F.col("path").alias("dpath"), "linkage").distinct()
+    calls = relations_.where("kind = 'call'").select("path", "target", "line", "condition").distinct()
+    known = calls.join(defs.select("target").distinct(), "target", "left_semi")
+    inc = resolve_includes(relations_.where("kind = 'include' AND NOT system").select("path", F.col("target").alias("raw"), "condition"), files).where("candidates = 1").select(F.col("path").alias("src"), F.col("target").alias("dst"), "condition")
+    seen = include_closure(inc, calls.select(F.col("path").alias("seed"), F.col("path").alias("node"), F.lit(None).cast("string").alias("call")).distinct()).where("state = 'active'").select(F.col("seed").alias("path"), F.col("node").alias("visible"))
+    same = known.join(defs.withColumnRenamed("dpath", "path"), ["path", "target"]).withColumn("stage", F.lit(1))
+    header = known.join(seen, "path").join(defs.where("linkage = 'header_inline'"), "target").where("visible = dpath").withColumn("stage", F.lit(2))
+    protos = relations_.where("kind = 'prototype'").select(F.col("path").alias("visible"), "target").distinct()
+    open_ = defs.where("linkage = 'external'")
+    declared = known.join(seen, "path").join(protos, ["visible", "target"]).join(open_, "target").withColumn("stage", F.lit(3))
+    loose = known.join(open_, "target").withColumn("stage", F.lit(4))
+    keep = ["path", "target", "line", "dst", "stage"]
+    found = same.select(*keep).unionByName(header.select(*keep)).unionByName(declared.select(*keep)).unionByName(loose.select(*keep)).distinct()
+    w = Window.partitionBy("path", "target", "line")
+    best = found.withColumn("_s", F.min("stage").over(w)).where("stage = _s").withColumn("_n", F.count("*").over(w))
+    names = F.element_at(F.array(*map(F.lit, ["exact", "resolved", "resolved", "syntactic"])), F.col("stage"))
+    sure = best.select("path", "target", "line", F.when(F.col("_n") == 1, F.col("dst")).alias("dst"), F.when(F.col("_n") > 1, "ambiguous").otherwise(names).alias("confidence"), F.when(F.col("_n") > 1, F.col("dst")).alias("candidate"))
+    rest = calls.join(sure.select("path", "target", "line").distinct(), ["path", "target", "line"], "left_anti").select("path", "target", "line", F.lit(None).cast("string").alias("dst"), F.lit("unresolved").alias("confidence"), F.lit(None).cast("string").alias("candidate"))
+    every = sure.unionByName(rest)
+    spans = nodes.where(F.col("kind").isin("function", "method")).select(F.col("path").alias("_p"), "start_line", "end_line", F.concat_ws("::", "path", "qualified_name").alias("src"))
+    around = every.join(spans, (F.col("path") == F.col("_p")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left")
+    inner = Window.partitionBy("path", "target", "line", "candidate").orderBy(F.col("end_line") - F.col("start_line"), "src")
+    return around.withColumn("_k", F.row_number().over(inner)).where("_k = 1").select("path", "line", "target", "src", "dst", "confidence", "candidate")

@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.functions import code, text, vectors
-from quarry.operators import answer, context, ingest, search
+from quarry.operators import answer, context, evidence, ingest, search
 from quarry.operators import chunks as chunks_text
+from quarry.plans.bounded import bounded
 from quarry.plans.reuse import reuse
 
 
@@ -146,27 +147,76 @@ def assemble(refs: DataFrame) -> DataFrame:
 
 
 def search_symbols(symbols: DataFrame, questions: DataFrame, top_k: int = 10, threshold: float = 0.35) -> DataFrame:
-    """(query, path, name, kind, start_line, score): symbols (with dense score column, or 0) by the hybrid score."""
-    q = questions.select("query", text.code_tokens("question").alias("tokens"))
-    dense = F.col("dense") if "dense" in symbols.columns else F.lit(0.0)
-    rows = symbols.withColumn("dense", dense).crossJoin(F.broadcast(q))
-    rows = rows.withColumn("kw", code.token_match(F.col("tokens"), F.col("name"), F.concat_ws(" ", "signature", "docstring")))
-    any_lexical = F.max("kw").over(Window.partitionBy("query")) > 0
-    explicit = F.array_contains("tokens", F.col("name"))
-    scored = rows.withColumn("score", F.round(code.hybrid_score(F.col("dense"), F.col("kw"), F.col("kind"), explicit, F.size("tokens"), any_lexical), 6))
+    """(query, path, name, kind, start_line, score): symbols (with dense score column, or 0) by the hybrid score.
+
+    Symbols meet questions by their identifiers, so those without a word in common are looked at for their dense score only.
+    """
+    q = questions.select("query", text.code_tokens("question").alias("tokens")).where("size(tokens) > 0")
+    n = F.greatest(F.size("tokens"), F.lit(1))
+    asked = q.select("query", n.alias("n"), F.explode(F.array_distinct(F.transform("tokens", F.lower))).alias("token"))
+    named = q.select("query", F.explode("tokens").alias("name")).distinct().withColumn("explicit", F.lit(True))
+    keys = ["path", "name", "kind", "start_line"]
+    s = symbols.withColumn("dense", F.col("dense") if "dense" in symbols.columns else F.lit(0.0))
+    around = F.transform(text.all_matches(F.concat_ws(" ", "signature", "docstring"), "[A-Za-z_][A-Za-z0-9_]*"), F.lower)
+    words = F.array_distinct(F.concat(
+        F.transform(code.identifier_parts(F.col("name")), lambda x: F.struct(x.alias("token"), F.lit("part").alias("at"))),
+        F.transform(F.array_distinct(around), lambda x: F.struct(x.alias("token"), F.lit("around").alias("at"))), F.array(F.struct(F.lower("name").alias("token"), F.lit("whole").alias("at"))),
+    ))
+    flat = s.select(*keys, "dense", F.inline(words))
+    count = lambda k: F.count(F.when(F.col("at") == k, 1))
+    met = flat.join(asked, "token").groupBy("query", *keys, "dense", "n").agg(count("part").alias("_p"), count("around").alias("_a"), count("whole").alias("_w"))
+    kw = F.when(F.col("_w") > 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("_p") / F.col("n") + 0.3 * F.col("_a") / F.col("n")))
+    hits = reuse(met.withColumn("kw", kw).where("kw > 0").select("query", *keys, "dense", "n", "kw"))
+    lexical = hits.select("query").distinct().withColumn("any_lexical", F.lit(True))
+    strong = s.where(F.col("dense") >= threshold).select(*keys, "dense").join(bounded(q.select("query", n.alias("n"))), how="cross").join(hits.select("query", *keys), ["query", *keys], "left_anti").withColumn("kw", F.lit(0.0))
+    rows = hits.unionByName(strong.select(*hits.columns)).join(lexical, "query", "left").join(named, ["query", "name"], "left").fillna(False, ["any_lexical", "explicit"])
+    scored = rows.withColumn("score", F.round(code.hybrid_score(F.col("dense"), F.col("kw"), F.col("kind"), F.col("explicit"), F.col("n"), F.col("any_lexical")), 6))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "path", "start_line")
-    return scored.where((F.col("score") >= threshold) | explicit).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top_k).select("query", "path", "name", "kind", "start_line", "score")
+    return scored.where((F.col("score") >= threshold) | F.col("explicit")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top_k).select("query", *keys, "score")
 
 
-def code_evidence(candidates: DataFrame, sources: DataFrame, max_chars: int) -> DataFrame:
+def code_evidence(candidates: DataFrame, sources: DataFrame, max_chars: int, most: int = 48) -> DataFrame:
     """(query, path, start, end, body): ranges (query, path, start, end, priority) merged, diversified and packed under a budget.
 
-    Bodies that repeat an earlier one are left out.
+    A range that does not fit is cut to the lines around its anchor that do, or left out; bodies that repeat an earlier one
+    are left out. See omitted_evidence() for what is.
     """
-    merged = context.merge_ranges(candidates, ["query", "path"])
-    placed = context.diversify(merged, "query").where("place <= 48")
+    out = _packed(candidates, sources, max_chars, most).select("query", F.inline("f.out"))
+    return out.select("query", "path", "start", "end", "body")
+
+
+def omitted_evidence(candidates: DataFrame, sources: DataFrame, max_chars: int, most: int = 48) -> DataFrame:
+    """(query, used, beyond_limit, over_budget, repeated): what code_evidence() leaves out, and the characters it uses."""
+    p = _packed(candidates, sources, max_chars, most)
+    return p.select("query", F.col("f.used").alias("used"), "beyond_limit", F.col("f.omitted").alias("over_budget"), F.col("f.repeated").alias("repeated"))
+
+
+def _packed(candidates: DataFrame, sources: DataFrame, max_chars: int, most: int) -> DataFrame:
+    rows = candidates if "anchor" in candidates.columns else candidates.withColumn("anchor", F.col("start"))
+    placed = context.diversify(context.merge_ranges(rows, ["query", "path"]), "query")
+    beyond = placed.groupBy("query").agg(F.count(F.when(F.col("place") > most, 1)).alias("beyond_limit"))
     lines = sources.select("path", F.split("content", "\n").alias("lines"))
-    body = placed.join(lines, "path").withColumn("body", F.array_join(F.slice("lines", F.col("start"), F.col("end") - F.col("start") + 1), "\n"))
-    first = F.row_number().over(Window.partitionBy("query", F.md5(F.col("body").cast("binary"))).orderBy("place"))
-    unique = body.withColumn("nth", first).where("nth = 1").withColumn("size", F.length("body"))
-    return context.pack(unique, "query", ["place"], "size", max_chars).select("query", "path", "start", "end", "body")
+    window = F.slice("lines", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))
+    item = F.struct("place", "path", F.col("start").cast("int").alias("start"), F.least(F.col("end"), F.size("lines")).cast("int").alias("end"), F.col("anchor").cast("int").alias("anchor"), window.alias("lines"))
+    items = placed.where(F.col("place") <= most).join(lines, "path").groupBy("query").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("omitted"), F.lit(0).alias("repeated"), F.expr("CAST(array() AS array<string>)").alias("seen"), F.expr("CAST(array() AS array<struct<path:string,start:int,end:int,body:string>>)").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        left = F.lit(max_chars) - s["used"]
+        whole = F.array_join(x["lines"], "\n")
+        span = x["end"] - x["start"] + 1
+        target = F.greatest(F.lit(1), F.floor(span * left / F.greatest(F.length(whole), F.lit(1))).cast("int") - 1)
+        cut = (F.length(whole) > left) & (left > 0) & (target < span)
+        w = evidence.shrink(x["start"], x["end"], x["anchor"], target)
+        start, end = F.when(cut, w["start"]).otherwise(x["start"]).cast("int"), F.when(cut, w["end"]).otherwise(x["end"]).cast("int")
+        body = F.when(cut, F.array_join(F.slice(x["lines"], start - x["start"] + 1, end - start + 1), "\n")).otherwise(whole)
+        key = F.md5(body.cast("binary"))
+        big, again = F.length(body) > left, F.array_contains(s["seen"], key)
+        take = ~big & ~again
+        return F.struct(
+            (s["used"] + F.when(take, F.length(body)).otherwise(0)).cast("int").alias("used"), (s["omitted"] + big.cast("int")).alias("omitted"), (s["repeated"] + (~big & again).cast("int")).alias("repeated"),
+            F.when(take, F.array_append(s["seen"], key)).otherwise(s["seen"]).alias("seen"),
+            F.when(take, F.array_append(s["out"], F.struct(x["path"].alias("path"), start.alias("start"), end.alias("end"), body.alias("body")))).otherwise(s["out"]).alias("out"),
+        )
+
+    return items.withColumn("f", F.aggregate("items", zero, step)).join(beyond, "query")

@@ -346,3 +346,144 @@ def test_predictions_must_match_the_cases(spark):
     made = spark.createDataFrame([(1, False, ["a"], [], [])], "case long, refused boolean, cited array<string>, answer_values array<string>, cited_values array<string>")
     with pytest.raises(ValueError):
         evalm.answer_scores(cases, made)
+
+
+# --- C symbols and calls
+
+HEADER = """#pragma once
+int declared(int a);
+static inline int in_header(void) { return 1; }
+"""
+UNIT = """#include "util.h"
+#define LIMIT(x) ((x) + 1)
+typedef unsigned int u32;
+/* Counts the ticks. */
+static int ticks = 0;
+enum mode { SLOW, FAST = 4 };
+namespace board {
+class Led {
+ public:
+  void on() { set(1); }
+};
+enum class Color { Red, Green };
+}
+// starts
+// the board
+int start(int a,
+          int b)
+{
+  local();
+  in_header();
+  declared(1);
+  far_away();
+  twice();
+  nobody();
+  return a;
+}
+static void local(void) { start(1, 2); }
+"""
+OTHER = """int declared(int a) { return a; }
+int far_away(void) { return 1; }
+int twice(void) { return 1; }
+static int hidden(void) { return 1; }
+"""
+
+
+def test_symbols_and_calls_of_c(spark):
+    files = spark.createDataFrame([("a/unit.cpp", UNIT), ("a/util.h", HEADER), ("b/other.c", OTHER), ("b/third.c", "int twice(void) { return 2; }\n")], "path string, content string")
+    symbols = graph.c_symbols(files)
+    got = {(r["qualified_name"], r["kind"]): r for r in symbols.where("path = 'a/unit.cpp'").collect()}
+    assert set(got) == {("LIMIT", "macro"), ("u32", "typedef"), ("ticks", "variable"), ("mode", "enum"), ("SLOW", "enumerator"), ("FAST", "enumerator"), ("board::Led", "class"), ("board::Led::on", "method"), ("board::Color", "enum"), ("board::Color::Red", "enumerator"), ("board::Color::Green", "enumerator"), ("start", "function"), ("local", "function")}
+    assert got["ticks", "variable"]["linkage"] == "internal" and got["ticks", "variable"]["comment"] == "Counts the ticks."
+    assert got["start", "function"]["comment"] == "starts the board" and got["start", "function"]["signature"] == "int start(int a, int b)" and got["start", "function"]["end_line"] - got["start", "function"]["start_line"] == 10
+    calls = graph.resolve_c_calls(symbols, graph.c_relations(files), files.select("path"))
+    rows = {(r["target"], r["candidate"]): (r["src"], r["dst"], r["confidence"]) for r in calls.where("path = 'a/unit.cpp' AND src = 'a/unit.cpp::start'").collect()}
+    me = "a/unit.cpp::start"
+    assert rows == {
+        ("local", None): (me, "a/unit.cpp::local", "exact"), ("in_header", None): (me, "a/util.h::in_header", "resolved"), ("declared", None): (me, "b/other.c::declared", "resolved"),
+        ("far_away", None): (me, "b/other.c::far_away", "syntactic"), ("twice", "b/other.c::twice"): (me, None, "ambiguous"), ("twice", "b/third.c::twice"): (me, None, "ambiguous"), ("nobody", None): (me, None, "unresolved"),
+    }
+    assert graph.block_end(["def f():", "  a", "", "    b", "c"], 0) == 3
+
+
+def test_elf_files(spark):
+    import struct
+
+    from quarry.sources import elf
+
+    names, strings = b"\0.text\0.dynsym\0.dynstr\0.shstrtab\0", b"\0puts\0mine\0"
+    symbols = bytes(24) + struct.pack("<IBBHQQ", 1, 0x12, 0, 0, 0, 0) + struct.pack("<IBBHQQ", 6, 0x12, 0, 1, 0x40, 8)
+    body = names + strings + symbols
+    at = 64
+    section = lambda name, kind, off, size, link=0: struct.pack("<IIQQQQIIQQ", name, kind, 0, 0x10, off, size, link, 0, 0, 0)
+    heads = bytes(64) + section(1, 1, 0, 0) + section(7, 11, at + len(names) + len(strings), len(symbols), 3) + section(15, 3, at + len(names), len(strings)) + section(23, 3, at, len(names))
+    head = b"\x7fELF\x02\x01\x01" + bytes(9) + struct.pack("<HHIQQQIHHHHHH", 3, 62, 1, 0x99, 0, at + len(body), 0, 64, 0, 0, 64, 5, 4)
+    whole = head + body + heads
+    rows = elf.read_elf(spark.createDataFrame([("x.so", bytearray(whole)), ("cut.so", bytearray(whole[:-70])), ("text", bytearray(b"hello"))], "path string, content binary")).collect()
+    assert {r["path"] for r in rows} == {"x.so"}
+    assert [(r["name"], r["kind"], r["address"]) for r in rows if r["part"] == "header"] == [("x86-64", "DYN", 0x99)]
+    assert [(r["name"], r["part"], r["section"]) for r in rows if r["kind"] == "FUNC"] == [("puts", "import", ""), ("mine", "symbol", ".text")]
+
+
+def test_summaries_go_on_until_they_fit(spark):
+    from quarry.operators import providers
+
+    def plain(s, level=0):
+        if len(s) <= 50 or level == 5:
+            return s[:50]
+        return plain("\n".join(s[k : k + 50][:20] for k in range(0, len(s), 50)), level + 1)
+
+    docs = [(i, "".join(chr(97 + (i * k) % 26) for k in range(i * i))) for i in range(30)]
+    got = {r["doc_id"]: r["summary"] for r in providers.summaries(spark.createDataFrame(docs, "doc_id long, text string"), lambda p: p[:20], 50).collect()}
+    assert got == {i: plain(t) for i, t in docs}
+
+
+def test_too_many_chunks_without_a_context_are_an_error(spark):
+    from quarry.operators import providers
+
+    chunks = spark.createDataFrame([(i, f"t{i}", False) for i in range(10)], "id long, text string, generative boolean")
+    cache = spark.createDataFrame([], "fingerprint string, ctx string")
+    assert providers.generated_contexts(chunks, lambda p: "" if p in ("t1", "t2") else p, cache, F.col("text")).where("absent_reason IS NOT NULL").count() == 2
+    with pytest.raises(ValueError):
+        providers.generated_contexts(chunks, lambda p: "" if p < "t3" else p, cache, F.col("text"))
+
+
+def test_line_search_globs():
+    from quarry.operators import scope
+
+    globs = scope.line_search_globs()
+    assert {"*.py", "*.S", "*.s", "Makefile", "Kconfig.*"} <= set(globs) and len(globs) == len(set(globs))
+    assert [scope.literal_prefix(p) for p in ("/a/b/*.c", "a/b.c", "*.c", "/x", "/*/y")] == ["a/b", "a/b.c", None, "x", None]
+
+
+def test_symbol_search_against_the_score_of_every_pair(spark):
+    from quarry.functions import code
+
+    rng = random.Random(6)
+    names = ["loadConfig", "render_page", "Job", "start", "parse_http_header", "x1"]
+    rows = [(f"f{i}.py", rng.choice(names), rng.choice(["function", "class"]), i, rng.choice(["(a, config)", "(self)", ""]), rng.choice(["starts a job", "page", ""]), rng.choice([0.0, 0.4, 0.9])) for i in range(40)]
+    s = spark.createDataFrame(rows, "path string, name string, kind string, start_line int, signature string, docstring string, dense double")
+    q = spark.createDataFrame([(1, "where is loadConfig"), (2, "start the job page"), (3, "unrelated zebra"), (4, "parse header config")], "query long, question string")
+    tokens = q.select("query", text.code_tokens("question").alias("tokens"))
+    every = s.crossJoin(tokens).withColumn("kw", code.token_match(F.col("tokens"), F.col("name"), F.concat_ws(" ", "signature", "docstring")))
+    any_hit = {r["query"] for r in every.where("kw > 0").select("query").distinct().collect()}
+    explicit = F.array_contains("tokens", F.col("name"))
+    scored = every.withColumn("score", F.round(code.hybrid_score(F.col("dense"), F.col("kw"), F.col("kind"), explicit, F.size("tokens"), F.col("query").isin(list(any_hit))), 6)).where((F.col("score") >= 0.35) | explicit)
+    want = {}
+    for r in scored.collect():
+        want.setdefault(r["query"], []).append((-r["score"], r["path"], r["start_line"]))
+    got = {}
+    for r in knowledge.search_symbols(s, q).collect():
+        got.setdefault(r["query"], []).append((-r["score"], r["path"], r["start_line"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:10] for k, v in want.items()}
+
+
+def test_evidence_shrinks_to_fit(spark):
+    content = "\n".join(f"line {i:02d}" for i in range(1, 31))
+    c = spark.createDataFrame([(1, "a", 1, 10, 4, 90), (1, "b", 5, 24, 15, 80), (1, "c", 1, 10, 1, 70), (1, "a", 11, 12, 11, 10)], "query long, path string, start int, end int, anchor int, priority int")
+    src = spark.createDataFrame([("a", content), ("b", content), ("c", content)], "path string, content string")
+    rows = [(r["path"], r["start"], r["end"], len(r["body"])) for r in knowledge.code_evidence(c, src, 150).collect()]
+    assert rows[0] == ("a", 1, 12, 95) and rows[1][0] == "b" and rows[1][1] <= 15 <= rows[1][2] and sum(r[3] for r in rows) <= 150
+    gone = knowledge.omitted_evidence(c, src, 150).first()
+    assert gone["used"] == sum(r[3] for r in rows) and gone["over_budget"] + gone["repeated"] + len(rows) == 3 and gone["beyond_limit"] == 0
+    assert knowledge.omitted_evidence(c, src, 150, most=1).first()["beyond_limit"] == 2
