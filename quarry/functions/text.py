@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,9 +114,21 @@ def is_noisy(c: str | Column, top: Column | None = None) -> Column:
 
 
 def most_frequent_char_count(c: str | Column) -> Column:
-    """Occurrences of the most frequent character: what the text loses without each of its distinct characters."""
-    t = _col(c)
-    return F.coalesce(F.array_max(F.transform(F.array_distinct(F.split(t, "")), lambda ch: F.length(t) - F.length(F.replace(t, ch, F.lit(""))))), F.lit(0))
+    """Occurrences of the most frequent character, 0 for none; characters are counted in one pass over Arrow batches."""
+
+    @F.pandas_udf("int")
+    def top(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def count(s: str | None) -> int:
+            if not s:
+                return 0
+            codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+            return int(np.bincount(codes).max() if codes.max() < 1 << 16 else np.unique(codes, return_counts=True)[1].max())
+
+        return texts.map(count, na_action=None)
+
+    return top(_col(c))
 
 
 def estimate_tokens(c: str | Column) -> Column:
@@ -179,3 +192,24 @@ def chunk_key(source: Column, page: Column, index: Column, content: Column) -> C
 
 def node_id(path: Column, lang: Column, kind: Column, name: Column, extra: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("\x1f", path, lang, kind, name, extra).cast("binary")), 1, 24)
+
+
+#: Steps from HTML to Markdown, in order: what is dropped, links, headings, list marks, line ends, other tags, entities.
+MARKDOWN_STEPS = [
+    *[(rf"(?is)<{tag}\b.*?</{tag}>", " ") for tag in ("script", "style", "head", "nav", "noscript", "template")],
+    (r"(?s)<!--.*?-->", " "),
+    (r"(?is)<a\b[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)"),
+    *[(rf"(?i)<h{k}\b[^>]*>", "\n" + "#" * k + " ") for k in range(1, 7)],
+    (r"(?i)<li\b[^>]*>", "\n- "),
+    (r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|ul|ol|table|article|section|footer|header|pre|blockquote)>|<(p|div|tr|table|article|section|footer)\b[^>]*>", "\n"),
+    (r"<[^>]+>", ""),
+    ("&nbsp;|\u00a0", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "'"), ("&amp;", "&"),
+]
+
+
+def html_to_markdown(c: str | Column) -> Column:
+    """A page as Markdown: headings, lists, links and paragraphs; no scripts, styles or navigation."""
+    out = _col(c)
+    for pattern, by in MARKDOWN_STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    return out

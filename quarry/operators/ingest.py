@@ -203,12 +203,12 @@ NOISE_LINES = [
 
 
 def clean_lines(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, content) without navigation, legal, script-link and very short lines, and with at most two blank lines in a row."""
+    """(id, content, lines) without navigation, legal, script-link and very short lines, and with at most two blank lines in a row."""
     lines = pages.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("n", "line")).withColumn("s", F.trim("line"))
     w = Window.partitionBy(id_col).orderBy("n")
     blanks = lines.withColumn("run", F.sum(F.when(F.col("s") != "", 1).otherwise(0)).over(w)).withColumn("nth", F.row_number().over(Window.partitionBy(id_col, "run", F.col("s") == "").orderBy("n")))
     kept = blanks.where(F.when(F.col("s") == "", F.col("nth") <= 2).otherwise(~F.col("s").rlike("(?i)" + "|".join(NOISE_LINES)) & ((F.length("s") >= 3) | F.col("s").startswith("#"))))
-    return kept.groupBy(id_col).agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")).alias("content"))
+    return kept.groupBy(id_col).agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")).alias("content"), F.count("*").alias("lines"))
 
 
 # --- headings, windows and page geometry

@@ -24,7 +24,7 @@ def bm25_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def bm25_term_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, df, idf) over all documents."""
     n = docs.agg(F.count("*").alias("n"))
-    df = bm25_terms(docs, id_col, text_col).groupBy("term").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct(text.lexical_tokens(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
@@ -285,19 +285,26 @@ def mmr(pool: DataFrame, k: int, lam: float = DEFAULT.mmr_lambda) -> DataFrame:
 def jaccard_pairs(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, jaccard) of texts whose word sets reach the threshold.
 
-    Candidates share a word of their prefix: with words in ascending order of frequency, sets that reach the threshold
-    share one of their first |set| - ceil(threshold |set|) + 1 words. So no two texts without a rare word in common meet.
+    Texts with the same words meet as one. Candidates share a word of their prefix: with words in ascending order of
+    frequency, sets that reach the threshold share one of their first |set| - ceil(threshold |set|) + 1 words. So no two
+    texts without a rare word in common meet, nor two of too unlike sizes. Word sets are made once and stay with one side.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.array_distinct(text.all_matches(F.lower(F.col(text_col)), r"(?U)\b[a-z0-9_]+\b")).alias("words")).where(F.size("words") > 0)
-    flat = words.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    found = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(text.all_matches(F.lower(F.col(text_col)), r"(?U)\b[a-z0-9_]+\b"))).alias("words")).where(F.size("words") > 0)
+    members = reuse(found.withColumn("key", F.md5(F.array_join("words", " ").cast("binary"))))
+    sets = reuse(members.groupBy("key").agg(F.min("id").alias("rep"), F.first("words").alias("words")))
+    flat = sets.select("rep", F.size("words").alias("n"), F.explode("words").alias("word"))
     df = flat.groupBy("word").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("id").orderBy("df", "word")
+    w = Window.partitionBy("rep").orderBy("df", "word")
     prefix = flat.join(df, "word").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    a, b = prefix.select(F.col("id").alias("a"), "word", F.col("n").alias("na")), prefix.select(F.col("id").alias("b"), "word", F.col("n").alias("nb"))
-    pairs = a.join(b, "word").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    both = pairs.join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    side = lambda p: prefix.select(F.col("rep").alias(p), "word", F.col("n").alias(f"n{p}"))
+    pairs = side("a").join(side("b"), "word").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("words").alias("wa"), F.col("key").alias("ka")), "a").join(sets.select(F.col("rep").alias("b"), F.col("words").alias("wb"), F.col("key").alias("kb")), "b")
     common = F.size(F.array_intersect("wa", "wb"))
-    return both.withColumn("jaccard", common / (F.size("wa") + F.size("wb") - common)).where(F.col("jaccard") >= threshold).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    like = both.withColumn("jaccard", common / (F.size("wa") + F.size("wb") - common)).where(F.col("jaccard") >= threshold).select("ka", "kb", "jaccard")
+    name = lambda k, i: members.select(F.col("key").alias(k), F.col("id").alias(i))
+    across = like.join(name("ka", "x"), "ka").join(name("kb", "y"), "kb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("jaccard", 6).alias("jaccard"))
+    within = name("k", "a").join(name("k", "b"), "k").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    return across.unionByName(within)
 
 
 def greedy_dedup(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:

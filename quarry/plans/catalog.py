@@ -185,7 +185,10 @@ def claim_citations(spark, d):
     return answer.claim_counts(t(spark, d, "conversations").where("role = 'assistant'"), ["conv_id", "turn"])
 
 
-@query()
+@query(f"""
+WITH a AS (SELECT conv_id, turn, string_split(regexp_replace(text, '([。.!?！？])\\s*', '\\1' || chr(10), 'g'), chr(10)) AS l FROM conversations WHERE role = 'assistant'), s AS (SELECT conv_id, turn, unnest(l) AS s, generate_subscripts(l, 1) AS n FROM a),
+b AS (SELECT *, regexp_matches(trim(s), {_quote(answer.CLAIM)}) AND length(trim(s)) >= 15 AND NOT regexp_matches(trim(s), {_quote(answer.WHITELIST)}) AND NOT list_contains(regexp_extract_all(s, '(?i)REF\\s*(\\d+)', 1), '1') AS bad FROM s WHERE trim(s) <> '')
+SELECT conv_id, turn, coalesce(string_agg(trim(s), ' ' ORDER BY n) FILTER (NOT bad), '') AS answer, count(*) FILTER (bad) AS dropped FROM b GROUP BY ALL""")
 def evidence_filtered_answer(spark, d):
     return answer.evidence_only(t(spark, d, "conversations").where("role = 'assistant'"), ["conv_id", "turn"], F.array(F.lit("1")))
 
@@ -395,7 +398,12 @@ def jaccard_pairs(spark, d):
     return search.jaccard_pairs(t(spark, d, "documents"), config.DEFAULT.dedup_jaccard)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, {WORDS_SQL.format('text', '[a-z0-9_]+')} AS words FROM documents),
+j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.words, b.words)) AS i, len(a.words) + len(b.words) AS n FROM w a JOIN w b ON a.id < b.id AND len(a.words) > 0 AND len(b.words) > 0 AND least(len(a.words), len(b.words)) >= 0.85 * greatest(len(a.words), len(b.words))),
+p AS MATERIALIZED (SELECT a, b FROM j WHERE i / (n - i) >= 0.85), v AS MATERIALIZED (SELECT id, early, row_number() OVER (ORDER BY id) AS r FROM (SELECT b AS id, list(a) AS early FROM p GROUP BY b)),
+f AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS gone UNION ALL SELECT v.r, CASE WHEN len(list_filter(early, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, id) ELSE gone END FROM f JOIN v ON v.r = f.r + 1)
+SELECT doc_id FROM documents WHERE NOT list_contains((SELECT gone FROM f ORDER BY r DESC LIMIT 1), doc_id)""")
 def greedy_dedup(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
     return search.greedy_dedup(docs, search.jaccard_pairs(docs, config.DEFAULT.dedup_jaccard)).select("doc_id")
@@ -486,10 +494,20 @@ def url_names(spark, d):
     return t(spark, d, "pages").select("page_id", text.url_name("url").alias("name"))
 
 
-@query()
+def _markdown_sql(column: str) -> str:
+    for pattern, by in text.MARKDOWN_STEPS:
+        to = re.sub(r"\$(\d)", r"\\\1", by).replace("\n", "' || chr(10) || '").replace("'" * 2 + " || chr(10)", "'' || chr(10)")
+        column = f"regexp_replace({column}, {_quote(pattern)}, '{to if by != chr(39) else chr(39) * 2}', 'g')"
+    return column
+
+
+@query(f"""
+WITH l AS (SELECT page_id, unnest(string_split({_markdown_sql('html')}, chr(10))) AS line, generate_subscripts(string_split({_markdown_sql('html')}, chr(10)), 1) AS n FROM pages), s AS (SELECT *, trim(line) AS s FROM l),
+r AS (SELECT *, sum((s <> '')::INT) OVER (PARTITION BY page_id ORDER BY n) AS run FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY page_id, run, s = '' ORDER BY n) AS nth FROM r)
+SELECT page_id, md5(trim(coalesce(string_agg(line, chr(10) ORDER BY n), ''))) AS digest, count(*) AS lines FROM k WHERE CASE WHEN s = '' THEN nth <= 2 ELSE NOT regexp_matches(s, {_quote('(?i)' + '|'.join(ingest.NOISE_LINES))}) AND (length(s) >= 3 OR starts_with(s, '#')) END GROUP BY page_id""")
 def html_clean(spark, d):
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|head|nav)\b.*?</\1>|<!--.*?-->", " "), r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|ul|ol|table)>", "\n"), r"<[^>]+>", "")
-    return ingest.clean_lines(t(spark, d, "pages").select("page_id", plain.alias("plain")), "page_id", "plain")
+    clean = ingest.clean_lines(t(spark, d, "pages").select("page_id", text.html_to_markdown("html").alias("plain")), "page_id", "plain")
+    return clean.select("page_id", F.md5(F.col("content").cast("binary")).alias("digest"), "lines")
 
 
 # --- stores

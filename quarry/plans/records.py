@@ -26,7 +26,11 @@ def iou_components(spark, d):
     return layout.components(b, figures.iou_pairs(b, 0.2))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {BOXES}, e AS MATERIALIZED (SELECT page, x AS a, y AS b, round(o / (sa + sc - o), 6) AS iou FROM (SELECT a.page, a.id AS x, c.id AS y, {IOU} FROM b a JOIN b c ON a.page = c.page AND a.id < c.id) WHERE o / (sa + sc - o) >= 0.1),
+k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page ORDER BY iou DESC, a, b) AS r FROM e),
+m AS (SELECT page, a, b, iou, r, [a] AS ua, [b] AS ub, true AS ok FROM k WHERE r = 1 UNION ALL SELECT k.page, k.a, k.b, k.iou, k.r, CASE WHEN NOT list_contains(ua, k.a) AND NOT list_contains(ub, k.b) THEN list_append(ua, k.a) ELSE ua END, CASE WHEN NOT list_contains(ua, k.a) AND NOT list_contains(ub, k.b) THEN list_append(ub, k.b) ELSE ub END, NOT list_contains(ua, k.a) AND NOT list_contains(ub, k.b) FROM m JOIN k ON k.page = m.page AND k.r = m.r + 1)
+SELECT page, a, b, iou FROM m WHERE ok""")
 def box_matching(spark, d):
     return layout.one_to_one(figures.iou_pairs(_boxes(spark, d), 0.1))
 
@@ -130,7 +134,11 @@ def critical_tokens(spark, d):
     return t(spark, d, "pages").where(F.col("url").rlike("[0-9]")).select("page_id", F.array_join(F.array_sort(F.array_distinct(text.all_matches("url", "[0-9]+"))), ",").alias("numbers"), F.col("url").rlike("(?i)^https").alias("secure"))
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT doc_id, text, length(text) AS n FROM documents),
+s AS (SELECT doc_id, text, n, 0::BIGINT AS k, 0::BIGINT AS a, CASE WHEN n <= 2000 THEN n WHEN contains(substr(text, 1001, 1000), chr(10)) THEN 1000 + 1000 - position(chr(10) IN reverse(substr(text, 1001, 1000))) + 1 ELSE 2000 END AS e FROM c WHERE n > 0
+UNION ALL SELECT doc_id, text, n, k + 1, e, CASE WHEN n <= e + 2000 THEN n WHEN contains(substr(text, e + 1001, 1000), chr(10)) THEN e + 1000 + 1000 - position(chr(10) IN reverse(substr(text, e + 1001, 1000))) + 1 ELSE e + 2000 END FROM s WHERE e < n)
+SELECT doc_id, k::INT AS segment, a AS start, e AS "end" FROM s""")
 def segments(spark, d):
     return trimming.segments(t(spark, d, "documents"), 2000)
 
@@ -149,6 +157,9 @@ def trimmed_outputs(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", trimming.command_output(c, 200).alias("command"), trimming.file_output(c, 150).alias("file"))
 
 
-@query()
+@query(r"""
+WITH x AS (SELECT conv_id, turn, list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '') AS lines, regexp_extract_all(text, '[\w./-]+\.\w+:\d+') AS found FROM conversations),
+y AS (SELECT conv_id, turn, lines, list_filter(found, lambda v, i: list_position(found, v) = i)[1:20] AS places, list_filter(lines, lambda l: regexp_matches(l, '(?i)error|exception|traceback|fail|fatal|panic'))[1:5] AS errors FROM x)
+SELECT conv_id, turn, array_to_string(list_concat(places, errors, CASE WHEN len(lines) > 3 THEN lines[-3:] ELSE lines END), chr(10)) AS summary FROM y""")
 def old_output_summary(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", trimming.summary(F.col("text")).alias("summary"))
