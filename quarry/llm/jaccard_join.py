@@ -31,8 +31,8 @@ HASHES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-6
 #: Nodes and bytes of text of a block, about; the pairs of two blocks are compared in one group.
 BLOCK, BLOCK_BYTES = 256, 16 << 20
-#: A bucket is hot if it holds over this share of the texts; as each text is in BANDS buckets, BANDS / HOT are at most.
-HOT = 1e-3
+#: A bucket is hot if it holds over this share of the texts and this many; as each text is in BANDS buckets, BANDS / HOT are at most.
+HOT, LEAST_HOT = 1e-3, 1000
 _CELLS = 4_000_000
 #: A Bloom filter of the candidates' ids, 8 MB at most by Spark's default bound, is applied to the texts before a shuffle.
 PRUNE = {
@@ -222,10 +222,10 @@ def _owned(hashed: DataFrame, texts: int) -> DataFrame:
     Least nodes of buckets are combined where the rows are; where rows meet their bucket's, hot ones are dealt over sub-keys.
     """
     shared = materialize(hashed.groupBy("band", "h").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"), "shared")
-    hot = F.broadcast(shared.where(F.col("n") > max(HOT * texts, 1000)).select("band", "h", F.lit(True).alias("hot")))  # BANDS / HOT rows at most
+    hot = F.broadcast(shared.where(F.col("n") > max(HOT * texts, LEAST_HOT)).select("band", "h", F.lit(True).alias("hot")))  # BANDS / HOT rows at most
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.join(hot, ["band", "h"], "left").withColumn("sub", F.when(F.col("hot"), salt("node")).otherwise(0)).drop("hot")
+        return rows.join(hot, ["band", "h"], "left").withColumn("sub", F.when(F.col("hot"), salt("node", SALTS)).otherwise(0)).drop("hot")
 
     def spread_out(buckets: DataFrame) -> DataFrame:
         subs = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

@@ -114,3 +114,17 @@ def test_rows_without_ids_and_repeated_ids_in_blocks(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(D, "BLOCK_BYTES", 100)
     assert len(whole) == 6 and rows() == whole and [x[1] for x in whole] == [False, True, True, False, False, True]
+
+
+def test_common_qgrams_are_looked_at_in_parts(monkeypatch):
+    """Items that share their text, and a document full of it: the same matches with few places at a time."""
+    from quarry.llm import decontaminate as D
+    from quarry.llm import textvec
+
+    phrase = "the same long phrase stands in every item of this benchmark and nowhere else at all"
+    items = [(k, f"{phrase} number {k} ends with its own word{k} here") for k in range(12)] + [(None, "an item without an id that is long enough to be found")]
+    texts = [textvec.normal(t) for t in (f"{phrase} " * 5, "x y " + items[3][1] + " z", "nothing of it", "see an item without an id that is long enough to be found")]
+    whole = D.Index(items).matches(texts)
+    monkeypatch.setattr(D, "POSTINGS", 40)
+    assert D.Index(items).matches(texts) == whole
+    assert {x[0] for x in whole[1]} >= {3} and [x[0] for x in whole[3]] == [None] and not whole[2]

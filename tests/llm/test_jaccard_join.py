@@ -115,3 +115,25 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[4]["class_id"] == by[9]["class_id"] == 1 and by[1]["n_links"] == 2
     assert by[2]["class_id"] == by[6]["class_id"] == 2 and by[3]["n_copies"] == 3
     assert by[7]["n_copies"] == 2 and by[None]["class_id"] is None
+
+
+def test_null_and_repeated_ids_lose_no_links(spark):
+    """Links go by text: near copies without ids, and different texts under one id."""
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join([*base[:-1], f"x{i}"]) for i in range(4)]
+    other = " ".join(f"y{k}" for k in range(60))
+    rows = [(None, near[0], 0), (None, near[1], 1), (7, near[2], 2), (7, other, 3), (8, other, 4), (None, near[0], 5)]
+    got = {r["_c2"]: r for r in J.jaccard_rows(spark.createDataFrame(rows, "doc_id long, text string, tag int")).collect()}
+    assert [got[k]["n_links"] for k in range(6)] == [3, 3, 3, 1, 1, 3] and [got[k]["n_text_links"] for k in range(6)] == [2, 2, 2, 0, 0, 2]
+    assert {got[k]["class_id"] for k in (0, 1, 2, 5)} == {7} and {got[k]["class_id"] for k in (3, 4)} == {7}
+    assert sum(got[k]["kept"] for k in (0, 1, 2, 5)) == 1 and sum(got[k]["kept"] for k in (3, 4)) == 1
+
+
+def test_hot_buckets_are_dealt_over_sub_keys(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT", 0)
+    monkeypatch.setattr(J, "SALTS", 4)
+    monkeypatch.setattr(J, "LEAST_HOT", 3)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join([*base[:-1], f"x{i}"])) for i in range(12)] + [(100, "all alone here with some words")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _brute(rows)
