@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.functions import text
+from quarry.operators import trimming
 
 
 def budget(messages: DataFrame, context: int, key: str = "conv_id") -> DataFrame:
@@ -40,13 +41,27 @@ def run_lengths(events: DataFrame, key: list[str], value: Column, order: list[st
 
 
 def truncate_keep_errors(c: str | Column, limit: int, errors: int = 5) -> Column:
-    """Head of 30 %, tail of 70 % of limit, and the first error lines of what lies between."""
+    """Head of 30 %, tail of 70 % of limit, by whole lines, and the first error lines of what lies between."""
     t = F.col(c) if isinstance(c, str) else c
-    head, tail = int(limit * 0.3), limit - int(limit * 0.3)
-    middle = F.substring(t, F.lit(head + 1), F.length(t) - limit)
-    lines = F.slice(F.filter(F.split(middle, "\n"), lambda x: x.rlike("(?i)error|exception|traceback|fail|fatal|panic")), 1, errors)
-    cut = F.concat(F.left(t, F.lit(head)), F.lit("\n[... cut ...]\n"), F.array_join(lines, "\n"), F.lit("\n"), F.right(t, F.lit(tail)))
-    return F.when(F.length(t) <= limit, t).otherwise(cut)
+    head = int(limit * 0.3)
+    return F.when(F.length(t) <= limit, t).otherwise(trimming.cut_between(t, head, limit - head, errors, "[... cut ...]"))
+
+
+def fit_budget(messages: DataFrame, budget: int, recent: int = DEFAULT.recent_tool_outputs, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """messages (conv_id, turn, role, text) with fitted: under a budget of characters for each conversation.
+
+    Outputs of tools before the recent ones become summaries. If a conversation is still too long, its longest messages are
+    cut to one common length, the largest that fits; the others stay whole.
+    """
+    age = F.row_number().over(Window.partitionBy(key, "role").orderBy(F.desc(order)))
+    old = (F.col("role") == "tool") & (F.col("_age") > recent)
+    m = messages.withColumn("_age", age).withColumn("_s", F.when(old, trimming.summary(F.col("text"))).otherwise(F.coalesce("text", F.lit("")))).withColumn("_n", F.length("_s"))
+    by = Window.partitionBy(key).orderBy("_n", order)
+    before = F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.count("*").over(Window.partitionBy(key)) - F.row_number().over(by) + 1
+    level = F.floor((F.lit(budget) - before) / left)
+    m = m.withColumn("_level", F.greatest(level, F.lit(0))).withColumn("_cap", F.min(F.when(F.col("_n") > F.col("_level"), F.struct("_n", order, "_level"))).over(Window.partitionBy(key)))
+    return m.withColumn("fitted", F.when(F.col("_cap").isNull(), F.col("_s")).otherwise(F.left("_s", F.col("_cap._level").cast("int")))).drop("_age", "_s", "_n", "_level", "_cap")
 
 
 def rate(rows: DataFrame, ratings: DataFrame) -> DataFrame:

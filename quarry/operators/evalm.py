@@ -22,8 +22,21 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     return got.join(ideal, "query").select("query", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"), F.round(F.col("dcg") / F.col("idcg"), 6).alias("ndcg"))
 
 
-def family_summary(results: DataFrame, family: str, metrics: list[str]) -> DataFrame:
-    return results.groupBy(family).agg(F.count("*").alias("cases"), *[F.round(F.avg(m), 4).alias(m) for m in metrics])
+def family_summary(results: DataFrame, family: str, metrics: list[str], hits: list[str] | None = None) -> DataFrame:
+    """(family, cases, means of metrics, sums of hits)."""
+    return results.groupBy(family).agg(F.count("*").alias("cases"), *[F.round(F.avg(m), 4).alias(m) for m in metrics], *[F.sum(F.col(h).cast("int")).alias(h) for h in hits or []])
+
+
+def evaluate_lanes(lanes: dict[str, DataFrame], gold_files: DataFrame, gold_symbols: DataFrame, k: int) -> DataFrame:
+    """(lane, query, recall, mrr, symbol_recall) of several rankings (query, file, symbol, kind, score, ord) of the same questions."""
+    out = None
+    for name, ranked in lanes.items():
+        places = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "ord")))
+        f = file_metrics(best_per_file(ranked), gold_files, k).select("query", "recall", "mrr")
+        s = symbol_metrics(places, gold_symbols, k).select("query", F.col("recall").alias("symbol_recall"))
+        part = f.join(s, "query", "full_outer").withColumn("lane", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def stability(runs: DataFrame, case: str, value: str, limit: float = 0.1) -> DataFrame:

@@ -469,3 +469,79 @@ def fixed(stored: DataFrame, fixes: DataFrame, key: str) -> DataFrame:
     good = fixes.join(now, key).where(F.col("expected") == F.col("_now"))
     kept = stored.join(good.select(key), key, "left_anti")
     return kept.unionByName(good.select(key, (F.col("_now") + 1).alias("revision"), "content", F.lit("human_verified").alias("status")), allowMissingColumns=True)
+
+
+# --- plans, tiles and their checks
+
+
+def column_assignment_ok(filled: Column, expected: Column) -> Column:
+    """Whether a derived split into columns fills at least 0.6 of the cells that should not be empty."""
+    return F.coalesce((expected > 0) & (filled / expected >= 0.6), F.lit(False))
+
+
+def preflight(counts: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """counts (document, a column for each cap) that are within all caps; an error names the documents and counts that are not."""
+    over = F.filter(F.array(*[F.when(F.col(c) > most, F.lit(c)) for c, most in caps.items()]), lambda x: x.isNotNull())
+    bad = counts.withColumn("_over", over).where(F.size("_over") > 0).select("document", "_over").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['document']}: {', '.join(r['_over'])}" for r in bad))
+    return counts
+
+
+def tiles(boxes: DataFrame, glyph: float = 9.0, pixels_per_glyph: int = 16, patch: int = 28, budget: int = 4096) -> DataFrame:
+    """(id, tile, y0, y1, scale, tokens) of boxes (id, x0, y0, x1, y1): horizontal strips whose glyphs are tall enough and whose patches fit.
+
+    A strip is as wide as its box and one glyph overlaps the next; each costs a token for a patch of its pixels.
+    """
+    scale = F.lit(pixels_per_glyph / glyph)
+    across = F.ceil((F.col("x1") - F.col("x0")) * scale / patch) + 1
+    rows = F.greatest(F.floor(budget / across) - 1, F.lit(1))
+    high = rows * patch / scale
+    n = F.greatest(F.ceil((F.col("y1") - F.col("y0") - glyph) / F.greatest(high - glyph, F.lit(glyph))), F.lit(1)).cast("int")
+    b = boxes.withColumn("_h", high).withColumn("_a", across).withColumn("_n", n)
+    t = b.withColumn("tile", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    step = F.greatest(F.col("_h") - glyph, F.lit(glyph))
+    y0 = F.col("y0") + (F.col("tile") - 1) * step
+    y1 = F.least(y0 + F.col("_h"), F.col("y1"))
+    return t.select("id", "tile", F.round(y0, 4).alias("y0"), F.round(y1, 4).alias("y1"), F.round(scale, 6).alias("scale"), (F.col("_a") * (F.ceil((y1 - y0) * scale / patch) + 1)).cast("long").alias("tokens"))
+
+
+def stitched(parts: Column, most: int = 50) -> Column:
+    """The lines of tiles (array of arrays) one after the other, without what a tile repeats of the end of those before it."""
+    from quarry.functions.code import longest_overlap
+
+    none = F.array().cast("array<string>")
+    return F.aggregate(parts, none, lambda acc, x: F.concat(acc, F.slice(x, longest_overlap(acc, x, most) + 1, F.greatest(F.size(x), F.lit(1)))))
+
+
+def alignment_verdicts(cells: DataFrame, channel: DataFrame, key: str) -> DataFrame:
+    """(key, row, col, verdict) of payload cells (key, row, col, text) against one channel's (key, row, col, text).
+
+    Rows are paired by the rows of the channel that share the most cells with them, in order; ties by the earlier row. A cell
+    is a match, differs, or has no partner.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    a = cells.select(key, "row", "col", flat(F.col("text")).alias("text"))
+    b = channel.select(key, F.col("row").alias("other"), "col", flat(F.col("text")).alias("seen"))
+    votes = a.join(b, [key, "col"]).where((F.col("text") == F.col("seen")) & (F.col("text") != "")).groupBy(key, "row", "other").agg(F.count("*").alias("n"))
+    best = votes.withColumn("_k", F.row_number().over(Window.partitionBy(key, "row").orderBy(F.desc("n"), F.abs(F.col("row") - F.col("other")), "other"))).where("_k = 1").select(key, "row", "other")
+    j = a.join(best, [key, "row"], "left").join(b, [key, "other", "col"], "left")
+    return j.select(key, "row", "col", F.when(F.col("seen").isNull(), "none").when(F.col("text") == F.col("seen"), "match").otherwise("differ").alias("verdict"))
+
+
+def native_checks(verdicts: DataFrame, key: str, rows: Column, channel_rows: Column, header_same: Column, channels: Column) -> DataFrame:
+    """(key, second_channel, header_agreement, row_count_agreement, text_agreement) of alignment_verdicts() joined with per-figure columns."""
+    judged = F.col("verdict") != "none"
+    return verdicts.groupBy(key).agg(
+        (F.max(channels) >= 2).alias("second_channel"), F.bool_and(header_same).alias("header_agreement"), (F.max(rows) == F.max(channel_rows)).alias("row_count_agreement"),
+        (F.coalesce(F.bool_and(F.when(judged, F.col("verdict") == "match")), F.lit(False))).alias("text_agreement"),
+    )
+
+
+def valid_variant(v: Column) -> Column:
+    """Why the record of a rendered picture (id, kind, width, height, digest, box) is refused, '' if it is not."""
+    box = v["box"]
+    return (
+        F.when(F.coalesce(v["id"], F.lit("")) == "", "id").when(~F.coalesce(v["kind"].isin("page", "crop", "tile"), F.lit(False)), "kind").when(~F.coalesce((v["width"] > 0) & (v["height"] > 0), F.lit(False)), "size")
+        .when(~F.coalesce(v["digest"].rlike("^[0-9a-f]{64}$"), F.lit(False)), "digest").when((v["kind"] != "page") & ~F.coalesce((F.size(box) == 4) & (F.get(box, F.lit(0)) < F.get(box, F.lit(2))) & (F.get(box, F.lit(1)) < F.get(box, F.lit(3))), F.lit(False)), "box").otherwise("")
+    )

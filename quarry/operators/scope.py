@@ -118,6 +118,14 @@ class Scope:
         return F.sha2(F.to_json(F.array(*[F.array(*map(F.lit, sorted(r))) if r else F.array().cast("array<string>") for r in rules])), 256)
 
 
+def config_for(roots: DataFrame, configs: DataFrame) -> DataFrame:
+    """roots (root) with the config (prefix, name) of the longest prefix that holds the root; null without any."""
+    r = roots.withColumn("_r", F.concat(F.regexp_replace("root", "/+$", ""), F.lit("/")))
+    prefixes = r.withColumn("_p", F.explode(F.transform(ancestors(F.regexp_replace("_r", "/$", "")), lambda x: x)))
+    c = configs.select(F.regexp_replace("prefix", "/+$", "").alias("_p"), "name")
+    return prefixes.join(c, "_p", "left").groupBy("root").agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.length("_p"))).alias("name"))
+
+
 def _hit(path: Column, globs: list[str]) -> Column:
     return path.rlike("|".join(glob_pattern(g) for g in globs)) if globs else F.lit(False)
 

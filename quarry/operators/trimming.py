@@ -44,17 +44,39 @@ def centered(c: Column, center: Column, budget: int) -> Column:
     return F.substring(c, start + 1, F.lit(budget))
 
 
+def head_chars(c: Column, limit: int) -> Column:
+    """Characters of the whole lines within the first limit ones, their last line end left out; limit if a line is longer."""
+    cut = F.left(c, F.lit(limit))
+    return F.when(F.contains(cut, F.lit("\n")), F.length(cut) - F.length(F.substring_index(cut, "\n", -1)) - 1).otherwise(F.length(cut)).cast("int")
+
+
+def tail_chars(c: Column, limit: int) -> Column:
+    """Characters of the whole lines within the last limit ones; limit if a line is longer."""
+    cut = F.right(c, F.lit(limit))
+    return F.when(F.contains(cut, F.lit("\n")), F.length(cut) - F.length(F.substring_index(cut, "\n", 1)) - 1).otherwise(F.length(cut)).cast("int")
+
+
+def cut_between(c: Column, head: int, tail: int, errors: int, mark: str) -> Column:
+    """Whole lines of the head and the tail, and between them, behind marks, the first error lines of what is left out."""
+    a, b = head_chars(c, head), tail_chars(c, tail)
+    middle = F.substring(c, a + 1, F.length(c) - a - b)
+    found = F.slice(F.filter(F.split(middle, "\n"), lambda x: x.rlike(ERROR)), 1, errors)
+    return F.concat_ws("\n", F.left(c, a), F.lit(mark), F.when(F.size(found) > 0, F.array_join(F.array_append(found, F.lit(mark)), "\n")), F.right(c, b))
+
+
 def command_output(c: Column, limit: int, errors: int = 8) -> Column:
-    """Head and tail of half of limit each, and the first error lines between them."""
+    """Head and tail of half of limit each, by whole lines, and the first error lines between them."""
     half = limit // 2
-    middle = F.substring(c, F.lit(half + 1), F.length(c) - 2 * half)
-    found = F.slice(F.filter(F.split(middle, "\n"), lambda x: x.rlike(ERROR)), 1, errors)
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.left(c, F.lit(half)), F.lit("\n[...]\n"), F.array_join(found, "\n"), F.lit("\n[...]\n"), F.right(c, F.lit(half))))
+    return F.when(F.length(c) <= limit, c).otherwise(cut_between(c, half, half, errors, "[...]"))
 
 
 def file_output(c: Column, limit: int) -> Column:
-    """The first line and as much of the rest as fits, with a mark where it is cut."""
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.left(c, F.lit(limit)), F.lit("\n[... "), (F.length(c) - limit).cast("string"), F.lit(" more characters ...]")))
+    """A header line (=== ... ===) and as many whole lines of the rest as fit, with a mark where it is cut."""
+    header = F.regexp_extract(c, r"^(=== [^\n]* ===\n)", 1)
+    body = F.substring(c, F.length(header) + 1, F.length(c))
+    kept = head_chars(body, limit)
+    cut = F.concat(header, F.left(body, kept), F.lit("\n[... "), (F.length(body) - kept).cast("string"), F.lit(" more characters ...]"))
+    return F.when(F.length(body) <= limit, c).otherwise(cut)
 
 
 def middle_cut(c: Column, limit: int) -> Column:

@@ -221,13 +221,6 @@ def tool_run_length(spark, d):
     return conversations.run_lengths(t(spark, d, "events"), ["user_id"], F.col("event_type"), ["ts", "event_id"]).select("event_id", "user_id", "event_type", "run_length")
 
 
-@query("""
-SELECT conv_id, turn, CASE WHEN length(text) <= 400 THEN text ELSE left(text, 120) || chr(10) || '[... cut ...]' || chr(10) ||
-array_to_string(list_filter(string_split(substr(text, 121, length(text) - 400), chr(10)), lambda x: regexp_matches(x, '(?i)error|exception|traceback|fail|fatal|panic'))[1:5], chr(10)) || chr(10) || right(text, 280) END AS cut FROM conversations""")
-def smart_truncate(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", conversations.truncate_keep_errors("text", 400).alias("cut"))
-
-
 _RATED = "(SELECT l.doc_id, CASE WHEN toxic = 1 THEN -1 WHEN quality = 1 THEN 1 ELSE 0 END AS rating FROM documents d LEFT JOIN labels l USING (doc_id))"
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.functions import text
-from quarry.operators import figures, layout, records, store, trimming
+from quarry.operators import conversations, evalm, figures, layout, payloads, records, scope, store, trimming
 from quarry.plans.registry import query, t
 
 BOXES = "b AS (SELECT p_size AS page, p_partkey AS id, (p_partkey * 37 % 500)::DOUBLE AS x0, (p_partkey * 53 % 700)::DOUBLE AS y0, p_partkey * 37 % 500 + 40.0 + p_partkey % 90 AS x1, p_partkey * 53 % 700 + 30.0 + p_partkey % 70 AS y1 FROM part)"
@@ -148,10 +149,17 @@ def centered_slice(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(trimming.centered(F.col("text"), F.floor(F.length("text") / 3).cast("int"), 500).cast("binary")).alias("digest"))
 
 
-_CUT = "array_to_string(list_filter(string_split(substr(text, 101, length(text) - 200), chr(10)), lambda x: regexp_matches(x, '(?i)error|exception|traceback|fail|fatal|panic'))[1:8], chr(10))"
+def cut_sql(head: int, tail: int, errors: int, mark: str) -> str:
+    a = f"CASE WHEN contains(left(text, {head}), chr(10)) THEN {head} - position(chr(10) IN reverse(left(text, {head}))) ELSE {head} END"
+    b = f"CASE WHEN contains(right(text, {tail}), chr(10)) THEN {tail} - position(chr(10) IN right(text, {tail})) ELSE {tail} END"
+    found = f"list_filter(string_split(substr(text, {a} + 1, length(text) - ({a}) - ({b})), chr(10)), lambda x: regexp_matches(x, '(?i)error|exception|traceback|fail|fatal|panic'))[1:{errors}]"
+    return f"left(text, {a}) || chr(10) || '{mark}' || chr(10) || CASE WHEN len({found}) > 0 THEN array_to_string({found}, chr(10)) || chr(10) || '{mark}' || chr(10) ELSE '' END || CASE WHEN {b} = 0 THEN '' ELSE right(text, {b}) END"
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 100) || chr(10) || '[...]' || chr(10) || {_CUT} || chr(10) || '[...]' || chr(10) || right(text, 100) END AS command, CASE WHEN length(text) <= 150 THEN text ELSE left(text, 150) || chr(10) || '[... ' || (length(text) - 150) || ' more characters ...]' END AS file FROM conversations")
+_KEPT = "CASE WHEN contains(left(text, 150), chr(10)) THEN 150 - position(chr(10) IN reverse(left(text, 150))) ELSE 150 END"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN length(text) <= 200 THEN text ELSE {cut_sql(100, 100, 8, '[...]')} END AS command, CASE WHEN length(text) <= 150 THEN text ELSE left(text, {_KEPT}) || chr(10) || '[... ' || (length(text) - ({_KEPT})) || ' more characters ...]' END AS file FROM conversations")
 def trimmed_outputs(spark, d):
     c = F.col("text")
     return t(spark, d, "conversations").select("conv_id", "turn", trimming.command_output(c, 200).alias("command"), trimming.file_output(c, 150).alias("file"))
@@ -163,3 +171,74 @@ y AS (SELECT conv_id, turn, lines, list_filter(found, lambda v, i: list_position
 SELECT conv_id, turn, array_to_string(list_concat(places, errors, CASE WHEN len(lines) > 3 THEN lines[-3:] ELSE lines END), chr(10)) AS summary FROM y""")
 def old_output_summary(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", trimming.summary(F.col("text")).alias("summary"))
+
+
+@query("""
+WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS age FROM conversations WHERE role <> 'tool'), n AS (SELECT conv_id, turn, text, length(text) AS n FROM m),
+l AS (SELECT *, greatest(floor((800 - coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY n, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY n, turn) + 1)), 0) AS level FROM n),
+c AS (SELECT conv_id, arg_min(level, n * 100000 + turn) AS cap FROM l WHERE n > level GROUP BY conv_id) SELECT conv_id, turn, CASE WHEN cap IS NULL THEN text ELSE left(text, cap::BIGINT) END AS fitted FROM n LEFT JOIN c USING (conv_id)""")
+def fitted_conversations(spark, d):
+    """Conversations without tool outputs under 800 characters each; summaries of tool outputs are those of old_output_summary."""
+    return conversations.fit_budget(t(spark, d, "conversations").where("role <> 'tool'"), 800).select("conv_id", "turn", "fitted")
+
+
+@query("SELECT o_custkey AS document, count(*) AS figures, count(*) FILTER (o_orderstatus = 'F') AS pages FROM orders GROUP BY o_custkey")
+def preflight_counts(spark, d):
+    c = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("document")).agg(F.count("*").alias("figures"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("pages"))
+    return payloads.preflight(c, {"figures": 10_000, "pages": 10_000})
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(l_suppkey > 0 AND l_quantity / nullif(l_suppkey * 5, 0) >= 0.6, false) AS ok FROM lineitem")
+def column_assignments(spark, d):
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", payloads.column_assignment_ok(F.col("l_quantity"), F.col("l_suppkey") * 5).alias("ok"))
+
+
+@query("""
+WITH a AS (SELECT l_orderkey AS k, l_linenumber AS row, 1 AS col, l_partkey::VARCHAR AS text FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1 UNION ALL SELECT l_orderkey, l_linenumber, 2, l_returnflag FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1),
+b AS (SELECT k, row + 1 AS other, col, CASE WHEN row = 3 AND col = 2 THEN 'Z' ELSE text END AS seen FROM a WHERE row <> 5),
+v AS (SELECT a.k, a.row, b.other, count(*) AS n FROM a JOIN b ON a.k = b.k AND a.col = b.col AND text = seen GROUP BY ALL), s AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY k, row ORDER BY n DESC, abs(row - other), other) = 1)
+SELECT a.k, a.row, a.col, CASE WHEN seen IS NULL THEN 'none' WHEN text = seen THEN 'match' ELSE 'differ' END AS verdict FROM a LEFT JOIN s ON a.k = s.k AND a.row = s.row LEFT JOIN b ON b.k = a.k AND b.other = s.other AND b.col = a.col""")
+def alignment_verdicts(spark, d):
+    li = t(spark, d, "lineitem").withColumn("_n", F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber"))).where("_n = 1")
+    a = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("row"), F.posexplode(F.array(F.col("l_partkey").cast("string"), "l_returnflag")).alias("col", "text")).withColumn("col", F.col("col") + 1)
+    b = a.where("row <> 5").withColumn("text", F.when((F.col("row") == 3) & (F.col("col") == 2), "Z").otherwise(F.col("text"))).withColumn("row", F.col("row") + 1)
+    return payloads.alignment_verdicts(a, b, "k")
+
+
+@query("SELECT conv_id, array_to_string(list_concat(['a', 'b'], list_transform(list(turn ORDER BY turn), lambda x: 't' || x)), ',') AS lines FROM conversations GROUP BY conv_id")
+def stitched_tiles(spark, d):
+    """Two tiles of a conversation's turns: the second repeats the end of the first."""
+    turns = F.transform(F.array_sort(F.collect_list("turn")), lambda x: F.concat(F.lit("t"), x.cast("string")))
+    c = t(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("x"))
+    first = F.concat(F.array(F.lit("a"), F.lit("b")), F.slice("x", F.lit(1), F.greatest(F.floor(F.size("x") / 2), F.lit(1)).cast("int")))
+    return c.select("conv_id", F.array_join(payloads.stitched(F.array(first, F.col("x"))), ",").alias("lines"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'id' WHEN p_partkey % 5 = 0 THEN 'kind' WHEN p_size % 9 = 0 THEN 'size' WHEN p_partkey % 4 = 0 THEN 'digest' WHEN p_partkey % 3 = 0 THEN 'box' ELSE '' END AS refused FROM part")
+def refused_variants(spark, d):
+    k = F.col("p_partkey")
+    v = F.struct(F.when(k % 7 != 0, "v").alias("id"), F.when(k % 5 == 0, "other").otherwise("crop").alias("kind"), F.when(F.col("p_size") % 9 == 0, 0).otherwise(10).alias("width"), F.lit(5).alias("height"), F.when(k % 4 == 0, "x").otherwise(F.repeat(F.lit("a"), 64)).alias("digest"), F.when(k % 3 == 0, F.array(F.lit(5.0), F.lit(0.0), F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(2.0))).alias("box"))
+    return t(spark, d, "part").select(k.alias("id"), payloads.valid_variant(v).alias("refused"))
+
+
+@query("WITH r AS (SELECT c_custkey, '/w/' || c_nationkey || '/' || c_mktsegment || '/x' AS root FROM customer) SELECT DISTINCT root, CASE WHEN contains(root, 'FURNITURE') AND starts_with(root, '/w/3/') THEN 'inner' WHEN starts_with(root, '/w/3/') THEN 'outer' END AS name FROM r")
+def scope_configs(spark, d):
+    roots = t(spark, d, "customer").select(F.concat(F.lit("/w/"), F.col("c_nationkey").cast("string"), F.lit("/"), "c_mktsegment", F.lit("/x")).alias("root")).distinct()
+    return scope.config_for(roots, spark.createDataFrame([("/w/3/", "outer"), ("/w/3/FURNITURE", "inner"), ("/w/33", "none")], "prefix string, name string"))
+
+
+@query()
+def figure_tiles(spark, d):
+    b = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("p_size") * 20.0).alias("x1"), (F.col("p_size") * 90.0).alias("y1"))
+    return payloads.tiles(b)
+
+
+@query("WITH g AS (SELECT lang AS family, count(*) AS cases, round(avg(quality), 4) AS quality, sum(toxic)::BIGINT AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang) SELECT * FROM g")
+def family_hits(spark, d):
+    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").withColumnRenamed("lang", "family")
+    return evalm.family_summary(rows, "family", ["quality"], ["toxic"])
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN length(text) <= 400 THEN text ELSE {cut_sql(120, 280, 5, '[... cut ...]')} END AS cut FROM conversations")
+def smart_truncate(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", conversations.truncate_keep_errors("text", 400).alias("cut"))

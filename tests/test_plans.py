@@ -487,3 +487,23 @@ def test_evidence_shrinks_to_fit(spark):
     gone = knowledge.omitted_evidence(c, src, 150).first()
     assert gone["used"] == sum(r[3] for r in rows) and gone["over_budget"] + gone["repeated"] + len(rows) == 3 and gone["beyond_limit"] == 0
     assert knowledge.omitted_evidence(c, src, 150, most=1).first()["beyond_limit"] == 2
+
+
+def test_tiles_cover_their_box_within_the_budget(spark):
+    boxes = spark.createDataFrame([(i, 0.0, 5.0, 20.0 * (i + 1), 5.0 + 97.0 * (i + 1)) for i in range(12)], "id int, x0 double, y0 double, x1 double, y1 double")
+    rows = payloads.tiles(boxes).orderBy("id", "tile").collect()
+    for i in range(12):
+        t = [r for r in rows if r["id"] == i]
+        assert t[0]["y0"] == 5.0 and t[-1]["y1"] == pytest.approx(5.0 + 97.0 * (i + 1)) and all(r["tokens"] <= 4096 for r in t)
+        assert all(a["y1"] - b["y0"] >= 8.99 for a, b in zip(t, t[1:], strict=False))
+    counts = spark.createDataFrame([("a", 3), ("b", 9)], "document string, figures int")
+    assert payloads.preflight(counts, {"figures": 9}).count() == 2
+    with pytest.raises(ValueError):
+        payloads.preflight(counts, {"figures": 8})
+
+
+def test_lanes_are_scored_alike(spark):
+    ranked = spark.createDataFrame([(1, "f1", "s1", "def", 0.9, 1), (1, "f2", "s2", "def", 0.8, 2)], "query long, file string, symbol string, kind string, score double, ord int")
+    gold = spark.createDataFrame([(1, "f2", "s1")], "query long, file string, symbol string")
+    got = {r["lane"]: (r["recall"], r["mrr"], r["symbol_recall"]) for r in evalm.evaluate_lanes({"a": ranked, "b": ranked.where("ord = 1")}, gold.select("query", "file"), gold.select("query", "symbol"), 5).collect()}
+    assert got == {"a": (1.0, 0.5, 1.0), "b": (0.0, 0.0, 1.0)}
