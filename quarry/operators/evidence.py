@@ -56,7 +56,7 @@ def lexical_hits(terms: DataFrame, symbols: DataFrame) -> DataFrame:
 def index_candidates(hits: DataFrame, most: int = 24) -> DataFrame:
     """(query, path, start, end, symbol, reason, priority) of lexical_hits(), the best of each query."""
     priority = F.lit(64.0) + F.least(F.lit(21.0), F.col("hits") * 3.0) + F.when(F.col("phrase"), 6.0).otherwise(0.0)
-    w = Window.partitionBy("query").orderBy(F.desc("priority"), "path", "line", "symbol")
+    w = Window.partitionBy("query").orderBy(F.desc("priority"), "path", "line", "symbol", "end_line")
     top = hits.withColumn("priority", priority).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).withColumn("w", symbol_window(F.col("line"), F.col("end_line")))
     return top.select("query", "path", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "symbol", path_reason("path").alias("reason"), "priority")
 
@@ -69,7 +69,7 @@ def line_candidates(lines: DataFrame) -> DataFrame:
 
 def file_candidates(files: DataFrame, hits: DataFrame) -> DataFrame:
     """(query, path, start, end, symbol): of files (query, path) the symbol with the most hits, else the file's head."""
-    w = Window.partitionBy("query", "path").orderBy(F.desc("hits"), "line", "symbol")
+    w = Window.partitionBy("query", "path").orderBy(F.desc("hits"), "line", "symbol", "end_line")
     best = hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("w", symbol_window(F.col("line"), F.col("end_line")))
     j = files.join(best.select("query", "path", "symbol", "w"), ["query", "path"], "left")
     return j.select("query", "path", F.coalesce("w.start", F.lit(1)).alias("start"), F.coalesce("w.end", F.lit(FILE_LINES)).alias("end"), F.coalesce("symbol", F.lit("")).alias("symbol"))

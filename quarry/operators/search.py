@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.functions import text, vectors
-from quarry.plans.bounded import blocks
+from quarry.plans.bounded import blocks, bounded
 from quarry.plans.reuse import reuse
 from quarry.shipping import ensure_importable
 
@@ -64,9 +64,9 @@ def keyword_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id",
 
 
 def dense_scores(vecs: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query", query_vec: str = "qv") -> DataFrame:
-    """(query, id, score): exact cosine of every query with every vector; queries are a bounded set."""
+    """(query, id, score): exact cosine of every query with every vector, for a bounded set of queries whose size is checked."""
     q = queries.select(F.col(query_id).alias("query"), vectors.normalize(F.col(query_vec)).alias("qv"))
-    return vecs.select(F.col(id_col).alias("id"), vectors.normalize(F.col(vec_col)).alias("v")).crossJoin(F.broadcast(q)).select("query", "id", F.round(vectors.dot(F.col("v"), F.col("qv")), 6).alias("score"))
+    return vecs.select(F.col(id_col).alias("id"), vectors.normalize(F.col(vec_col)).alias("v")).crossJoin(bounded(q)).select("query", "id", F.round(vectors.dot(F.col("v"), F.col("qv")), 6).alias("score"))
 
 
 def dense_top(vecs: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query", query_vec: str = "qv", skip_self: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from quarry import config
 from quarry.functions import code, text, vectors
 from quarry.operators import answer, context, conversations, evalm, figures, graph, ingest, search, store
 from quarry.plans import knowledge, samples
+from quarry.plans.bounded import bounded
 from quarry.plans.registry import query, t
 from quarry.sources import readers
 from quarry.streaming import ingest as streaming
@@ -288,7 +289,7 @@ def _label_rank(spark: SparkSession, d: str) -> DataFrame:
     """A second ranking of the same vectors: those of the query's label first."""
     e = t(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("qlabel"))
-    rows = e.crossJoin(F.broadcast(q)).select("query", F.col("vec_id").alias("id"), (F.col("label") == F.col("qlabel")).cast("int").alias("score"))
+    rows = e.crossJoin(bounded(q)).select("query", F.col("vec_id").alias("id"), (F.col("label") == F.col("qlabel")).cast("int").alias("score"))
     return search.top_k(rows, 20)
 
 
@@ -606,7 +607,7 @@ def graph_paths(spark, d):
     e = t(spark, d, "lineitem").join(t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     edges = e.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
     n = t(spark, d, "nation").select("n_nationkey")
-    pairs = n.select(F.col("n_nationkey").alias("src")).crossJoin(F.broadcast(n.select(F.col("n_nationkey").alias("dst")))).where("src <> dst")
+    pairs = n.select(F.col("n_nationkey").alias("src")).crossJoin(bounded(n.select(F.col("n_nationkey").alias("dst")))).where("src <> dst")
     return graph.paths(edges, pairs, 2)
 
 
@@ -698,7 +699,7 @@ def recall_mrr_ndcg(spark, d):
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "label")
-    return e.join(F.broadcast(q), "label").select("query", F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, 2).otherwise(1).alias("grade"))
+    return e.join(q, "label").select("query", F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, 2).otherwise(1).alias("grade"))
 
 
 @query("SELECT lang AS family, count(*) AS cases, round(avg(quality), 4) AS quality, round(avg(toxic), 4) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang")
