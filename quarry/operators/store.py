@@ -33,20 +33,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def _pointer(spark: SparkSession, path: str) -> tuple[int, list[str]]:
-    """Number and generations of the newest pointer; (0, []) of a store that was never published."""
+_POINTER = "number long, generations array<string>, key string"
+
+
+def _pointer(spark: SparkSession, path: str) -> tuple[int, list[str], str | None]:
+    """Number, generations and key of the newest pointer; (0, [], None) of a store that was never published."""
     if exists(spark, f"{path}/pointers"):
-        row = spark.read.schema("number long, generations array<string>").json(f"{path}/pointers").orderBy(F.desc("number"), F.desc(F.array_join("generations", " "))).first()
+        row = spark.read.schema(_POINTER).json(f"{path}/pointers").orderBy(F.desc("number"), F.desc(F.array_join("generations", " "))).first()
         if row is not None:
-            return row["number"], list(row["generations"])
+            return row["number"], list(row["generations"]), row["key"]
     if exists(spark, f"{path}/generations"):
         raise ValueError(f"{path} has generations but no pointer to one; it is not taken for an empty store")
-    return 0, []
+    return 0, [], None
 
 
-def _switch(spark: SparkSession, path: str, generations: list[str], number: int) -> None:
+def _switch(spark: SparkSession, path: str, generations: list[str], number: int, key: str | None = None) -> None:
     # pointers are only ever added, each as one file that appears whole; a crash leaves the one before
-    spark.createDataFrame([(number, generations)], "number long, generations array<string>").coalesce(1).write.mode("append").json(f"{path}/pointers")
+    spark.createDataFrame([(number, generations, key)], _POINTER).coalesce(1).write.mode("append").json(f"{path}/pointers")
 
 
 def publish(df: DataFrame, path: str) -> str:
@@ -54,7 +57,7 @@ def publish(df: DataFrame, path: str) -> str:
 
     One writer at a time; a generation whose writer died before the pointer is never read.
     """
-    number, _ = _pointer(df.sparkSession, path)
+    number, _, _ = _pointer(df.sparkSession, path)
     generation = f"{path}/generations/{uuid.uuid4().hex}"
     df.write.parquet(generation)
     _switch(df.sparkSession, path, [generation], number + 1)
@@ -64,18 +67,19 @@ def publish(df: DataFrame, path: str) -> str:
 def publish_changes(df: DataFrame, path: str, key: str) -> str:
     """Add a generation of rows that replace those of their keys; only df is written, until COMPACT generations are made one."""
     spark = df.sparkSession
-    number, generations = _pointer(spark, path)
+    number, generations, _ = _pointer(spark, path)
     if len(generations) >= COMPACT:
         return publish(upsert(current(spark, path, key), df, key), path)
     generation = f"{path}/generations/{uuid.uuid4().hex}"
     df.write.parquet(generation)
-    _switch(spark, path, [*generations, generation], number + 1)
+    _switch(spark, path, [*generations, generation], number + 1, key)
     return generation
 
 
 def current(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """The store's rows. Of several generations a key's rows are those of the last one that has it."""
-    generations = _pointer(spark, path)[1]
+    _, generations, own = _pointer(spark, path)
+    key = key or own
     if not generations:
         raise FileNotFoundError(f"nothing was published at {path}")
     if len(generations) == 1:
