@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, exact_dedup, html_text, jaccard_join, lm_score, mixing, quality, sharding, token_files, warc
+from quarry.llm import decontaminate, exact_dedup, html_text, jaccard_join, lm_score, mixing, quality, sharding, token_files, vector_codes, warc
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_quality": quality.op9_quality,
     "op10_warc": warc.op10_warc,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
 }
 
-ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL}
+ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op11_vector_codes": vector_codes.OP11_SQL}
