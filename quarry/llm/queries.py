@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, exact_dedup, html_text, jaccard_join, lm_score, mixing, quality, sharding, token_files, vector_codes, warc
+from quarry.llm import decontaminate, exact_dedup, html_text, jaccard_join, lm_score, lz_fingerprint, mixing, quality, sharding, token_align, token_files, vector_codes, warc
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_warc": warc.op10_warc,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_lz_fingerprint": lz_fingerprint.op12_lz_fingerprint,
+    "op13_token_align": token_align.op13_token_align,
 }
 
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op11_vector_codes": vector_codes.OP11_SQL}
