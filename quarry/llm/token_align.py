@@ -13,8 +13,9 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ FREQUENT = 200_000
 KEY = 64
 #: Pieces that a worker remembers count as their characters and PIECE bytes; MEMORY bytes in each of two generations.
 MEMORY, PIECE = 48 << 20, 300
+#: Words that are encoded as one text.
+TOGETHER = 200
+# Fixed value: the pattern of byte-level tokenizers, which a blank inside a text always begins a match of.
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # A run of blanks and line ends with the word after it; the last one also takes what blanks are left.
 _PIECES = re.compile(r"[ \n]*[^ \n]+(?:[ \n]+\Z)?")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -55,68 +60,104 @@ class Aligner:
         self.b_bytes = [bytes([int(s[3:5], 16)]) if self.b.is_byte(i) else s.replace("▁", " ").encode() for i, s in enumerate(pieces)]
         with open(a_path, encoding="utf-8") as f:
             model = json.load(f)
-        self.cuts = (
-            model.get("normalizer") is None and (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not model["pre_tokenizer"].get("add_prefix_space")
-            and not any(re.search("[^▁]▁|\n", s) for s in pieces) and self.b.encode("\n", out_type=str) == ["▁", "<0x0A>"]
-        )
+        plain = model.get("normalizer") is None and (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not model["pre_tokenizer"].get("add_prefix_space")
+        self.cuts = plain and not any(re.search("[^▁]▁|\n", s) for s in pieces) and self.b.encode("\n", out_type=str) == ["▁", "<0x0A>"]
+        self.ranked = self._ranked(model, to_byte) if self.cuts else None
+        size = 1 + max(self.a_bytes, default=0)
+        self.a_names = np.array([[f"{i}," for i in range(size)], [f"{i}|" for i in range(size)]], object)  # within a group, and at its end
+        self.b_names = np.array([[f"{i}." for i in range(len(pieces))], [f"{i};" for i in range(len(pieces))]], object)
+        self.a_lengths, self.b_lengths = np.zeros(size, np.int64), np.array(list(map(len, self.b_bytes)))
+        for i, raw in self.a_bytes.items():
+            self.a_lengths[i] = len(raw)
         self.bare = self.b.piece_to_id("▁")
-        # text of the groups, and the number of A tokens, of pieces of this generation and of the one before; '' where the bytes differ
-        self.memory: list[tuple[dict[str, str], dict[str, int]]] = [({}, {}), ({}, {})]
+        # groups of pieces of this generation and of the one before, each with `;` after it; '' where the bytes differ
+        self.memory: list[dict[str, str]] = [{}, {}]
         self.size = 0
 
-    def groups(self, texts: list[str]) -> Iterator[tuple[str, int]]:
-        """For each text, not empty: its groups as text, `;` between them, and the number of A tokens; '' and 0 where bytes differ."""
+    def _ranked(self, model: dict, to_byte: dict[str, int]):
+        """tiktoken's encoder over A's own vocabulary, if its ids rise with its merges, as they do where ids are ranks; else None."""
+        import tiktoken
+
+        vocab, merges = model["model"]["vocab"], model["model"]["merges"]
+        made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in merges]
+        special = {x["content"] for x in model.get("added_tokens") or ()}
+        if made != sorted(made) or model["model"].get("ignore_merges") or len(made) + 256 + len(special.intersection(vocab)) != len(vocab):
+            return None
+        ranks = {bytes(map(to_byte.__getitem__, s)): i for s, i in vocab.items() if s not in special}
+        return tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+    def groups(self, texts: list[str]) -> Iterator[str]:
+        """For each text, not empty, its groups: A ids with `,` and B ids with `.` between them, a `;` after each group; '' where bytes differ."""
         if self.size > MEMORY:
-            self.memory, self.size = [({}, {}), self.memory[0]], 0
-        cut = [_PIECES.findall(" " + t) if self.cuts and t.strip(" \n") and not _OTHER_SPACE.search(t) else [" " + t] for t in texts]
-        (text, n), (old_text, old_n) = self.memory
+            self.memory, self.size = [{}, self.memory[0]], 0
+        cut = [self._cut(t) for t in texts]
+        known, old = self.memory
         missing = []
-        for piece in {p for x in cut for p in x}.difference(text):
-            if piece in old_text:
-                text[piece], n[piece] = old_text[piece], old_n[piece]
-            else:
+        for piece in set(chain.from_iterable(cut)).difference(known):
+            if (found := old.get(piece)) is None:
                 missing.append(piece)
+            else:
+                known[piece] = found
             self.size += len(piece) + PIECE
-        whole = {}
-        for piece, found in zip(missing, self._align(missing), strict=True):
-            # a whole text or a long word is not remembered
-            (text if len(piece) <= 64 else whole)[piece] = found[0]
-            n[piece] = found[1]
+        own = self._align(missing)
+        long = {p: own.pop(p) for p in missing if len(p) > 64}  # a whole text or a long word is not remembered
+        known.update(own)
+        look = known.__getitem__ if not long else lambda p: long[p] if p in long else known[p]
         for x in cut:
-            if whole:
-                own = [whole[p] if p in whole else text[p] for p in x]
-            else:
-                own = list(map(text.__getitem__, x))
-            yield (";".join(own), sum(map(n.__getitem__, x))) if all(own) else ("", 0)
-        for piece in whole:
-            del n[piece]
-
-    def _align(self, pieces: list[str]) -> Iterator[tuple[str, int]]:
+            found = list(map(look, x))
+            yield "".join(found) if all(found) else ""
+
+    def _cut(self, text: str) -> list[str]:
+        if not self.cuts or not text.strip(" \n") or _OTHER_SPACE.search(text):
+            return [" " + text]
+        if "\0" in text or text[-1] in " \n" or text[0] in " \n" or any(run in text for run in ("  ", "\n\n", " \n", "\n ")):
+            return _PIECES.findall(" " + text)
+        return (" " + text.replace(" ", "\0 ").replace("\n", "\0\n")).split("\0")
+
+    def _align(self, pieces: list[str]) -> dict[str, str]:
+        """Groups of each piece; words are encoded many at a time."""
+        ready: dict[str, str] = {}
+        if self.ranked:
+            words = [p for p in pieces if len(p) <= 64 and not p[-1].isspace()]
+            for k in range(0, len(words), TOGETHER):
+                ready.update(self._together(words[k : k + TOGETHER]))
+        odd = [p for p in pieces if p not in ready]
         # B adds a blank of its own, so a piece's first one goes; before a line end there is none, so the added one goes
-        asked = [p[1:] if p[0] == " " else p for p in pieces]
-        for piece, a, b in zip(pieces, self.a.encode_batch_fast(pieces, add_special_tokens=False), self.b.encode(asked, num_threads=1), strict=True):
+        asked = [p[1:] if p[0] == " " else p for p in odd]
+        for piece, a, b in zip(odd, self.a.encode_batch_fast(odd, add_special_tokens=False), self.b.encode(asked, num_threads=1), strict=True):
             if piece[0] != " ":
                 b = b[1:] if b and b[0] == self.bare else []
-            yield self._group(piece.encode(), a.ids, b)
-
-    def _group(self, raw: bytes, a: list[int], b: list[int]) -> tuple[str, int]:
-        """Groups of A ids and B ids over raw, and the number of A ids; '' and 0 where either's bytes are not raw."""
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-            return "", 0
-        if len(a) == len(b) == 1:
-            return f"{a[0]}|{b[0]}", 1
-        a_ends, b_ends = list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts)))
-        both, i, j, out = set(a_ends).intersection(b_ends), 0, 0, []
-        for end in sorted(both):
-            i1, j1 = i, j
-            while a_ends[i1] != end:
-                i1 += 1
-            while b_ends[j1] != end:
-                j1 += 1
-            out.append(f"{','.join(map(str, a[i : i1 + 1]))}|{','.join(map(str, b[j : j1 + 1]))}")
-            i, j = i1 + 1, j1 + 1
-        return ";".join(out), len(a)
+            ready[piece] = "".join(self._names(piece, a.ids, b)[0])
+        return ready
+
+    def _together(self, words: list[str]) -> dict[str, str]:
+        """Groups of words, none of which ends in white space, from one text of them all; nothing where bytes differ."""
+        words = [" -", *words]  # so that the text begins with a blank
+        text = "".join(words)
+        names, a_ends, b_ends = self._names(text, self.ranked.encode_ordinary(text), self.b.encode(text[1:]))
+        ends = np.cumsum([len(w.encode()) for w in words])
+        if not names or not (np.isin(ends, a_ends).all() and np.isin(ends, b_ends).all()):
+            return {}
+        to = (np.searchsorted(a_ends, ends) + np.searchsorted(b_ends, ends) + 2).tolist()
+        return {w: "".join(names[i:j]) for w, i, j in zip(words[1:], to, to[1:], strict=False)}
+
+    def _names(self, text: str, a: list[int], b: list[int]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The ids of a text in the order of its groups, each with what follows it; none where either's bytes are not the text's.
+
+        Group by group come the A ids, then the B ids: an id's place is its number plus that of the other side's ids before it.
+        """
+        raw = text.encode()
+        if b"".join([self.a_bytes.get(i, b"") for i in a]) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
+        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_to, b_to = np.searchsorted(a_ends, both) + 1, np.searchsorted(b_ends, both) + 1
+        out = np.empty(len(a) + len(b), object)
+        a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)  # a token belongs to the next common end
+        out[np.arange(len(a)) + np.concatenate([[0], b_to])[a_group]] = self.a_names[(a_ends == both[a_group]).astype(np.int64), a]
+        out[np.arange(len(b)) + a_to[b_group]] = self.b_names[(b_ends == both[b_group]).astype(np.int64), b]
+        return out.tolist(), a_ends, b_ends
 
 
 def _byte_letters() -> str:
@@ -156,14 +197,15 @@ def document_groups(docs: DataFrame, a: str | None = None, b: str | None = None,
                 found = aligner.groups([t for t in texts[i:j] if t])
                 summary, names, counts, sizes = [], [], [], []
                 for t in texts[i:j]:
-                    text, n_a = next(found) if t else ("", 0)
+                    text = next(found) if t else ""
                     if not text:
                         summary.append((0, 0, 0, ""))
                         sizes.append(0)
                         continue
-                    groups = text.split(";")
-                    summary.append((n_a, text.count(",") + 2 * len(groups) - n_a, len(groups), hashlib.sha256(text.encode()).hexdigest()))
-                    distinct = Counter(groups)
+                    n, n_a, n_b = map(text.count, ";,.")
+                    text = text[:-1].replace(".", ",")
+                    summary.append((n + n_a, n + n_b, n, hashlib.sha256(text.encode()).hexdigest()))
+                    distinct = Counter(text.split(";"))
                     names.extend(distinct)
                     counts.extend(distinct.values())
                     sizes.append(len(distinct))
@@ -189,8 +231,8 @@ def group_dictionary(groups: DataFrame) -> DataFrame:
     The tokens of a group that end together are its last ones, so a group has one link.
     """
     last = lambda side: F.element_at(F.split(F.element_at(F.split("group", r"\|"), side), ","), -1).cast("int")
-    once = groups.groupBy("key").agg(F.sum("n").alias("frequency"), F.count("*").alias("documents"), F.min("group").alias("group"))
-    return once.select("key", "frequency", "documents", F.array(F.struct(last(1).alias("a"), last(2).alias("b"))).alias("links"))
+    once = groups.groupBy("group").agg(F.sum("n").alias("frequency"), F.count("*").alias("documents"))
+    return once.select(_key("group").alias("key"), "frequency", "documents", F.array(F.struct(last(1).alias("a"), last(2).alias("b"))).alias("links"))
 
 
 def link_counts(dictionary: DataFrame) -> DataFrame:
