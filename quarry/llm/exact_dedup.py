@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm import mphf
-from quarry.llm.common import SALTS, materialize, salt, table
+from quarry.llm.common import SALTS, materialize, table
 
 #: Distinct digests of the history, or of the new rows, in one shard; about 50 bytes each.
 SHARD_KEYS = 50_000
@@ -33,9 +33,9 @@ def _shard(n: int) -> Column:
 def _groups(rows: DataFrame, old: bool) -> DataFrame:
     """A row per digest; rows of hot digests are combined by sub-key before they meet."""
     return (
-        rows.groupBy("digest", "sub").agg(F.max("id").alias("winner"), F.count("*").alias("n"))
-        .groupBy("digest").agg(F.max("winner").alias("winner"), F.sum("n").alias("n"), F.sort_array(F.collect_list("sub")).alias("subs"))
-        .withColumn("old", F.lit(old))
+        rows.groupBy("digest", "sub").agg(F.max("id").alias("id"), F.count("*").alias("n"))
+        .groupBy("digest").agg(F.max(F.struct("id", "sub")).alias("w"), F.sum("n").alias("n"), F.sort_array(F.collect_list("sub")).alias("subs"))
+        .select("digest", F.col("w.id").alias("winner"), F.col("w.sub").alias("place"), "n", "subs", F.lit(old).alias("old"))
     )
 
 
@@ -48,11 +48,11 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
             order = sorted(range(len(slots)), key=slots.__getitem__)
             yield pa.RecordBatch.from_pydict({
                 "shard": [shard], "sizes": [sizes], "bits": [bits], "digests": [b"".join(rows["digest"][i] for i in order)],
-                "winners": [[rows["winner"][i] for i in order]], "counts": [[rows["n"][i] for i in order]],
-            }, schema=pa.schema([("shard", pa.int32()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), ("digests", pa.binary()), ("winners", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
+                "winners": [[rows["winner"][i] for i in order]], "places": [[rows["place"][i] for i in order]], "counts": [[rows["n"][i] for i in order]],
+            }, schema=pa.schema([("shard", pa.int32()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), ("digests", pa.binary()), ("winners", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]))
 
-    rows = history.select(_shard(shards).alias("shard"), "digest", "winner", "n").repartition("shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(build, "shard int, sizes array<long>, bits binary, digests binary, winners array<long>, counts array<long>")
+    rows = history.select(_shard(shards).alias("shard"), "digest", "winner", "place", "n").repartition("shard").sortWithinPartitions("shard")
+    return rows.mapInArrow(build, "shard int, sizes array<long>, bits binary, digests binary, winners array<long>, places array<int>, counts array<long>")
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list]]]:
@@ -72,7 +72,7 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str
 
 
 def lookup(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """groups (digest, winner, n, subs) with old_winner and old_n of their slot; null for nonmembers."""
+    """groups (digest, winner, place, n, subs) with old_winner, old_place and old_n of their slot; null for nonmembers."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_shard(batches):
@@ -81,20 +81,20 @@ def lookup(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
             if not ask:
                 continue
             keys = [rows["digest"][k] for k in ask]
-            winners, counts = [None] * len(ask), [None] * len(ask)
+            winners, places, counts = [None] * len(ask), [None] * len(ask), [None] * len(ask)
             if i is not None:
                 full = rows["digests"][i]
                 for k, s in enumerate(mphf.probe(rows["sizes"][i], rows["bits"][i], keys).tolist()):
                     if s >= 0 and full[32 * s : 32 * s + 32] == keys[k]:
-                        winners[k], counts[k] = rows["winners"][i][s], rows["counts"][i][s]
+                        winners[k], places[k], counts[k] = rows["winners"][i][s], rows["places"][i][s], rows["counts"][i][s]
             yield pa.RecordBatch.from_pydict({
-                "digest": keys, "winner": [rows["winner"][k] for k in ask], "n": [rows["n"][k] for k in ask], "subs": [rows["subs"][k] for k in ask],
-                "old_winner": winners, "old_n": counts,
-            }, schema=pa.schema([("digest", pa.binary()), ("winner", pa.int64()), ("n", pa.int64()), ("subs", pa.list_(pa.int32())), ("old_winner", pa.int64()), ("old_n", pa.int64())]))
+                "digest": keys, "winner": [rows["winner"][k] for k in ask], "place": [rows["place"][k] for k in ask], "n": [rows["n"][k] for k in ask], "subs": [rows["subs"][k] for k in ask],
+                "old_winner": winners, "old_place": places, "old_n": counts,
+            }, schema=pa.schema([("digest", pa.binary()), ("winner", pa.int64()), ("place", pa.int32()), ("n", pa.int64()), ("subs", pa.list_(pa.int32())), ("old_winner", pa.int64()), ("old_place", pa.int32()), ("old_n", pa.int64())]))
 
-    asked = groups.select(_shard(shards).alias("shard"), "digest", "winner", "n", "subs")
+    asked = groups.select(_shard(shards).alias("shard"), "digest", "winner", "place", "n", "subs")
     both = asked.unionByName(index, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard")
-    return both.mapInArrow(probe, "digest binary, winner long, n long, subs array<int>, old_winner long, old_n long")
+    return both.mapInArrow(probe, "digest binary, winner long, place int, n long, subs array<int>, old_winner long, old_place int, old_n long")
 
 
 def exact_dedup(docs: DataFrame, history: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,7 +107,7 @@ def exact_dedup(docs: DataFrame, history: Column, id_col: str = "doc_id", text_c
     history.
     """
     rows = materialize(
-        docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest"), F.coalesce(history, F.lit(False)).alias("old"), salt(F.col(id_col)).alias("sub")),
+        docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest"), F.coalesce(history, F.lit(False)).alias("old"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("sub")),
         "digests",
     )
     past, new = _groups(rows.where("old"), True), _groups(rows.where("NOT old"), False)
@@ -116,18 +116,19 @@ def exact_dedup(docs: DataFrame, history: Column, id_col: str = "doc_id", text_c
     index = materialize(build_index(past, shards), "mphf")
     asked = materialize(lookup(new, index, shards), "asked")
     # what the lookups found updates the winners of the history's groups
-    found = asked.where("old_n IS NOT NULL").select("digest", F.col("winner").alias("new_winner"), F.col("n").alias("new_n"), F.col("subs").alias("new_subs"))
-    whole = F.greatest("winner", "new_winner")
+    found = asked.where("old_n IS NOT NULL").select("digest", F.struct("winner", "place").alias("new_best"), F.col("n").alias("new_n"), F.col("subs").alias("new_subs"))
+    best = F.struct("winner", "place")
+    whole = F.when(F.col("new_best") > best, F.col("new_best")).otherwise(best)
     kept_past = past.join(found, "digest", "left").select(
-        "digest", whole.alias("keep_id"), (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("group_size"),
+        "digest", whole.alias("best"), (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("group_size"),
         F.array_union("subs", F.coalesce("new_subs", F.array().cast("array<int>"))).alias("subs"), F.lit(True).alias("known"),
     )
-    kept_new = asked.where("old_n IS NULL").select("digest", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"), "subs", F.lit(False).alias("known"))
-    answer = kept_past.unionByName(kept_new).select("digest", F.explode("subs").alias("sub"), "keep_id", "group_size", "known")
+    kept_new = asked.where("old_n IS NULL").select("digest", best.alias("best"), F.col("n").alias("group_size"), "subs", F.lit(False).alias("known"))
+    answer = kept_past.unionByName(kept_new).select("digest", F.explode("subs").alias("sub"), F.col("best.winner").alias("keep_id"), F.col("best.place").alias("place"), "group_size", "known")
     first = F.row_number().over(Window.partitionBy("digest", "sub").orderBy(F.col("id").desc_nulls_last()))
     return rows.join(answer, ["digest", "sub"]).withColumn("first", first).select(
         F.col("id").alias(id_col), "keep_id", "group_size",
-        (F.col("id").eqNullSafe(F.col("keep_id")) & _one_of_equals()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "known",
+        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sub") == F.col("place")) & _one_of_equals()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "known",
     )
 
 

@@ -43,8 +43,9 @@ BATCH, NOISE, RATE, DAMPING = 4096, 64, 0.1, 10.0
 #: Passes of distributed training; each takes its own part of the documents, after which the tasks' models are averaged.
 ROUNDS = 2
 #: Most tokens whose counts go to every task, the most frequent ones; the counts of the others are joined. They are found by
-#: a histogram of counts with STEPS steps for a doubling.
-FREQUENT, STEPS = 200_000, 64
+#: a histogram of counts with STEPS steps for a doubling. Tokens of over LONGEST bytes are always joined, so what goes to
+#: every task is bounded in bytes.
+FREQUENT, STEPS, LONGEST = 200_000, 64, 64
 #: Documents with this remainder of crc32(id) by FOLDS are held out of all training and counts.
 FOLDS, HELD_OUT = 7, 2
 END = b""  # the end token; no word is empty
@@ -241,7 +242,8 @@ def train(docs: DataFrame, top: list[tuple[bytes, int]], class_counts: np.ndarra
 
 
 def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """The most frequent tokens, FREQUENT at most, by falling count: all whose counts reach a step of the histogram."""
+    """The most frequent tokens of up to LONGEST bytes, FREQUENT at most, by falling count: all whose counts reach a step of the histogram."""
+    counts = counts.where(F.octet_length("token") <= LONGEST)
     step = F.floor(F.log2("c") * STEPS).cast("int")
     cut, n = None, 0
     for row in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
@@ -273,7 +275,7 @@ def learn(rows: DataFrame, sizes: Sizes = SIZES) -> Learned:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = frequent(counts)
     known = top[: sizes.known]
-    rare = (F.col("c") < known[-1][1]) | ((F.col("c") == known[-1][1]) & (F.col("token") > F.lit(known[-1][0]))) if known else F.lit(True)
+    rare = (F.octet_length("token") > LONGEST) | (F.col("c") < known[-1][1]) | ((F.col("c") == known[-1][1]) & (F.col("token") > F.lit(known[-1][0]))) if known else F.lit(True)
     of_class = (F.crc32(F.expr("substring(token, greatest(octet_length(token) - 2, 1), 3)")) % sizes.classes).cast("int")
     found = {r["k"]: (r["n"], r["v"]) for r in counts.where(rare).groupBy(of_class.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     class_n, class_v = (np.array([found.get(k, (0, 0))[i] for k in range(sizes.classes)], float) for i in (0, 1))

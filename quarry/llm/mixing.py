@@ -238,7 +238,15 @@ def mix_rows(docs: DataFrame, labels: DataFrame, targets: tuple[float | None, ..
 
     rated = members.mapInArrow(run, StructType([*members.schema.fields, StructField("rate", DoubleType())]))
     chance = F.pmod(F.xxhash64(annotated(docs, "doc_id"), annotated(docs, "text"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int")).withColumn("unmet", F.lit(unmet))
+    return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("long")).withColumn("unmet", F.lit(unmet))
+
+
+def repeated(rows: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as the column copies says; many copies are made in blocks, so no row becomes one long array."""
+    block = F.lit(10_000).cast("long")
+    blocks = rows.where(F.col(copies) > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / block))))
+    own = F.least(F.col(copies) - F.col("_block") * block, block)
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), own))).drop("_block", "_copy")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float | None, ...] = TARGETS) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import fresh_path, materialize, salt, table
+from quarry.llm.common import SALTS, fresh_path, materialize, table
 
 #: Bytes of an archive that a reading task owns.
 SPLIT = 4 << 20
@@ -55,13 +55,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record per row of pages; returns the manifest (path, bytes). Only files that it lists count."""
     data = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), data.alias("payload"), F.unhex(F.sha1(data)).alias("digest"), salt(F.col(id_col)).alias("sub"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), data.alias("payload"), F.unhex(F.sha1(data)).alias("digest"), F.pmod(F.xxhash64(id_col, url_col), F.lit(SALTS)).cast("int").alias("sub"))  # by values: pages are read twice
     # digests first, without payloads; a hot digest is combined by sub-key
     subs = rows.where(F.octet_length("payload") >= LEAST_PAYLOAD).groupBy("digest", "sub").agg(F.max("id").alias("top"), F.count("*").alias("n"))
-    groups = subs.groupBy("digest").agg(F.max("top").alias("winner"), F.sum("n").alias("n"), F.collect_list("sub").alias("subs")).where("n > 1")
-    winners = groups.select("digest", F.explode("subs").alias("sub"), "winner", F.lit(True).alias("shared"))
+    groups = subs.groupBy("digest").agg(F.max(F.struct("top", "sub")).alias("best"), F.sum("n").alias("n"), F.collect_list("sub").alias("subs")).where("n > 1")
+    winners = groups.select("digest", F.explode("subs").alias("sub"), F.col("best.top").alias("winner"), F.col("best.sub").alias("place"), F.lit(True).alias("shared"))
     nth = F.row_number().over(Window.partitionBy("digest", "sub").orderBy(F.col("id").desc_nulls_last()))
-    judged = rows.join(winners, ["digest", "sub"], "left").withColumn("revisit", F.coalesce(F.col("shared"), F.lit(False)) & ~(F.col("id").eqNullSafe(F.col("winner")) & (nth == 1)))
+    judged = rows.join(winners, ["digest", "sub"], "left").withColumn("revisit", F.coalesce(F.col("shared"), F.lit(False)) & ~(F.col("id").eqNullSafe(F.col("winner")) & (F.col("sub") == F.col("place")) & (nth == 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

@@ -44,3 +44,12 @@ def test_against_sql_for_any_history(spark):
     for history in (F.lit(True), F.lit(False), F.col("doc_id") < 100):
         got = exact_dedup.exact_dedup(docs, history).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_rows_of_one_text_without_ids_are_dealt_out(spark):
+    rows = [(None, "same")] * 300 + [(5, "twice")] * 40 + [(None, "twice")] * 20 + [(8, "x"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for history in (F.lit(True), F.lit(False), F.rand(3) < 0.5):
+        got = [(r["text_sha256"], r["keep_id"], r["group_size"], r["kept"], r["doc_id"]) for r in exact_dedup.exact_dedup(docs, history).collect()]
+        kept = sorted((r[1] or 0, r[2], r[4] or 0) for r in got if r[3])
+        assert len(got) == len(rows) and kept == [(0, 300, 0), (5, 60, 5), (8, 2, 8)]

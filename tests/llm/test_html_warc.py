@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import os
+import random
 import re
 import time
 from html.parser import HTMLParser
@@ -126,3 +127,51 @@ def test_warc_rows(spark, tmp_path):
         want = [(0, 1, sha("z"), "response", 0), (1, 1, sha("x"), "revisit", 2), (2, 1, sha("x"), "response", 0), (3, 0, sha(""), "revisit", 4), (4, 0, sha(""), "response", 0), (4, 0, sha(""), "revisit", 4), (6, 100_000, sha("é" * 50_000), "response", 0), (7, 4, sha("only"), "response", 0)]
         assert got == sorted(want)
     assert W.read_warc(W.write_warc(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
+
+
+def test_rows_without_an_id_leave_one_response(spark, tmp_path):
+    rows = [(None, f"u{k % 40}", "same") for k in range(200)] + [(None, f"u{k % 40}", "held") for k in range(50)] + [(9, "u", "held")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = W.read_warc(W.write_warc(pages, f"file://{tmp_path}/n")).collect()
+    kinds = sorted((r["payload_digest"], r["record_type"], r["page_id"] or 0, r["refers_to"] or 0) for r in got)
+    sha = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+    want = [(sha("same"), "response", 0, 0)] + [(sha("same"), "revisit", 0, 0)] * 199 + [(sha("held"), "response", 9, 0)] + [(sha("held"), "revisit", 0, 9)] * 50
+    assert kinds == sorted(want)
+
+
+def _columns(table):
+    """Columns of the cells of a table [[(text, across, down), ...], ...] by marking every covered field."""
+    covered, out = set(), []
+    for r, row in enumerate(table):
+        at = 0
+        for text, across, down in row:
+            while (r, at) in covered and r:
+                at += 1
+            if text:
+                out.append((r, at, text))
+            if down != 1:
+                for c in range(at, at + across):
+                    covered -= {(x, c) for x in range(r + 1, len(table))}
+                    covered |= {(x, c) for x in range(r + 1, len(table) if down == 0 else min(len(table), r + down))}
+            at += across
+    return out
+
+
+def test_cells_find_their_columns_under_spans():
+    rng = random.Random(8)
+    for _ in range(400):
+        table = [[(rng.choice(["", "x", "y"]), rng.choice([1, 1, 2, 4]), rng.choice([0, 1, 1, 2, 3, 5])) for _ in range(rng.randrange(6))] for _ in range(rng.randrange(1, 9))]
+        grid = H.Table()
+        for row in table:
+            grid.row()
+            for text, across, down in row:
+                grid.place([text] if text else [], across, down or 1 << 30)
+        assert [(r, c, cell[0]) for r, row in enumerate(grid.rows) for c, cell in row.items()] == _columns(table)
+
+
+def test_open_spans_take_linear_time():
+    page = "<table>" + "<tr><td rowspan=100000>x" * 20_000
+    began = time.perf_counter()
+    assert H.render(page).split() == ["x"] * 20_000
+    assert time.perf_counter() - began < 10
+    assert H.render("<table><tr><td rowspan=2>a<td>b<tr><td>c") == "a | b\n  | c"

@@ -117,3 +117,15 @@ def test_odd_rows(odd_docs, no_docs):
 def test_held_out_documents_score_better_than_unigrams(spark):
     got = L.op1_lm_score(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert np.mean([r["score"] > r["base_score"] for r in got]) > 0.8
+
+
+def test_long_tokens_are_joined_and_change_no_count(spark):
+    """Tokens of over LONGEST bytes, however frequent, stay out of what goes to the driver and the tasks."""
+    long = ["x" * 65, "漢" * 400, "y" * 5000]
+    rows = [(k, f"a {long[k % 3]} {long[0]} b c{k % 4}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = L.Sizes(5, 8, 8)
+    _check(rows, L.score(docs, sizes=sizes).collect())
+    known = L.learn(docs.selectExpr("doc_id AS id", "text"), sizes)
+    assert max(map(len, known.frequent)) <= L.LONGEST and not any(t.encode() in known.frequent for t in long)
+    assert known.class_n.sum() + sum(known.frequent[t] for t in known.index) == known.total

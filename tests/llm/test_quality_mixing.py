@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.llm import mixing, quality
 
@@ -158,3 +159,18 @@ def test_the_pipeline_has_a_target_for_every_domain():
     import corpus_pipeline
 
     assert None not in corpus_pipeline.TARGETS and len(corpus_pipeline.TARGETS) == len(mixing.DOMAINS)
+
+
+def test_copies_beyond_an_int_and_in_blocks(spark):
+    rows = [(1, 0), (2, 1), (3, 10_000), (4, 10_001), (5, 25_000)]
+    got = mixing.repeated(spark.createDataFrame(rows, "id long, copies long"), "copies").groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got} == {i: n for i, n in rows if n}
+    assert spark.createDataFrame([(5e9,)], "rate double").select(F.floor("rate").cast("long")).first()[0] == 5_000_000_000
+
+
+def test_few_documents_of_a_domain_take_large_rates(spark):
+    """One short toxic document against many clean ones: the rate is far beyond what a small table needs, and none is lost."""
+    docs = spark.createDataFrame([(k, "clean words of some length here " * 30) for k in range(60)] + [(100, "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)] + [(100, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = mixing.mix(docs, labels).collect()
+    assert len(rows) == 61 and dict(mixing.mix(docs, labels).dtypes)["copies"] == "bigint" and all(r["copies"] >= 0 for r in rows)
