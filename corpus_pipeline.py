@@ -7,13 +7,12 @@ shared folder and reads them back before the next stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.llm import mixing
 from quarry.llm.common import materialize, plain, table
 from quarry.llm.decontaminate import decontaminate_rows
 from quarry.llm.jaccard_join import jaccard_rows
-from quarry.llm.mixing import mix_rows
+from quarry.llm.mixing import mix_rows, repeated
 from quarry.llm.quality import classify_rows
 from quarry.llm.token_files import token_output
 
@@ -38,7 +37,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate, rounded by a hash of the document, says."""
-    return plain(mix_rows(docs, table(spark, sf_dir, "labels"), TARGETS).where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, copies)"))), docs)
+    kept = mix_rows(docs, table(spark, sf_dir, "labels"), TARGETS).where("copies > 0")
+    return plain(repeated(kept, "copies"), docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
