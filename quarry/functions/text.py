@@ -42,9 +42,12 @@ def first_of(cases: dict[str, Column], default: str) -> Column:
 def lexical_tokens(c: str | Column) -> Column:
     """Tokens for BM25, repeats kept: ASCII tokens, hex values also without underscores, CJK runs of one or two."""
     low = F.lower(_col(c))
-    ascii_ = all_matches(low, TOKEN)
-    plain_hex = F.transform(F.filter(ascii_, lambda t: t.startswith("0x") & t.contains("_")), lambda t: F.replace(t, F.lit("_"), F.lit("")))
-    every = F.concat(ascii_, plain_hex, all_matches(low, CJK + "{1,2}"))
+
+    def with_plain_hex(found: Column) -> Column:
+        return F.concat(found, F.transform(F.filter(found, lambda t: t.startswith("0x") & t.contains("_")), lambda t: F.replace(t, F.lit("_"), F.lit(""))))
+
+    ascii_ = F.flatten(F.transform(F.array(all_matches(low, TOKEN)), with_plain_hex))  # bound to a name, so found once
+    every = F.concat(ascii_, F.when(low.rlike(CJK), all_matches(low, CJK + "{1,2}")).otherwise(F.array().cast("array<string>")))
     return F.filter(every, lambda t: ((F.length(t) > 1) | ((t >= "0") & (t <= "9"))) & ~t.isin(config.STOPWORDS))  # a hash lookup
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
+from quarry.operators import scans
 
 
 def merge_ranges(ranges: DataFrame, key: list[str]) -> DataFrame:
@@ -34,8 +35,7 @@ def diversify(candidates: DataFrame, group: str, path: str = "path", penalty: in
 
 def pack(rows: DataFrame, group: str, order: list, size: str, limit: int) -> DataFrame:
     """Rows of each group, in order, while their sizes sum to limit at most."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= limit)
+    return scans.running(rows, [group], order, size).where(F.col("running") <= limit).drop("ordinal")
 
 
 def number_ranges(numbers: DataFrame, key: str, value: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.functions import text
+from quarry.operators import scans
 from quarry.shipping import ensure_importable
 
 # What lines count as headings.
@@ -163,33 +164,21 @@ def adjacent_runs(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_adjacent(chunks: DataFrame, keys: list[str], limit: int = DEFAULT.merge_chars) -> DataFrame:
-    """Join neighbours of a run while their lengths sum to under limit; a fold inside the JVM over each run's lengths."""
-    runs = adjacent_runs(chunks, keys).groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("parts"))
-    start = F.expr("struct(cast(array() as array<struct<first:int,last:int,content:string>>) as done, -1 as first, -1 as last, cast(null as string) as held)")
+    """(keys, first, last, content): neighbours in order joined while their texts, with line ends between, stay under limit.
 
-    def step(s: Column, x: Column) -> Column:
-        ended = F.array_append(s["done"], F.struct(s["first"].alias("first"), s["last"].alias("last"), s["held"].alias("content")))
-        fits = s["held"].isNotNull() & (F.length(s["held"]) + F.length(x["content"]) < limit)
-        return F.struct(
-            F.when(s["held"].isNull() | fits, s["done"]).otherwise(ended).alias("done"), F.when(fits, s["first"]).otherwise(x["chunk_index"]).alias("first"),
-            x["chunk_index"].alias("last"), F.when(fits, F.concat(s["held"], F.lit("\n"), x["content"])).otherwise(x["content"]).alias("held"),
-        )
-
-    folded = runs.withColumn("f", F.aggregate("parts", start, step, lambda s: F.array_append(s["done"], F.struct(s["first"].alias("first"), s["last"].alias("last"), s["held"].alias("content")))))
-    return folded.select(*keys, F.inline("f"))
+    A key may have any number of chunks: only a merged chunk's own parts meet. Chunk numbers of a key are distinct.
+    """
+    size = F.length("content")
+    batches = scans.greedy(chunks, keys, "chunk_index", size, scans.Rule(None, limit - 1, gap=1, follow=True))
+    parts = chunks.select(*keys, F.col("chunk_index").cast("long").alias("chunk_index"), "content").join(batches, [*keys, "chunk_index"])
+    whole = parts.groupBy(*keys, "batch").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("m"))
+    text_of = F.array_join(F.transform("m", lambda x: x["content"]), "\n")
+    return whole.select(*keys, F.get("m", F.lit(0))["chunk_index"].cast("int").alias("first"), F.element_at("m", -1)["chunk_index"].cast("int").alias("last"), text_of.alias("content"))
 
 
 def greedy_batches(rows: DataFrame, group: str, order: str, size: str, max_items: int = DEFAULT.batch_items, max_size: int = DEFAULT.batch_chars) -> DataFrame:
-    """(group, order, batch): batches in order of at most max_items rows and max_size, a larger row alone; a JVM fold per group."""
-    start = F.expr("struct(cast(array() as array<struct<o:bigint,batch:int>>) as done, 0 as batch, 0 as n, 0L as used)")
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] > 0) & ((s["n"] >= max_items) | (s["used"] + x["z"] > max_size))
-        b = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(F.array_append(s["done"], F.struct(x["o"].alias("o"), b.alias("batch"))).alias("done"), b.alias("batch"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, x["z"]).otherwise(s["used"] + x["z"]).alias("used"))
-
-    parts = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("z")))).alias("p"))
-    return parts.select(group, F.inline(F.aggregate("p", start, step, lambda s: s["done"]))).withColumnRenamed("o", order)
+    """(group, order, batch): batches in order of at most max_items rows and max_size, a larger row alone; a group may hold any number of rows."""
+    return scans.greedy(rows, [group], order, size, scans.Rule(max_items, max_size))
 
 
 # Lines of navigation, of legal notes, links to scripts, and empty table rows.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators import scans
 from quarry.plans.reuse import reuse
 
 
@@ -69,7 +70,7 @@ def term_hits(lines: DataFrame, terms: list[str], most: int, key: str) -> DataFr
 
 def ordinals(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """rows with ordinal from 0 within their key."""
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+    return scans.running(rows, key, order)
 
 
 def renew(rules: DataFrame, ids: DataFrame, days: int, today: Column) -> DataFrame:

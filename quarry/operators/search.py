@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from quarry.config import DEFAULT
 from quarry.functions import text, vectors
 from quarry.plans.bounded import blocks, bounded
-from quarry.plans.reuse import reuse
+from quarry.plans.reuse import reuse, spread
 from quarry.shipping import ensure_importable
 
 
@@ -24,29 +24,10 @@ def bm25_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def bm25_term_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, df, idf) over all documents."""
     n = docs.agg(F.count("*").alias("n"))
-    df = docs.select(F.explode(F.array_distinct(text.lexical_tokens(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = spread(docs.select(text_col)).select(F.explode(F.array_distinct(text.lexical_tokens(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
-    """(query, id, score): BM25 over global statistics, relative to the best of the query, from the floor.
-
-    Repeated query tokens count again. Only postings of the queries' terms leave the scan.
-    """
-    s = DEFAULT
-    asked = queries.select(F.col(query_id).alias("query"), F.explode(text.lexical_tokens(query_text)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    terms = asked.select("term").distinct()
-    tokens = docs.select(F.col(id_col).alias("id"), text.lexical_tokens(text_col).alias("tokens"))
-    whole = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    # what leaves the scan, computed once: postings of the terms asked for
-    postings = reuse(tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf")))
-    idf = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole)).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avgdl")))
-    raw = reuse(postings.join(idf, "term").join(asked, "term").groupBy("query", "id").agg(F.sum(part).alias("raw")))
-    top = raw.groupBy("query").agg(F.max("raw").alias("top"))
-    return raw.join(top, "query").select("query", "id", F.round(F.col("raw") / F.col("top"), 6).alias("score")).where(F.col("score") >= s.bm25_floor)
-
-
 def top_k(scored: DataFrame, k: int, by: str = "score", within: str | None = "query", tie: str = "id") -> DataFrame:
     """The k best rows of each group with their rank from 1; ties by the smaller id."""
     order = [F.col(by).desc(), F.col(tie).asc()]

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators import scans
+
 
 def upsert(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """store with all rows of the new rows' keys replaced."""
@@ -33,55 +40,140 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-_POINTER = "number long, generations array<string>, key string"
+_POINTER = "number long, generations array<string>, key string, facts string"
+
 
+def _create(spark: SparkSession, file: str, content: str) -> bool:
+    """Make a file that appears whole, unless there is one of that name; of several writers one succeeds.
 
-def _pointer(spark: SparkSession, path: str) -> tuple[int, list[str], str | None]:
-    """Number, generations and key of the newest pointer; (0, [], None) of a store that was never published."""
+    Local files appear by a hard link, others by a rename that fails where its target exists, as that of HDFS does.
+    """
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(file)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    if system.getUri().getScheme() == "file":
+        local = Path(target.toUri().getPath())
+        local.parent.mkdir(parents=True, exist_ok=True)
+        draft = local.parent / beside.getName()
+        draft.write_text(content, encoding="utf-8")
+        try:
+            os.link(draft, local)
+        except FileExistsError:
+            return False
+        finally:
+            draft.unlink()
+        return True
+    out = system.create(beside, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+    if system.rename(beside, target):
+        return True
+    system.delete(beside, False)
+    return False
+
+
+def _pointer(spark: SparkSession, path: str) -> tuple[int, list[str], str | None, dict]:
+    """Number, generations, key and facts of the newest pointer; (0, [], None, {}) of a store that was never published."""
+    begun = exists(spark, f"{path}/generations")  # a store's first pointer is there before its first generation
     if exists(spark, f"{path}/pointers"):
         row = spark.read.schema(_POINTER).json(f"{path}/pointers").orderBy(F.desc("number"), F.desc(F.array_join("generations", " "))).first()
         if row is not None:
-            return row["number"], list(row["generations"]), row["key"]
-    if exists(spark, f"{path}/generations"):
+            return row["number"], list(row["generations"]), row["key"], json.loads(row["facts"] or "{}")
+    if begun:
         raise ValueError(f"{path} has generations but no pointer to one; it is not taken for an empty store")
-    return 0, [], None
+    return 0, [], None, {}
+
+
+def _switch(spark: SparkSession, path: str, generations: list[str], number: int, key: str | None = None, facts: dict | None = None) -> bool:
+    """Claim the pointer of that number; False if another writer has it. Pointers are only ever added; a crash leaves the one before."""
+    row = {"number": number, "generations": generations, "key": key, "facts": json.dumps(facts or {}, sort_keys=True)}
+    return _create(spark, f"{path}/pointers/{number:012d}.json", json.dumps(row) + "\n")
+
+
+def new_generation(spark: SparkSession, path: str) -> str:
+    """Where the next generation of a store goes; the store is begun with an empty pointer if it is new."""
+    if not _pointer(spark, path)[0] and not exists(spark, f"{path}/pointers"):
+        _switch(spark, path, [], 0)
+    return f"{path}/generations/{uuid.uuid4().hex}"
+
 
+def advance(spark: SparkSession, path: str, change: Callable[[list[str], dict], tuple[list[str], str | None, dict]]) -> tuple[list[str], dict]:
+    """Add a pointer to what change(generations, facts) makes of the newest one; any number of writers at a time.
 
-def _switch(spark: SparkSession, path: str, generations: list[str], number: int, key: str | None = None) -> None:
-    # pointers are only ever added, each as one file that appears whole; a crash leaves the one before
-    spark.createDataFrame([(number, generations, key)], _POINTER).coalesce(1).write.mode("append").json(f"{path}/pointers")
+    A writer that finds its number taken starts again from the newest pointer, so nothing that another has added is lost.
+    """
+    while True:
+        number, generations, _, facts = _pointer(spark, path)
+        new, key, told = change(generations, facts)
+        if _switch(spark, path, new, number + 1, key, told):
+            return new, told
 
 
 def publish(df: DataFrame, path: str) -> str:
     """Write a generation beside the others, then add a pointer to it; readers see the old or the new one whole.
 
-    One writer at a time; a generation whose writer died before the pointer is never read.
+    It replaces all that was there, of other writers too; a generation whose writer died before the pointer is never read.
     """
-    number, _, _ = _pointer(df.sparkSession, path)
-    generation = f"{path}/generations/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    generation = new_generation(spark, path)
     df.write.parquet(generation)
-    _switch(df.sparkSession, path, [generation], number + 1)
+    advance(spark, path, lambda *_: ([generation], None, {}))
     return generation
 
 
 def publish_changes(df: DataFrame, path: str, key: str) -> str:
-    """Add a generation of rows that replace those of their keys; only df is written, until COMPACT generations are made one."""
+    """Add a generation of rows that replace those of their keys; only df is written, until COMPACT generations are made one.
+
+    Of several writers each adds its own, in the order of their pointers.
+    """
     spark = df.sparkSession
-    number, generations, _ = _pointer(spark, path)
-    if len(generations) >= COMPACT:
-        return publish(upsert(current(spark, path, key), df, key), path)
-    generation = f"{path}/generations/{uuid.uuid4().hex}"
+    generation = new_generation(spark, path)
     df.write.parquet(generation)
-    _switch(spark, path, [*generations, generation], number + 1, key)
-    return generation
+
+    def add(generations: list[str], facts: dict) -> tuple[list[str], str, dict]:
+        if len(generations) < COMPACT:
+            return [*generations, generation], key, facts
+        whole = new_generation(spark, path)
+        upsert(_rows(spark, path, generations, key), spark.read.parquet(generation), key).write.parquet(whole)
+        return [whole], key, facts
+
+    return advance(spark, path, add)[0][-1]
+
+
+def mutate(spark: SparkSession, path: str, key: str, change: Callable[[DataFrame | None], DataFrame]) -> str:
+    """Read, modify, write: change(rows), of None for a new store, gives rows that replace those of their keys.
+
+    If another writer was first, change is asked again about the rows as they are then.
+    """
+
+    def again(generations: list[str], facts: dict) -> tuple[list[str], str, dict]:
+        generation = new_generation(spark, path)
+        change(_rows(spark, path, generations, key) if generations else None).write.parquet(generation)
+        return [*generations, generation], key, facts
+
+    return advance(spark, path, again)[0][-1]
+
+
+def source_changed(spark: SparkSession, path: str, known: int) -> bool:
+    """Whether the store has a pointer after the one of number known: a poll before each question."""
+    return _pointer(spark, path)[0] != known
+
+
+def version(spark: SparkSession, path: str) -> int:
+    """Number of the newest pointer, 0 of a store that was never published."""
+    return _pointer(spark, path)[0]
 
 
 def current(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """The store's rows. Of several generations a key's rows are those of the last one that has it."""
-    _, generations, own = _pointer(spark, path)
-    key = key or own
+    _, generations, own, _ = _pointer(spark, path)
     if not generations:
         raise FileNotFoundError(f"nothing was published at {path}")
+    return _rows(spark, path, generations, key or own)
+
+
+def _rows(spark: SparkSession, path: str, generations: list[str], key: str | None) -> DataFrame:
     if len(generations) == 1:
         return spark.read.parquet(generations[0])
     if key is None:
@@ -94,6 +186,50 @@ def current(spark: SparkSession, path: str, key: str | None = None) -> DataFrame
     return rows.join(last, [key, "_g"], "left_semi").drop("_g")
 
 
+def publish_run(spark: SparkSession, path: str, run_id: str, tables: dict[str, DataFrame], failed: bool = False, facts: dict | None = None) -> dict:
+    """Write the tables of a run, then one manifest that names them all with their rows; returns the manifest.
+
+    A run is there with its manifest or not at all: tables of a run that died are never read. A run_id is published once;
+    a second writer of it gets a FileExistsError and its tables stay unread.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]{0,99}", run_id):
+        raise ValueError(f"{run_id!r} is no run id: letters, digits, dots, underscores and hyphens")
+    if exists(spark, f"{path}/manifests/{run_id}.json"):
+        raise FileExistsError(f"run {run_id} is published")
+    folder, out = f"{path}/runs/{run_id}-{uuid.uuid4().hex}", {}
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}")
+        out[name] = {"path": f"{folder}/{name}", "rows": spark.read.parquet(f"{folder}/{name}").count(), "columns": df.columns}
+    manifest = {"run_id": run_id, "failed": failed, "tables": out, "facts": facts or {}}
+    if not _create(spark, f"{path}/manifests/{run_id}.json", json.dumps(manifest, sort_keys=True) + "\n"):
+        raise FileExistsError(f"run {run_id} is published")
+    return manifest
+
+
+def manifest(spark: SparkSession, path: str, run_id: str) -> dict:
+    """A run's manifest; FileNotFoundError for one that was never published."""
+    if not exists(spark, f"{path}/manifests/{run_id}.json"):
+        raise FileNotFoundError(f"run {run_id} was not published")
+    return json.loads(spark.read.text(f"{path}/manifests/{run_id}.json").first()["value"])
+
+
+def run_table(spark: SparkSession, path: str, run_id: str, name: str) -> DataFrame:
+    """A table of a published run; an error if it does not have the rows that the manifest tells."""
+    told = manifest(spark, path, run_id)["tables"][name]
+    df = spark.read.parquet(told["path"])
+    if df.count() != told["rows"]:
+        raise ValueError(f"run {run_id}: {name} does not have its {told['rows']} rows")
+    return df
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, failed, name, rows): the tables of all published runs."""
+    if not exists(spark, f"{path}/manifests"):
+        return spark.createDataFrame([], "run_id string, failed boolean, name string, rows long")
+    schema = "run_id string, failed boolean, tables map<string, struct<path:string,rows:bigint>>"
+    return spark.read.schema(schema).json(f"{path}/manifests").select("run_id", "failed", F.explode("tables").alias("name", "t")).select("run_id", "failed", "name", F.col("t.rows").alias("rows"))
+
+
 def load_strict(spark: SparkSession, path: str, key: str, rows: int | None = None) -> DataFrame:
     """The store, or an error: a pointer, no null or repeated key, and as many rows as told."""
     df = current(spark, path, key)
@@ -160,10 +296,9 @@ def status(chunks: DataFrame) -> DataFrame:
 
 
 def content_digest(rows: DataFrame, group: str, order: list[str], text_col: str) -> DataFrame:
-    """(group, n, digest): MD5 over the rows' own digests and lengths in order."""
+    """(group, n, digest): MD5 over the rows' own digests and lengths in order, taken in blocks so that a group may be of any size."""
     each = F.concat(F.lpad(F.length(text_col).cast("string"), 8, "0"), F.md5(F.col(text_col).cast("binary")))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(*order, each.alias("d")))), lambda x: x["d"])
-    return rows.groupBy(group).agg(F.count("*").alias("n"), F.md5(F.array_join(parts, "").cast("binary")).alias("digest"))
+    return scans.digests(rows, group, order, each)
 
 
 def diff(a: DataFrame, b: DataFrame, key: list[str], fields: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from quarry import config
 from quarry.functions import code, text, vectors
-from quarry.operators import answer, context, conversations, evalm, figures, graph, ingest, search, store
+from quarry.operators import answer, context, conversations, evalm, figures, graph, ingest, lexical_index, search, store
 from quarry.plans import knowledge, samples
 from quarry.plans.bounded import bounded
 from quarry.plans.registry import query, t
@@ -257,7 +257,7 @@ def bm25_term_stats(spark, d):
 
 @query(f"WITH {BM25_SQL} SELECT query, id, score, rank::INT AS rank FROM lex WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return search.top_k(search.bm25_scores(t(spark, d, "documents"), t(spark, d, "benchmark")), 10)
+    return lexical_index.top(lexical_index.build(t(spark, d, "documents")), t(spark, d, "benchmark"), 10)
 
 
 @query(rf"""
@@ -470,7 +470,7 @@ r AS (SELECT source, doc_id, rn, 0 AS batch, 1 AS n, z AS used FROM d WHERE rn =
 SELECT d.source, d.doc_id, d.rn, CASE WHEN r.n >= 32 OR r.used + d.z > 20000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n >= 32 OR r.used + d.z > 20000 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 32 OR r.used + d.z > 20000 THEN d.z ELSE r.used + d.z END
 FROM r JOIN d ON d.source = r.source AND d.rn = r.rn + 1) SELECT source, doc_id, batch FROM r""")
 def embed_batches(spark, d):
-    return ingest.greedy_batches(t(spark, d, "documents").select("source", "doc_id", F.length("text").alias("z")), "source", "doc_id", "z")
+    return ingest.greedy_batches(t(spark, d, "documents").select("source", "doc_id", F.length("text").alias("z")), "source", "doc_id", "z").withColumn("batch", F.col("batch").cast("int"))
 
 
 # --- pages
@@ -532,7 +532,10 @@ def kb_audit(spark, d):
     return store.audit(t(spark, d, "documents"), "source", "text")
 
 
-@query("SELECT source, count(*) AS n, md5(string_agg(lpad(length(text)::VARCHAR, 8, '0') || md5(text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+@query("""
+WITH r AS (SELECT source, lpad(length(text)::VARCHAR, 8, '0') || md5(text) AS d, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents),
+b AS (SELECT source, n // 4096 AS block, count(*) AS n, md5(string_agg(d, '' ORDER BY n)) AS d FROM r GROUP BY source, n // 4096)
+SELECT source, sum(n)::BIGINT AS n, md5(string_agg(d, '' ORDER BY block)) AS digest FROM b GROUP BY source""")
 def content_digest(spark, d):
     return store.content_digest(t(spark, d, "documents"), "source", ["doc_id"], "text")
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.functions import code, text, vectors
-from quarry.operators import answer, context, evidence, ingest, search
+from quarry.operators import answer, context, evidence, ingest, lexical_index, search
 from quarry.operators import chunks as chunks_text
 from quarry.plans.bounded import bounded
 from quarry.plans.reuse import reuse
@@ -20,7 +20,7 @@ from quarry.plans.reuse import reuse
 def search_knowledge(
     chunks: DataFrame, questions: DataFrame, source: str | None = None, top_k: int = 6, strict: bool = False,
     rerank: Callable[[pd.Series, pd.Series], pd.Series] | None = None, filters: dict[str, str | list[str]] | None = None,
-    other_wordings: DataFrame | None = None, always_rerank: bool = True,
+    other_wordings: DataFrame | None = None, always_rerank: bool = True, index: lexical_index.Index | None = None, gate_index: lexical_index.Index | None = None,
 ) -> DataFrame:
     """REF rows (query, ref, id, source, chunk_index, last_index, type, score, gate, content) for questions (query, question, qv).
 
@@ -28,7 +28,8 @@ def search_knowledge(
     order: metadata filters, dense and lexical ranks, fusion, other wordings (query, question, qv) of questions that need
     them, gates of content alone, weights by type, thresholds or exact numbers, rerank, diverse selection, pollution
     control, merging of neighbours, noise filter, removal of near copies. Lexical statistics stay global under a filter;
-    what passes is decided by the gate, never by a generated context.
+    what passes is decided by the gate, never by a generated context. index, gate_index: stored indexes of the chunks' texts
+    with and without generated contexts (section, source, ctx, content); without them they are built here, once.
     """
     k = DEFAULT.candidate_k
     with_ctx = "ctx" in chunks.columns
@@ -36,11 +37,15 @@ def search_knowledge(
     ids = allowed.select("id")
     body = F.concat_ws(" ", "section", "source", "content")
     plain = chunks.select("id", body.alias("content"))
-    indexed = chunks.select("id", F.concat_ws(" ", "section", "source", F.when(F.trim("ctx") != "", F.col("ctx")), "content").alias("content")) if with_ctx else plain
+    gate_index = gate_index or lexical_index.build(plain, None, "id", "content")
+    if with_ctx:
+        index = index or lexical_index.build(chunks.select("id", F.concat_ws(" ", "section", "source", F.when(F.trim("ctx") != "", F.col("ctx")), "content").alias("content")), None, "id", "content")
+    else:
+        index = index or gate_index
 
     def ranked(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
         dense = search.dense_top(allowed, asked.select("query", "qv"), 2 * k, "id", "v")
-        lexical = search.bm25_scores(indexed, asked, "id", "content", "query", "question").join(ids, "id", "left_semi")
+        lexical = lexical_index.scores(index, asked, "query", "question").join(ids, "id", "left_semi")
         lexical = lexical.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query")), 6)).where(F.col("score") >= DEFAULT.bm25_floor)
         dense, lexical = reuse(dense), reuse(lexical)
         fused = search.top_k(search.rrf(dense, search.top_k(lexical, 2 * k)), k, by="rrf").drop("rank")
@@ -52,7 +57,7 @@ def search_knowledge(
         v = allowed.select("id", vectors.normalize(F.col("v")).alias("v"))
         q = asked.select("query", vectors.normalize(F.col("qv")).alias("qv"))
         out = cand.join(v, "id").join(q, "query").withColumn("retrieval", F.round(vectors.dot(F.col("v"), F.col("qv")), 6)).drop("v", "qv")
-        plain_scores = search.bm25_scores(plain, asked, "id", "content", "query", "question") if with_ctx else None
+        plain_scores = lexical_index.gate(gate_index, asked, cand, "query", "question") if with_ctx else None
         return search.fill_gate(out, None, plain_scores)
 
     first, _ = ranked(questions)

@@ -115,7 +115,7 @@ def lexical_hits(spark, d):
 @query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1)::INT AS ordinal, sha256(source || ':' || lang || ':' || doc_id) AS corpus_id FROM documents")
 def corpus_ordinals(spark, d):
     rows = records.ordinals(t(spark, d, "documents"), ["source", "lang"], ["doc_id"])
-    return rows.select("doc_id", "source", "ordinal", F.sha2(F.concat_ws(":", "source", "lang", "doc_id"), 256).alias("corpus_id"))
+    return rows.select("doc_id", "source", F.col("ordinal").cast("int").alias("ordinal"), F.sha2(F.concat_ws(":", "source", "lang", "doc_id"), 256).alias("corpus_id"))
 
 
 @query("WITH r AS (SELECT user_id AS id, max(ts)::DATE AS review_by FROM events GROUP BY user_id), h AS (SELECT user_id AS id, count(*) AS n FROM events WHERE event_type = 'purchase' AND value > 20 GROUP BY user_id) SELECT id, (CASE WHEN n IS NOT NULL THEN DATE '2024-02-01' + 30 ELSE review_by END)::DATE::VARCHAR AS review_by, coalesce(n, 0)::BIGINT AS hits FROM r LEFT JOIN h USING (id)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.operators import conversations, rules, scope, store
 from quarry.plans.registry import query, t
@@ -159,6 +160,8 @@ def last_metrics(spark, d):
 WITH r AS (SELECT doc_id AS i, source, left(text, 500) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), s AS (SELECT source, string_agg('[' || i || '] ' || t, chr(10) ORDER BY n) AS refs FROM r WHERE n <= 5 GROUP BY source)
 SELECT source, md5(refs || chr(10) || 'one' || chr(10) || 'two') AS digest FROM s""")
 def formatted_contexts(spark, d):
+    w = Window.partitionBy("source").orderBy("doc_id")
+    first = t(spark, d, "documents").withColumn("_n", F.row_number().over(w)).where("_n <= 5")  # a group limit: five of each source leave a task
     refs = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: F.struct(x["doc_id"].cast("string").alias("source"), x["text"].alias("content")))
-    g = t(spark, d, "documents").groupBy("source").agg(refs.alias("refs"))
+    g = first.groupBy("source").agg(refs.alias("refs"))
     return g.select("source", F.md5(conversations.formatted_context(F.col("refs"), F.array(F.lit("one"), F.lit("two"))).cast("binary")).alias("digest"))
