@@ -514,24 +514,9 @@ def stitched(parts: Column, most: int = 50) -> Column:
     return F.aggregate(parts, none, lambda acc, x: F.concat(acc, F.slice(x, longest_overlap(acc, x, most) + 1, F.greatest(F.size(x), F.lit(1)))))
 
 
-def alignment_verdicts(cells: DataFrame, channel: DataFrame, key: str) -> DataFrame:
-    """(key, row, col, verdict) of payload cells (key, row, col, text) against one channel's (key, row, col, text).
-
-    Rows are paired by the rows of the channel that share the most cells with them, in order; ties by the earlier row. A cell
-    is a match, differs, or has no partner.
-    """
-    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    a = cells.select(key, "row", "col", flat(F.col("text")).alias("text"))
-    b = channel.select(key, F.col("row").alias("other"), "col", flat(F.col("text")).alias("seen"))
-    votes = a.join(b, [key, "col"]).where((F.col("text") == F.col("seen")) & (F.col("text") != "")).groupBy(key, "row", "other").agg(F.count("*").alias("n"))
-    best = votes.withColumn("_k", F.row_number().over(Window.partitionBy(key, "row").orderBy(F.desc("n"), F.abs(F.col("row") - F.col("other")), "other"))).where("_k = 1").select(key, "row", "other")
-    j = a.join(best, [key, "row"], "left").join(b, [key, "other", "col"], "left")
-    return j.select(key, "row", "col", F.when(F.col("seen").isNull(), "none").when(F.col("text") == F.col("seen"), "match").otherwise("differ").alias("verdict"))
-
-
 def native_checks(verdicts: DataFrame, key: str, rows: Column, channel_rows: Column, header_same: Column, channels: Column) -> DataFrame:
-    """(key, second_channel, header_agreement, row_count_agreement, text_agreement) of alignment_verdicts() joined with per-figure columns."""
-    judged = F.col("verdict") != "none"
+    """(key, second_channel, header_agreement, row_count_agreement, text_agreement) of alignment.verdicts() joined with per-figure columns."""
+    judged = F.col("verdict").isin("match", "differ")
     return verdicts.groupBy(key).agg(
         (F.max(channels) >= 2).alias("second_channel"), F.bool_and(header_same).alias("header_agreement"), (F.max(rows) == F.max(channel_rows)).alias("row_count_agreement"),
         (F.coalesce(F.bool_and(F.when(judged, F.col("verdict") == "match")), F.lit(False))).alias("text_agreement"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text
-from quarry.operators import conversations, evalm, figures, layout, payloads, records, scope, store, trimming
+from quarry.operators import alignment, conversations, evalm, figures, layout, payloads, records, scope, store, trimming
 from quarry.plans.registry import query, t
 
 BOXES = "b AS (SELECT p_size AS page, p_partkey AS id, (p_partkey * 37 % 500)::DOUBLE AS x0, (p_partkey * 53 % 700)::DOUBLE AS y0, p_partkey * 37 % 500 + 40.0 + p_partkey % 90 AS x1, p_partkey * 53 % 700 + 30.0 + p_partkey % 70 AS y1 FROM part)"
@@ -193,16 +193,35 @@ def column_assignments(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", payloads.column_assignment_ok(F.col("l_quantity"), F.col("l_suppkey") * 5).alias("ok"))
 
 
-@query("""
-WITH a AS (SELECT l_orderkey AS k, l_linenumber AS row, 1 AS col, l_partkey::VARCHAR AS text FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1 UNION ALL SELECT l_orderkey, l_linenumber, 2, l_returnflag FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1),
-b AS (SELECT k, row + 1 AS other, col, CASE WHEN row = 3 AND col = 2 THEN 'Z' ELSE text END AS seen FROM a WHERE row <> 5),
-v AS (SELECT a.k, a.row, b.other, count(*) AS n FROM a JOIN b ON a.k = b.k AND a.col = b.col AND text = seen GROUP BY ALL), s AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY k, row ORDER BY n DESC, abs(row - other), other) = 1)
-SELECT a.k, a.row, a.col, CASE WHEN seen IS NULL THEN 'none' WHEN text = seen THEN 'match' ELSE 'differ' END AS verdict FROM a LEFT JOIN s ON a.k = s.k AND a.row = s.row LEFT JOIN b ON b.k = a.k AND b.other = s.other AND b.col = a.col""")
-def alignment_verdicts(spark, d):
+_CELLS = "a AS (SELECT l_orderkey AS k, l_linenumber AS row, col, CASE col WHEN 1 THEN l_partkey || '-' || l_linenumber ELSE l_returnflag END AS text FROM (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1), (SELECT unnest([1, 2]) AS col)), n AS (SELECT k, count(DISTINCT row) AS a, count(DISTINCT row) FILTER (row <> 5) AS b FROM a GROUP BY k)"
+
+
+def _lines(spark, d):
+    """Cells (k, row, col, text) of orders, and of a channel that lost row 5, moved down by one and has another flag in row 3."""
     li = t(spark, d, "lineitem").withColumn("_n", F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber"))).where("_n = 1")
-    a = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("row"), F.posexplode(F.array(F.col("l_partkey").cast("string"), "l_returnflag")).alias("col", "text")).withColumn("col", F.col("col") + 1)
-    b = a.where("row <> 5").withColumn("text", F.when((F.col("row") == 3) & (F.col("col") == 2), "Z").otherwise(F.col("text"))).withColumn("row", F.col("row") + 1)
-    return payloads.alignment_verdicts(a, b, "k")
+    both = F.array(F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")), "l_returnflag")
+    a = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("row"), F.posexplode(both).alias("col", "text")).withColumn("col", F.col("col") + 1)
+    return a, a.where("row <> 5").withColumn("text", F.when((F.col("row") == 3) & (F.col("col") == 2), "Z").otherwise(F.col("text"))).withColumn("row", F.col("row") + 1)
+
+
+@query(f"""
+WITH {_CELLS} SELECT k, row::BIGINT AS row, col, CASE WHEN n.b = 0 OR n.b < 0.6 * n.a THEN 'none' WHEN row = 5 THEN 'unanchored' WHEN row = 3 AND col = 2 THEN 'differ' ELSE 'match' END AS verdict FROM a JOIN n USING (k)""")
+def alignment_verdicts(spark, d):
+    return alignment.verdicts(*_lines(spark, d), "k")[0]
+
+
+@query(f"""
+WITH {_CELLS} SELECT k, 'row_alignment_failed' AS blocker, b AS detail FROM n WHERE b = 0 OR b < 0.6 * a UNION ALL SELECT k, 'unanchored_rows', a - b FROM n WHERE b > 0 AND b >= 0.6 * a AND b < a""")
+def alignment_blockers(spark, d):
+    return alignment.verdicts(*_lines(spark, d), "k")[1]
+
+
+@query()
+def conversation_alignment(spark, d):
+    """Turns of each conversation with an even number against those of the next one: pairs in order."""
+    c = t(spark, d, "conversations").select(F.floor(F.col("conv_id") / 2).alias("k"), F.col("turn").alias("row"), "text", (F.col("conv_id") % 2).alias("side"))
+    found = alignment.align_rows(c.where("side = 0").drop("side"), c.where("side = 1").drop("side"), "k")
+    return found.select("k", "strategy", F.inline_outer("pairs"))
 
 
 @query("SELECT conv_id, array_to_string(list_concat(['a', 'b'], list_transform(list(turn ORDER BY turn), lambda x: 't' || x)), ',') AS lines FROM conversations GROUP BY conv_id")

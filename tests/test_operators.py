@@ -123,10 +123,6 @@ def test_diversity_against_the_greedy_loop(spark):
     assert [r["start"] for r in got] == want
 
 
-def test_alignment():
-    assert figures.align(["a", "b"], ["x", "y"]) == [(0, 0), (1, 1)]
-    assert figures.align(["alpha", "beta", "gamma"], ["alpha", "gamma"]) == [(0, 0), (1, None), (2, 1)]
-
 
 def test_table_payloads(spark):
     schema = "columns array<struct<label:string>>, rows array<struct<row_index:int,cells:array<struct<text:string>>>>"
