@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
+from quarry.operators.records import catalog_delta
+from quarry.plans.reuse import reuse
 from quarry.shipping import ensure_importable
 
 SYMBOLS = "path string, name string, kind string, qualified_name string, start_line int, end_line int, signature string, docstring string, backend string"
@@ -106,22 +108,50 @@ def calls(files: DataFrame) -> DataFrame:
     return _table(files, parse_calls, CALLS)
 
 
+def placed(nodes: DataFrame, sites: DataFrame) -> DataFrame:
+    """(src, path, line, callee, attribute): call sites with the innermost callable around their line; others are dropped."""
+    callables = nodes.where(F.col("kind").isin("function", "method")).select("path", "qualified_name", "start_line", "end_line")
+    around = sites.join(callables, "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    inner = F.min_by("qualified_name", F.struct(F.col("end_line") - F.col("start_line"), "qualified_name"))
+    found = around.groupBy("path", "line", "callee").agg(inner.alias("_q"), F.bool_and("attribute").alias("attribute"))
+    return found.select(F.concat_ws("::", "path", "_q").alias("src"), "path", "line", "callee", "attribute")
+
+
+def resolve_placed(nodes: DataFrame, sites: DataFrame) -> DataFrame:
+    """(src, dst, callee, path, line, attribute, confidence, candidates) of placed() sites, a row for each.
+
+    A callee resolves among the definitions of its own file, else among those of all files. With one candidate dst is it;
+    with several the call is ambiguous and dst null: ambiguous_targets() has a name's candidates once, however many calls
+    share them. Definitions are counted by name before they meet the calls, so a common name costs a row for each call.
+    """
+    callables = nodes.where(F.col("kind").isin("function", "method")).select(F.col("name").alias("callee"), "path", F.concat_ws("::", "path", "qualified_name").alias("dst"))
+    local = callables.groupBy("callee", "path").agg(F.countDistinct("dst").alias("_ln"), F.min("dst").alias("_ld"))
+    every = local.groupBy("callee").agg(F.sum("_ln").alias("_gn"), F.min("_ld").alias("_gd"))
+    j = sites.join(local, ["callee", "path"], "left").join(every, "callee", "left")
+    own = F.col("_ln").isNotNull()
+    n = F.when(own, F.col("_ln")).otherwise(F.coalesce("_gn", F.lit(0)))
+    dst = F.when(n == 1, F.when(own, F.col("_ld")).otherwise(F.col("_gd")))
+    confidence = F.when(n == 0, "unresolved").when(n > 1, "ambiguous").when(F.col("attribute"), "heuristic").otherwise("resolved")
+    return j.select("src", dst.alias("dst"), "callee", "path", "line", "attribute", confidence.alias("confidence"), n.alias("candidates"))
+
+
+def ambiguous_targets(nodes: DataFrame) -> DataFrame:
+    """(callee, path, dst): the callables of names that are defined more than once; a call's own path goes first."""
+    callables = nodes.where(F.col("kind").isin("function", "method")).select(F.col("name").alias("callee"), "path", F.concat_ws("::", "path", "qualified_name").alias("dst")).distinct()
+    return callables.join(callables.groupBy("callee").count().where("count > 1").select("callee"), "callee", "left_semi")
+
+
 def resolve_calls(nodes: DataFrame, sites: DataFrame) -> DataFrame:
-    """Edges (src, dst, callee, path, line, confidence) of call sites (path, line, callee, attribute).
+    """Edges (src, dst, callee, path, line, confidence) of call sites (path, line, callee, attribute), ambiguous ones with every candidate.
 
-    The source is the innermost callable around the line; calls outside any are dropped. A callee resolves in its own
-    file first, else in the whole repository; with several candidates all are kept, as ambiguous, and with none dst is null.
+    Where names are common this is long: resolve_placed() has a row for each call.
     """
-    callables = nodes.where(F.col("kind").isin("function", "method"))
-    around = sites.alias("s").join(callables.alias("n"), (F.col("s.path") == F.col("n.path")) & F.col("s.line").between(F.col("n.start_line"), F.col("n.end_line")))
-    w = Window.partitionBy("s.path", "s.line", "s.callee").orderBy(F.col("n.end_line") - F.col("n.start_line"), "n.qualified_name")
-    inner = around.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.concat_ws("::", "s.path", "n.qualified_name").alias("src"), "s.path", "s.line", "s.callee", "s.attribute")
-    targets = callables.select(F.concat_ws("::", "path", "qualified_name").alias("dst"), F.col("name").alias("callee"), F.col("path").alias("tpath"))
-    found = inner.join(targets, "callee", "left").withColumn("local", F.col("path") == F.col("tpath"))
-    call = Window.partitionBy("path", "line", "callee", "src")
-    best = found.withColumn("any_local", F.max(F.coalesce("local", F.lit(False))).over(call)).where("NOT any_local OR local")
-    n = F.count("dst").over(call)
-    return best.withColumn("n", n).select("src", F.col("dst"), "callee", "path", "line", F.when(F.col("n") == 0, "unresolved").when(F.col("n") > 1, "ambiguous").when(F.col("attribute"), "heuristic").otherwise("resolved").alias("confidence")).distinct()
+    found = resolve_placed(nodes, placed(nodes, sites))
+    targets = ambiguous_targets(nodes).select("callee", F.col("path").alias("_p"), F.col("dst").alias("_d"))
+    local = targets.select("callee", F.col("_p").alias("path")).distinct().withColumn("_own", F.lit(True))
+    many = found.where("confidence = 'ambiguous'").drop("dst").join(local, ["callee", "path"], "left").join(targets, "callee").where("_own IS NULL OR path = _p").withColumnRenamed("_d", "dst")
+    columns = ["src", "dst", "callee", "path", "line", "confidence"]
+    return found.where("confidence <> 'ambiguous'").select(*columns).unionByName(many.select(*columns))
 
 
 def neighbors(edges: DataFrame, start: DataFrame, hops: int = 1, direction: str = "both", limit: int = DEFAULT.node_limit) -> DataFrame:
@@ -161,13 +191,25 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, "path", "full_outer").withColumn("change", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "deleted").when(F.col("o") != F.col("n"), "changed")).where("change IS NOT NULL").select("path", "change")
 
 
-def update_graph(nodes: DataFrame, sites: DataFrame, new_files: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, sites, edges) after changes (path, change): only changed and added files are parsed again, calls are resolved anew."""
-    gone = changes.select("path")
+def update_graph(nodes: DataFrame, edges: DataFrame, new_files: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, again) after changes (path, change) to a graph of nodes and of edges as resolve_placed() has them.
+
+    Only added and changed files are parsed. Resolved again are their calls, and the calls of other files whose callee's
+    definitions differ now: those keep their places, which their own files decide. Only definitions of names that are asked
+    for meet them. again: the calls that were resolved again; edges that are neither in changed files nor of such names stay.
+    """
+    gone = changes.select("path").distinct()
     fresh = new_files.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
-    n = nodes.join(gone, "path", "left_anti").unionByName(symbols(fresh))
-    s = sites.join(gone, "path", "left_anti").unionByName(calls(fresh))
-    return n, s, resolve_calls(n, s)
+    fresh_nodes = reuse(symbols(fresh))
+    old_nodes = nodes.join(gone, "path", "left_semi")
+    n = nodes.join(gone, "path", "left_anti").unionByName(fresh_nodes)
+    callables = lambda df: df.where(F.col("kind").isin("function", "method")).select("name", F.concat_ws("::", "path", "qualified_name").alias("dst"))
+    moved = reuse(catalog_delta(callables(old_nodes), callables(fresh_nodes), "name", "dst").select(F.col("name").alias("callee")))
+    others = edges.join(gone, "path", "left_anti").select(*edges.columns)
+    asked = others.join(moved, "callee", "left_semi").select("src", "path", "line", "callee", "attribute")
+    again = reuse(placed(fresh_nodes, calls(fresh)).unionByName(asked))
+    known = n.join(again.select(F.col("callee").alias("name")).distinct(), "name", "left_semi").select(*n.columns)
+    return n, others.join(moved, "callee", "left_anti").select(*edges.columns).unionByName(resolve_placed(known, again).select(*edges.columns)), again
 
 
 # --- lookups over nodes (id, name, qualified_name, path, line) and edges (src, dst, type, target, confidence, ambiguity_group)

@@ -13,6 +13,7 @@ from quarry.operators import answer, context, conversations, evalm, figures, gra
 from quarry.plans import knowledge, samples
 from quarry.plans.bounded import bounded
 from quarry.plans.registry import query, t
+from quarry.plans.reuse import reuse
 from quarry.sources import readers
 from quarry.streaming import ingest as streaming
 
@@ -132,7 +133,7 @@ def identifier_tokens(spark, d):
 
 @query()
 def code_tokens(spark, d):
-    return samples.files(spark).select("path", F.array_join(text.code_tokens("content"), " ").alias("tokens"))
+    return samples.files(spark, d).select("path", F.array_join(text.code_tokens("content"), " ").alias("tokens"))
 
 
 @query(r"""
@@ -574,15 +575,32 @@ def lesson_caps(spark, d):
 # --- code graph
 
 
-@query()
+@query(f"""WITH {samples.files_sql()} SELECT path, name, 'function' AS kind, name AS qualified_name, line::INT AS start_line, (line + 3)::INT AS end_line,
+CASE WHEN python THEN name || '(a)' ELSE 'function ' || name || '(a) {{' END AS signature, CASE WHEN python THEN substr(name, 3) || ' of ' || coalesce(source, '') ELSE '' END AS docstring, CASE WHEN python THEN 'ast' ELSE 'regex' END AS backend FROM def""")
 def code_symbols(spark, d):
-    return graph.symbols(samples.files(spark))
+    return graph.symbols(samples.files(spark, d))
 
 
-@query()
+@query(f"WITH {samples.files_sql()}, {samples.CALLS_SQL}, {samples.RESOLVED_SQL}")
 def call_resolution(spark, d):
-    f = samples.files(spark)
-    return graph.resolve_calls(graph.symbols(f), graph.calls(f))
+    f = samples.files(spark, d)
+    nodes = reuse(graph.symbols(f))
+    return graph.resolve_placed(nodes, graph.placed(nodes, graph.calls(f))).drop("attribute")
+
+
+@query(f"WITH {samples.files_sql()} SELECT name AS callee, path, path || '::' || name AS dst FROM def QUALIFY count(*) OVER (PARTITION BY name) > 1")
+def ambiguous_targets(spark, d):
+    return graph.ambiguous_targets(graph.symbols(samples.files(spark, d)))
+
+
+@query(f"WITH {samples.files_sql('doc_id % 100 = 0')}, {samples.CALLS_SQL}, {samples.RESOLVED_SQL}")
+def graph_update(spark, d):
+    """The graph after the files of documents whose number is divisible by 100 have changed; the SQL builds it anew."""
+    old, new = samples.files(spark, d), samples.files(spark, d, F.col("doc_id") % 100 == 0)
+    nodes = reuse(graph.symbols(old))
+    edges = graph.resolve_placed(nodes, graph.placed(nodes, graph.calls(old)))
+    digest = lambda f: f.select("path", F.md5(F.col("content").cast("binary")).alias("hash"))
+    return graph.update_graph(nodes, edges, new, graph.changed_files(digest(old), digest(new)))[1].drop("attribute")
 
 
 def _supply(spark: SparkSession, d: str) -> DataFrame:
@@ -784,17 +802,24 @@ def query_decisions(spark, d):
     return knowledge.decide(q, knowledge.search_knowledge(_chunks(spark, d), q))
 
 
+def _code_questions(spark, d):
+    """A question after the first function of each file whose document's number is divisible by 100."""
+    name = F.regexp_extract("content", r"f_(\w+)", 1)
+    return samples.files(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), name.alias("name"), F.concat(F.lit("where is f_"), name, F.lit(" defined")).alias("question")).where("name <> ''")
+
+
 @query()
 def code_search(spark, d):
-    q = spark.createDataFrame([(1, "where is load defined"), (2, "how does Job start"), (3, "renderPage")], "query long, question string")
-    return knowledge.search_symbols(graph.symbols(samples.files(spark)), q)
+    return knowledge.search_symbols(graph.symbols(samples.files(spark, d)), _code_questions(spark, d).drop("name"))
 
 
 @query()
 def code_context(spark, d):
-    f = samples.files(spark)
-    c = graph.symbols(f).select(F.lit(1).alias("query"), "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.lit(60).alias("priority"))
-    return knowledge.code_evidence(c, f, 400)
+    """Evidence for each question: the definitions that search finds, under a budget of 400 characters."""
+    f = samples.files(spark, d)
+    nodes = reuse(graph.symbols(f))
+    hits = knowledge.search_symbols(nodes, _code_questions(spark, d).drop("name")).join(nodes.select("path", "name", "start_line", "end_line"), ["path", "name", "start_line"])
+    return knowledge.code_evidence(hits.select("query", "path", F.col("start_line").alias("start"), F.col("end_line").alias("end"), F.lit(60).alias("priority")), f, 400)
 
 
 @query("SELECT page_id, len(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'))::INT - 1 AS depth, regexp_matches(url, '\\?') AS has_query FROM pages")

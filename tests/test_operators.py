@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text, vectors
 from quarry.operators import answer, context, conversations, figures, graph, ingest, search, store
-from quarry.plans import samples
+import code_tree as samples
 from quarry.sources import readers
 from quarry.streaming import ingest as streaming
 
@@ -98,16 +98,44 @@ def test_python_symbols_and_calls(spark):
     assert edges["lib/text.py::caller", "twice", "lib/text.py::twice"] == "resolved"  # its own file wins
 
 
+def _digest(df):
+    return df.select("path", F.md5(F.col("content").cast("binary")).alias("hash"))
+
+
 def test_incremental_graph_equals_a_full_rebuild(spark):
     old = samples.files(spark)
     changed = dict(samples.FILES) | {"app/util.py": "def load(p):\n    return fresh()\n\n\ndef fresh():\n    return 1\n", "new.py": "def clean(x):\n    return x\n"}
     del changed["lib/text.py"]
     new = spark.createDataFrame(sorted(changed.items()), "path string, content string")
-    digest = lambda df: df.select("path", F.md5(F.col("content").cast("binary")).alias("hash"))
-    changes = graph.changed_files(digest(old), digest(new))
+    changes = graph.changed_files(_digest(old), _digest(new))
     assert {tuple(r) for r in changes.collect()} == {("app/util.py", "changed"), ("new.py", "added"), ("lib/text.py", "deleted")}
-    _, _, edges = graph.update_graph(graph.symbols(old), graph.calls(old), new, changes)
-    assert sorted(map(str, edges.collect())) == sorted(map(str, graph.resolve_calls(graph.symbols(new), graph.calls(new)).collect()))
+    nodes = graph.symbols(old)
+    _, edges, _ = graph.update_graph(nodes, graph.resolve_placed(nodes, graph.placed(nodes, graph.calls(old))), new, changes)
+    assert sorted(map(str, edges.collect())) == sorted(map(str, graph.resolve_placed(graph.symbols(new), graph.placed(graph.symbols(new), graph.calls(new))).collect()))
+
+
+def test_random_edits_resolve_in_proportion_to_the_change(spark):
+    rng = random.Random(12)
+
+    def file(k):
+        own = [f"g{rng.randrange(60)}" for _ in range(rng.randrange(4))] + [f"own{k}"]
+        return "".join(f"def {n}(a):\n    x.{rng.choice(['g1', 'g2', 'zz'])}(a)\n    return g{rng.randrange(70)}(a) + own{k}(a)\n\n\n" for n in dict.fromkeys(own))
+
+    files = {f"m{k}.py": file(k) for k in range(60)}
+    table = lambda x: spark.createDataFrame(sorted(x.items()), "path string, content string")
+    nodes = graph.symbols(table(files))
+    edges = graph.resolve_placed(nodes, graph.placed(nodes, graph.calls(table(files))))
+    for step in range(3):
+        new = dict(files)
+        for k in rng.sample(range(60), 2):
+            new[f"m{k}.py"] = file(k)
+        new.pop(f"m{step}.py", None)
+        new[f"n{step}.py"] = file(100 + step)
+        nodes, edges, again = graph.update_graph(nodes, edges, table(new), graph.changed_files(_digest(table(files)), _digest(table(new))))
+        nodes, edges, files = spark.createDataFrame(nodes.collect(), nodes.schema), spark.createDataFrame(edges.collect(), edges.schema), new
+        whole = graph.symbols(table(files))
+        want = graph.resolve_placed(whole, graph.placed(whole, graph.calls(table(files)))).collect()
+        assert sorted(map(str, edges.collect())) == sorted(map(str, want)) and again.count() < len(want) / 2
 
 
 def test_diversity_against_the_greedy_loop(spark):
