@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.functions import text, vectors
-from quarry.plans.bounded import blocks, bounded
+from quarry.plans.bounded import blocks
 from quarry.plans.reuse import reuse, spread
 from quarry.shipping import ensure_importable
 
@@ -44,10 +44,39 @@ def keyword_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id",
     return have.join(words, "word").groupBy("query", "id").agg(F.round(F.count("*") / F.max("n"), 6).alias("score"))
 
 
-def dense_scores(vecs: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query", query_vec: str = "qv") -> DataFrame:
-    """(query, id, score): exact cosine of every query with every vector, for a bounded set of queries whose size is checked."""
-    q = queries.select(F.col(query_id).alias("query"), vectors.normalize(F.col(query_vec)).alias("qv"))
-    return vecs.select(F.col(id_col).alias("id"), vectors.normalize(F.col(vec_col)).alias("v")).crossJoin(bounded(q)).select("query", "id", F.round(vectors.dot(F.col("v"), F.col("qv")), 6).alias("score"))
+def _unit_rows(pdf: pd.DataFrame):
+    """Ids, and unit vectors as a matrix; a zero vector stays zero."""
+    import numpy as np
+
+    v = np.stack([np.asarray(x, float) for x in pdf["v"]])
+    norms = np.sqrt((v * v).sum(1))
+    return pdf["id"].to_numpy(), v / np.where(norms == 0, 1, norms)[:, None]
+
+
+def dense_scores(vecs: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query", query_vec: str = "qv", least: float = -2.0) -> DataFrame:
+    """(query, id, score): the exact cosine of every query with every vector, from least on.
+
+    Queries are taken in blocks, each a matrix that goes to every task; only scores that reach least leave a task.
+    """
+    import numpy as np
+
+    ensure_importable(vecs.sparkSession)
+    rows = vecs.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    out = vecs.sparkSession.createDataFrame([], "query long, id long, score double")
+    for block in blocks(queries.select(F.col(query_id).cast("long").alias("query"), vectors.normalize(F.col(query_vec)).alias("qv"))):
+        names, matrix = np.array([r["query"] for r in block]), np.array([r["qv"] for r in block], float)
+
+        def score(batches, names=names, matrix=matrix):
+            for pdf in batches:
+                if len(pdf):
+                    ids, v = _unit_rows(pdf)
+                    for k in range(0, len(ids), 1000):  # so that a batch's scores stay small
+                        found = np.round(matrix @ v[k : k + 1000].T, 6) + 0.0
+                        q, i = np.nonzero(found >= least)
+                        yield pd.DataFrame({"query": names[q], "id": ids[k : k + 1000][i], "score": found[q, i]})
+
+        out = out.union(rows.mapInPandas(score, "query long, id long, score double"))
+    return out
 
 
 def dense_top(vecs: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_id: str = "query", query_vec: str = "qv", skip_self: bool = False) -> DataFrame:
@@ -69,10 +98,8 @@ def dense_top(vecs: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
             for pdf in batches:
                 if not len(pdf):
                     continue
-                ids = pdf["id"].to_numpy()
-                v = np.stack([np.asarray(x, float) for x in pdf["v"]])
-                norms = np.sqrt((v * v).sum(1))
-                scores = np.round(matrix @ (v / np.where(norms == 0, 1, norms)[:, None]).T, 6) + 0.0
+                ids, v = _unit_rows(pdf)
+                scores = np.round(matrix @ v.T, 6) + 0.0
                 for q, row in enumerate(scores):
                     s, i = np.concatenate([held[q][0], row]), np.concatenate([held[q][1], ids])
                     if skip_self:
@@ -263,31 +290,71 @@ def mmr(pool: DataFrame, k: int, lam: float = DEFAULT.mmr_lambda) -> DataFrame:
     return pool.select("query", "id", "score", "v").groupBy("query").applyInPandas(pick, "query long, id long, pick int")
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, jaccard) of texts whose word sets reach the threshold.
+def word_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, words): the words of each text that has any, and a key that texts with the same words share."""
+    found = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(text.all_matches(F.lower(F.col(text_col)), r"(?U)\b[a-z0-9_]+\b"))).alias("words")).where(F.size("words") > 0)
+    return found.withColumn("key", F.md5(F.array_join("words", " ").cast("binary")))
+
+
+#: Sets of a prefix word that one sub-key takes.
+SUB_SETS = 2000
+
+
+def jaccard_classes(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Classes of texts with the same words (key, rep, copies, links), and pairs of classes (a, b, jaccard) that reach the threshold.
 
-    Texts with the same words meet as one. Candidates share a word of their prefix: with words in ascending order of
+    rep: the least id. links: the other texts that a text of the class is like, copies included, so a text that occurs a
+    million times is one row with 999,999 links. Candidates share a word of their prefix: with words in ascending order of
     frequency, sets that reach the threshold share one of their first |set| - ceil(threshold |set|) + 1 words. So no two
-    texts without a rare word in common meet, nor two of too unlike sizes. Word sets are made once and stay with one side.
+    sets without a rare word in common meet, nor two of too unlike sizes. A word's sets are dealt over sub-keys on one side
+    and repeated on the other, and only keys and sizes meet; word sets join the pairs that are left.
     """
-    found = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(text.all_matches(F.lower(F.col(text_col)), r"(?U)\b[a-z0-9_]+\b"))).alias("words")).where(F.size("words") > 0)
-    members = reuse(found.withColumn("key", F.md5(F.array_join("words", " ").cast("binary"))))
-    sets = reuse(members.groupBy("key").agg(F.min("id").alias("rep"), F.first("words").alias("words")))
-    flat = sets.select("rep", F.size("words").alias("n"), F.explode("words").alias("word"))
+    members = reuse(word_sets(docs, id_col, text_col))
+    sub = members.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(256)).alias("_s")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("words").alias("words"))
+    sets = reuse(sub.groupBy("key").agg(F.min("rep").alias("rep"), F.sum("copies").alias("copies"), F.first("words").alias("words")))
+    flat = sets.select("key", F.size("words").alias("n"), F.explode("words").alias("word"))
     df = flat.groupBy("word").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("rep").orderBy("df", "word")
-    prefix = flat.join(df, "word").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    side = lambda p: prefix.select(F.col("rep").alias(p), "word", F.col("n").alias(f"n{p}"))
-    pairs = side("a").join(side("b"), "word").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("words").alias("wa"), F.col("key").alias("ka")), "a").join(sets.select(F.col("rep").alias("b"), F.col("words").alias("wb"), F.col("key").alias("kb")), "b")
+    ranked = flat.join(df, "word").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    prefix = reuse(ranked.select("key", "n", F.explode(F.slice("w", F.lit(1), length)).alias("w")).select("key", "n", F.col("w.word").alias("word")))
+    # a word of many sets is dealt over sub-keys: one side by its key, the other to each of them
+    subs = prefix.groupBy("word").agg(F.least(F.ceil(F.count("*") / SUB_SETS), F.lit(256)).alias("subs"))
+    dealt = prefix.join(subs, "word")
+    left = dealt.select(F.col("key").alias("ka"), F.col("n").alias("na"), "word", F.pmod(F.xxhash64("key"), "subs").alias("s"))
+    right = dealt.select(F.col("key").alias("kb"), F.col("n").alias("nb"), "word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("s"))
+    close = (F.col("ka") < F.col("kb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    pairs = left.join(right, ["word", "s"]).where(close).select("ka", "kb").distinct()
+    side = lambda k, r, w: sets.select(F.col("key").alias(k), F.col("rep").alias(r), F.col("words").alias(w))
+    both = pairs.join(side("ka", "ra", "wa"), "ka").join(side("kb", "rb", "wb"), "kb")
     common = F.size(F.array_intersect("wa", "wb"))
-    like = both.withColumn("jaccard", common / (F.size("wa") + F.size("wb") - common)).where(F.col("jaccard") >= threshold).select("ka", "kb", "jaccard")
-    name = lambda k, i: members.select(F.col("key").alias(k), F.col("id").alias(i))
-    across = like.join(name("ka", "x"), "ka").join(name("kb", "y"), "kb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("jaccard", 6).alias("jaccard"))
-    within = name("k", "a").join(name("k", "b"), "k").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    like = reuse(both.withColumn("jaccard", common / (F.size("wa") + F.size("wb") - common)).where(F.col("jaccard") >= threshold).select("ka", "kb", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), F.round("jaccard", 6).alias("jaccard")))
+    sizes = sets.select(F.col("key").alias("other"), F.col("copies").alias("n"))
+    ways = like.select(F.col("ka").alias("key"), F.col("kb").alias("other")).union(like.select("kb", "ka"))
+    near = ways.join(sizes, "other").groupBy("key").agg(F.sum("n").alias("near"))
+    classes = sets.join(near, "key", "left").select("key", "rep", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return classes, like.select("a", "b", "jaccard")
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, jaccard) of texts whose word sets reach the threshold, copies written out as pairs; jaccard_classes() has them as classes."""
+    members = reuse(word_sets(docs, id_col, text_col).select("id", "key"))
+    classes, pairs = jaccard_classes(docs, threshold, id_col, text_col)
+    rep = classes.select("key", "rep")
+    of = lambda r, i: members.join(rep, "key").select(F.col("rep").alias(r), F.col("id").alias(i))
+    across = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    name = lambda i: members.select("key", F.col("id").alias(i))
+    within = name("a").join(name("b"), "key").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
     return across.unionByName(within)
 
 
+def greedy_kept(docs: DataFrame, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that are like an earlier kept one: of each class only the least id can stay, so classes alone are compared."""
+    classes, pairs = jaccard_classes(docs, threshold, id_col, text_col)
+    members = word_sets(docs, id_col, text_col).select("id", "key").join(classes.select("key", "rep"), "key")
+    copies = members.where("id <> rep").select(F.col("id").alias(id_col))
+    return greedy_dedup(docs.join(copies, id_col, "left_anti"), pairs, id_col)
+
+
 def greedy_dedup(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without those that are like an earlier kept one; pairs (a, b), a < b.
 

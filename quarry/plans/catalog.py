@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,10 +63,10 @@ def _top(spark: SparkSession, d: str, k: int, skip_self: bool = False) -> DataFr
     return search.dense_top(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")), k, skip_self=skip_self)
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector against the query set: vectors whose id is divisible by 100."""
+def _dense(spark: SparkSession, d: str, least: float = -2.0) -> DataFrame:
+    """Every vector against the query set (vectors whose id is divisible by 100), scores from least on."""
     e = t(spark, d, "embeddings")
-    return search.dense_scores(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")))
+    return search.dense_scores(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")), least=least)
 
 
 # --- types, filters and scalar functions over documents
@@ -280,7 +282,7 @@ def dense_topk(spark, d):
 
 @query(f"WITH {DENSE_SQL} SELECT query, id, score FROM sc WHERE score >= 0.3")
 def dense_threshold(spark, d):
-    return _dense(spark, d).where(f"score >= {config.DEFAULT.threshold}")
+    return _dense(spark, d, config.DEFAULT.threshold)
 
 
 _LABELRANK = "lab AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY (label = qlabel)::INT DESC, id) AS rank FROM sc)"
@@ -290,7 +292,9 @@ def _label_rank(spark: SparkSession, d: str) -> DataFrame:
     """A second ranking of the same vectors: those of the query's label first."""
     e = t(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("qlabel"))
-    rows = e.crossJoin(bounded(q)).select("query", F.col("vec_id").alias("id"), (F.col("label") == F.col("qlabel")).cast("int").alias("score"))
+    # the 20 least ids of each label hold the 20 best of every query
+    first = e.select("vec_id", "label", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).alias("n")).where("n <= 20")
+    rows = q.crossJoin(bounded(first)).select("query", F.col("vec_id").alias("id"), (F.col("label") == F.col("qlabel")).cast("int").alias("score"))
     return search.top_k(rows, 20)
 
 
@@ -330,8 +334,12 @@ _LABEL_TYPES = ["spec", "api", "manual", "warning", "guide", "faq", "doc", "web"
 WITH {DENSE_SQL}, w AS (SELECT query, id, score, CASE label {' '.join(f'WHEN {i} THEN {config.DEFAULT.source_weights[k]}' for i, k in enumerate(_LABEL_TYPES))} END AS weight FROM sc)
 SELECT query, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, round(score * weight, 6) AS score FROM w)) WHERE rank <= 5""")
 def source_weighted_rank(spark, d):
-    kinds = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.element_at(F.array(*map(F.lit, _LABEL_TYPES)), F.col("label") + 1).alias("type"))
-    scored = _dense(spark, d).join(kinds, "id").select("query", "id", F.round(F.col("score") * search.source_weight(F.col("type")), 6).alias("score"))
+    e = t(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv"))
+    kind = F.element_at(F.array(*map(F.lit, _LABEL_TYPES)), F.col("label") + 1)
+    # the best of each type hold the best of all: a type's weight keeps their order
+    best = [search.dense_top(e.where(kind == x), q, 5).withColumn("type", F.lit(x)) for x in _LABEL_TYPES]
+    scored = reduce(DataFrame.unionByName, best).select("query", "id", F.round(F.col("score") * search.source_weight(F.col("type")), 6).alias("score"))
     return search.top_k(scored, 5)
 
 
@@ -341,7 +349,7 @@ _NOSELF = DENSE_SQL.replace("FROM embeddings, q)", "FROM embeddings, q WHERE vec
 
 @query(f"WITH {_NOSELF}, {_RISK} SELECT query, top1, top2, gap, high_risk FROM risky")
 def margin_risk(spark, d):
-    return search.margin_risk(_dense(spark, d).where("query <> id"))
+    return search.margin_risk(_top(spark, d, 2, skip_self=True))
 
 
 @query(f"""
@@ -349,7 +357,7 @@ WITH {_NOSELF}, {_RISK}, s AS (SELECT query, label AS source, score, high_risk F
 a AS (SELECT query, count(DISTINCT source) AS sources, round(var_pop(score), 9) AS variance, bool_or(high_risk) AS risky FROM s GROUP BY query)
 SELECT *, CASE WHEN sources > 3 AND variance < 0.02 THEN 'high' WHEN sources > 2 AND risky THEN 'medium' ELSE 'low' END AS pollution FROM a""")
 def pollution_risk(spark, d):
-    scored = _dense(spark, d).where("query <> id")
+    scored = reuse(_top(spark, d, 6, skip_self=True).drop("rank"))
     labels = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("source"))
     return search.pollution_risk(search.top_k(scored, 6).join(labels, "id").join(search.margin_risk(scored).select("query", "high_risk"), "query"))
 
@@ -401,7 +409,16 @@ f AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS gone UNION ALL SELECT v.r, CASE WHE
 SELECT doc_id FROM documents WHERE NOT list_contains((SELECT gone FROM f ORDER BY r DESC LIMIT 1), doc_id)""")
 def greedy_dedup(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
-    return search.greedy_dedup(docs, search.jaccard_pairs(docs, config.DEFAULT.dedup_jaccard)).select("doc_id")
+    return search.greedy_kept(docs, config.DEFAULT.dedup_jaccard).select("doc_id")
+
+
+@query(f"""
+WITH w AS (SELECT doc_id AS id, list_sort({WORDS_SQL.format('text', '[a-z0-9_]+')}) AS words FROM documents), c AS (SELECT words, min(id) AS rep, count(*) AS copies FROM w WHERE len(words) > 0 GROUP BY words),
+j AS (SELECT a.rep AS a, b.rep AS b, a.copies AS ca, b.copies AS cb, len(list_intersect(a.words, b.words)) AS i, len(a.words) + len(b.words) AS n FROM c a JOIN c b ON a.rep < b.rep AND least(len(a.words), len(b.words)) >= 0.85 * greatest(len(a.words), len(b.words))),
+p AS (SELECT a AS rep, cb AS n FROM j WHERE i / (n - i) >= 0.85 UNION ALL SELECT b, ca FROM j WHERE i / (n - i) >= 0.85)
+SELECT c.rep, any_value(c.copies) AS copies, (any_value(c.copies) - 1 + coalesce(sum(p.n), 0))::BIGINT AS links FROM c LEFT JOIN p USING (rep) GROUP BY c.rep""")
+def jaccard_classes(spark, d):
+    return search.jaccard_classes(t(spark, d, "documents"), config.DEFAULT.dedup_jaccard)[0].drop("key")
 
 
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS digest, count(*) AS copies FROM documents GROUP BY text")
