@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quarry.operators import conversations, rules, scope, store
 from quarry.plans.registry import query, t
+from quarry.plans.reuse import scratch
 
 # a tree of files: every part is one
 FILE = [
@@ -165,3 +166,28 @@ def formatted_contexts(spark, d):
     refs = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: F.struct(x["doc_id"].cast("string").alias("source"), x["text"].alias("content")))
     g = first.groupBy("source").agg(refs.alias("refs"))
     return g.select("source", F.md5(conversations.formatted_context(F.col("refs"), F.array(F.lit("one"), F.lit("two"))).cast("binary")).alias("digest"))
+
+
+@query("""
+SELECT 'r1' AS run_id, false AS failed, 'figures' AS name, count(*) AS rows, md5(sum(p_partkey)::BIGINT::VARCHAR) AS digest FROM part
+UNION ALL SELECT 'r1', false, 'variants', count(*), md5(sum(l_partkey)::BIGINT::VARCHAR) FROM lineitem UNION ALL SELECT 'r2', true, 'figures', count(*), md5(sum(s_suppkey)::BIGINT::VARCHAR) FROM supplier""")
+def run_artifacts(spark, d):
+    """A run of two tables and a failed one, published and read back by their manifests."""
+    path = scratch(spark, "runs")
+    store.publish_run(spark, path, "r1", {"figures": t(spark, d, "part").select(F.col("p_partkey").alias("id")), "variants": t(spark, d, "lineitem").select(F.col("l_partkey").alias("id"))})
+    store.publish_run(spark, path, "r2", {"figures": t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))}, failed=True)
+    out = None
+    for run, name in (("r1", "figures"), ("r1", "variants"), ("r2", "figures")):
+        digest = store.run_table(spark, path, run, name).agg(F.md5(F.sum("id").cast("string").cast("binary")).alias("digest")).select(F.lit(run).alias("run_id"), F.lit(name).alias("name"), "digest")
+        out = digest if out is None else out.unionByName(digest)
+    return store.runs(spark, path).join(out, ["run_id", "name"])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'b' WHEN doc_id % 2 = 0 THEN 'a' ELSE 'old' END AS version FROM documents")
+def merged_writers(spark, d):
+    """A store of all documents that two writers change one after the other; each writes its own rows alone."""
+    path, docs = scratch(spark, "writers"), t(spark, d, "documents").select("doc_id")
+    store.publish(docs.withColumn("version", F.lit("old")), path)
+    store.publish_changes(docs.where("doc_id % 2 = 0").withColumn("version", F.lit("a")), path, "doc_id")
+    store.mutate(spark, path, "doc_id", lambda rows: rows.where("doc_id % 3 = 0").withColumn("version", F.lit("b")).select("doc_id", "version"))
+    return store.current(spark, path)
