@@ -155,33 +155,56 @@ def resolve_calls(nodes: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def neighbors(edges: DataFrame, start: DataFrame, hops: int = 1, direction: str = "both", limit: int = DEFAULT.node_limit) -> DataFrame:
-    """(seed, node, hop): nodes within hops (1 or 2) of start (seed, node), nearest first, at most limit per seed."""
+    """(seed, node, hop): nodes within hops (1 or 2) of start (seed, node), nearest first, ties by the smaller node, at most limit per seed.
+
+    A seed whose limit is full goes no further. Of a node's neighbours only the smallest can count: as many as the limit and
+    all that its seed has seen, so a hub sends that many rows and no more, and the rest never leave the tasks that read them.
+    """
     out, back = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
     step = (out if direction == "out" else back if direction == "in" else out.union(back)).where("b IS NOT NULL").distinct()
-    seen = start.select("seed", "node", F.lit(0).alias("hop"))
+    seen = start.select("seed", "node", F.lit(0).alias("hop")).distinct()
+    most = seen.groupBy("seed").count().agg(F.max("count")).first()[0] or 0
     front = seen
     for hop in range(1, min(max(hops, 1), 2) + 1):
-        front = front.join(step, front["node"] == step["a"]).select("seed", F.col("b").alias("node"), F.lit(hop).alias("hop")).distinct()
-        seen = seen.union(front)
-    near = seen.groupBy("seed", "node").agg(F.min("hop").alias("hop")).where("hop > 0")
-    w = Window.partitionBy("seed").orderBy("hop", "node")
-    return near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).select("seed", "node", "hop")
+        w = Window.partitionBy("a").orderBy("b")
+        near = step.join(front.select(F.col("node").alias("a")).distinct(), "a", "left_semi").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 2 * limit + most)
+        new = front.join(near, front["node"] == near["a"]).select("seed", F.col("b").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        have = seen.groupBy("seed").agg(F.count(F.when(F.col("hop") > 0, 1)).alias("_have"))
+        room = new.join(have, "seed").withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("_n") <= limit - F.col("_have"))
+        found = reuse(room.select("seed", "node", F.lit(hop).alias("hop")))
+        seen = seen.union(found)
+        full = seen.where("hop > 0").groupBy("seed").count().where(F.col("count") >= limit)
+        front = found.join(full.select("seed"), "seed", "left_anti")
+    return seen.where("hop > 0")
 
 
 def paths(edges: DataFrame, pairs: DataFrame, max_hops: int = DEFAULT.max_hops, limit: int = DEFAULT.max_paths) -> DataFrame:
-    """(src, dst, path, hops): the shortest cycle-free paths of pairs (src, dst), ties by the path itself."""
+    """(src, dst, path, hops): the shortest cycle-free paths of pairs (src, dst), ties by the path itself, at most limit.
+
+    Paths grow from both ends and meet in the middle, so each end goes half of max_hops; a pair that has its paths goes no
+    further. src and dst differ, repeated pairs count once.
+    """
     step = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("b IS NOT NULL").distinct()
-    front = pairs.select("src", "dst", F.array("src").alias("path"))
+    active = pairs.select("src", "dst").distinct().where("src <> dst")
+    ahead, behind = active.withColumn("f", F.array("src")), active.withColumn("g", F.array("dst"))
     found = None
-    for _ in range(max_hops):
-        grown = front.join(step, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b")))
-        front = grown.select("src", "dst", F.array_append("path", F.col("b")).alias("path"))
-        done = front.where(F.element_at("path", -1) == F.col("dst"))
-        found = done if found is None else found.union(done)
-        front = front.where(F.element_at("path", -1) != F.col("dst"))
-    hops = F.size("path") - 1
-    w = Window.partitionBy("src", "dst").orderBy(hops, F.array_join("path", " "))
-    return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).select("src", "dst", F.array_join("path", " > ").alias("path"), hops.alias("hops"))
+    for hops in range(1, max_hops + 1):
+        if hops % 2:
+            grown = ahead.join(step, F.element_at("f", -1) == F.col("a")).where(~F.array_contains("f", F.col("b")))
+            ahead = reuse(grown.select("src", "dst", F.array_append("f", F.col("b")).alias("f")).where((F.element_at("f", -1) != F.col("dst")) | (F.lit(hops) == 1)))
+        else:
+            grown = behind.join(step, F.get("g", F.lit(0)) == F.col("b")).where(~F.array_contains("g", F.col("a")) & (F.col("a") != F.col("src")))
+            behind = reuse(grown.select("src", "dst", F.concat(F.array("a"), "g").alias("g")))
+        both = ahead.join(behind.withColumnsRenamed({"src": "_s", "dst": "_d"}), (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")) & (F.element_at("f", -1) == F.get("g", F.lit(0))))
+        whole = both.select("src", "dst", F.concat("f", F.slice("g", F.lit(2), F.greatest(F.size("g") - 1, F.lit(0)))).alias("path")).where(F.size(F.array_distinct("path")) == hops + 1)
+        new = whole.withColumn("hops", F.lit(hops))
+        found = reuse(new if found is None else found.union(new))
+        done = found.groupBy("src", "dst").count().where(F.col("count") >= limit).select("src", "dst")
+        ahead, behind = (x.join(done, ["src", "dst"], "left_anti") for x in (ahead, behind))
+        if hops == 1:  # paths that are whole go no further
+            ahead = ahead.where(F.element_at("f", -1) != F.col("dst"))
+    w = Window.partitionBy("src", "dst").orderBy("hops", F.array_join("path", " "))
+    return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).select("src", "dst", F.array_join("path", " > ").alias("path"), "hops")
 
 
 def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -260,7 +283,7 @@ def file_targets(edges: DataFrame) -> DataFrame:
 def file_neighbors(edges: DataFrame, start: DataFrame, hops: int = 1, limit: int = DEFAULT.node_limit) -> DataFrame:
     """(seed, node, hop, truncated): files within hops over resolved includes, and whether the limit left some out."""
     step = edges.where(F.col("type").isin("includes", "imports") & is_resolved()).select("src", "dst")
-    near = neighbors(step, start, hops, "both", 1 << 30)
+    near = neighbors(step, start, hops, "both", limit + 1)
     w = Window.partitionBy("seed")
     n = near.withColumn("_n", F.row_number().over(w.orderBy("hop", "node"))).withColumn("truncated", F.count("*").over(w) > limit)
     return n.where(F.col("_n") <= limit).drop("_n")

@@ -629,11 +629,11 @@ _EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FRO
 
 
 @query(f"""
-WITH {_EDGES}, s AS (SELECT DISTINCT 's' || s_suppkey AS seed FROM supplier WHERE s_suppkey % 25 = 0), n1 AS (SELECT DISTINCT seed, b AS node FROM s JOIN u ON seed = a), n2 AS (SELECT DISTINCT seed, b AS node FROM n1 JOIN u ON node = a),
+WITH {_EDGES}, s AS (SELECT DISTINCT 's' || s_suppkey AS seed FROM supplier), n1 AS (SELECT DISTINCT seed, b AS node FROM s JOIN u ON seed = a), n2 AS (SELECT DISTINCT seed, b AS node FROM n1 JOIN u ON node = a),
 x AS (SELECT seed, node, min(hop) AS hop FROM (SELECT seed, node, 1 AS hop FROM n1 UNION ALL SELECT seed, node, 2 FROM n2 UNION ALL SELECT seed, seed, 0 FROM s) GROUP BY ALL)
 SELECT seed, node, hop FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hop, node) AS rn FROM x WHERE hop > 0) WHERE rn <= 50""")
 def graph_neighbors(spark, d):
-    seeds = t(spark, d, "supplier").where("s_suppkey % 25 = 0").select(F.concat(F.lit("s"), "s_suppkey").alias("seed"), F.concat(F.lit("s"), "s_suppkey").alias("node"))
+    seeds = t(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("seed"), F.concat(F.lit("s"), "s_suppkey").alias("node"))
     return graph.neighbors(_supply(spark, d), seeds, 2)
 
 
