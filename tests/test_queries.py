@@ -26,8 +26,8 @@ def _plain(v):
     if hasattr(v, "item") and not getattr(v, "shape", ()):
         v = v.item()
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
-    return str(v)[:19] if hasattr(v, "isoformat") else v if isinstance(v, (int, str, bool)) else None if v is None or str(v) in ("<NA>", "NaT") else str(v)
+        return None if math.isnan(v) else float(f"{v:.9g}") + 0.0
+    return str(v) if hasattr(v, "isoformat") else v if isinstance(v, (int, str, bool)) else None if v is None or str(v) in ("<NA>", "NaT") else str(v)
 
 
 def _rows(df):
