@@ -108,9 +108,32 @@ def pseudo_embedding(value: str, size: int = 64) -> list[float]:
     return [x / 2**31 - 1 for x in struct.unpack(f"<{size}I", raw[: 4 * size])]
 
 
+def pseudo_vector(c: Column, size: int = 64) -> Column:
+    """pseudo_embedding() of a column, inside the JVM."""
+    digests = F.transform(F.sequence(F.lit(0), F.lit(-(-size // 8) - 1)), lambda k: F.sha2(F.concat(k.cast("string"), F.lit(":"), F.coalesce(c, F.lit(""))), 256))
+
+    def number(h: Column, k: Column) -> Column:
+        pair = lambda n: F.substring(h, k * 8 + n, F.lit(2))
+        return F.conv(F.concat(pair(7), pair(5), pair(3), pair(1)), 16, 10).cast("double") / 2.0**31 - 1
+
+    eight = F.sequence(F.lit(0), F.lit(7))
+    return F.slice(F.flatten(F.transform(digests, lambda h: F.transform(eight, lambda k: number(h, k)))), 1, size)
+
+
 _C = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
 
 
 def strip_c_comments(source: str) -> str:
     """Without comments; strings and line ends stay."""
     return _C.sub(lambda m: m[0] if m[0][0] in "\"'" else "\n" * m[0].count("\n") or " ", source)
+
+
+# strings, comments, and what stands between; possessive, so that long strings need no stack
+_PIECES = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|[^\"'/]++|[\"'/]"
+
+
+def without_c_comments(c: Column) -> Column:
+    """strip_c_comments() of a column, inside the JVM."""
+    lines = lambda x: F.regexp_replace(x, r"[^\n]+", "")
+    kept = F.transform(text.all_matches(c, _PIECES), lambda x: F.when(x.rlike(r"^/[/*]"), F.when(lines(x) == "", " ").otherwise(lines(x))).otherwise(x))
+    return F.array_join(kept, "")

@@ -186,6 +186,12 @@ def parts(sizes: Column, fixed: Column, limit: int) -> Column:
     return F.when(F.size(sizes) == 0, empty).otherwise(F.aggregate(sizes, start, step, close))
 
 
+def totals(kind: Column, rows: Column, lines: Column) -> Column:
+    """(rows, lines) of a payload: the last row's number of a table, the last line's of a terminal, null for what it is not."""
+    last = lambda c, name: F.when(F.size(c) > 0, F.element_at(c, -1)[name]).otherwise(0)
+    return F.struct(F.when(kind == "table", last(rows, "row_index")).alias("rows"), F.when(kind == "terminal", last(lines, "line_index")).alias("lines"))
+
+
 def uncertainty(rows: Column, most: int = 5) -> Column:
     """Why a table's payload cannot be trusted, the first reasons: gaps in row numbers, unreadable cells, bad states."""
     gaps = F.when(F.exists(F.transform(rows, lambda r, i: r["row_index"] != i + 1), lambda x: x), F.array(F.lit("rows: row_index has gaps"))).otherwise(F.array().cast("array<string>"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.sources.readers import glob_pattern
+from quarry.sources.readers import strings as readers_strings
 
 # Directories and files that are never read, and dot directories that are.
 IGNORED_DIRS = [
@@ -230,3 +231,30 @@ def is_meaningful(c: str | Column) -> Column:
     """Six characters or more, a letter among them, and most of them printable."""
     s = F.trim(_p(c))
     return (F.length(s) >= 6) & s.rlike(r"\p{L}") & (F.length(F.regexp_replace(s, r"[^\x20-\x7e]", "")) / F.length(s) >= 0.7)
+
+
+# The largest binary file, words of strings about versions and builds, and most strings of either section.
+MOST_BYTES = 50 * 1024 * 1024
+BUILD_WORDS = ["version", "compiled", "gcc", "clang", "llvm", "build", "built", "u-boot"]
+SECTIONS = {"build": 50, "boot": 20}
+
+
+def string_report(files: DataFrame, most: int = 200, max_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, section, place, offset, value, found): the strings of binary files that are worth a look, in order of offset.
+
+    Sections: build (versions and compilers), boot, and other; at most 50, 20 and what is left of `most` strings, with how many
+    there are in found. A file of over max_bytes is one row of the section too_large, with its size in found.
+    """
+    small = F.octet_length("content") <= max_bytes
+    large = files.where(~small).select("path", F.lit("too_large").alias("section"), F.lit(0).alias("place"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("string").alias("value"), F.octet_length("content").cast("long").alias("found"))
+    s = readers_strings(files.where(small)).where((F.col("encoding") == "ascii") & is_meaningful("value")).select("path", "offset", F.trim("value").alias("value"))
+    build = F.lower("value").rlike("|".join(BUILD_WORDS)) | F.col("value").rlike(r"\b20(1[5-9]|2\d)\b")
+    s = s.withColumn("section", F.when(build, "build").when(F.contains(F.lower("value"), F.lit("boot")), "boot").otherwise("other"))
+    n = s.groupBy("path", "section").agg(F.count("*").alias("found"))
+    used = n.groupBy("path").agg(*[F.coalesce(F.sum(F.when(F.col("section") == k, F.least("found", F.lit(v)))), F.lit(0)).alias(k) for k, v in SECTIONS.items()])
+    place = F.row_number().over(Window.partitionBy("path", "section").orderBy("offset"))
+    room = F.when(F.col("section") == "other", F.lit(most) - F.col("build") - F.col("boot"))
+    for k, v in SECTIONS.items():
+        room = room.when(F.col("section") == k, min(v, most))
+    rows = s.withColumn("place", place).where(F.col("place") <= most).join(n, ["path", "section"]).join(used, "path").where(F.col("place") <= room)
+    return rows.select("path", "section", "place", "offset", "value", "found").unionByName(large)
