@@ -14,7 +14,7 @@ from quarry import config
 from quarry.config import DEFAULT
 from quarry.functions import text
 from quarry.operators import evalm, graph, ingest, patches, payloads, search, store
-from quarry.plans import bounded, knowledge
+from quarry.plans import bounded, catalog, knowledge
 
 
 # --- stores
@@ -117,6 +117,11 @@ def _tokens(s):
     return [t for t in found if (len(t) > 1 or t.isdigit()) and t not in config.STOPWORDS]
 
 
+def _exact(s):
+    found = {x.lower() for x in re.findall(text.LITERAL, s)}
+    return found | {x.replace("_", "") for x in found if x.startswith("0x")}
+
+
 def _plan(chunks, question, qv, top_k=6):
     """REF rows of one question by plain Python, step by step."""
     k, unit = DEFAULT.candidate_k, lambda x: np.asarray(x) / (np.linalg.norm(x) or 1)
@@ -142,8 +147,15 @@ def _plan(chunks, question, qv, top_k=6):
     order = sorted(cand, key=lambda i: (-rrf[i] * w[i], i))
     g1 = gate[order[0]]
     low = DEFAULT.threshold_short if int(len(question) / 4) < 10 else DEFAULT.threshold
-    number = bool(re.search(config.NUMERIC_QUESTION, question))  # the questions here hold no literals
-    left = [i for i in cand if gate[i] >= max(low, 0.5 * g1) or number and bm.get(i, 0) >= 0.75]
+    number, literals = bool(re.search(config.NUMERIC_QUESTION, question)), _exact(question)
+
+    def evident(i):
+        if not number or bm.get(i, 0) <= 0:
+            return False
+        held = f"{by[i]['source']} {by[i]['section']} {by[i]['content']}".lower()
+        return bool(literals & _exact(held)) if literals else bm[i] >= 0.75
+
+    left = [i for i in cand if gate[i] >= max(low, 0.5 * g1) or evident(i)]
     if not left:
         return []
     lo, hi = min(gate[i] for i in left), max(gate[i] for i in left)
@@ -202,6 +214,19 @@ def test_the_whole_plan_against_plain_python(spark):
     assert got == want and len(want) > 4
 
 
+def test_every_row_of_query_knowledge_against_plain_python(spark, sf):
+    """All questions of the benchmark over all documents."""
+    chunks = sorted((r.asDict() for r in catalog._chunks(spark, sf).collect()), key=lambda c: c["id"])
+    got = {}
+    for r in catalog.query_knowledge(spark, sf).orderBy("query", "ref").collect():
+        got.setdefault(r["query"], []).append(r["id"])
+    questions = catalog._questions(spark, sf).collect()
+    want = {r["query"]: [i for i, _ in rows] for r in questions if (rows := _plan(chunks, r["question"], r["qv"]))}
+    assert got == want and len(want) > 10
+    decided = {r["query"]: r["refs"] for r in catalog.query_decisions(spark, sf).collect()}
+    assert decided == {r["query"]: len(want.get(r["query"], [])) for r in questions}
+
+
 def test_other_wordings_add_candidates_and_filters_hold(spark):
     rows = [(i, f"d{i % 2}/x{i}.md", "spec", 1, i * 3, "", f"text number {i} about things and more of the same words here, long enough", [1.0 if i == k else 0.0 for k in range(4)]) for i in range(4)]
     chunks = spark.createDataFrame(rows, "id long, source string, type string, page int, chunk_index int, section string, content string, v array<double>")
