@@ -485,12 +485,16 @@ def column_assignment_ok(filled: Column, expected: Column) -> Column:
     return F.coalesce((expected > 0) & (filled / expected >= 0.6), F.lit(False))
 
 
+def over_caps(counts: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """counts (document, a column for each cap) with over: the caps that a document passes."""
+    return counts.withColumn("over", F.array_compact(F.array(*[F.when(F.col(c) > most, F.lit(c)) for c, most in caps.items()])))
+
+
 def preflight(counts: DataFrame, caps: dict[str, int]) -> DataFrame:
     """counts (document, a column for each cap) that are within all caps; an error names the documents and counts that are not."""
-    over = F.filter(F.array(*[F.when(F.col(c) > most, F.lit(c)) for c, most in caps.items()]), lambda x: x.isNotNull())
-    bad = counts.withColumn("_over", over).where(F.size("_over") > 0).select("document", "_over").limit(5).collect()
+    bad = over_caps(counts, caps).where(F.size("over") > 0).select("document", "over").limit(5).collect()
     if bad:
-        raise ValueError("; ".join(f"{r['document']}: {', '.join(r['_over'])}" for r in bad))
+        raise ValueError("; ".join(f"{r['document']}: {', '.join(r['over'])}" for r in bad))
     return counts
 
 

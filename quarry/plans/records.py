@@ -182,10 +182,12 @@ def fitted_conversations(spark, d):
     return conversations.fit_budget(t(spark, d, "conversations").where("role <> 'tool'"), 800).select("conv_id", "turn", "fitted")
 
 
-@query("SELECT o_custkey AS document, count(*) AS figures, count(*) FILTER (o_orderstatus = 'F') AS pages FROM orders GROUP BY o_custkey")
+@query("""
+WITH c AS (SELECT o_custkey AS document, count(*) AS figures, count(*) FILTER (o_orderstatus = 'F') AS pages FROM orders GROUP BY o_custkey)
+SELECT *, array_to_string(list_filter([CASE WHEN figures > 12 THEN 'figures' END, CASE WHEN pages > 6 THEN 'pages' END], lambda x: x IS NOT NULL), ',') AS over FROM c""")
 def preflight_counts(spark, d):
     c = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("document")).agg(F.count("*").alias("figures"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("pages"))
-    return payloads.preflight(c, {"figures": 10_000, "pages": 10_000})
+    return payloads.over_caps(c, {"figures": 12, "pages": 6}).withColumn("over", F.array_join("over", ","))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(l_suppkey > 0 AND l_quantity / nullif(l_suppkey * 5, 0) >= 0.6, false) AS ok FROM lineitem")
