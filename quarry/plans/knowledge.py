@@ -151,33 +151,71 @@ def assemble(refs: DataFrame) -> DataFrame:
     return refs.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", line.alias("s")))), lambda x: x["s"]), "\n\n").alias("context"))
 
 
-def search_symbols(symbols: DataFrame, questions: DataFrame, top_k: int = 10, threshold: float = 0.35) -> DataFrame:
-    """(query, path, name, kind, start_line, score): symbols (with dense score column, or 0) by the hybrid score.
+_SYMBOL = ["path", "name", "kind", "start_line"]
+
 
-    Symbols meet questions by their identifiers, so those without a word in common are looked at for their dense score only.
+def _symbol_hits(symbols: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions with their number of tokens n; the names that they mention; and the symbols that share a word with them, with kw and dense.
+
+    Symbols meet questions by their identifiers, so those without a word in common never do.
     """
-    q = questions.select("query", text.code_tokens("question").alias("tokens")).where("size(tokens) > 0")
-    n = F.greatest(F.size("tokens"), F.lit(1))
-    asked = q.select("query", n.alias("n"), F.explode(F.array_distinct(F.transform("tokens", F.lower))).alias("token"))
+    q = questions.withColumn("tokens", text.code_tokens("question")).where("size(tokens) > 0").withColumn("n", F.greatest(F.size("tokens"), F.lit(1)))
+    asked = q.select("query", "n", F.explode(F.array_distinct(F.transform("tokens", F.lower))).alias("token"))
     named = q.select("query", F.explode("tokens").alias("name")).distinct().withColumn("explicit", F.lit(True))
-    keys = ["path", "name", "kind", "start_line"]
-    s = symbols.withColumn("dense", F.col("dense") if "dense" in symbols.columns else F.lit(0.0))
     around = F.transform(text.all_matches(F.concat_ws(" ", "signature", "docstring"), "[A-Za-z_][A-Za-z0-9_]*"), F.lower)
     words = F.array_distinct(F.concat(
         F.transform(code.identifier_parts(F.col("name")), lambda x: F.struct(x.alias("token"), F.lit("part").alias("at"))),
         F.transform(F.array_distinct(around), lambda x: F.struct(x.alias("token"), F.lit("around").alias("at"))), F.array(F.struct(F.lower("name").alias("token"), F.lit("whole").alias("at"))),
     ))
-    flat = s.select(*keys, "dense", F.inline(words))
+    flat = symbols.select(*_SYMBOL, "dense", F.inline(words))
     count = lambda k: F.count(F.when(F.col("at") == k, 1))
-    met = flat.join(asked, "token").groupBy("query", *keys, "dense", "n").agg(count("part").alias("_p"), count("around").alias("_a"), count("whole").alias("_w"))
+    met = flat.join(asked, "token").groupBy("query", *_SYMBOL, "dense", "n").agg(count("part").alias("_p"), count("around").alias("_a"), count("whole").alias("_w"))
     kw = F.when(F.col("_w") > 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("_p") / F.col("n") + 0.3 * F.col("_a") / F.col("n")))
-    hits = reuse(met.withColumn("kw", kw).where("kw > 0").select("query", *keys, "dense", "n", "kw"))
+    return q, named, reuse(met.withColumn("kw", kw).where("kw > 0").select("query", *_SYMBOL, "dense", "n", "kw"))
+
+
+def _best_symbols(rows: DataFrame, hits: DataFrame, named: DataFrame, top_k: int, threshold: float) -> DataFrame:
+    """(query, path, name, kind, start_line, score) of the best rows of each question, by the hybrid score."""
     lexical = hits.select("query").distinct().withColumn("any_lexical", F.lit(True))
-    strong = s.where(F.col("dense") >= threshold).select(*keys, "dense").join(bounded(q.select("query", n.alias("n"))), how="cross").join(hits.select("query", *keys), ["query", *keys], "left_anti").withColumn("kw", F.lit(0.0))
-    rows = hits.unionByName(strong.select(*hits.columns)).join(lexical, "query", "left").join(named, ["query", "name"], "left").fillna(False, ["any_lexical", "explicit"])
-    scored = rows.withColumn("score", F.round(code.hybrid_score(F.col("dense"), F.col("kw"), F.col("kind"), F.col("explicit"), F.col("n"), F.col("any_lexical")), 6))
+    j = rows.join(lexical, "query", "left").join(named, ["query", "name"], "left").fillna(False, ["any_lexical", "explicit"])
+    scored = j.withColumn("score", F.round(code.hybrid_score(F.col("dense"), F.col("kw"), F.col("kind"), F.col("explicit"), F.col("n"), F.col("any_lexical")), 6))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "path", "start_line")
-    return scored.where((F.col("score") >= threshold) | F.col("explicit")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top_k).select("query", *keys, "score")
+    return scored.where((F.col("score") >= threshold) | F.col("explicit")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top_k).select("query", *_SYMBOL, "score")
+
+
+def search_symbols(symbols: DataFrame, questions: DataFrame, top_k: int = 10, threshold: float = 0.35) -> DataFrame:
+    """(query, path, name, kind, start_line, score): symbols (with dense score column, or 0) by the hybrid score.
+
+    Symbols without a word in common with a question are looked at for their dense score only.
+    """
+    s = symbols.withColumn("dense", F.col("dense") if "dense" in symbols.columns else F.lit(0.0))
+    q, named, hits = _symbol_hits(s, questions)
+    strong = s.where(F.col("dense") >= threshold).select(*_SYMBOL, "dense").join(bounded(q.select("query", "n")), how="cross").join(hits.select("query", *_SYMBOL), ["query", *_SYMBOL], "left_anti").withColumn("kw", F.lit(0.0))
+    return _best_symbols(hits.unionByName(strong.select(*hits.columns)), hits, named, top_k, threshold)
+
+
+#: Lexical candidates of a question whose vectors are looked at.
+LAZY = 150
+
+
+def search_symbols_lazily(symbols: DataFrame, questions: DataFrame, vectors_of: DataFrame, top_k: int = 10, threshold: float = 0.35, most: int = LAZY) -> DataFrame:
+    """search_symbols() for questions (query, question, qv) and vectors (id, path, name, kind, start_line, v) in two phases.
+
+    A question that shares words with symbols asks for the vectors of its `most` best ones, ties by path and line, and of the
+    symbols that it names; the others count with a dense score of 0. Only questions without any such symbol go over all
+    vectors, and where there is none, no scan of them takes place.
+    """
+    q, named, hits = _symbol_hits(symbols.withColumn("dense", F.lit(0.0)), questions)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("kw", 9)), "path", "start_line", "name", "kind"))
+    ranked = hits.drop("dense").withColumn("_n", place).join(named, ["query", "name"], "left")
+    looked = ranked.where((F.col("_n") <= most) | F.col("explicit")).select("query", *_SYMBOL)
+    unit = vectors_of.select(*_SYMBOL, vectors.normalize(F.col("v")).alias("v"))
+    scores = looked.join(unit, _SYMBOL).join(q.select("query", vectors.normalize(F.col("qv")).alias("qv")), "query").select("query", *_SYMBOL, F.round(vectors.dot(F.col("v"), F.col("qv")), 6).alias("dense"))
+    settled = hits.drop("dense").join(scores, ["query", *_SYMBOL], "left").fillna(0.0, ["dense"])
+    open_ = q.join(hits.select("query").distinct(), "query", "left_anti").select("query", "qv", "n")
+    # without a lexical match a score is the dense one, and 0.05 more for functions
+    whole = search.dense_scores(vectors_of, open_, "id", "v", least=threshold - 0.05).join(vectors_of.select("id", *_SYMBOL), "id").join(open_.select("query", "n"), "query")
+    return _best_symbols(settled.unionByName(whole.select("query", *_SYMBOL, F.col("score").alias("dense"), "n", F.lit(0.0).alias("kw")).select(*settled.columns)), hits, named, top_k, threshold)
 
 
 def code_evidence(candidates: DataFrame, sources: DataFrame, max_chars: int, most: int = 48) -> DataFrame:

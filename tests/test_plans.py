@@ -503,6 +503,44 @@ def test_symbol_search_against_the_score_of_every_pair(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:10] for k, v in want.items()}
 
 
+def test_lazy_symbol_search_against_plain_loops(spark):
+    from quarry.functions import code
+
+    rng = np.random.default_rng(7)
+    names = ["loadConfig", "render_page", "Job", "start", "parse_http_header", "x1"]
+    rows = [(i, f"f{i}.py", str(rng.choice(names)), str(rng.choice(["function", "class"])), i, "(a, config)" if i % 3 else "", "starts a job" if i % 4 == 0 else "", rng.normal(size=4).tolist()) for i in range(60)]
+    s = spark.createDataFrame(rows, "id long, path string, name string, kind string, start_line int, signature string, docstring string, v array<double>")
+    asked = [(1, "where is loadConfig"), (2, "start the job page"), (3, "unrelated zebra"), (4, "parse header config"), (5, "another zebra here")]
+    q = spark.createDataFrame([(k, t, rng.normal(size=4).tolist()) for k, t in asked], "query long, question string, qv array<double>")
+    pairs = s.crossJoin(q.select("query", "qv", text.code_tokens("question").alias("tokens"))).withColumn("kw", code.token_match(F.col("tokens"), F.col("name"), F.concat_ws(" ", "signature", "docstring")))
+    by = {}
+    for r in pairs.withColumn("n", F.size("tokens")).collect():
+        by.setdefault(r["query"], []).append(r)
+    unit = lambda x: np.asarray(x) / np.linalg.norm(x)
+    for most in (3, 150):
+        want, looked = {}, 0
+        for k, own in by.items():
+            hit = sorted((r for r in own if r["kw"] > 0), key=lambda r: (-round(r["kw"], 9), r["path"], r["start_line"]))
+            near = {r["id"] for r in hit[:most]} | {r["id"] for r in hit if r["name"] in r["tokens"]} if hit else {r["id"] for r in own}
+            looked += len(near) if hit else 0
+            for r in own:
+                dense = round(float(unit(r["v"]) @ unit(r["qv"])), 6) if r["id"] in near else 0.0
+                explicit, part = r["name"] in r["tokens"], 0.05 if r["kind"] == "function" else 0.0
+                score = 0.95 if explicit else 0.9 + 0.1 * r["kw"] if r["kw"] >= 0.8 and r["n"] >= 2 else (0.5 * dense + 0.5 * r["kw"] if hit else dense) + part
+                if round(score, 6) >= 0.35 or explicit:
+                    want.setdefault(k, []).append((-round(score, 6), r["path"], r["start_line"]))
+        got = {}
+        for r in knowledge.search_symbols_lazily(s, q, s, most=most).collect():
+            got.setdefault(r["query"], []).append((-r["score"], r["path"], r["start_line"]))
+        assert got.keys() == want.keys() and {3, 5} & set(got)
+        for k, own in got.items():  # halves of six digits are rounded either way
+            best = {x[1:]: x[0] for x in sorted(want[k])[:10]}
+            assert {x[1:] for x in own} == best.keys() and all(abs(x[0] - best[x[1:]]) < 2e-6 for x in own)
+    settled = knowledge.search_symbols_lazily(s, q.where("query IN (1, 2, 4)"), s)
+    assert "MapInPandas" not in settled._jdf.queryExecution().toString()  # no scan of all vectors
+    assert "MapInPandas" in knowledge.search_symbols_lazily(s, q, s)._jdf.queryExecution().toString()
+
+
 def test_evidence_shrinks_to_fit(spark):
     content = "\n".join(f"line {i:02d}" for i in range(1, 31))
     c = spark.createDataFrame([(1, "a", 1, 10, 4, 90), (1, "b", 5, 24, 15, 80), (1, "c", 1, 10, 1, 70), (1, "a", 11, 12, 11, 10)], "query long, path string, start int, end int, anchor int, priority int")
