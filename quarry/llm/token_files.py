@@ -38,11 +38,15 @@ LEVEL = 3
 FILES = 1024
 #: Ends each document.
 END_ID = 0
-#: Bytes of a generation of the encoder's memory, for each lead. It holds two: when one is full, it replaces the one before.
+#: Bytes of a generation of the encoder's memory. It holds two: when one is full, it replaces the one before.
 #: A piece counts as its characters and PIECE; one of over LONGEST characters is forgotten after the texts at hand.
-MEMORY, PIECE, LONGEST = 64 << 20, 200, 64
-# A word of Latin letters and the marks after it are matches of their own.
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*#$%&|]+)")
+MEMORY, PIECE, LONGEST = 128 << 20, 200, 64
+#: Words that are encoded as one text.
+TOGETHER = 200
+# A word of Latin letters (with the blank or line end before it) and the marks after it are matches of their own.
+_MARKED = re.compile(r"([ \n]?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*#$%&|]+)")
+_OTHER_SPACE = re.compile(r"[^\S \n]|\0")
+_RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
 class Encoder:
@@ -61,58 +65,71 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        # by the lead of a piece, '' or a blank: pieces of this generation and of the one before
-        self.memory: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
-        self.size, self.long = {"": 0, " ": 0}, {"": set(), " ": set()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(1 + max(vocabulary.values(), default=0), np.int64)  # bytes of each id: a letter of a byte-level token is a byte
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)
+        # pieces of this generation and of the one before
+        self.memory: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.size, self.long = 0, set()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian integers of type self.kind."""
-        for lead, (new, _) in self.memory.items():
-            for p in self.long[lead]:
-                new.pop(p, None)
-            self.long[lead].clear()
-            if self.size[lead] > MEMORY:
-                self.memory[lead], self.size[lead] = ({}, new), 0
-        lines = [self._lines(t) for t in texts]
-        every = [line for x in lines if x is not None for line in x]
-        words = self._learn("", {line[0] for line in every} | {"\n"})
-        led = self._learn(" ", set(chain.from_iterable(line[1:] for line in every)))
-        odd = iter(self._ids([t for t, x in zip(texts, lines, strict=True) if x is None]))
-        end = words["\n"]
-        return [
-            next(odd) if x is None else end.join([words[line[0]] + b"".join([led[w] for w in line[1:]]) for line in x])
-            for x in lines
-        ]
-
-    def _lines(self, text: str) -> list[list[str]] | None:
-        """Words of each line, if all white space is single blanks and line ends between words, and no added token occurs."""
-        for token in self.added:
-            if token in text:
-                return None
-        lines = [line.split(" ") for line in text.split("\n")]
-        return lines if list(chain.from_iterable(lines)) == text.split() else None
-
-    def _learn(self, lead: str, pieces: set[str]) -> dict[str, bytes]:
-        """This generation's memory of pieces with that lead, filled up for pieces."""
-        new, old = self.memory[lead]
+        new, old = self.memory
+        for p in self.long:
+            new.pop(p, None)
+        self.long.clear()
+        if self.size > MEMORY:
+            self.memory, self.size = ({}, new), 0
+        cut = [self._cut(t) for t in texts]
+        self._learn(set(chain.from_iterable(x for x in cut if x is not None)))
+        odd = iter(self._ids([t for t, x in zip(texts, cut, strict=True) if x is None]))
+        known = self.memory[0].__getitem__
+        return [next(odd) if x is None else b"".join(map(known, x)) for x in cut]
+
+    def _cut(self, text: str) -> list[str] | None:
+        """Words with the blank or line end before them, if all white space is single ones between words, and no added token occurs."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or _OTHER_SPACE.search(text) or any(x in text for x in _RUNS) or any(x in text for x in self.added):
+            return None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Fill up this generation's memory for pieces."""
+        new, old = self.memory
         before, missing = len(new), []
-        for p in pieces:
-            if p not in new:
-                if (ids := old.get(p)) is None:
-                    missing.append(p)
-                else:
-                    new[p] = ids
+        for p in pieces.difference(new):
+            if (ids := old.get(p)) is None:
+                missing.append(p)
+            else:
+                new[p] = ids
         marked = {p: m for p in missing if (m := _MARKED.fullmatch(p))}
         if marked:
-            self._learn(lead, {m[1] for m in marked.values()})
-            tails = self._learn("", {m[2] for m in marked.values()})
-            new.update((p, new[m[1]] + tails[m[2]]) for p, m in marked.items())
+            self._learn({part for m in marked.values() for part in m.groups()})
+            new.update((p, new[m[1]] + new[m[2]]) for p, m in marked.items())
             missing = [p for p in missing if p not in new]
-        new.update(zip(missing, self._ids([lead + p for p in missing]), strict=True))
+        led, bare = [p for p in missing if p[0] in " \n"], [p for p in missing if p[0] not in " \n"]
+        new.update(zip(led, self._words(led, ""), strict=True))
+        new.update(zip(bare, self._words(bare, "\n"), strict=True))
         if len(new) > before:
-            self.long[lead].update(p for p in chain(marked, missing) if len(p) > LONGEST)  # the generation before has none
-            self.size[lead] += (len(new) - before) * (PIECE + LONGEST)
-        return new
+            self.long.update(p for p in chain(marked, missing) if len(p) > LONGEST)  # the generation before has none
+            self.size += (len(new) - before) * (PIECE + LONGEST)
+
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words, many in one text, which falls apart at the blank or line end in front of each; before: one to add and leave out again."""
+        out, skip = [], len(before)
+        parts = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(["".join([before + w for w in x]) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.int64)
+            ends = np.cumsum(self.lengths[np.minimum(ids, len(self.lengths) - 1)])
+            whole = np.cumsum([skip + len(w.encode("utf-8", "surrogatepass")) for w in part])
+            to = np.searchsorted(ends, whole)
+            start = np.concatenate([[0], to[:-1] + 1])
+            if to[-1] < len(ends) and (ends[to] == whole).all() and (not skip or (ends[start] == np.concatenate([[0], whole[:-1]]) + 1).all()):
+                raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
+                out += [raw[i * width : j * width] for i, j in zip((start + skip).tolist(), (to + 1).tolist(), strict=True)]
+            else:
+                out += self._ids(part)
+        return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind.itemsize == 2 else "I"
