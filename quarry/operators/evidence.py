@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text
-from quarry.plans.bounded import bounded
 
 #: Lines of a symbol's window, of a file without symbols, and around a line hit.
 SYMBOL_LINES, FILE_LINES, RADIUS = 80, 60, 8
+#: Most index candidates of a query.
+MOST = 24
 # File endings of headers and of configuration.
 HEADERS = [".h", ".hpp", ".hh", ".hxx"]
 CONFIGS = [".cfg", ".ini", ".conf", ".toml", ".yaml", ".yml", ".json"]
@@ -42,22 +43,67 @@ def shrink(start: Column, end: Column, anchor: Column, lines: Column) -> Column:
     return F.struct(F.greatest(start, last - n + 1).cast("long").alias("start"), last.cast("long").alias("end"))
 
 
-def lexical_hits(terms: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(query, symbol columns, hits, phrase): symbols (with column searchable, lower-cased) that contain terms of questions.
+#: Characters of a gram by which terms meet the texts that hold them.
+GRAM = 3
 
-    terms (query, term, phrase) are those of a bounded set of questions.
+
+def _grams(c: str, n: int) -> Column:
+    """Distinct runs of n characters of c, null where it is shorter."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k: F.substring(F.col(c), k, n))))
+
+
+def containing(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """(term, text) of distinct terms (term) and distinct texts (text) that hold them, anywhere; the empty term is in each text.
+
+    A term meets texts by the gram of it that the fewest texts hold, so one with a gram that no text has meets none; terms
+    shorter than a gram are grams of their own length.
     """
-    met = symbols.join(bounded(terms), F.contains("searchable", F.lower("term")))
-    flat = F.trim(F.regexp_replace("searchable", r"\s+", " "))
-    keys = [c for c in symbols.columns if c != "searchable"]
-    return met.withColumn("_p", (F.col("phrase") != "") & F.contains(flat, F.col("phrase"))).groupBy("query", *keys).agg(F.countDistinct("term").alias("hits"), F.bool_or("_p").alias("phrase"))
+    size = F.least(F.length("term"), F.lit(GRAM))
+    grams = lambda c: F.concat(*[F.coalesce(_grams(c, n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
+    held = texts.select("text", F.explode(grams("text")).alias("gram"))
+    df = held.groupBy("gram").agg(F.count("*").alias("df"))
+    of = terms.where("term <> ''").select("term", F.explode(F.filter(grams("term"), lambda g: F.length(g) == size)).alias("gram"))
+    rarest = of.join(df, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("g")).where("g.df > 0").select("term", F.col("g.gram").alias("gram"))
+    met = rarest.join(held, "gram").where(F.contains("text", F.col("term"))).select("term", "text")
+    return met.union(terms.where("term = ''").join(texts.where("text IS NOT NULL"), how="cross").select("term", "text"))
+
 
+#: Order of symbols that match a question alike.
+ALIKE = ["path", "line", "symbol", "end_line"]
 
-def index_candidates(hits: DataFrame, most: int = 24) -> DataFrame:
+
+def _priority() -> Column:
+    return F.lit(64.0) + F.least(F.lit(21.0), F.col("hits") * 3.0) + F.when(F.col("phrase"), 6.0).otherwise(0.0)
+
+
+def lexical_hits(terms: DataFrame, symbols: DataFrame, most: int | None = None, per: str | None = None) -> DataFrame:
+    """(query, symbol columns, hits, phrase): symbols (with column searchable, lower-cased) that contain terms (query, term, phrase).
+
+    Distinct terms meet distinct texts by grams; hits are counted for each text, and symbols with that text share them. With
+    most, symbols that cannot be among so many of a query, or of a query and a value of column per, are left out: beyond so
+    many of one text, and without per those of a text that so many texts come before.
+    """
+    keys = [c for c in symbols.columns if c != "searchable"]
+    symbols = symbols.dropDuplicates()
+    if most is not None:
+        same = Window.partitionBy("searchable", *([per] if per else [])).orderBy(*[c for c in ALIKE if c != per])
+        symbols = symbols.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= most).drop("_n")
+    texts = symbols.groupBy(F.col("searchable").alias("text")).agg(F.min(F.struct(*[c for c in ALIKE if c in keys])).alias("_first"))
+    lowered = terms.withColumn("_t", F.lower("term"))
+    met = containing(lowered.select(F.col("_t").alias("term")).where("term IS NOT NULL").distinct(), texts)
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    found = lowered.join(met.withColumnRenamed("term", "_t"), "_t").groupBy("query", "text").agg(F.countDistinct("term").alias("hits"), F.collect_set("phrase").alias("_p"))
+    scored = found.select("query", "text", "hits", F.exists("_p", lambda p: (p != "") & F.contains(flat, p)).alias("phrase"))
+    if most is not None and per is None:
+        first = Window.partitionBy("query").orderBy(_priority().desc(), "_first")
+        scored = scored.join(texts, "text").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("query", "text", "hits", "phrase")
+    return symbols.join(scored, F.col("searchable") == F.col("text")).select("query", *keys, "hits", "phrase")
+
+
+def index_candidates(hits: DataFrame, most: int = MOST) -> DataFrame:
     """(query, path, start, end, symbol, reason, priority) of lexical_hits(), the best of each query."""
-    priority = F.lit(64.0) + F.least(F.lit(21.0), F.col("hits") * 3.0) + F.when(F.col("phrase"), 6.0).otherwise(0.0)
-    w = Window.partitionBy("query").orderBy(F.desc("priority"), "path", "line", "symbol", "end_line")
-    top = hits.withColumn("priority", priority).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).withColumn("w", symbol_window(F.col("line"), F.col("end_line")))
+    w = Window.partitionBy("query").orderBy(F.desc("priority"), *ALIKE)
+    top = hits.withColumn("priority", _priority()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).withColumn("w", symbol_window(F.col("line"), F.col("end_line")))
     return top.select("query", "path", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "symbol", path_reason("path").alias("reason"), "priority")
 
 
