@@ -42,8 +42,8 @@ FOREIGN = ("svg", "math")
 UNDRAWN = {"annotation", "annotation-xml", "clippath", "defs", "desc", "filter", "marker", "mask", "metadata", "pattern", "script", "style", "symbol", "title"}
 #: Values of the standard: most columns of a cell; rows are limited by those of the table.
 MOST_COLUMNS = 1000
-#: A table's columns are aligned unless that makes it over so many characters and so many times its text.
-PADDED, PADDED_TIMES = 1 << 20, 16
+#: Lines of a table are aligned with those before while that makes them at most so many times their own cells, whatever their size.
+PADDED_TIMES = 16
 #: Levels of lists and quotations that are indented; deeper ones hang where the last of these does.
 INDENTED = 40
 
@@ -302,25 +302,35 @@ class Table:
         self.runs[k : k + 1] = [x for x in ([low, start], [end, high]) if x[0] < x[1]]
 
     def lines(self) -> Iterator[str]:
+        """Aligned lines; alignment begins anew with a line that has no column in common with those since it last began, or with
+        which they would be over PADDED_TIMES their own cells."""
+        held: list[dict[int, str]] = []
         widths: dict[int, int] = {}
-        own = height = 0
+        own = padded = 0
         for row in self.rows:
-            height += max(map(len, row.values()), default=0)
+            across: list[dict[int, str]] = [{} for _ in range(max(map(len, row.values()), default=0))]
             for c, lines in row.items():
-                sizes = [_width(line) for line in lines]
-                own += sum(sizes)
-                widths[c] = max(widths.get(c, 0), *sizes)
-        used = sorted(widths)
-        if height * sum(w + 3 for w in widths.values()) > max(PADDED, PADDED_TIMES * own):
-            for row in self.rows:
-                cells = [row[c] for c in sorted(row)]
-                for k in range(max(map(len, cells), default=0)):
-                    yield " | ".join(x[k] if k < len(x) else "" for x in cells)
-            return
-        for row in self.rows:
-            for k in range(max(map(len, row.values()), default=0)):
-                parts = [x[k] if k < len(x) else "" for x in (row.get(c, ()) for c in used)]
-                yield " | ".join(s + " " * (widths[c] - _width(s)) for s, c in zip(parts[:-1], used, strict=False)) + " | " * (len(used) > 1) + parts[-1]
+                for line, s in zip(across, lines, strict=False):
+                    line[c] = s
+            for line in across:
+                sizes = {c: _width(s) for c, s in line.items()}
+                more = sum(sizes.values()) + 3 * len(sizes)
+                wider = sum(max(z - widths[c], 0) if c in widths else z + 3 for c, z in sizes.items())
+                if held and (widths.keys().isdisjoint(line) or (len(held) + 1) * (padded + wider) > PADDED_TIMES * (own + more)):
+                    yield from _aligned(held, widths)
+                    held, widths, own, padded, wider = [], {}, 0, 0, more
+                held.append(line)
+                own, padded = own + more, padded + wider
+                for c, z in sizes.items():
+                    widths[c] = max(widths.get(c, 0), z)
+        yield from _aligned(held, widths)
+
+
+def _aligned(lines: list[dict[int, str]], widths: dict[int, int]) -> Iterator[str]:
+    used = sorted(widths)
+    for line in lines:
+        parts = [line.get(c, "") for c in used]
+        yield " | ".join(s + " " * (widths[c] - _width(s)) for s, c in zip(parts[:-1], used, strict=False)) + " | " * (len(used) > 1) + parts[-1]
 
 
 class Renderer:
@@ -516,8 +526,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of pages: page_id, url, title, text, n_chars, n_lines.
 
     text holds all visible text: blocks on lines of their own, paragraphs, headings, lists and tables with empty lines
-    around them, list items behind marks, table cells in columns (of tables that blanks would make over PADDED_TIMES as long
-    and over a megabyte, each row has its own cells alone), labels of buttons and fields, text of drawings and
+    around them, list items behind marks, table cells in columns (alignment begins anew where lines have no column in common,
+    or blanks would make those since it last began over PADDED_TIMES as long), labels of buttons and fields, text of drawings and
     formulas. Elements that browsers do not show are left out, as are those that are hidden by attribute or inline style.
     Nesting has no limit; a cell spans 1,000 columns at most, as in the standard; lists and quotations are indented INDENTED levels deep. A null or empty html gives an empty text; broken markup is
     repaired, never refused. Null ids and repeated rows count as rows of their own; an empty table gives no rows; other
