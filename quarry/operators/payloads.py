@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -232,14 +234,29 @@ def markdown_grid(text: str | Column) -> Column:
     """
     lines = F.transform(F.filter(F.split(_c(text), "\n"), lambda s: F.contains(s, F.lit("|"))), split_row)
     is_rule = lambda cells: F.forall(cells, lambda c: c.rlike("^[-:]+$"))
-    numbered = F.transform(lines, lambda cells, i: F.struct(i.alias("i"), cells.alias("cells"), is_rule(cells).alias("rule")))
-    cut = F.array_min(F.transform(F.filter(numbered, lambda x: x["rule"]), lambda x: x["i"]))
-    heads = F.transform(F.filter(numbered, lambda x: x["i"] < cut), lambda x: x["cells"])
-    width = F.size(F.get(heads, F.lit(0)))
-    header = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.array_join(F.filter(F.transform(heads, lambda h: F.get(h, k)), lambda s: s != ""), "\n"))
-    rows = F.transform(F.filter(numbered, lambda x: (x["i"] > cut) & ~x["rule"]), lambda x: F.when(F.size(x["cells"]) == width, x["cells"]).otherwise(F.array_repeat(F.lit(None).cast("string"), width)))
-    fits = cut.isNotNull() & (F.size(heads) > 0) & F.forall(heads, lambda h: F.size(h) == width)
-    return F.when(fits, F.struct(header.alias("header"), rows.alias("rows")))
+
+    def grid(numbered: Column, cut: Column, heads: Column) -> Column:
+        width = F.size(F.get(heads, F.lit(0)))
+        header = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.array_join(F.filter(F.transform(heads, lambda h: F.get(h, k)), lambda s: s != ""), "\n"))
+        rows = F.transform(F.filter(numbered, lambda x: (x["i"] > cut) & ~x["rule"]), lambda x: F.when(F.size(x["cells"]) == width, x["cells"]).otherwise(F.array_repeat(F.lit(None).cast("string"), width)))
+        fits = cut.isNotNull() & (F.size(heads) > 0) & F.forall(heads, lambda h: F.size(h) == width)
+        return F.when(fits, F.struct(header.alias("header"), rows.alias("rows")))
+
+    def below(numbered: Column, cut: Column) -> Column:
+        heads = F.transform(F.filter(numbered, lambda x: x["i"] < cut), lambda x: x["cells"])
+        return _once(heads, lambda h: grid(numbered, cut, h))
+
+    def cut_of(numbered: Column) -> Column:
+        cut = F.array_min(F.transform(F.filter(numbered, lambda x: x["rule"]), lambda x: x["i"]))
+        return _once(cut, lambda c: below(numbered, c))
+
+    listed = F.transform(lines, lambda cells, i: F.struct(i.alias("i"), cells.alias("cells")))
+    return _once(F.transform(listed, lambda x: F.struct(x["i"].alias("i"), x["cells"].alias("cells"), is_rule(x["cells"]).alias("rule"))), cut_of)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once, however often use reads it, also for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 # --- layout signals over bands (key, text, x0, x1), aggregates
