@@ -20,8 +20,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n == 0, 0.0).otherwise(x.cast("double") / n))
+    """a over its norm; zeros where that is 0. The norm stands in an array of its own, so that it is worked out once, not for each place."""
+    each = lambda n: F.transform(a, lambda x: F.when(n == 0, 0.0).otherwise(x.cast("double") / n))
+    return F.get(F.transform(F.array(norm(a)), each), F.lit(0))
 
 
 def means(rows: DataFrame, key: str, vec: str) -> DataFrame:

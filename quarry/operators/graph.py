@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.operators.records import catalog_delta
-from quarry.plans.reuse import reuse
+from quarry.plans.reuse import reuse, spread
 from quarry.shipping import ensure_importable
 
 SYMBOLS = "path string, name string, kind string, qualified_name string, start_line int, end_line int, signature string, docstring string, backend string"
@@ -97,7 +97,7 @@ def _table(files: DataFrame, parse, schema: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([r for p, c in zip(pdf["path"], pdf["content"], strict=True) for r in parse(p, c or "")], columns=names)
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return spread(files.select("path", "content")).mapInPandas(run, schema)
 
 
 def symbols(files: DataFrame) -> DataFrame:

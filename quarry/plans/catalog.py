@@ -827,7 +827,7 @@ def _code_questions(spark, d):
 
 @query()
 def code_search(spark, d):
-    return knowledge.search_symbols(graph.symbols(samples.files(spark, d)), _code_questions(spark, d).drop("name"))
+    return knowledge.search_symbols(reuse(graph.symbols(samples.files(spark, d))), _code_questions(spark, d).drop("name"))
 
 
 @query()
@@ -836,12 +836,12 @@ def code_search_lazy(spark, d):
     e = t(spark, d, "embeddings")
     n = e.count()
     of = e.select((F.col("vec_id") % n).alias("vec_id"), F.col("embedding").alias("v"))
-    symbols = graph.symbols(samples.files(spark, d))
+    symbols = reuse(graph.symbols(samples.files(spark, d)))
     doc = F.regexp_extract("path", r"(\d+)\.", 1).cast("long")
     ids = symbols.select((doc * 3 + F.floor((F.col("start_line") - 1) / samples.LINES)).alias("id"), "path", "name", "kind", "start_line", (doc % n).alias("vec_id"))
     asked = _code_questions(spark, d).withColumn("question", F.when(F.col("query") % 200 == 0, F.concat(F.lit("qqq"), F.col("query").cast("string"))).otherwise(F.col("question")))
     questions = asked.withColumn("vec_id", F.col("query") % n).join(of.withColumnRenamed("v", "qv"), "vec_id").select("query", "question", "qv")
-    return knowledge.search_symbols_lazily(symbols, questions, ids.join(of, "vec_id"))
+    return knowledge.search_symbols_lazily(symbols, questions, reuse(ids.join(of, "vec_id")))
 
 
 @query()

@@ -154,12 +154,23 @@ def assemble(refs: DataFrame) -> DataFrame:
 _SYMBOL = ["path", "name", "kind", "start_line"]
 
 
-def _symbol_hits(symbols: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Questions with their number of tokens n; the names that they mention; and the symbols that share a word with them, with kw and dense.
+def _tokenised(questions: DataFrame) -> DataFrame:
+    """questions with tokens and their number n, of those that have any; both steps are kept, else their expressions are put into each other many times."""
+    q = reuse(questions).withColumn("tokens", text.code_tokens("question"))
+    return reuse(q.where("size(tokens) > 0").withColumn("n", F.greatest(F.size("tokens"), F.lit(1))))
+
+
+def _first_alike(symbols: DataFrame, most: int) -> DataFrame:
+    """The first `most` symbols by path and line of those that differ in nothing else: to any question they are the same."""
+    same = Window.partitionBy("name", "kind", "signature", "docstring", "dense").orderBy("path", "start_line")
+    return symbols.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= most).drop("_n")
+
+
+def _symbol_hits(symbols: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The names that _tokenised() questions mention; and the symbols that share a word with them, with kw and dense.
 
     Symbols meet questions by their identifiers, so those without a word in common never do.
     """
-    q = questions.withColumn("tokens", text.code_tokens("question")).where("size(tokens) > 0").withColumn("n", F.greatest(F.size("tokens"), F.lit(1)))
     asked = q.select("query", "n", F.explode(F.array_distinct(F.transform("tokens", F.lower))).alias("token"))
     named = q.select("query", F.explode("tokens").alias("name")).distinct().withColumn("explicit", F.lit(True))
     around = F.transform(text.all_matches(F.concat_ws(" ", "signature", "docstring"), "[A-Za-z_][A-Za-z0-9_]*"), F.lower)
@@ -171,7 +182,7 @@ def _symbol_hits(symbols: DataFrame, questions: DataFrame) -> tuple[DataFrame, D
     count = lambda k: F.count(F.when(F.col("at") == k, 1))
     met = flat.join(asked, "token").groupBy("query", *_SYMBOL, "dense", "n").agg(count("part").alias("_p"), count("around").alias("_a"), count("whole").alias("_w"))
     kw = F.when(F.col("_w") > 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("_p") / F.col("n") + 0.3 * F.col("_a") / F.col("n")))
-    return q, named, reuse(met.withColumn("kw", kw).where("kw > 0").select("query", *_SYMBOL, "dense", "n", "kw"))
+    return named, reuse(met.withColumn("kw", kw).where("kw > 0").select("query", *_SYMBOL, "dense", "n", "kw"))
 
 
 def _best_symbols(rows: DataFrame, hits: DataFrame, named: DataFrame, top_k: int, threshold: float) -> DataFrame:
@@ -186,12 +197,17 @@ def _best_symbols(rows: DataFrame, hits: DataFrame, named: DataFrame, top_k: int
 def search_symbols(symbols: DataFrame, questions: DataFrame, top_k: int = 10, threshold: float = 0.35) -> DataFrame:
     """(query, path, name, kind, start_line, score): symbols (with dense score column, or 0) by the hybrid score.
 
-    Symbols without a word in common with a question are looked at for their dense score only.
+    Symbols without a word in common with a question are looked at for their dense score only. Questions of the same tokens
+    are asked once, and of symbols that differ only in their place the first top_k take part, as no others can be a result.
     """
-    s = symbols.withColumn("dense", F.col("dense") if "dense" in symbols.columns else F.lit(0.0))
-    q, named, hits = _symbol_hits(s, questions)
+    s = reuse(_first_alike(symbols.withColumn("dense", F.col("dense") if "dense" in symbols.columns else F.lit(0.0)), top_k))
+    every = _tokenised(questions)
+    alike = reuse(every.select("query", "tokens", "n", F.min("query").over(Window.partitionBy("tokens")).alias("_as")))
+    q = alike.where(F.col("query") == F.col("_as")).drop("_as")
+    named, hits = _symbol_hits(s, q)
     strong = s.where(F.col("dense") >= threshold).select(*_SYMBOL, "dense").join(bounded(q.select("query", "n")), how="cross").join(hits.select("query", *_SYMBOL), ["query", *_SYMBOL], "left_anti").withColumn("kw", F.lit(0.0))
-    return _best_symbols(hits.unionByName(strong.select(*hits.columns)), hits, named, top_k, threshold)
+    best = _best_symbols(hits.unionByName(strong.select(*hits.columns)), hits, named, top_k, threshold)
+    return best.withColumnRenamed("query", "_as").join(alike.select("query", "_as"), "_as").select("query", *_SYMBOL, "score")
 
 
 #: Lexical candidates of a question whose vectors are looked at.
@@ -203,9 +219,11 @@ def search_symbols_lazily(symbols: DataFrame, questions: DataFrame, vectors_of:
 
     A question that shares words with symbols asks for the vectors of its `most` best ones, ties by path and line, and of the
     symbols that it names; the others count with a dense score of 0. Only questions without any such symbol go over all
-    vectors, and where there is none, no scan of them takes place.
+    vectors, and where there is none, no scan of them takes place. Of symbols that differ only in their place the first
+    most + top_k take part in the first phase: later ones are neither looked at nor can they be a result.
     """
-    q, named, hits = _symbol_hits(symbols.withColumn("dense", F.lit(0.0)), questions)
+    q = _tokenised(questions)
+    named, hits = _symbol_hits(_first_alike(symbols.withColumn("dense", F.lit(0.0)), most + top_k), q)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("kw", 9)), "path", "start_line", "name", "kind"))
     ranked = hits.drop("dense").withColumn("_n", place).join(named, ["query", "name"], "left")
     looked = ranked.where((F.col("_n") <= most) | F.col("explicit")).select("query", *_SYMBOL)
