@@ -771,8 +771,8 @@ def grep_lines(spark, d):
 
 @query()
 def binary_report(spark, d):
-    f = readers.binary_files(spark, d, "*.parquet").select("path", "content")
-    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.to_json(readers.magics(F.col("content"))).alias("magics"), readers.hex_dump(F.col("content"), 1).alias("head"))
+    f = readers.heads(spark, d, readers.SCAN, "*.parquet")
+    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.to_json(readers.magics(F.col("head"))).alias("magics"), readers.hex_dump(F.col("head"), 1).alias("head"))
 
 
 @query("WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM (SELECT * FROM e ORDER BY user_id, ts)) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS events, round(sum(value), 6) AS value FROM s GROUP BY user_id, k")
