@@ -105,8 +105,10 @@ def context_metrics(evidence: DataFrame, budgets: DataFrame, gold: DataFrame) ->
 
 def edge_lists(found: DataFrame, gold: DataFrame) -> DataFrame:
     """(kind, src, dst): found edges that are not gold (false), and gold ones that were not found (missing), each once."""
-    f, g = found.select("src", "dst").distinct(), gold.select("src", "dst").distinct()
-    return f.join(g, ["src", "dst"], "left_anti").withColumn("kind", F.lit("false")).unionByName(g.join(f, ["src", "dst"], "left_anti").withColumn("kind", F.lit("missing")))
+    side = lambda df, n: df.select("src", "dst", F.lit(n).alias("_side"))
+    each = side(found, 1).unionByName(side(gold, 2)).groupBy("src", "dst").agg(F.min("_side").alias("_a"), F.max("_side").alias("_b"))
+    alone = each.where(F.col("_a") == F.col("_b")).withColumn("kind", F.when(F.col("_a") == 1, "false").otherwise("missing"))
+    return alone.select("src", "dst", "kind")
 
 
 def answer_scores(cases: DataFrame, predictions: DataFrame) -> DataFrame:
