@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.shipping import ensure_importable
 
@@ -72,13 +73,17 @@ def hunks(patches: DataFrame) -> DataFrame:
 
 
 def patched(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """(file, content, applied) of files (file, content) under hunks(); a file whose hunks have no place stays as it is."""
+    """(file, content, applied) of files (file, content) under hunks(); a file whose hunks have no place stays as it is.
+
+    A file meets its hunks in one row, so that Python is handed batches of files, not a frame for each.
+    """
     ensure_importable(files.sparkSession)
+    edits = rows.groupBy(F.col("file").alias("_file")).agg(F.array_sort(F.collect_list(F.struct("patch", "ord", "hunk", "start", "op", "text"))).alias("edits"))
+    whole = files.groupBy("file").agg(F.first("content").alias("content")).join(edits, F.col("file").eqNullSafe(F.col("_file")), "left")
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame([], columns=["file", "content", "applied"])
-        done = apply(left["content"].iloc[0], list(right.sort_values(["patch", "ord"])[["hunk", "start", "op", "text"]].itertuples(index=False, name=None))) if len(right) else None
-        return pd.DataFrame([(key[0], left["content"].iloc[0] if done is None else done, done is not None)], columns=["file", "content", "applied"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = [None if e is None else apply(c, [(x["hunk"], x["start"], x["op"], x["text"]) for x in e]) for c, e in zip(pdf["content"], pdf["edits"], strict=True)]
+            yield pd.DataFrame({"file": pdf["file"], "content": [c if d is None else d for c, d in zip(pdf["content"], done, strict=True)], "applied": [d is not None for d in done]})
 
-    return files.select("file", "content").groupBy("file").cogroup(rows.groupBy("file")).applyInPandas(run, "file string, content string, applied boolean")
+    return whole.select("file", "content", "edits").mapInPandas(run, "file string, content string, applied boolean")
