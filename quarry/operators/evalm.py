@@ -12,13 +12,18 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
 
     Queries without relevant rows give no row, so means pass over them.
     """
-    hit = relevant.join(ranked, ["query", "id"], "left")
     gain = F.pow(F.lit(2.0), F.col("grade")) - 1
-    ideal = relevant.withColumn("ir", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("grade"), "id"))).where(F.col("ir") <= k).groupBy("query").agg(F.sum(gain / F.log2(F.col("ir") + 1)).alias("idcg"))
-    got = hit.groupBy("query").agg(
-        (F.count(F.when(F.col("rank") <= k, 1)) / F.count("*")).alias("recall"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("rr"),
-        F.coalesce(F.sum(F.when(F.col("rank") <= k, gain / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"),
+    # relevant rows may be most pairs of queries and documents: they are counted by grade, and only ranked ones are looked at singly
+    grades = relevant.groupBy("query", "grade").agg(F.count("*").alias("_n"))
+    every = grades.groupBy("query").agg(F.sum("_n").alias("_all"))
+    best = grades.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("query").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") < k)
+    places = best.select("query", "grade", F.explode(F.sequence(F.col("_before") + 1, F.least(F.col("_before") + F.col("_n"), F.lit(k)))).alias("ir"))
+    ideal = places.groupBy("query").agg(F.sum(gain / F.log2(F.col("ir") + 1)).alias("idcg"))
+    met = relevant.join(ranked, ["query", "id"]).groupBy("query").agg(
+        F.count(F.when(F.col("rank") <= k, 1)).alias("_hits"), F.min("rank").alias("_first"), F.sum(F.when(F.col("rank") <= k, gain / F.log2(F.col("rank") + 1))).alias("dcg"),
     )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    got = every.join(met, "query", "left").select("query", (zero(F.col("_hits")) / F.col("_all")).alias("recall"), zero(1 / F.col("_first")).alias("rr"), zero(F.col("dcg")).alias("dcg"))
     return got.join(ideal, "query").select("query", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"), F.round(F.col("dcg") / F.col("idcg"), 6).alias("ndcg"))
 
 
