@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quarry import config
 from quarry.functions import code, text, vectors
-from quarry.operators import answer, context, conversations, evalm, figures, graph, ingest, lexical_index, search, store
+from quarry.operators import answer, context, conversations, evalm, figures, graph, ingest, lexical_index, lexical_scan, search, store
 from quarry.plans import knowledge, samples
 from quarry.plans.bounded import bounded
 from quarry.plans.registry import query, t
@@ -260,7 +260,7 @@ def bm25_term_stats(spark, d):
 
 @query(f"WITH {BM25_SQL} SELECT query, id, score, rank::INT AS rank FROM lex WHERE rank <= 10")
 def bm25_topk(spark, d):
-    return lexical_index.top(lexical_index.build(t(spark, d, "documents")), t(spark, d, "benchmark"), 10)
+    return lexical_scan.top(lexical_scan.passes(t(spark, d, "documents"), t(spark, d, "benchmark")), 10)
 
 
 @query(rf"""
