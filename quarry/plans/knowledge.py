@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.functions import code, text, vectors
-from quarry.operators import answer, context, evidence, ingest, lexical_index, search
+from quarry.operators import answer, context, evidence, ingest, lexical_index, lexical_scan, search
 from quarry.operators import chunks as chunks_text
 from quarry.plans.bounded import bounded
 from quarry.plans.reuse import reuse
@@ -29,7 +29,8 @@ def search_knowledge(
     them, gates of content alone, weights by type, thresholds or exact numbers, rerank, diverse selection, pollution
     control, merging of neighbours, noise filter, removal of near copies. Lexical statistics stay global under a filter;
     what passes is decided by the gate, never by a generated context. index, gate_index: stored indexes of the chunks' texts
-    with and without generated contexts (section, source, ctx, content); without them they are built here, once.
+    with and without generated contexts (section, source, ctx, content); without one the questions go over the texts in one
+    pass. Whole texts and vectors of chunks are read for candidates alone.
     """
     k = DEFAULT.candidate_k
     with_ctx = "ctx" in chunks.columns
@@ -37,40 +38,53 @@ def search_knowledge(
     ids = allowed.select("id")
     body = F.concat_ws(" ", "section", "source", "content")
     plain = chunks.select("id", body.alias("content"))
-    gate_index = gate_index or lexical_index.build(plain, None, "id", "content")
-    if with_ctx:
-        index = index or lexical_index.build(chunks.select("id", F.concat_ws(" ", "section", "source", F.when(F.trim("ctx") != "", F.col("ctx")), "content").alias("content")), None, "id", "content")
-    else:
-        index = index or gate_index
-
-    def ranked(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-        dense = search.dense_top(allowed, asked.select("query", "qv"), 2 * k, "id", "v")
-        lexical = lexical_index.scores(index, asked, "query", "question").join(ids, "id", "left_semi")
-        lexical = lexical.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query")), 6)).where(F.col("score") >= DEFAULT.bm25_floor)
-        dense, lexical = reuse(dense), reuse(lexical)
-        fused = search.top_k(search.rrf(dense, search.top_k(lexical, 2 * k)), k, by="rrf").drop("rank")
+    index = index if with_ctx else index or gate_index
+    ranked_text = chunks.select("id", F.concat_ws(" ", "section", "source", F.when(F.trim("ctx") != "", F.col("ctx")), "content").alias("content")) if with_ctx else plain
+    filtered = source not in (None, "") or bool(filters)
+
+    def lexical_ranks(asked: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The 2k best (query, id, score, rank), and the scores of them and of others (query, id), relative to the best that the filter leaves."""
+        if index:
+            rows = lexical_index.scores(index, asked, "query", "question").join(ids, "id", "left_semi")
+            rows = rows.withColumn("score", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query")), 6)).where(F.col("score") >= DEFAULT.bm25_floor)
+            rows = reuse(rows)
+            return search.top_k(rows, 2 * k), rows
+        found = lexical_scan.passes(ranked_text, asked, "id", "content", "query", "question")
+        best = reuse(lexical_scan.top(found, 2 * k, ids if filtered else None))
+        rows = lexical_scan.gate(found, others.select("query", "id").unionByName(best.select("query", "id")))
+        most = best.where("rank = 1").select("query", F.col("score").alias("_most"))
+        relative = lambda df: df.join(most, "query").withColumn("score", F.round(F.col("score") / F.col("_most"), 6)).drop("_most").where(F.col("score") >= DEFAULT.bm25_floor)
+        return relative(best), relative(rows)
+
+    def ranked(asked: DataFrame) -> DataFrame:
+        dense = reuse(search.dense_top(allowed, asked.select("query", "qv"), 2 * k, "id", "v"))
+        best, lexical = lexical_ranks(asked, dense)
+        fused = search.top_k(search.rrf(dense, best), k, by="rrf").drop("rank")
         scored = fused.join(dense.select("query", "id", F.col("score").alias("retrieval")), ["query", "id"], "left").join(lexical.select("query", "id", F.col("score").alias("bm25")), ["query", "id"], "left")
-        return scored.fillna(0.0, ["retrieval", "bm25"]), lexical
+        return scored.fillna(0.0, ["retrieval", "bm25"])
+
+    def plain_scores(cand: DataFrame, asked: DataFrame) -> DataFrame:
+        if gate_index:
+            return lexical_index.gate(gate_index, asked, cand, "query", "question")
+        return lexical_scan.gate(lexical_scan.passes(plain, asked, "id", "content", "query", "question"), cand)
 
     def gated(cand: DataFrame, asked: DataFrame) -> DataFrame:
         # candidates outside the dense list still need their dense score: at most k rows a question
-        v = allowed.select("id", vectors.normalize(F.col("v")).alias("v"))
+        v = allowed.join(cand.select("id").distinct(), "id", "left_semi").select("id", vectors.normalize(F.col("v")).alias("v"))
         q = asked.select("query", vectors.normalize(F.col("qv")).alias("qv"))
         out = cand.join(v, "id").join(q, "query").withColumn("retrieval", F.round(vectors.dot(F.col("v"), F.col("qv")), 6)).drop("v", "qv")
-        plain_scores = lexical_index.gate(gate_index, asked, cand, "query", "question") if with_ctx else None
-        return search.fill_gate(out, None, plain_scores)
+        return search.fill_gate(out, None, plain_scores(cand, asked) if with_ctx else None)
 
-    first, _ = ranked(questions)
-    cand = reuse(gated(first, questions))
+    cand = reuse(gated(reuse(ranked(questions)), questions))
     if other_wordings is not None:
         signals = search.decision_signals(cand)
         weak = questions.join(signals, "query", "left").where(search.should_expand(text.is_numeric_question("question"), F.col("n"), F.col("g1"))).select("query")
         more = reuse(other_wordings.join(weak, "query", "left_semi").withColumn("asked", F.col("query")).withColumn("query", F.monotonically_increasing_id()))
-        found, _ = ranked(more)
-        found = gated(found, more).join(more.select("query", "asked"), "query").drop("query").withColumnRenamed("asked", "query")
+        found = gated(reuse(ranked(more)), more).join(more.select("query", "asked"), "query").drop("query").withColumnRenamed("asked", "query")
         merged = search.merge_expansion(cand.select("query", "id", "rrf", "retrieval", "gate", "bm25"), found.select("query", "id", "rrf", "retrieval", "gate", "bm25"))
-        cand = search.top_k(merged.withColumn("gate_bm25", F.col("bm25")), k, by="rrf").drop("rank")
-    meta = allowed.select("id", "source", "type", "page", "chunk_index", "section", "content", vectors.normalize(F.col("v")).alias("v"))
+        cand = reuse(search.top_k(merged.withColumn("gate_bm25", F.col("bm25")), k, by="rrf").drop("rank"))
+    # the texts of candidates alone, so that the others stay where they are
+    meta = allowed.join(cand.select("id").distinct(), "id", "left_semi").select("id", "source", "type", "page", "chunk_index", "section", "content", vectors.normalize(F.col("v")).alias("v"))
     weight = search.source_weight(F.col("type"))
     sizes = questions.select("query", "question", text.estimate_tokens("question").alias("tokens"))
     cand = cand.join(meta, "id").join(sizes, "query").withColumn("rrf", F.col("rrf") * weight).withColumn("gate", F.col("gate") * weight)
