@@ -92,3 +92,18 @@ def test_conversations_against_brute_force(spark, sf):
             where = [([t for t, _ in a].index(x), [t for t, _ in b].index(y)) for x, y in found]
             left, right = [t for _, t in a], [t for _, t in b]
             assert abs(score_of(left, right, where) - best_score(tuple(left), tuple(right))) < 1e-9
+
+
+def test_only_rows_between_equal_ends_are_compared(spark, monkeypatch):
+    calls, real = [], al.likeness
+    monkeypatch.setattr(al, "likeness", lambda *x: calls.append(x) or real(*x))
+    left = [f"part {k * 7919} of {k}" for k in range(40)]
+    right = [x for k, x in enumerate(left) if k != 20]
+    right[18] = "other"
+    assert al.pairs(left, right) == [(k, k) for k in range(18)] + [(19, 19)] + [(k, k - 1) for k in range(21, 40)] and len(calls) <= 6
+    assert al.pairs(["x", "x", "y"], ["x", "y"]) == [(1, 0), (2, 1)]
+
+
+def test_cells_meet_where_rows_are_aligned(spark, sf):
+    plan = QUERIES["alignment_verdicts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning(l_orderkey") >= 1 and "hashpartitioning(k" not in plan
