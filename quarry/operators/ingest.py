@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,16 +145,37 @@ def _cut(line: str, size: int) -> Iterator[str]:
         yield held
 
 
+#: Characters of chunks that leave a worker together.
+CHARS = 1_000_000
+
+
 def semantic_chunks(docs: DataFrame, size: int = 1200, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_index, section, content): a fold over each document's lines, batched through Arrow."""
-    ensure_importable(docs.sparkSession)
+    """(id, chunk_index, section, content): a fold over each document's lines, batched through Arrow.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, k, title, c) for i, t in zip(pdf["id"], pdf["t"], strict=True) for k, (title, c) in enumerate(split_semantic((t or "").strip(), size, overlap))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "section", "content"])
+    Texts of a batch become Python strings one at a time, and chunks leave as soon as they have CHARS characters, so a
+    worker holds little more than the batch.
+    """
+    ensure_importable(docs.sparkSession)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"{id_col} long, chunk_index int, section string, content string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple[int, int, str, str]] = []
+            used = 0
+            for i, t in zip(batch.column("id"), batch.column("t"), strict=True):
+                for k, (title, content) in enumerate(split_semantic((t.as_py() or "").strip(), size, overlap)):
+                    held.append((i.as_py(), k, title, content))
+                    used += len(content)
+                    if used >= CHARS:
+                        yield chunk_batch(held)
+                        held, used = [], 0
+            if held:
+                yield chunk_batch(held)
+
+    def chunk_batch(rows: list[tuple[int, int, str, str]]) -> pa.RecordBatch:
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[id_col, "chunk_index", "section", "content"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"{id_col} long, chunk_index int, section string, content string")
 
 
 def adjacent_runs(chunks: DataFrame, keys: list[str]) -> DataFrame:
