@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from quarry.config import DEFAULT
 from quarry.operators.records import catalog_delta
+from quarry.plans.bounded import MOST
 from quarry.plans.reuse import reuse, spread
 from quarry.shipping import ensure_importable
 
@@ -154,20 +155,37 @@ def resolve_calls(nodes: DataFrame, sites: DataFrame) -> DataFrame:
     return found.where("confidence <> 'ambiguous'").select(*columns).unionByName(many.select(*columns))
 
 
+#: Tasks that one node's edges are dealt over, and edges of a task.
+SUBS, EDGES = 16, 1_000_000
+
+
 def neighbors(edges: DataFrame, start: DataFrame, hops: int = 1, direction: str = "both", limit: int = DEFAULT.node_limit) -> DataFrame:
     """(seed, node, hop): nodes within hops (1 or 2) of start (seed, node), nearest first, ties by the smaller node, at most limit per seed.
 
     A seed whose limit is full goes no further. Of a node's neighbours only the smallest can count: as many as the limit and
-    all that its seed has seen, so a hub sends that many rows and no more, and the rest never leave the tasks that read them.
+    all that its seed has seen. Edges of the front's nodes alone are shuffled, once for each hop and repeated or not, a
+    node's dealt over SUBS tasks that send on so many each; tasks grow in number with the edges, so none grows in memory.
     """
     out, back = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    step = (out if direction == "out" else back if direction == "in" else out.union(back)).where("b IS NOT NULL").distinct()
+    step = (out if direction == "out" else back if direction == "in" else out.union(back)).where("b IS NOT NULL").withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(SUBS)))
+    spark = edges.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-step.count() // EDGES))
     seen = start.select("seed", "node", F.lit(0).alias("hop")).distinct()
     most = seen.groupBy("seed").count().agg(F.max("count")).first()[0] or 0
     front = seen
     for hop in range(1, min(max(hops, 1), 2) + 1):
-        w = Window.partitionBy("a").orderBy("b")
-        near = step.join(front.select(F.col("node").alias("a")).distinct(), "a", "left_semi").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 2 * limit + most)
+        nodes = front.select(F.col("node").alias("a")).distinct()
+        if nodes.isEmpty():
+            break
+        few = nodes.limit(MOST + 1).count() <= MOST
+        if few:
+            own = step.join(F.broadcast(nodes), "a", "left_semi").repartition(tasks, "a", "_s")
+        else:
+            keyed = nodes.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SUBS - 1).cast("long"))))
+            own = step.repartition(tasks, "a", "_s").join(keyed.repartition(tasks, "a", "_s"), ["a", "_s"], "left_semi")
+        # repeated edges share a place
+        least = own.withColumn("_n", F.dense_rank().over(Window.partitionBy("a", "_s").orderBy("b"))).where(F.col("_n") <= 2 * limit + most).select("a", "_s", "b").distinct()
+        near = least.select("a", "b").repartition(tasks, "a").withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("_n") <= 2 * limit + most)
         new = front.join(near, front["node"] == near["a"]).select("seed", F.col("b").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
         have = seen.groupBy("seed").agg(F.count(F.when(F.col("hop") > 0, 1)).alias("_have"))
         room = new.join(have, "seed").withColumn("_n", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).where(F.col("_n") <= limit - F.col("_have"))

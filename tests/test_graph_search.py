@@ -59,3 +59,14 @@ def test_paths_meet_in_the_middle(spark):
         for r in graph.paths(edges, spark.createDataFrame(asked + asked[:5], "src long, dst long"), most, limit).collect():
             got.setdefault((r["src"], r["dst"]), []).append((r["hops"], r["path"].replace(" > ", " ")))
         assert {k: sorted(v) for k, v in got.items()} == {(a, b): x for a, b in asked if a != b and (x := _paths(pairs, a, b, most, limit))}
+
+
+def test_neighbors_of_more_nodes_than_a_broadcast_side_takes_and_of_repeated_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST", 2)
+    monkeypatch.setattr(graph, "EDGES", 40)
+    rng = random.Random(6)
+    pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(60)} | {(0, k) for k in range(1, 40)}
+    edges = spark.createDataFrame([*pairs, *pairs, *pairs], "src long, dst long")
+    start = {k: {k} for k in (0, 5, 7, 9)}
+    got = {(r["seed"], r["node"]): r["hop"] for r in graph.neighbors(edges, spark.createDataFrame([(s, s) for s in start], "seed long, node long"), 2, "both", 6).collect()}
+    assert got == _near(pairs | {(b, a) for a, b in pairs}, start, 2, 6)
