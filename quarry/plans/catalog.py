@@ -613,7 +613,7 @@ def ambiguous_targets(spark, d):
 @query(f"WITH {samples.files_sql('doc_id % 100 = 0')}, {samples.CALLS_SQL}, {samples.RESOLVED_SQL}")
 def graph_update(spark, d):
     """The graph after the files of documents whose number is divisible by 100 have changed; the SQL builds it anew."""
-    old, new = samples.files(spark, d), samples.files(spark, d, F.col("doc_id") % 100 == 0)
+    old, new = (reuse(samples.files(spark, d, order)) for order in (None, F.col("doc_id") % 100 == 0))  # small files of large texts, read often
     nodes = reuse(graph.symbols(old))
     edges = graph.resolve_placed(nodes, graph.placed(nodes, graph.calls(old)))
     digest = lambda f: f.select("path", F.md5(F.col("content").cast("binary")).alias("hash"))
@@ -621,8 +621,8 @@ def graph_update(spark, d):
 
 
 def _supply(spark: SparkSession, d: str) -> DataFrame:
-    """A large bipartite graph: parts and the suppliers that delivered them."""
-    return t(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    """A large bipartite graph: parts and the suppliers that delivered them, an edge for each delivery."""
+    return t(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
 
 
 _EDGES = "e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
