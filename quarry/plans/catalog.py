@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quarry import config
 from quarry.functions import code, text, vectors
-from quarry.operators import answer, context, conversations, evalm, figures, graph, ingest, lexical_index, lexical_scan, search, store
+from quarry.operators import answer, context, conversations, evalm, figures, graph, ingest, lexical_scan, search, store
 from quarry.plans import knowledge, samples
 from quarry.plans.bounded import bounded
 from quarry.plans.registry import query, t
